@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sp_codec, token_counts
+from . import language_id, media, packing, sp_codec, token_counts, warc_zip
 
 
 def _tokenizer(name: str) -> str:
@@ -26,5 +26,33 @@ def op3_sp_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.sp_encode(_documents(spark, sf_dir), _tokenizer("piece_bpe_32k.model"), digests_only=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_sp_codec)}
-SQL: dict[str, str] = {}
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.warc_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held = language_id.held_out("doc_id")
+    model = language_id.fit_language_model(docs.where(~held))
+    found = language_id.predict_language(docs, model)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), 2048)
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_warc, op3_sp_codec, op7_language_id, op8_packing, op9_media_columns)}
+_PAGES = """(select page_id, encode(coalesce(html, '')) p from pages)"""
+SQL: dict[str, str] = {
+    "op2_warc": f"""
+        with d as (select page_id, octet_length(p)::bigint n, sha1(p) h from {_PAGES}),
+        k as (select *, max(page_id) over (partition by h) m, count(*) over (partition by h) c from d)
+        select page_id, n as payload_bytes, h as payload_digest,
+          case when n >= 1000 and page_id <> m then 'revisit' else 'response' end as record_type,
+          case when n >= 1000 and page_id <> m then m end as refers_to from k""",
+}
