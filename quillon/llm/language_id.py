@@ -104,7 +104,12 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 3, alpha
     w = weights(np.arange(SIZE + 1))
     logits = np.array([w[SIZE] + vector(f, n) @ w[f] for _, f, n in held]).reshape(-1, len(languages))
     truth = np.array([number[x] for x, _, _ in held], int)
-    loss = lambda t: -np.log(softmax(logits / t)[np.arange(len(truth)), truth] + 1e-12).sum()
+    smooth = 1 / (len(held) + 2)  # of the truth's probability, so that a faultless sample doesn't make it certain
+
+    def loss(t):
+        logs = np.log(softmax(logits / t) + 1e-12)
+        return -((1 - smooth) * logs[np.arange(len(truth)), truth] + smooth * logs.mean(axis=1)).sum()
+
     temperatures = np.geomspace(0.05, 20, 121)
     temperature = float(temperatures[np.argmin([loss(t) for t in temperatures])]) if held else 1.0
     return Model(languages, (w[:SIZE] * idf[:, None]).astype(np.float32), w[SIZE], temperature)

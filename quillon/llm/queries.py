@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, media, packing, sp_codec, token_counts, warc_zip
+from . import language_id, media, packing, pii, sp_codec, token_counts, warc_zip
 
 
 def _tokenizer(name: str) -> str:
@@ -46,7 +46,11 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_warc, op3_sp_codec, op7_language_id, op8_packing, op9_media_columns)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_warc, op3_sp_codec, op7_language_id, op8_packing, op9_media_columns, op10_pii)}
 _PAGES = """(select page_id, encode(coalesce(html, '')) p from pages)"""
 SQL: dict[str, str] = {
     "op2_warc": f"""
