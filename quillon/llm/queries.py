@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, media, merkle, packing, pii, sp_codec, token_counts, warc_zip
+from . import jaccard_join, language_id, line_dedup, media, merkle, packing, pii, sp_codec, token_counts, warc_zip
 
 
 def _tokenizer(name: str) -> str:
@@ -42,6 +42,10 @@ def op5_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edit_probe(_documents(spark, sf_dir))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_documents(spark, sf_dir))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     held = language_id.held_out("doc_id")
@@ -62,7 +66,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_warc, op3_sp_codec, op4_line_dedup, op5_merkle, op7_language_id, op8_packing, op9_media_columns, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_warc, op3_sp_codec, op4_line_dedup, op5_merkle, op6_jaccard_join, op7_language_id, op8_packing, op9_media_columns, op10_pii)}
 _PAGES = """(select page_id, encode(coalesce(html, '')) p from pages)"""
 SQL: dict[str, str] = {
     "op2_warc": f"""
