@@ -1,0 +1,454 @@
+"""The operators against the libraries they follow, or brute force, on small tables with odd rows."""
+
+import hashlib
+import io
+import random
+import re
+import zipfile
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+pytest.importorskip("quillon.llm.queries")
+import public_tokenizers  # noqa: E402
+import sentencepiece  # noqa: E402
+from tokenizers import Tokenizer  # noqa: E402
+
+from quillon.llm import _chunks, jaccard_join, language_id, line_dedup, media, merkle, packing, pii, sp_codec, token_counts, warc_zip  # noqa: E402
+
+TEXTS = [None, "", " ", "it's they're 'd", "a <|endoftext|> b<|startoftext|>", "x" * 5000, "naïve café É\n\n  two", "日本語 text 😀", "tab\tand\x0bstrange\x1cspaces ", "Same text here. " * 40, "Same text here. " * 40, "a   b \n \n c"]
+SCHEMA = "doc_id long, text string, n_tokens string, id string, spans int"
+
+
+def table(spark, texts=TEXTS):
+    """The texts with columns whose names clash with the operators' own, a null id and a repeated row."""
+    rows = [(i, t, "clash", "clash", 7) for i, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, (None, "null id", None, None, None), rows[-1]], SCHEMA)
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def by_id(rows):
+    return {r.doc_id: r for r in rows}
+
+
+ALPHABETS = ["abcdefg hijklmnop", "eaeiotns  \n", "éüß ñabc.,;:!?'\"()_", "日本語 한국 😀🎉abc", "aaa   ", "\t\x00\x0b▁ x", "0123456789-+.@", "ñéΣσς²½ﬁ", " 's 't <|>"]
+
+
+def fuzz(n, seed, most=40):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(rng.choice(ALPHABETS)) for _ in range(rng.randint(0, most))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("name, fine, coarse", [("word_bpe_49k.json", _chunks.WORDS_FINE, _chunks.WORDS_COARSE), ("byte_bpe_50k.json", _chunks.SPACED_FINE, _chunks.SPACED_COARSE)])
+def test_chunks_never_cut_a_token(name, fine, coarse):
+    tok = Tokenizer.from_file(public_tokenizers.path(name))
+    for text in [*fuzz(3000, 1), *(t for t in TEXTS if t)]:
+        whole = tok.encode(text, add_special_tokens=False).ids
+        assert whole == [i for c in _chunks.split(text, fine, coarse) for i in tok.encode(c, add_special_tokens=False).ids], text
+
+
+def test_cache_keeps_answers_when_full():
+    cache = _chunks.Cache(lambda ps: [p.upper() for p in ps], most=10, longest=3)
+    for n in range(50):
+        assert cache.of([f"k{n % 13}", "long one", f"k{n % 7}"]) == [f"K{n % 13}", "LONG ONE", f"K{n % 7}"]
+
+
+def test_token_counts(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    got = token_counts.token_counts(table(spark), path, limit=100, table_size=3)
+    assert got.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"] and got.count() == len(TEXTS) + 2
+    for i, r in by_id(got.collect()).items():
+        text = "null id" if i is None else TEXTS[i] or ""
+        n = len(tok.encode(text, add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), n, n > 100)
+    assert token_counts.token_counts(empty(spark), path).count() == 0
+
+
+def test_prefix_table_equals_the_library():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=path), sp_codec.prefix_table(path)
+    rng = random.Random(2)
+    pieces = [lib.id_to_piece(i).replace("▁", " ") for i in range(259, 32000)]
+    for text in [*fuzz(4000, 3), *("".join(rng.choice(pieces) for _ in range(rng.randint(1, 8))) for _ in range(4000))]:
+        ids = lib.encode(text)
+        assert own.encode(text) == ids and own.decode(ids).decode() == lib.decode(ids), text
+    for _ in range(2000):
+        ids = [rng.randint(0, 31999) if rng.random() < 0.5 else rng.randint(0, 262) for _ in range(rng.randint(0, 12))]
+        assert own.decode(ids).decode() == lib.decode(ids), ids
+
+
+def test_sp_codec(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = sp_codec.sp_encode(table(spark), path)
+    assert got.count() == len(TEXTS) + 2
+    for i, r in by_id(got.collect()).items():
+        ids = lib.encode("null id" if i is None else TEXTS[i] or "")
+        assert (list(r.ids), r.n_tokens, r.decoded) == (ids, len(ids), lib.decode(ids))
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
+    again = sp_codec.sp_decode(got.select("doc_id", "ids"), path)
+    assert sorted(r.decoded for r in again.collect()) == sorted(r.decoded for r in got.collect())
+    assert sp_codec.sp_encode(empty(spark), path).count() == 0
+
+
+PAGES = "page_id long, url string, html string, payload_digest string, type string"
+
+
+def test_warc_round_trip(spark):
+    big = "é" * 600
+    htmls = [None, "", "small", "small", big, big, big, "x" * 999, "x" * 999, "y" * 1000, "y" * 1000]
+    rows = [(i, f"http://h/{i} \r\nx", h, "clash", "clash") for i, h in enumerate(htmls)]
+    got = warc_zip.warc_round_trip(spark.createDataFrame([*rows, (None, None, big, None, None)], PAGES)).collect()
+    assert len(got) == len(htmls) + 1
+    for r in got:
+        payload = (big if r.page_id is None else htmls[r.page_id] or "").encode()
+        assert (r.payload_bytes, r.payload_digest) == (len(payload), hashlib.sha1(payload).hexdigest())
+        first = {4: 6, 5: 6, 9: 10}.get(r.page_id)
+        assert (r.record_type, r.refers_to) == (("response", None) if first is None else ("revisit", first))
+    assert warc_zip.warc_round_trip(spark.createDataFrame([], PAGES)).count() == 0
+
+
+class Bytes:
+    def __init__(self, data):
+        self.data = data
+
+    def read_at(self, n, at):
+        return self.data[at : at + n]
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_zip_and_zip64_directories(limit, monkeypatch):
+    if limit is not None:
+        monkeypatch.setattr(zipfile, "ZIP64_LIMIT", limit)
+        monkeypatch.setattr(zipfile, "ZIP_FILECOUNT_LIMIT", limit)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("first", b"abc" * 10)
+        z.writestr("dir/second", b"defg")
+        z.writestr("packed", b"h" * 100, compress_type=zipfile.ZIP_DEFLATED)
+        z.comment = b"a comment PK"
+    data = out.getvalue()
+    assert limit is None or b"PK\6\6" in data
+    at, n = warc_zip.member_range(Bytes(data), len(data), "dir/second")
+    assert data[at : at + n] == b"defg"
+    with pytest.raises(ValueError):
+        warc_zip.member_range(Bytes(data), len(data), "packed")
+    with pytest.raises(KeyError):
+        warc_zip.member_range(Bytes(data), len(data), "none")
+
+
+def brute_lines(rows, words):
+    rows = sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0))
+    runs, first, gone = [], {}, {}
+    for i, t in rows:
+        s = [(n, x) for n, x in enumerate(t.split("\n")) if x.strip(" \t\r\f")]
+        for a in range(len(s)):
+            for b in range(a + 1, len(s) + 1):
+                run = tuple(x for _, x in s[a:b])
+                if sum(len(x.split()) for x in run) >= words:
+                    first.setdefault(run, (i, a))
+                    runs.append((i, a, run, [n for n, _ in s[a:b]]))
+    for i, a, run, lines in runs:
+        if first[run] != (i, a):
+            gone.setdefault(i, set()).update(lines)
+    out = {}
+    for i, t in rows:
+        kept = "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone.get(i, ()))
+        out[i] = (kept if kept.strip(" \t\r\f\n") or not gone.get(i) else "", len(gone.get(i, ())))
+    return out
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rng = random.Random(4)
+    pool = ["a", "b b", "c c c", "d d d d", "e e e e e", "f", "g g", "", "h h h h h h", " "]
+    rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.8 else f"u{rng.random()}" for _ in range(rng.randint(0, 14)))) for i in range(60)]
+    rows += [(None, rows[3][1]), (100, None), (101, ""), (102, rows[5][1])]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in [*rows, rows[7]]], "doc_id long, text string, n_lines int, k string")
+    got = line_dedup.dedup_lines(df, min_words=5)
+    assert set(got.columns) == {"doc_id", "text", "k", "n_lines", "n_deleted", "deleted"} and got.count() == len(rows) + 1
+    expected = brute_lines(rows, 5)
+    for r in got.collect():
+        assert ((r.text or ""), r.n_deleted) == expected[r.doc_id], r.doc_id
+    assert got.where("doc_id = 100").first().text is None
+    assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_merkle(spark):
+    got = merkle.edit_probe(table(spark)).collect()
+    assert len(got) == len(TEXTS) + 2
+    order = [(None, "null id"), *enumerate(TEXTS), (len(TEXTS) - 1, TEXTS[-1])]
+    follower = {i: order[(k + 1) % len(order)][1] or "" for k, (i, _) in enumerate(order)}
+    prints = {}
+    for r in got:
+        text = "null id" if r.doc_id is None else TEXTS[r.doc_id] or ""
+        k = len(text) // 4
+        assert r.n_chars == len(text) and 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        if r.doc_id != len(TEXTS) - 1:  # the repeated row is its own next
+            assert r.edited_sha256 == hashlib.sha256((text[: len(text) - k] + follower[r.doc_id][:k]).encode()).hexdigest()
+        prints.setdefault(text, set()).add(r.fingerprint)
+    assert all(len(v) == 1 for v in prints.values()) and len({f for v in prints.values() for f in v}) == len(prints)
+    assert merkle.edit_probe(empty(spark)).count() == 0
+
+
+def test_merkle_edits(spark):
+    lines = [f"line {i} of some words" for i in range(30)]
+    other = [*lines[:13], "changed", *lines[14:]]
+    df = spark.createDataFrame([("\n".join(lines), "\n".join(other)), ("same", "same")], "x string, y string")
+    got = df.select(merkle.fingerprint("x").alias("a"), merkle.fingerprint("y").alias("b")).select(merkle.edits("a", "b").alias("e"), merkle.likeness("a", "b").alias("l")).collect()
+    assert [tuple(x) for x in got[0].e] == [(1, 13)] and 0.8 < got[0].l < 1
+    assert got[1].e == [] and got[1].l == 1
+
+
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def brute_groups(rows, t=80):
+    sets = {}
+    for i, text in rows:
+        w = WORD.findall((text or "").encode().lower())
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    up = {i: i for i in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            n = len(sets[a] & sets[b])
+            if n and 100 * n >= t * (len(sets[a]) + len(sets[b]) - n):
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), root(i)) for i in ids}
+
+
+def jaccard_rows(seed, n, base_n, edits):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = [[rng.choice(vocabulary) for _ in range(rng.randint(1, 150))] for _ in range(base_n)]
+    rows = []
+    for i in range(n):
+        b = list(rng.choice(base)) if rng.random() < 0.9 else [rng.choice(vocabulary) for _ in range(rng.randint(0, 80))]
+        for _ in range(rng.randint(0, edits)):
+            if b:
+                k = rng.randrange(len(b))
+                b[k : k + rng.randint(0, 1)] = [rng.choice(vocabulary)] * rng.randint(0, 2)
+        rows.append((i, " ".join(b).upper() if rng.random() < 0.1 else "\n".join(b)))
+    return rows + [(5000, None), (5001, ""), (5002, " \n"), (5003, "a b"), (5004, "A b"), (5005, "a b c")]
+
+
+@pytest.mark.parametrize("block", [(128, 64), (6, 3)])
+def test_jaccard_join_equals_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block[0])
+    monkeypatch.setattr(jaccard_join, "SET_BLOCK", block[1])
+    rows = jaccard_rows(5, 300, 20, 7)
+    got = jaccard_join.jaccard_components(spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n int").repartition(3))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_groups(rows)
+
+
+def test_jaccard_region_recursion_is_exact():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**62, 200, dtype=np.uint64)
+    sets = []
+    for _ in range(150):
+        s = base.copy()
+        k = rng.integers(0, 60)
+        s[rng.choice(200, k, replace=False)] = rng.integers(0, 2**62, k, dtype=np.uint64)
+        sets.append(np.unique(s))
+    region = jaccard_join.Region(sets, 80)
+    region.join(np.arange(len(sets)))
+    expected = jaccard_join.Links(len(sets))
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            n = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+                expected.link(a, b)
+    roots = lambda u: [u.root(k) for k in range(len(sets))]
+    assert roots(region.links) == roots(expected) and len(set(roots(expected))) > 1
+
+
+def test_jaccard_edges(spark):
+    assert jaccard_join.jaccard_components(empty(spark)).count() == 0
+    got = jaccard_join.jaccard_components(table(spark)).collect()
+    assert len(got) == len(TEXTS) + 2 and by_id(got)[10].component_id == 9 and by_id(got)[None].component_id is None
+
+
+def test_components_of_a_long_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
+    got = {r.cls: r.label for r in jaccard_join.components(links).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+
+
+def test_language_id(spark):
+    rng = random.Random(7)
+    words = {"aa": ["the", "and", "with", "thing"], "bb": ["der", "und", "mit", "straße"], "cc": ["le", "été", "avec", "que"]}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randint(1, 60))), lang) for i, lang in enumerate(rng.choice(list(words)) for _ in range(400))]
+    df = spark.createDataFrame([(i, t, None if i % 10 == 0 else lang, "clash") for i, t, lang in rows], "doc_id long, text string, lang string, score string")
+    held = language_id.held_out("doc_id")
+    model = language_id.fit_language_model(df.where(~held), per_language=60)
+    assert (model.weights == 0).mean() > 0.9  # sparse
+    odd = spark.createDataFrame([(-1, None, None, None), (-2, "", None, None), (-3, "12 !? ²", None, None)], df.schema)
+    got = {r.doc_id: r for r in language_id.predict_language(df.union(odd), model).collect()}
+    assert all((got[k].lang_pred, got[k].score) == ("und", 0.0) for k in (-1, -2, -3)) and len(got) == 403
+    out = [(i, lang) for i, _, lang in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sum(got[i].lang_pred == lang for i, lang in out) >= 0.97 * len(out) and all(0 <= r.score <= 1 for r in got.values())
+    assert language_id.fit_language_model(df.limit(0)) is None
+    assert {r.lang_pred for r in language_id.predict_language(df, None).collect()} == {"und"}
+
+
+def test_packing(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    got = packing.pack_documents(table(spark, TEXTS + fuzz(200, 8, 300)), path, 64, keep_ids=True)
+    rows, texts = got.collect(), TEXTS + fuzz(200, 8, 300)
+    places, pieces = {}, {}
+    for r in rows:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        pieces.setdefault(r.doc_id, []).append(r)
+        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes()) and len(r.ids) == r.length
+    for own in places.values():
+        at = 0
+        for offset, n in sorted(own):
+            assert offset == at
+            at += n
+        assert at <= 64
+    for i, text in enumerate(texts[:-1]):
+        ids, own = [*tok.encode(text or "", add_special_tokens=False).ids, 0], sorted(pieces[i], key=lambda r: r.piece)
+        assert [x for r in own for x in r.ids] == ids and [r.piece for r in own] == list(range(len(own)))
+        assert all(r.length == 64 for r in own[1:]) and own[0].start == 0
+    assert len(places) <= 1.02 * sum(r.length for r in rows) / 64 + 1
+    assert packing.pack_documents(empty(spark), path).count() == 0
+
+
+def test_fillings_use_up_every_item():
+    rng = random.Random(9)
+    for _ in range(30):
+        histogram = {rng.randint(1, 100): rng.randint(1, 50) for _ in range(rng.randint(1, 40))}
+        used = {}
+        for items, times in packing.fillings(histogram, 100):
+            assert sum(items) <= 100 and times > 0
+            for x in items:
+                used[x] = used.get(x, 0) + times
+        assert used == histogram
+    assert packing.best_filling(10, [3, 5, 7], {3: 1, 5: 1, 7: 1}) in ([7, 3],)  # best fit alone finds it
+    assert sorted(packing.best_filling(12, [4, 6, 7], {4: 3, 6: 2, 7: 1})) in ([4, 4, 4], [6, 6])  # 7 first would waste 1
+
+
+def test_media(spark, tmp_path):
+    got = media.media_columns(table(spark), directory=f"file://{tmp_path}/m").collect()
+    assert len(got) == len(TEXTS) + 2
+    for r in got:
+        data = ("null id" if r.doc_id is None else TEXTS[r.doc_id] or "").encode()
+        payload = media.padded(data)
+        assert len(payload) % 576 == 0 and (r.n_bytes, r.payload_bytes) == (len(data), len(payload))
+        assert (r.payload_sha256, r.tail_crc32) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        image = media.png(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(image), hashlib.sha256(image).hexdigest())
+    assert len({tuple(r)[1:] for r in got if r.doc_id in (9, 10)}) == 1
+    # small ranges, with and without the indexes, give the same members once
+    whole = {(r.archive, r.offset, r.member) for r in media.read_archives(spark, f"file://{tmp_path}/m").collect()}
+    assert {(r.archive, r.offset, r.member) for r in media.read_archives(spark, f"file://{tmp_path}/m", splitBytes=700, batchBytes=1).collect()} == whole
+    for p in (tmp_path / "m").glob("*.idx"):
+        p.unlink()
+    rows = media.read_archives(spark, f"file://{tmp_path}/m", splitBytes=700).collect()
+    assert {(r.archive, r.offset, r.member) for r in rows} == whole and len(rows) == len(got)
+    assert media.media_columns(empty(spark)).count() == 0
+
+
+def test_media_retries_a_member_by_offset(tmp_path):
+    class Flaky:
+        fails = 2
+
+        def __init__(self, data):
+            self.data = data
+
+        def read_at(self, n, at):
+            Flaky.fails -= 1
+            if Flaky.fails >= 0:
+                raise OSError("lost")
+            return self.data[at : at + n]
+
+    info = media.tarfile.TarInfo("=1.png")
+    info.size = 3
+    data = info.tobuf(media.tarfile.GNU_FORMAT) + b"abc"
+    store = type("S", (), {"open_input_file": lambda self, path: Flaky(data)})()
+    reader = media.MediaReader({"path": "x", "retries": "3"})
+    assert reader.member(store, Flaky(data), "x", 0, 512, 3) == ("=1.png", b"abc")
+    Flaky.fails = 99
+    with pytest.raises(OSError, match="byte 0"):
+        media.MediaReader({"path": "x", "retries": "1"}).member(store, Flaky(data), "x", 0, 512, 3)
+
+
+def brute_pii(t):
+    out = [(m.start(), 0, m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = [int(c) for c in reversed(m[0]) if c.isdigit()]
+        if 12 <= len(d) <= 19 and sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(d)) % 10 == 0:
+            out.append((m.start(), 2, m.end(), "card"))
+    out += [(m.start(), 3, m.end(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(out)
+
+
+def test_pii(spark):
+    rng = random.Random(10)
+    parts = ["a@b.c", "@", ".", "%", " ", "-", "1", "23", "456", "+1", "555", "(", "😀", "é", "a.b", "4111111111111111", "1.2.3.4", "300", "0001"]
+    texts = TEXTS + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(1500)] + ["1 " * 3000, "a" * 100_000 + "@", "+1" + " " * 50_000]
+    got = pii.find_pii(table(spark, texts)).collect()
+    assert len(got) == len(texts) + 2
+    for r in got:
+        base = brute_pii("null id" if r.doc_id is None else texts[r.doc_id] or "")
+        joined = [f"{k}:{a}:{b}" for a, _, b, k in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(joined).encode()).hexdigest()
+        assert set(joined) <= set(r.spans.split(",")) | {""} and r.n_email == sum(k == "email" for *_, k in base)
+    assert pii.find_pii(empty(spark)).count() == 0
+
+
+def test_pii_weak_supervision(spark):
+    texts = [f'x password={"%08x" % (i * 7919)}ab{i:012x} and token = "ab{i:020x}" y {i}{i + 12345678}' for i in range(30)] + ["the ratio: something_long here"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(pii.find_pii(df).collect())
+    assert all(got[i].spans.count("secret:") == 2 for i in range(30)) and got[30].spans == ""
+    odds, posterior = pii.estimate({(1, 1, 1, 1, 0): 50, (-1, -1, 0, -1, 0): 50, (1, -1, 0, -1, 0): 5})
+    assert posterior[1, 1, 1, 1, 0] > 0.9 and posterior[-1, -1, 0, -1, 0] < 0.1 and odds[1][1] > odds[1][-1]
+
+
+def test_redact(spark):
+    df = spark.createDataFrame([(1, "mail a@b.cd, ip 1.2.3.4!", "k"), (2, None, "k"), (3, "+1 (555) 123-4567", None)], "doc_id long, text string, spans string")
+    got = pii.redact(df, weights=[-9.0, 0.0, 0.0, 0.0, 0.0, 0.0])
+    assert got.columns == df.columns
+    assert {r.doc_id: r.text for r in got.collect()} == {1: "mail [EMAIL], ip [IP]!", 2: None, 3: "[PHONE]"}
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    words = [f"{a}{b}" for a in ("the", "and", "thing", "word", "tion") for b in ("er", "ing", "ly", "on")]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    texts = [prose(60) for _ in range(30)]
+    near = texts[0].split()
+    near[30] = "other"
+    passage = prose(60)
+    texts += [" ".join(near), f"{prose(20)}\n{passage}", f"{prose(20)}\n{passage}", "12 34", None, f"write to me@here.org {prose(20)}"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "")
+        docs = corpus_pipeline.stored(out, name)
+        seen[name] = docs.collect()
+    ids = {k: {r.doc_id for r in v} for k, v in seen.items()}
+    assert ids["language"] == set(range(len(texts))) - {33, 34} == ids["lines"]
+    assert {r.doc_id: r.text for r in seen["lines"]}[32].count("\n") == 0
+    assert ids["near_duplicates"] == ids["lines"] - {30} == ids["personal_data"] == ids["pack"]
+    assert "[EMAIL]" in {r.doc_id: r.text for r in seen["personal_data"]}[35]
+    assert all(r.n_chars == len(r.text) for r in seen["personal_data"])
