@@ -31,20 +31,26 @@ def split(text: str, fine, coarse) -> list[str]:
 
 
 class Cache(dict):
-    """Encodings by piece, emptied when full; `encode` gets the missing pieces as one list. Long pieces are not kept."""
+    """Encodings by piece, in two generations; `encode` gets the missing pieces as one list. Long pieces are not kept.
 
-    def __init__(self, encode, most: int = 400_000, longest: int = 48):
+    When half of `most` is reached, the pieces of the generation before go, but for those used since.
+    """
+
+    def __init__(self, encode, most: int = 800_000, longest: int = 48):
         super().__init__()
-        self.encode, self.most, self.longest = encode, most, longest
+        self.encode, self.half, self.longest, self.old = encode, most // 2, longest, {}
 
     def of(self, pieces: list[str]) -> list:
         found = list(map(self.get, pieces))
         if None in found:
-            missing = list({p for p, f in zip(pieces, found) if f is None})
-            new = dict(zip(missing, self.encode(missing)))
-            if len(self) + len(new) > self.most:
-                self.clear()
+            old = self.old
+            new = {p: old.get(p) for p, f in zip(pieces, found) if f is None}
+            missing = [p for p, f in new.items() if f is None]
+            new.update(zip(missing, self.encode(missing)))
             self.update((p, f) for p, f in new.items() if len(p) <= self.longest)
+            if len(self) > self.half:
+                self.old = dict(self)
+                self.clear()
             found = [new[p] if f is None else f for p, f in zip(pieces, found)]
         return found
 

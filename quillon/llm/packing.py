@@ -10,7 +10,9 @@ rank among the pieces of their length, which needs no sort: a task numbers its o
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from bisect import bisect_right
 
 import numpy as np
@@ -109,13 +111,38 @@ def _places(found: list[tuple[list[int], int]]) -> np.ndarray:
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if printable, else one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_LETTERS = _byte_letters()
+#: A piece that is one word for every byte-level tokenizer, so that the merges alone decide its ids.
+_WORD = re.compile(f" ?[{_chunks.LATIN}]+").fullmatch
+
+
+def _ids(tok, pieces: list[str]) -> list[bytes]:
+    """The ids of each piece, little-endian; single words go to the merges directly, others through the whole tokenizer."""
+    found: dict[str, bytes] = {}
+    others = []
+    for p in pieces:
+        if _WORD(p):
+            found[p] = array("I", [t.id for t in tok.model.tokenize(p.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
+        else:
+            others.append(p)
+    found.update((p, array("I", e.ids).tobytes()) for p, e in zip(others, tok.encode_batch_fast(others, add_special_tokens=False)))
+    return [found[p] for p in pieces]
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str, text_col: str, end_id: int, keep_ids: bool) -> DataFrame:
     """The pieces of every document: id, piece, start, length, ids_crc32, ids; task and seq number pieces of a length."""
     rows = texts(docs, id_col, text_col)
 
     def run(batches):
         tok = tokenizer(tokenizer_path)
-        cache = _chunks.Cache(lambda pieces: [np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch_fast(pieces, add_special_tokens=False)])
+        cache = _chunks.Cache(lambda pieces: _ids(tok, pieces))
         seen, end, task = [0] * (capacity + 1), int(end_id).to_bytes(4, "little"), TaskContext.get().partitionId()
         for batch in batches:
             for part in _chunks.byte_batches(batch):
