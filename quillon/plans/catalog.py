@@ -1,4 +1,587 @@
-"""Queries of the library over the driver's tables, and their SQL."""
+"""Queries of the library's operators over the driver's tables, and the same results in SQL.
 
-QUERIES: dict = {}
+Each query is `name(spark, sf_dir)`; SQL is kept beside it. Queries without SQL are order-dependent folds, parsers and
+local regressions; the tests hold those against fixtures and brute force.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as t
+from ..operators import dedupe, filters, metrics, network, screening, vocabulary
+from ..sources import formats
+from . import lenses
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- SQL for the lenses -----------------------------------------------------------------------------------------------
+
+P = "select o_orderkey k, year(o_orderdate)::int py, floor(o_totalprice / 1000)::bigint tc, o_orderpriority source, o_custkey from orders"
+TERMS = {
+    "journals": f"select p.k, p.py, p.tc, p.source, c_mktsegment term from ({P}) p join customer on c_custkey = o_custkey",
+    "authors": f"select distinct p.k, p.py, p.tc, p.source, s_name term from ({P}) p join lineitem on l_orderkey = k join supplier on s_suppkey = l_suppkey",
+    "countries": f"select distinct p.k, p.py, p.tc, p.source, n_name term from ({P}) p join lineitem on l_orderkey = k join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey",
+    "keywords": f"select distinct p.k, p.py, p.tc, p.source, p_brand term from ({P}) p join lineitem on l_orderkey = k join part on p_partkey = l_partkey",
+    "refs": f"select p.k, p.py, p.tc, p.source, l_partkey::varchar term from ({P}) p join lineitem on l_orderkey = k",
+    "cited": f"select distinct p.k, p.py, p.tc, p.source, l_partkey::varchar term from ({P}) p join lineitem on l_orderkey = k",
+}
+PLAIN = r"regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g')"
+DOCS = rf"""select doc_id, text, lang, source, case when doc_id % 2 = 0 then 'wos' else 'scopus' end kind, left(text, 40) ti, (2000 + doc_id % 5)::varchar py,
+    case when doc_id % 3 = 0 then 'https://doi.org/10.1/' || left({PLAIN}, 12) || (doc_id % 2)::varchar else '' end di, case when doc_id % 3 <> 1 then 'U:' || right({PLAIN}, 12) else '' end ut,
+    case when doc_id % 4 <> 0 then n_chars end tc, left(sha256(source || chr(0) || doc_id::int::varchar), 24) record_key from documents"""
+#: Fields of the documents lens that are filled, and its completeness; stripped as the library strips.
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+PROFILE = rf"""select *, {_STRIP.format('ti')} title, {PLAIN.replace('text', 'ti')} n_title, {PLAIN.replace('text', "lang || ', X'")} n_authors, {PLAIN} n_abstract,
+    case when di = '' then '' else regexp_replace(regexp_replace(lower(di), '^https://doi\.org/', ''), '\.+$', '') end doi,
+    100 * ((case when {_STRIP.format('ti')} <> '' then 1 else 0 end) + 4 + (case when {_STRIP.format('text')} <> '' then 1 else 0 end) + (di <> '')::int + (ut <> '')::int + (tc is not null)::int) + length({_STRIP.format('text')}) completeness from ({DOCS})"""
+
+
+def _rank_sql(name: str, limit: int = 20) -> str:
+    return f"select term as name, count(*) as papers, sum(tc)::bigint as citations from ({TERMS[name]}) group by term order by papers desc, citations desc, lower(term) limit {limit}"
+
+
+# --- trends and rankings ------------------------------------------------------------------------------------------------
+
+
+@query(f"select py as year, count(*) as papers, sum(tc)::bigint as citations from ({P}) group by py")
+def annual_trend(spark, d):
+    return metrics.annual_trend(lenses.papers(spark, d))
+
+
+def _ranking(name: str, sql_name: str, lens: str, distinct: bool = True):
+    def run(spark, d):
+        return metrics.rank_terms(lenses.terms(spark, d, lens, distinct), 20)
+
+    run.__name__ = name
+    query(_rank_sql(sql_name))(run)
+
+
+_ranking("rank_journals", "journals", "journals")
+_ranking("rank_authors", "authors", "authors")
+_ranking("rank_countries", "countries", "countries")
+_ranking("rank_keywords", "keywords", "keywords")
+_ranking("rank_cited_refs", "refs", "refs", distinct=False)
+
+
+@query(f"""with p as (select py, source, count(*) papers, sum(tc)::bigint citations from ({P}) group by all), s as (select min(py) lo, max(py) hi from p)
+    select y::int as year, g.source, coalesce(papers, 0)::bigint as papers, coalesce(citations, 0)::bigint as citations
+    from (select unnest(generate_series(lo, hi)) y from s) cross join (select distinct source from p) g left join p on p.py = y and p.source = g.source""")
+def trend_by_database_dense(spark, d):
+    return metrics.dense_trend(lenses.papers(spark, d), "source")
+
+
+_TOP = "select term from (select term, sum(papers) n from c group by term) order by n desc, lower(term) limit {0}"
+
+
+@query(f"""with c as (select term, source, count(*) papers, sum(tc)::bigint citations from ({TERMS['authors']}) group by all), top as ({_TOP.format(15)})
+    select term as name, source, papers, citations from c where term in (select term from top)""")
+def plot_ranking_by_source(spark, d):
+    return metrics.plot_ranking(lenses.terms(spark, d, "authors"), 15, by_source=True)
+
+
+@query(f"""with c as (select term, '全部' source, py, count(*) papers, sum(tc)::bigint citations from ({TERMS['countries']}) group by all), top as ({_TOP.format(10)}),
+    k as (select * from c where term in (select term from top)), s as (select min(py) lo, max(py) hi from k)
+    select f.term as name, f.source, y::int as year, coalesce(papers, 0)::bigint as papers, coalesce(citations, 0)::bigint as citations
+    from (select distinct term, source from k) f cross join (select unnest(generate_series(lo, hi)) y from s) left join k on k.term = f.term and k.source = f.source and k.py = y""")
+def yearly_rank_dense(spark, d):
+    return metrics.yearly_ranking(lenses.terms(spark, d, "countries"), 10)
+
+
+@query(f"select term as name, count(*) as papers, round(count(*) / sum(count(*)) over (), 6)::double as share from ({TERMS['journals']}) group by term")
+def share_of_total(spark, d):
+    ranked = metrics.rank_terms(lenses.terms(spark, d, "journals"), None).select("name", "papers")
+    return metrics.share_of_total(ranked, "papers").withColumn("share", F.round("share", 6))
+
+
+_TREND = f"select py, count(*) n from ({P}) group by py"
+
+
+@query(f"""with t as (select (py - min(py) over ())::double x, n::double y from ({_TREND}))
+    select round(regr_slope(y, x), 4) as slope, round(regr_intercept(y, x), 4) as intercept, round(regr_r2(y, x), 6) as r2 from t""")
+def linear_trend_fit(spark, d):
+    fit = metrics.linear_fit(metrics.annual_trend(lenses.papers(spark, d)), "year", "papers")
+    return fit.select(F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("r2", 6).alias("r2"))
+
+
+@query(f"""with t as (select (py - min(py) over ())::double x, n::double y from ({_TREND})),
+    m as (select count(*)::double s0, sum(x) s1, sum(x*x) s2, sum(x*x*x) s3, sum(x*x*x*x) s4, sum(y) t0, sum(x*y) t1, sum(x*x*y) t2, sum(y*y) yy from t),
+    f as (select *, s4*(s2*s0-s1*s1)-s3*(s3*s0-s1*s2)+s2*(s3*s1-s2*s2) dd, t2*(s2*s0-s1*s1)-s3*(t1*s0-s1*t0)+s2*(t1*s1-s2*t0) da,
+      s4*(t1*s0-s1*t0)-t2*(s3*s0-s1*s2)+s2*(s3*t0-t1*s2) db, s4*(s2*t0-t1*s1)-s3*(s3*t0-t1*s2)+t2*(s3*s1-s2*s2) dc from m)
+    select round(da/dd, 4) as a, round(db/dd, 4) as b, round(dc/dd, 4) as c, round(1 - (yy - da/dd*t2 - db/dd*t1 - dc/dd*t0) / (yy - t0*t0/s0), 6) as r2 from f""")
+def quadratic_trend_fit(spark, d):
+    fit = metrics.quadratic_fit(metrics.annual_trend(lenses.papers(spark, d)), "year", "papers")
+    return fit.select(*[F.round(c, 4).alias(c) for c in "abc"], F.round("r2", 6).alias("r2"))
+
+
+@query()
+def loess_trend(spark, d):
+    return metrics.loess(metrics.dense_trend(lenses.papers(spark, d), "source"), "year", "papers", "source")
+
+
+# --- filters -------------------------------------------------------------------------------------------------------------
+
+
+@query(f"select case when py is null then 'unknown' when py < 1996 or py > 1998 then 'excluded' else 'included' end as year_status, count(*) as n from ({P}) group by 1")
+def year_partition(spark, d):
+    return filters.partition_by_year(lenses.papers(spark, d), 1996, 1998).groupBy("year_status").agg(F.count("*").alias("n"))
+
+
+@query(f"select source, count(*) as n from ({P}) where py is null or py >= 1997 group by source")
+def year_scope(spark, d):
+    return filters.in_years(lenses.papers(spark, d), 1997, None).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("select d.doc_id, d.lang from documents d where d.doc_id not in (select doc_id from labels where toxic = 1) and d.doc_id in (select doc_id from labels where quality = 1)")
+def scope_relevant(spark, d):
+    labels = lenses.table(spark, d, "labels")
+    docs = lenses.table(spark, d, "documents").select("doc_id", "lang")
+    return filters.scope(docs, "classified", labels.where("toxic = 1"), labels.where("quality = 1"), key="doc_id")
+
+
+@query(f"select kind as source_kind, count(*) as n from ({DOCS}) where kind in ('wos') and not regexp_matches(ti, '[㐀-鿿豈-﫿]') group by 1")
+def source_and_language(spark, d):
+    docs = lenses.documents(spark, d).withColumn("ti", t.text("TI"))
+    return filters.by_source_and_language(docs, ["wos"], "英文").groupBy("source_kind").agg(F.count("*").alias("n"))
+
+
+@query(f"select source_kind, count(*) as n from (select kind source_kind, tc from ({DOCS}) where tc is not null) group by 1")
+def citation_metric_filter(spark, d):
+    docs = lenses.documents(spark, d).select("source_kind", t.counted().alias("tc"))
+    return filters.with_counts(docs).groupBy("source_kind").agg(F.count("*").alias("n"))
+
+
+@query("select item_id, length(text) as n from benchmark where contains(lower(text), 'the')")
+def search_text(spark, d):
+    return filters.search(lenses.table(spark, d, "benchmark"), " The ".strip(), "text").select("item_id", F.length("text").cast("long").alias("n"))
+
+
+# --- dedupe --------------------------------------------------------------------------------------------------------------
+
+
+def _profiles(spark, d):
+    return dedupe.profile(lenses.documents(spark, d), exact=False)
+
+
+def _groups(spark, d, preset="loose"):
+    return dedupe.candidates(_profiles(spark, d), preset)
+
+
+def _groups_sql(key: str, where: str) -> str:
+    return f"""with p as ({PROFILE}), g as (select {key} gk, count(*) size, count(distinct case when di <> '' then doi end) > 1 doi_conflict from p where {where} group by {key} having count(*) > 1),
+        r as (select p.*, g.size, g.doi_conflict, row_number() over (partition by {key} order by kind <> 'wos', -completeness, lower(title), record_key) rn from p join g on gk = {key} where {where})"""
+
+
+_LOOSE = _groups_sql("n_title || '|' || py", "n_title <> ''")
+
+
+@query(_LOOSE + " select record_key as \"primary\", size, doi_conflict from r where rn = 1")
+def dedupe_loose(spark, d):
+    return _groups(spark, d).select("primary", "size", "doi_conflict")
+
+
+@query(_groups_sql("n_title || '|' || py || '|' || n_authors || '|' || n_abstract", "n_title <> '' and n_abstract <> ''") + " select record_key as \"primary\", size, doi_conflict from r where rn = 1")
+def dedupe_strict(spark, d):
+    return _groups(spark, d, "strict").select("primary", "size", "doi_conflict")
+
+
+@query(_LOOSE + " select count(*) filter (rn = 1) as \"groups\", coalesce(sum(size - 1) filter (rn = 1), 0)::bigint as duplicates, count(*) filter (rn = 1 and doi_conflict) as conflicts from r")
+def dedupe_statistics(spark, d):
+    return dedupe.run_statistics(_groups(spark, d))
+
+
+@query(f"""with recursive p as ({PROFILE}), i as (select record_key n, 'doi:' || doi id from p where doi <> '' union all select record_key, 'ut:' || lower(ut) from p where ut <> ''),
+    e as (select distinct a.n a, b.n b from i a join i b using (id)), w(n, c) as (select n, n from (select distinct n from i) union select w.n, e.b from w join e on e.a = w.c)
+    select n as record_key, min(c) as component from w group by n""")
+def dedupe_quick_components(spark, d):
+    pairs = _profiles(spark, d).select("record_key", F.explode("identifiers").alias("identifier"))
+    return dedupe.connected(pairs, "record_key", "identifier")
+
+
+@query(_LOOSE + " select record_key, rn = 1 as preferred, completeness::bigint as completeness from r")
+def preferred_record(spark, d):
+    p = _profiles(spark, d)
+    members = _groups(spark, d).select(F.explode("record_keys").alias("record_key"), "primary")
+    return members.join(p.select("record_key", "completeness"), "record_key").select("record_key", (F.col("record_key") == F.col("primary")).alias("preferred"), F.col("completeness").cast("long").alias("completeness"))
+
+
+@query(_LOOSE + " select case when doi_conflict then 'ignored' else 'deduped' end as status, count(*) as n from r where rn = 1 group by 1")
+def auto_review(spark, d):
+    return dedupe.auto_review(_groups(spark, d)).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(_LOOSE + " select record_key from r where rn > 1 and not doi_conflict")
+def apply_exclusions(spark, d):
+    return dedupe.apply_review(dedupe.auto_review(_groups(spark, d)))
+
+
+@query(_LOOSE + f""", k as (select {'"n_title"'} || '|' || py gk2, record_key pk from r where rn = 1), i as (select record_key ik, coalesce(nullif(ut, ''), nullif(di, ''), source || '#' || doc_id::varchar || '@' || left(sha1(source), 8)) rid, source from p)
+    select a.rid as duplicate_record_id, b.rid as kept_record_id, 'loose' as reason, a.source as duplicate_source, b.source as kept_source
+    from r join k on gk2 = n_title || '|' || py join i a on a.ik = r.record_key join i b on b.ik = pk where rn > 1 and not doi_conflict""")
+def duplicate_log(spark, d):
+    return dedupe.duplicate_log(dedupe.auto_review(_groups(spark, d)), _profiles(spark, d), "loose")
+
+
+@query(f"""with p as ({PROFILE}) select arg_min(title, doc_id) as title, py as year, count(distinct doi)::bigint as dois from p where n_title <> '' and doi <> '' group by n_title, py having count(distinct doi) > 1""")
+def doi_conflicts(spark, d):
+    return dedupe.doi_conflicts(_profiles(spark, d)).select("title", "year", F.size("dois").cast("long").alias("dois"))
+
+
+@query()
+def legacy_dedupe(spark, d):
+    return dedupe.legacy_dedupe(_profiles(spark, d))
+
+
+@query(f"""with p as ({PROFILE}), a as (select kind source, count(*) n from p group by kind), x as (select kind source, count(*) m from ({_LOOSE} select kind from r where rn > 1 and not doi_conflict) group by 1)
+    select a.source, n as records, n - coalesce(m, 0) as retained, coalesce(m, 0)::bigint as deduped from a left join x using (source)""")
+def import_stats(spark, d):
+    docs = lenses.documents(spark, d)
+    gone = dedupe.apply_review(dedupe.auto_review(_groups(spark, d)))
+    files = docs.select(F.col("source_kind").alias("source"), F.lit(None).cast("string").alias("error")).distinct()
+    return metrics.import_stats(files, docs, docs.join(gone, "record_key", "left_anti")).select("source", "records", "retained", "deduped")
+
+
+# --- networks ------------------------------------------------------------------------------------------------------------
+
+
+def _network_sql(name: str, least: int, most: int) -> str:
+    return f"""with t as (select distinct k, py, tc, term from ({TERMS[name]})), c as (select term, count(*) documents, sum(tc)::bigint citations, avg(py) ay from t group by term having count(*) >= {least}),
+        n as (select *, row_number() over (order by documents desc, lower(term))::int id from (select * from c order by documents desc, lower(term) limit {most})),
+        o as (select k, id from t join n using (term)), e as (select a.id source_id, b.id target_id, count(*) strength from o a join o b on a.k = b.k and a.id < b.id group by all)"""
+
+
+_NODES = " select id, term as label, documents, citations, coalesce((select sum(strength)::bigint from e where n.id in (source_id, target_id)), 0)::bigint as total_link_strength from n"
+
+
+def _edges(spark, d, lens, least, most, cited=False):
+    terms = lenses.terms(spark, d, lens)
+    nodes = network.select_nodes(terms, least, most, cited)
+    return terms, nodes, network.cooccurrence(terms, nodes)
+
+
+@query(_network_sql("keywords", 2, 25) + " select * from e")
+def keyword_cooccurrence(spark, d):
+    return _edges(spark, d, "keywords", 2, 25)[2]
+
+
+@query(_network_sql("keywords", 2, 25) + _NODES)
+def node_strength(spark, d):
+    _, nodes, edges = _edges(spark, d, "keywords", 2, 25)
+    return network.with_strength(nodes, edges).select("id", "label", "documents", "citations", "total_link_strength")
+
+
+@query(_network_sql("authors", 2, 80) + " select * from e")
+def author_collaboration(spark, d):
+    return _edges(spark, d, "authors", 2, 80)[2]
+
+
+@query(_network_sql("countries", 2, 25) + " select * from e")
+def country_collaboration(spark, d):
+    return _edges(spark, d, "countries", 2, 25)[2]
+
+
+@query(_network_sql("cited", 2, 100) + " select * from e")
+def reference_cocitation(spark, d):
+    return _edges(spark, d, "refs", 2, 100, cited=True)[2]
+
+
+@query(f"""with j as ({TERMS['journals']}), n as (select term, row_number() over (order by count(*) desc, lower(term))::int id from j group by term), x as (select distinct j.k, n.id, l_partkey r from j join n using (term) join lineitem on l_orderkey = j.k),
+    c as (select r, id, count(*) n from x group by all) select a.id as source_id, b.id as target_id, sum(a.n * b.n)::bigint as strength from c a join c b on a.r = b.r and a.id < b.id group by all""")
+def journal_coupling(spark, d):
+    terms = lenses.terms(spark, d, "journals")
+    refs = lenses.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("record_key"), F.col("l_partkey").alias("ref"))
+    return network.coupling(terms.select("record_key", "key").join(refs, "record_key"), network.select_nodes(terms, 1, 80))
+
+
+@query(_network_sql("keywords", 2, 25) + ", s as (select * from e where source_id <= 5 and target_id <= 5) select id, coalesce((select sum(strength)::bigint from s where n.id in (source_id, target_id)), 0)::bigint as total_link_strength from n where id <= 5")
+def subgraph_filter(spark, d):
+    _, nodes, edges = _edges(spark, d, "keywords", 2, 25)
+    return network.subgraph(network.Network(nodes, edges), [1, 2, 3, 4, 5]).nodes.select("id", "total_link_strength")
+
+
+@query(_network_sql("countries", 2, 25) + " select id, count(*) filter (tc is not null) as covered from t join n using (term) group by id")
+def citation_coverage(spark, d):
+    terms, nodes, _ = _edges(spark, d, "countries", 2, 25)
+    return network.citation_coverage(terms, nodes)
+
+
+@query(_network_sql("journals", 1, 80) + " select id, term as label, round(ay, 1) as avg_year from n")
+def avg_pub_year(spark, d):
+    nodes = network.select_nodes(lenses.terms(spark, d, "journals"), 1, 80)
+    return nodes.select("id", "label", F.round("avg_year", 1).alias("avg_year"))
+
+
+@query(_network_sql("journals", 1, 80) + " select round(min(ay), 1) as first, round(max(ay), 1) as last from n")
+def year_extent(spark, d):
+    nodes = network.select_nodes(lenses.terms(spark, d, "journals"), 1, 80)
+    return network.year_extent(nodes).select(F.round("first", 1).alias("first"), F.round("last", 1).alias("last"))
+
+
+# --- vocabulary ----------------------------------------------------------------------------------------------------------
+
+WORDS = "select doc_id, unnest(regexp_extract_all(text, '([A-Za-z]+-?[A-Za-z]*)', 1)) term from documents"
+COUNTS = f"select term, count(*) n, regexp_replace(lower(term), '-', '', 'g') compact from ({WORDS}) group by term having regexp_matches(regexp_replace(lower(term), '-', '', 'g'), '^[a-z]{{3,}}$')"
+
+
+def _singular_sql(c: str) -> str:
+    cases = [f"when {c} in ({', '.join(repr(x) for x in t.INVARIANT)}) then {c}", *(f"when {c} = '{a}' then '{b}'" for a, b in t.IRREGULAR.items())]
+    cases += [f"when {c} like '%{e}' then left({c}, length({c}) - {len(e)}) || '{t.IRREGULAR[e]}'" for e in t.IRREGULAR_ENDINGS]
+    cases += [f"when length({c}) > 4 and regexp_matches({c}, '[^aeiou]ies$') then left({c}, length({c}) - 3) || 'y'", f"when length({c}) > 4 and regexp_matches({c}, '(ches|shes|sses|xes|zes)$') then left({c}, length({c}) - 2)"]
+    cases += [f"when length({c}) > 3 and {c} like '%s' and not regexp_matches({c}, '(ss|us|is|as)$') then left({c}, length({c}) - 1)"]
+    return f"case {' '.join(cases)} else {c} end"
+
+
+GROUPS = f"""select root, arg_min(term, [(compact <> root)::int::varchar, lpad((1000000000 - n)::varchar, 10, '0'), case when term like '%-%' then '1' else '2' end, lower(term), term]) best,
+    count(*) n_forms, sum(n)::bigint occurrences, count(distinct compact) forms from (select *, {_singular_sql('compact')} root from ({COUNTS})) group by root having count(*) > 1"""
+
+
+def _counts(spark, d):
+    return lenses.words(spark, d).groupBy("term").agg(F.count("*").alias("count"))
+
+
+@query(f"select root, best as canonical, n_forms::bigint as n_forms, occurrences, case when forms < n_forms then 1 else 0 end + case when forms > 1 then 1 else 0 end as n_reasons from ({GROUPS})")
+def vocab_auto_groups(spark, d):
+    g = vocabulary.keyword_groups(_counts(spark, d), sentence=False)
+    return g.select("root", "canonical", F.size("variants").cast("long").alias("n_forms"), "occurrences", F.size("reasons").alias("n_reasons"))
+
+
+@query(f"""with g as (select root, best from ({GROUPS})), m as (select lower(term) key, min(best) target from (select *, {_singular_sql('compact')} root from ({COUNTS})) join g using (root) group by 1),
+    w as (select doc_id, coalesce(target, term) term from ({WORDS}) left join m on key = lower(term)) select doc_id as record_key, count(distinct lower(term)) as terms from w group by 1""")
+def vocab_apply(spark, d):
+    words = lenses.words(spark, d)
+    mapping = vocabulary.group_map(vocabulary.keyword_groups(words.groupBy("term").agg(F.count("*").alias("count")), sentence=False))
+    rows = words.groupBy("record_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("de"))
+    merged = vocabulary.replace_terms(rows, "record_key", "de", mapping)
+    return merged.select("record_key", F.size(F.array_distinct(F.transform("de", lambda x: F.lower(x)))).cast("long").alias("terms"))
+
+
+@query(f"""with g as (select root, best from ({GROUPS})), m as (select distinct lower(term) key from (select *, {_singular_sql('compact')} root from ({COUNTS})) join g using (root))
+    select count(distinct doc_id) as affected, (select count(*) from documents) as scanned from ({WORDS}) where lower(term) in (select key from m)""")
+def vocab_report(spark, d):
+    words = lenses.words(spark, d)
+    mapping = vocabulary.group_map(vocabulary.keyword_groups(words.groupBy("term").agg(F.count("*").alias("count")), sentence=False))
+    report = words.join(mapping, F.lower("term") == F.col("key"), "left_semi").select("record_key").distinct()
+    return vocabulary.report_totals(lenses.table(spark, d, "documents"), report).select("affected", "scanned")
+
+
+@query(f"select compact, {_singular_sql('compact')} as root from (select distinct compact from ({COUNTS}))")
+def singular_forms(spark, d):
+    c = _counts(spark, d).select(t.compact(F.col("term")).alias("compact")).where("compact is not null").distinct()
+    return c.select("compact", t.singular(F.col("compact")).alias("root"))
+
+
+@query("select p_name, upper(left(x, 1)) || lower(substr(x, 2)) as styled from (select distinct p_name, regexp_replace(trim(regexp_replace(p_name, '-', ' ', 'g')), '\\s+', ' ', 'g') x from part where not regexp_matches(p_name, '[0-9]'))")
+def sentence_style(spark, d):
+    parts = lenses.table(spark, d, "part").where(~F.col("p_name").rlike("[0-9]")).select("p_name").distinct()
+    return parts.select("p_name", t.sentence_case(F.col("p_name")).alias("styled"))
+
+
+_CATALOG = "select 'authors' kind, s_name variant, 'S' || (s_suppkey % 5) target from supplier union all select 'countries', n_name, 'N' || (n_nationkey % 3) from nation union all select 'keywords', p_brand, 'K' from (select distinct p_brand from part)"
+
+
+def _catalog(spark, d):
+    s = lenses.table(spark, d, "supplier").select(F.lit("authors").alias("kind"), F.col("s_name").alias("variant"), F.concat(F.lit("S"), (F.col("s_suppkey") % 5).cast("string")).alias("target"))
+    n = lenses.table(spark, d, "nation").select(F.lit("countries"), "n_name", F.concat(F.lit("N"), (F.col("n_nationkey") % 3).cast("string")))
+    return s.union(n).union(lenses.table(spark, d, "part").select(F.lit("keywords"), "p_brand", F.lit("K")).distinct())
+
+
+@query(f"""with c as ({_CATALOG}), r as (select kind, lower(variant) key, 'own' target from c where kind = 'authors' and target = 'S1'), x as (select kind, lower(variant) key from c where target = 'N2')
+    select * from r union all select c.kind, lower(variant) as key, target from c where c.kind <> 'keywords' and (c.kind, lower(variant)) not in (select (kind, key) from r union select (kind, key) from x)""")
+def catalog_overlay(spark, d):
+    c = _catalog(spark, d)
+    rules = c.where("kind = 'authors' and target = 'S1'").select("kind", F.lower("variant").alias("key"), F.lit("own").alias("target"))
+    return vocabulary.overlay(c, rules, c.where("target = 'N2'").select("kind", F.lower("variant").alias("key")))
+
+
+@query(f"""with c as ({_CATALOG}), a as (select kind, variant, 'new' target from c where target = 'S2') select kind, variant, coalesce(a.target, c.target) as target from c left join a using (kind, variant) where kind <> 'keywords' and c.target <> 'N1'""")
+def catalog_last_wins(spark, d):
+    c = _catalog(spark, d)
+    applied = c.where("target = 'S2'").withColumn("target", F.lit("new"))
+    return vocabulary.remember(c, applied.select("kind", "target", "variant"), c.where("target = 'N1'")).select("kind", "variant", "target")
+
+
+@query(f"""with c as ({_CATALOG}) select kind, target, count(*) as n, count(*) filter (target = 'S1') as inherited from c where kind <> 'keywords' group by all""")
+def catalog_provenance(spark, d):
+    c = _catalog(spark, d).where("kind <> 'keywords'").withColumn("occurrences", F.lit(1))
+    noted = vocabulary.annotate(c, c.where("target = 'S1'").select("target", "variant"))
+    return noted.groupBy("kind", "target").agg(F.count("*").alias("n"), F.count_if(F.col("catalog_scope") == "历史沿用").alias("inherited"))
+
+
+@query("""with p as (select p_brand term, p_type near, count(*) c from part group by all), r as (select *, row_number() over (partition by term order by c desc, near) r from p)
+    select term, string_agg(near, '|' order by r) as context from r where r <= 3 group by term""")
+def inventory_context_top3(spark, d):
+    pairs = lenses.table(spark, d, "part").select(F.col("p_brand").alias("term"), F.col("p_type").alias("near"))
+    return vocabulary.top_contexts(pairs).select("term", F.array_join("context", "|").alias("context"))
+
+
+@query("select s_name as term, floor((row_number() over (order by lower(s_name), s_name) - 1) / 90)::int as batch from supplier")
+def plan_batches(spark, d):
+    entries = lenses.table(spark, d, "supplier").select(F.col("s_name").alias("term"), F.lit(1).alias("count"))
+    return vocabulary.plan_batches(entries).select("term", "batch")
+
+
+@query(f"""with c as ({_CATALOG}) select case when count(distinct target) > 1 then 'conflict' else 'free' end as state, lower(left(variant, 8)) as key from c where kind = 'authors' group by lower(left(variant, 8))""")
+def suggestion_conflicts(spark, d):
+    c = _catalog(spark, d).where("kind = 'authors'").select("target", F.substring("variant", 1, 8).alias("variant"))
+    empty = spark.createDataFrame([], "key string, target string")
+    staged = vocabulary.stage_suggestions(c.distinct(), empty)
+    return staged.groupBy(F.lower("variant").alias("key")).agg(F.max(F.when(F.col("verdict") == "conflict", "conflict")).alias("s")).select(F.coalesce("s", F.lit("free")).alias("state"), "key")
+
+
+@query("""with a as (select doc_id k, lang m, source s from documents where doc_id % 10 <> 0), b as (select doc_id k, case when doc_id % 7 = 0 then 'x' else lang end m, source s from documents where doc_id % 11 <> 0)
+    select bool_or(a.k is null or b.k is null or a.m is distinct from b.m) as dedupe_changed, bool_or(l.doc_id is not null) as screening_changed from a full join b using (k) left join labels l on l.doc_id = k""")
+def impact_full_outer(spark, d):
+    docs = lenses.table(spark, d, "documents")
+    key, sig = F.col("doc_id").alias("record_key"), F.col("source").alias("signature")
+    a = docs.where("doc_id % 10 <> 0").select(key, F.col("lang").alias("match_key"), sig)
+    b = docs.where("doc_id % 11 <> 0").select(key, F.when(F.col("doc_id") % 7 == 0, "x").otherwise(F.col("lang")).alias("match_key"), sig)
+    return vocabulary.impact(a, b, lenses.table(spark, d, "labels").select(F.col("doc_id").alias("record_key")))
+
+
+@query(f"with c as ({_CATALOG}) select kind, variant from (select kind, variant from c except select kind, variant from c where target in ('S1', 'N1')) where kind <> 'keywords'")
+def set_ops_catalog_diff(spark, d):
+    c = _catalog(spark, d)
+    return c.select("kind", "variant").exceptAll(c.where("target in ('S1', 'N1')").select("kind", "variant")).where("kind <> 'keywords'")
+
+
+# --- screening -----------------------------------------------------------------------------------------------------------
+
+_ANSWERS = """select doc_id, case when quality = 1 then 'relevant' when toxic = 1 then 'uncertain' else 'irrelevant' end choice, ((doc_id * 7) % 100) / 100.0 confidence, ((doc_id * 13) % 100) / 100.0 p from labels"""
+_ONE = f"""select *, case when choice = 'irrelevant' and (confidence < 0.6 or p < 0.75) then 'relevant' else choice end decision from ({_ANSWERS})"""
+
+
+def _answers(spark, d):
+    rows = lenses.table(spark, d, "labels").select(F.col("doc_id").alias("record_id"), F.when(F.col("quality") == 1, "relevant").when(F.col("toxic") == 1, "uncertain").otherwise("irrelevant").alias("choice"), (F.col("doc_id") * 7 % 100 / 100).alias("confidence"), (F.col("doc_id") * 13 % 100 / 100).alias("p_irrelevant"))
+    return screening.with_stage_one(rows).withColumn("error", F.lit("")).withColumn("reason", F.lit("one"))
+
+
+@query(f"select choice, decision, count(*) as n from ({_ONE}) group by all")
+def policy_decision(spark, d):
+    return _answers(spark, d).groupBy("choice", "decision").agg(F.count("*").alias("n"))
+
+
+_TWO = f"""select doc_id, choice, decision, choice = 'uncertain' or (choice = 'irrelevant' and decision = 'relevant') asked, doc_id % 5 <> 0 good from ({_ONE})"""
+
+
+def _resolved(spark, d):
+    one = _answers(spark, d)
+    asked = one.where(screening.needs_stage_two())
+    two = asked.select("record_id", F.when(F.col("record_id") % 2 == 0, "irrelevant").otherwise("uncertain").alias("decision"), F.lit(0.9).alias("confidence"), F.lit("two").alias("reason"), F.array().cast("array<string>").alias("missing"), F.when(F.col("record_id") % 5 == 0, "failed").otherwise("").alias("error"))
+    return screening.resolve(one, two)
+
+
+@query(f"select case when asked and good then (case when doc_id % 2 = 0 then 'irrelevant' else 'uncertain' end) else decision end as decision, asked as reviewed, count(*) filter (asked and not good) as failures, count(*) as n from ({_TWO}) group by 1, 2")
+def hybrid_resolution(spark, d):
+    return _resolved(spark, d).groupBy("decision", "reviewed").agg(F.count_if(F.col("error") != "").alias("failures"), F.count("*").alias("n"))
+
+
+@query(f"""with r as (select doc_id, case when asked and good then (case when doc_id % 2 = 0 then 'irrelevant' else 'uncertain' end) else decision end decision from ({_TWO}))
+    select decision, case when decision = 'uncertain' then (case when doc_id % 3 = 0 then 'irrelevant' else 'relevant' end) else decision end as final_decision, decision = 'uncertain' as human_modified, count(*) as n from r group by all""")
+def review_merge(spark, d):
+    r = _resolved(spark, d)
+    return screening.review(r, r.where("record_id % 3 = 0")).groupBy("decision", "final_decision", "human_modified").agg(F.count("*").alias("n"))
+
+
+@query(f"select count(*) as total, count(*) filter (decision = 'relevant') as relevant, count(*) filter (decision = 'irrelevant') as irrelevant, count(*) filter (decision = 'uncertain') as uncertain, count(*) filter (decision = 'uncertain') as initially_uncertain, 0::bigint as failures from ({_ONE})")
+def decision_counts(spark, d):
+    return screening.decision_counts(_answers(spark, d), "decision")
+
+
+@query("select source, count(*) filter (not hit) as misses, count(*) filter (hit) as hits from (select source, sha256(text) in (select sha256(text) from documents where doc_id % 3 = 0) hit from documents) group by source")
+def cache_miss(spark, d):
+    docs = lenses.table(spark, d, "documents").select(F.col("doc_id").alias("record_id"), "source", screening.cache_key("1", "m", "p", "q", F.col("text")).alias("cache_key"))
+    hits, misses = screening.split_by_cache(docs, docs.where("record_id % 3 = 0").select("cache_key").distinct().withColumn("record_id", F.lit(0)))
+    found = misses.select("source", F.lit(1).alias("m")).union(hits.join(docs.select("record_id", "source"), "record_id").select("source", F.lit(0)))
+    return found.groupBy("source").agg(F.sum("m").alias("misses"), F.sum(1 - F.col("m")).alias("hits"))
+
+
+@query(f"select py, count(*) as n from ({P}) where py < 1996 or py > 1999 group by py")
+def year_rule(spark, d):
+    rows = screening.year_rule(lenses.papers(spark, d).withColumnRenamed("record_key", "record_id"), 1996, 1999)
+    return rows.groupBy(F.regexp_extract("reason", "([0-9]+)", 1).cast("int").alias("py")).agg(F.count("*").alias("n"))
+
+
+# --- records, fields and formats -----------------------------------------------------------------------------------------
+
+
+@query("select o_orderkey as record_key, coalesce(a, b) as tc from (select o_orderkey, case when o_orderkey % 3 = 0 then null else floor(o_totalprice)::bigint end a, case when o_orderkey % 2 = 0 then floor(o_totalprice)::bigint end b from orders)")
+def backfill_citations(spark, d):
+    from ..sources.bibliography import backfill_citations as fill
+
+    o = lenses.table(spark, d, "orders")
+    count = F.array(F.floor("o_totalprice").cast("long").cast("string"))
+    base = [F.lit("f").alias("source_file"), F.col("o_orderkey").cast("int").alias("source_index"), F.lit("wos").alias("source_kind"), F.lit("ris").alias("source_format")]
+    title = F.create_map(F.lit("TI"), F.array(F.col("o_orderkey").cast("string")))
+    old = o.select(*base, "o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, title).otherwise(F.map_concat(title, F.create_map(F.lit("TC"), count))).alias("fields"))
+    new = o.where("o_orderkey % 2 = 0").select(*base[:2], F.map_concat(title, F.create_map(F.lit("TC"), count)).alias("fields"))
+    return fill(old, new).select(F.col("o_orderkey").alias("record_key"), t.counted().alias("tc"))
+
+
+@query(f"select record_key, coalesce(nullif(ut, ''), nullif(di, ''), source || '#' || doc_id::varchar || '@' || left(sha1(source), 8)) as record_id from ({DOCS})")
+def record_identities(spark, d):
+    return lenses.documents(spark, d).select("record_key", t.record_id().alias("record_id"))
+
+
+@query(r"select page_id, regexp_replace(regexp_replace(lower(url), '^https?://(www\.)?', ''), '[/.]+$', '') as address from pages")
+def url_normalise(spark, d):
+    url = F.regexp_replace(t.fold(F.col("url")), r"^https?://(www\.)?", "")
+    return lenses.table(spark, d, "pages").select("page_id", F.regexp_replace(url, "[/.]+$", "").alias("address"))
+
+
+@query("select conv_id, count(*) as turns, md5(string_agg(trim(text), ' ' order by turn, role, text)) as joined from conversations group by conv_id")
+def continuation_join(spark, d):
+    rows = lenses.table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("s"))
+    return rows.select("conv_id", "turns", F.md5(F.array_join(F.transform("s", lambda x: F.trim(x["text"])), " ").cast("binary")).alias("joined"))
+
+
+@query(f"select record_key, case when di = '' then '' else lower(regexp_replace(di, '^https://doi\\.org/', '')) end as doi, py::int as py from ({DOCS})")
+def doi_and_year(spark, d):
+    return lenses.documents(spark, d).select("record_key", t.normal_doi(t.text("DI")).alias("doi"), t.publication_year().alias("py"))
+
+
+@query("select n_name, case when n_name in ('CHINA') then 'China' when n_name in ('UNITED STATES') then 'USA' when n_name in ('UNITED KINGDOM') then 'United Kingdom' else n_name end as country from nation")
+def country_names(spark, d):
+    return lenses.table(spark, d, "nation").select("n_name", t.country_name(F.col("n_name")).alias("country"))
+
+
+@query(r"select event_id, case when regexp_matches(p, '^[=+\-@]') then '''' || p else p end as safe from (select event_id, props p from events)")
+def spreadsheet_safe(spark, d):
+    return lenses.table(spark, d, "events").select("event_id", t.spreadsheet_safe(F.col("props")).alias("safe"))
+
+
+@query("select time_bucket(interval '1 day', ts) as day, event_type, count(*) as events from events group by all")
+def event_days(spark, d):
+    """The tumbling windows of the streaming extension, over the whole table."""
+    return lenses.table(spark, d, "events").groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "event_type").agg(F.count("*").alias("events"))
+
+
+@query()
+def parsed_exports(spark, d):
+    """Documents written as tagged text and parsed again."""
+    from ..sources.sinks import tagged_record
+
+    rows = lenses.documents(spark, d).select("record_key", tagged_record().alias("text"))
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            found = [formats.wos_tagged(f"FN Clarivate\nVR 1.0\n{x}EF\n").records[0][0] for x in b["text"]]
+            yield pd.DataFrame({"record_key": b["record_key"], "title": [" ".join(f.get("TI", [])) for f in found], "tags": [len(f) for f in found]})
+
+    return rows.mapInPandas(run, "record_key string, title string, tags int")
