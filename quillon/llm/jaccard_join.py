@@ -5,8 +5,8 @@ Documents of equal sets are one class, so copies never meet as pairs. The join o
 1. Regions. Under one order of all shingles (rare ones first) two sets with similarity t share a shingle among the first
    n - ceil(t n) + 1 of each. The least class with a shingle there is a pivot, and all classes that have the pivot's
    shingle make the pivot's region: both ends of every link lie in a common region.
-2. Virtual pivots. Each class has the sizes of its set's parts in 128 fixed parts of the space; the L1 distance of two
-   such vectors is at most the sets' symmetric difference. Within a region only classes that have a partner inside
+2. Virtual pivots. Each class has the sizes of its set's parts in fixed parts of the space (64, and more for sets of
+   more than 768); the L1 distance of two such vectors is at most the sets' symmetric difference. Within a region only classes that have a partner inside
    the window stay, and the classes that windows connect become a region of their own.
 3. Regions are joined exactly on the sets: pivots are taken, distances to them give links and Voronoi cells, classes
    within twice the link distance of a cell's border are replicated into it, and cells are joined recursively; a cell
@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._chunks import byte_batches
-from ._shared import stored, texts
+from ._shared import delete_path, scratch_path, stored, texts
 
-WORDS, PARTS = 5, 128
+WORDS, PARTS, MOST_PARTS = 5, 64, 4096
 #: Frequent: so many times in a batch of about 8 MB of text, wherever it is.
 OFTEN, MOST_OFTEN = 4, 500_000
 #: Classes in a block of vectors, of sets; below so many a cell is joined pivot by pivot.
@@ -59,12 +59,35 @@ def class_key(s: np.ndarray) -> int:
 
 
 def parts(s: np.ndarray) -> bytes:
-    """How many of the set lie in each of the fixed parts of the space."""
-    return np.minimum(np.bincount(s % np.uint64(PARTS), minlength=PARTS), 0xFFFF).astype("<u2").tobytes()
+    """How many of the set lie in each of the fixed parts of the space: a power of two of parts, at most about 12 in each.
 
-
-def _batch(columns: dict, kinds: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[c], k) for c, k in kinds.items()], list(kinds))
+    Numbers above 255 count as 255, which never makes two vectors' distance larger.
+    """
+    k = PARTS
+    while k < MOST_PARTS and 12 * k < len(s):
+        k *= 2
+    return np.minimum(np.bincount(s % np.uint64(k), minlength=k), 0xFF).astype(np.uint8).tobytes()
+
+
+def near_pairs(vectors: list[bytes], sizes: np.ndarray, t: int):
+    """(k, js): for each member the later members inside the window, vectors of more parts folded to the other's."""
+    own = [np.frombuffer(v, np.uint8).astype(np.int32) for v in vectors]
+    width = np.array([len(v) for v in own])
+    levels = sorted(set(width.tolist()))
+    rows = {w: np.flatnonzero(width >= w) for w in levels}
+    folded = {w: np.stack([own[k].reshape(-1, w).sum(axis=0) for k in rows[w]]) for w in levels}
+    for k in range(len(own) - 1):
+        found = []
+        for w in levels:
+            if w > width[k]:
+                break
+            at = np.flatnonzero((rows[w] > k) & ((width[rows[w]] == w) | (width[k] == w)))
+            if len(at):
+                mine = folded[w][np.searchsorted(rows[w], k)]
+                j = rows[w][at]
+                # |A - B| + |B - A| <= (100 - t) / (100 + t) * (|A| + |B|)
+                found.append(j[(100 + t) * np.abs(folded[w][at] - mine).sum(axis=1) <= (100 - t) * (sizes[j] + sizes[k])])
+        yield k, np.concatenate(found) if found else np.zeros(0, int)
 
 
 def _profiles(rows: DataFrame) -> DataFrame:
@@ -214,11 +237,16 @@ class Region:
             members = members[1:]
 
 
-def _blocks(members: DataFrame, region: str, payload: list[str], size: int) -> DataFrame:
-    """(region, block, m): the members of each region in blocks of about `size`; m is an array of structs."""
+def _blocks(members: DataFrame, region: str, payload: DataFrame, size: int) -> DataFrame:
+    """(region, block, m): the members of each region in blocks of about `size`; m is an array of structs.
+
+    `members` is (region, cls), `payload` has a row for each cls. Blocks are dealt before the payload is joined, so
+    that its one further shuffle is by region and block, and a large region never meets in one task.
+    """
     counts = members.groupBy(region).agg(F.count("*").alias("in_region")).where("in_region > 1")
     dealt = members.join(counts, region).withColumn("block", F.pmod(F.xxhash64("cls"), F.ceil(F.col("in_region") / size)).cast("int"))
-    return dealt.groupBy(region, "block").agg(F.collect_list(F.struct("cls", *payload)).alias("m"), F.first("in_region").alias("in_region"))
+    rows = dealt.join(payload, "cls")
+    return rows.groupBy(region, "block").agg(F.collect_list(F.struct("cls", *[c for c in payload.columns if c != "cls"])).alias("m"), F.first("in_region").alias("in_region"))
 
 
 def _block_pairs(blocks: DataFrame, region: str, size: int) -> DataFrame:
@@ -239,14 +267,11 @@ def _plausible(blocks: DataFrame, t: int) -> DataFrame:
             regions, found = [], []
             for p, whole, cls, n, vec, cls_b, n_b, vec_b in zip(*(c.to_pylist() for c in batch.columns)):
                 cls, n, vec = (cls + cls_b, n + n_b, vec + vec_b) if cls_b else (cls, n, vec)
-                v, size = np.frombuffer(b"".join(vec), "<u2").reshape(-1, PARTS).astype(np.int32), np.array(n)
                 groups = Links(len(cls))
                 some = np.zeros(len(cls), bool)
-                for k in range(len(cls) - 1):
-                    # |A - B| + |B - A| <= (100 - t) / (100 + t) * (|A| + |B|)
-                    ok = (100 + t) * np.abs(v[k + 1 :] - v[k]).sum(axis=1) <= (100 - t) * (size[k + 1 :] + size[k])
-                    for j in np.flatnonzero(ok) + k + 1:
-                        groups.link(k, int(j))
+                for k, js in near_pairs(vec, np.array(n), t):
+                    for j in js.tolist():
+                        groups.link(k, j)
                         some[k] = some[j] = True
                 least: dict[int, int] = {}
                 for k in np.flatnonzero(some).tolist():
@@ -274,9 +299,9 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "cls long, set binary").groupBy("cls").agg(F.first("set").alias("set"))
 
 
-def _links(members: DataFrame, t: int) -> DataFrame:
+def _links(members: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     """(a, b): links that connect just what the links of each region connect."""
-    blocks = stored(_blocks(members, "region", ["set"], SET_BLOCK), "set_blocks")
+    blocks = stored(_blocks(members, "region", sets, SET_BLOCK), "set_blocks")
     pairs = _block_pairs(blocks, "region", SET_BLOCK).select("a.cls", "a.set", F.col("b.cls").alias("cls_b"), F.col("b.set").alias("set_b"))
 
     def run(batches):
@@ -328,15 +353,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     profiles = found.where("n is not null").drop("s", "c")
     often = found.where("s is not null").groupBy("s").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "s").limit(MOST_OFTEN).collect()
     frequent = np.array(sorted((np.int64(r.s).view(np.uint64), len(often) - k) for k, r in enumerate(often)), dtype=[("s", np.uint64), ("rank", np.int64)])
-    classes = stored(profiles.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("vec").alias("vec")), "classes")
-    first = stored(_first_shingles(rows, frequent, similarity), "first_shingles")
+    classes = stored(profiles.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n")), "classes")
+    path = scratch_path(docs.sparkSession, "first_shingles")
+    _first_shingles(rows, frequent, similarity).write.parquet(path)
+    first = docs.sparkSession.read.schema("s long, cls long").parquet(path)
     shared = first.groupBy("s").agg(F.min("cls").alias("p"), F.max("cls").alias("q")).where("p <> q").drop("q")
-    members = first.join(shared, "s").select("p", "cls").distinct()
-    members = members.join(classes.select("cls", F.col("n").cast("int").alias("n"), "vec"), "cls")
-    plausible = stored(_plausible(_blocks(members, "p", ["n", "vec"], BLOCK), similarity), "plausible")
+    members = stored(first.join(shared, "s").select("p", "cls").distinct(), "members")
+    vectors = profiles.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("vec").alias("vec"))
+    plausible = stored(_plausible(_blocks(members, "p", vectors, BLOCK), similarity), "plausible")
+    delete_path(docs.sparkSession, path)  # the largest table, of no use from here on
     wanted = stored(plausible.select("cls").distinct().join(classes.select("cls", "id"), "cls"), "wanted")
     sets = stored(_sets(rows, wanted), "sets")
-    links = stored(_links(plausible.join(sets, "cls"), similarity), "links")
+    links = stored(_links(plausible, sets, similarity), "links")
     labels = components(links)
     lowest = labels.join(classes.select("cls", "id"), "cls").groupBy("label").agg(F.min("id").alias("lowest"))
     placed = labels.join(lowest, "label").select("cls", "lowest")
