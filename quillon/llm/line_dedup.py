@@ -96,6 +96,7 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         named = own if named is None else named.unionByName(own)
     named = stored(named, "intervals")
     first = named.groupBy("n", "a", "b").agg(F.min(F.struct("doc", "k")).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    first = stored(first, "firsts")  # so that the join has a shuffle of its own, whose large partitions can be split
     later = named.join(first, ["n", "a", "b"]).where(F.struct("doc", "k") > F.col("first"))
     gone = later.select("doc", F.explode(F.expr("sequence(k, k + n - 1)")).alias("k")).distinct()
     return gone.join(suffixes.select("doc", "k", "line"), ["doc", "k"]).groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("lines"))

@@ -118,6 +118,7 @@ def write_packages(pages: DataFrame, directory: str, id_col: str = "page_id", ur
     rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), payload.alias("payload")).withColumn("digest", F.unhex(F.sha1("payload")))
     large = rows.where(F.octet_length("payload") >= revisit_bytes).select("id", "digest")
     first = large.groupBy("digest").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = stored(first, "firsts")  # so that the join has a shuffle of its own, whose large partitions can be split
     revisits = stored(large.join(first, "digest").where("id <> refers_to").distinct(), "revisits")
     few = revisits.count() <= BROADCAST_ROWS
     joined = rows.join(F.broadcast(revisits) if few else revisits, ["id", "digest"], "left").select("id", "url", "payload", "refers_to")

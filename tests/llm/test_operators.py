@@ -9,7 +9,6 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 pytest.importorskip("quillon.llm.queries")
 import public_tokenizers  # noqa: E402
