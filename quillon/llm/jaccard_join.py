@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ._chunks import byte_batches
 from ._shared import delete_path, scratch_path, stored, texts
@@ -92,7 +93,7 @@ def near_pairs(vectors: list[bytes], sizes: np.ndarray, t: int):
 
 def _profiles(rows: DataFrame) -> DataFrame:
     """Per row id, n and the class with its vector; and rows of frequent shingles (s, c) with a null n."""
-    kind = rows.schema["id"].dataType.simpleString()
+    kind, id_type = rows.schema["id"].dataType.simpleString(), to_arrow_type(rows.schema["id"].dataType)
 
     def run(batches):
         counts: dict[int, int] = {}
@@ -114,12 +115,9 @@ def _profiles(rows: DataFrame) -> DataFrame:
                     counts[v] = counts.get(v, 0) + k
                 empty = [None] * len(n)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, none), pa.array(cls, none), pa.array(vec, pa.binary()), pa.array(empty, none), pa.array(empty, none)], ["id", "n", "cls", "vec", "s", "c"])
-        empty, first = [None] * len(counts), rows_id
-        yield pa.RecordBatch.from_arrays([pa.array(empty, first), pa.array(empty, none), pa.array(empty, none), pa.array(empty, pa.binary()), pa.array(list(counts), none), pa.array(list(counts.values()), none)], ["id", "n", "cls", "vec", "s", "c"])
+        empty = [None] * len(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(empty, id_type), pa.array(empty, none), pa.array(empty, none), pa.array(empty, pa.binary()), pa.array(list(counts), none), pa.array(list(counts.values()), none)], ["id", "n", "cls", "vec", "s", "c"])
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    rows_id = to_arrow_type(rows.schema["id"].dataType)
     return rows.mapInArrow(run, f"id {kind}, n long, cls long, vec binary, s long, c long")
 
 
@@ -296,7 +294,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 found = [(c, s.tobytes()) for c, s in zip(part.column("cls").to_pylist(), map(shingles, part.column("text").to_pylist())) if class_key(s) == c]
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], ["cls", "set"])
 
-    return rows.mapInArrow(run, "cls long, set binary").groupBy("cls").agg(F.first("set").alias("set"))
+    # rows that repeat an id and a text repeat a set, which only links a class with itself
+    return rows.mapInArrow(run, "cls long, set binary")
 
 
 def _links(members: DataFrame, sets: DataFrame, t: int) -> DataFrame:
@@ -368,6 +367,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labels = components(links)
     lowest = labels.join(classes.select("cls", "id"), "cls").groupBy("label").agg(F.min("id").alias("lowest"))
     placed = labels.join(lowest, "label").select("cls", "lowest")
-    own = classes.select("cls", "id").join(placed, "cls", "left").select("cls", F.coalesce("lowest", "id").alias("component_id"))
+    own = stored(classes.select("cls", "id").join(placed, "cls", "left").select("cls", F.coalesce("lowest", "id").alias("component_id")), "placed")
     joined = profiles.select("id", "n", "cls").join(own, "cls", "left")
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
