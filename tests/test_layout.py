@@ -1,7 +1,6 @@
 """Node places."""
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import layout
@@ -30,5 +29,3 @@ def test_places(spark):
     assert s[1] == (430.0, 277.5) and s[2] == (570.0, 277.5) and s[3] == (0.0, 4.0) and s[4] == (570.0, 422.5)
     assert [r.cluster for r in layout.clusters_at(df, (5, 0), 7).collect()] == [1, 2]
     assert [tuple(r) for r in layout.clusters_at(df, (5, 0), 1).collect()] == [(1, 2)]
-    with pytest.raises(Exception):
-        layout.clusters_at(df.drop("visible"), (0, 0)).collect()
