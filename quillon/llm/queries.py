@@ -69,6 +69,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_warc, op3_sp_codec, op4_line_dedup, op5_merkle, op6_jaccard_join, op7_language_id, op8_packing, op9_media_columns, op10_pii)}
 _PAGES = """(select page_id, encode(coalesce(html, '')) p from pages)"""
 SQL: dict[str, str] = {
+    "op6_jaccard_join": r"""
+        with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
+        s as (select doc_id, unnest(case when len(ws) >= 5 then list_distinct([array_to_string(ws[i : i + 4], ' ') for i in range(1, len(ws) - 3)]) when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) sh from w),
+        n as (select doc_id, count(*) n from s group by 1), h as (select sh from s group by sh having count(*) > 1), o as (select s.* from s join h using (sh)),
+        p as (select a.doc_id a, b.doc_id b, count(*) i from o a join o b on a.sh = b.sh and a.doc_id < b.doc_id group by all),
+        e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 80 * (x.n + y.n - i)), g as (select a, b from e union all select b, a from e),
+        c(d, r) as (select a, a from g union select c.d, g.b from c join g on g.a = c.r)
+        select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(m.r, w.doc_id) as component_id from w left join n using (doc_id) left join (select d, min(r) r from c group by d) m on m.d = w.doc_id""",
     "op2_warc": f"""
         with d as (select page_id, octet_length(p)::bigint n, sha1(p) h from {_PAGES}),
         k as (select *, max(page_id) over (partition by h) m, count(*) over (partition by h) c from d)
