@@ -69,6 +69,15 @@ def test_token_counts(spark):
     assert token_counts.token_counts(empty(spark), path).count() == 0
 
 
+def test_token_counts_of_repeated_texts_with_newlines(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    texts = ["Page 1\n\x0c", "a\n\u00a0b"] * 40 + ["the internationalisation of antidisestablishmentarianism 12345"] * 6 + ["", "日本語\n\u3000"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(df, path).collect()}
+    assert got == {i: len(tok.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
 def test_prefix_table_equals_the_library():
     path = public_tokenizers.path("piece_bpe_32k.model")
     lib, own = sentencepiece.SentencePieceProcessor(model_file=path), sp_codec.prefix_table(path)
