@@ -2,9 +2,9 @@
 
 Documents of equal sets are one class, so copies never meet as pairs. The join of the classes works down in regions:
 
-1. Regions. Under one order of all shingles (rare ones first) two sets with similarity t share a shingle among the first
-   n - ceil(t n) + 1 of each. The least class with a shingle there is a pivot, and all classes that have the pivot's
-   shingle make the pivot's region: both ends of every link lie in a common region.
+1. Regions, by prefix filtering and not by distances to pivots. Under one order of all shingles (rare ones first) two
+   sets with similarity t share a shingle among the first n - ceil(t n) + 1 of each. All classes that have a shingle
+   there make a region, named after the least of them: both ends of every link lie in a common region.
 2. Virtual pivots. Each class has the sizes of its set's parts in fixed parts of the space (64, and more for sets of
    more than 768); the L1 distance of two such vectors is at most the sets' symmetric difference. Within a region only classes that have a partner inside
    the window stay, and the classes that windows connect become a region of their own.
@@ -12,8 +12,10 @@ Documents of equal sets are one class, so copies never meet as pairs. The join o
    within twice the link distance of a cell's border are replicated into it, and cells are joined recursively; a cell
    whose classes are connected already is done.
 
-Regions of more than a block of classes are dealt out in blocks and joined block by block, so that no task holds a
-region. Links then give components by a label propagation over written tables.
+Regions of more than a block of classes are dealt out in blocks and joined block by block, every pair of blocks, so that
+no task holds a region; 2 and 3 work inside a block or a pair of blocks only. `jaccard_links` gives all links, which
+grow with the square of a group of near copies. For components a region is left as soon as it is connected, and its
+links then give components by a label propagation over written tables.
 """
 
 from __future__ import annotations
@@ -151,10 +153,10 @@ def _first_shingles(rows: DataFrame, frequent: np.ndarray, t: int) -> DataFrame:
 
 
 class Links:
-    """Union-find over members 0 to n - 1 that keeps the links that joined two groups."""
+    """Union-find over members 0 to n - 1 that keeps the links that joined two groups, or every link."""
 
-    def __init__(self, n: int):
-        self.up, self.made = list(range(n)), []
+    def __init__(self, n: int, every: bool = False):
+        self.up, self.made, self.every = list(range(n)), [], every
 
     def root(self, x: int) -> int:
         while self.up[x] != x:
@@ -166,19 +168,20 @@ class Links:
         x, y = self.root(a), self.root(b)
         if x != y:
             self.up[max(x, y)] = min(x, y)
+        if x != y or (self.every and a != b):
             self.made.append((a, b))
 
 
 class Region:
-    """Exact recursive join of a list of sets."""
+    """Exact recursive join of a list of sets: links that connect what all links connect, or every link (some twice)."""
 
-    def __init__(self, sets: list[np.ndarray], t: int):
+    def __init__(self, sets: list[np.ndarray], t: int, every: bool = False):
         self.t, self.n = t, np.array([len(s) for s in sets])
         flat = np.concatenate(sets)
         values, self.flat = np.unique(flat, return_inverse=True)
         self.starts = np.concatenate(([0], np.cumsum(self.n)))
         self.mark = np.zeros(len(values) + 1, np.int32)
-        self.links = Links(len(sets))
+        self.links = Links(len(sets), every)
 
     def overlaps(self, pivot: int, members: np.ndarray) -> np.ndarray:
         own = self.flat[self.starts[pivot] : self.starts[pivot + 1]]
@@ -199,7 +202,8 @@ class Region:
         return 1 - both / either
 
     def connected(self, members: np.ndarray) -> bool:
-        return len({self.links.root(int(m)) for m in members}) == 1
+        """Whether no further link of these members is wanted."""
+        return not self.links.every and len({self.links.root(int(m)) for m in members}) == 1
 
     def join(self, members: np.ndarray) -> None:
         if len(members) < 2 or self.connected(members):
@@ -298,8 +302,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "cls long, set binary")
 
 
-def _links(members: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """(a, b): links that connect just what the links of each region connect."""
+def _links(members: DataFrame, sets: DataFrame, t: int, every: bool) -> DataFrame:
+    """(a, b): links that connect just what the links of each region connect, or every link once, a < b."""
     blocks = stored(_blocks(members, "region", sets, SET_BLOCK), "set_blocks")
     pairs = _block_pairs(blocks, "region", SET_BLOCK).select("a.cls", "a.set", F.col("b.cls").alias("cls_b"), F.col("b.set").alias("set_b"))
 
@@ -309,9 +313,9 @@ def _links(members: DataFrame, sets: DataFrame, t: int) -> DataFrame:
             for cls, sets, cls_b, sets_b in zip(*(c.to_pylist() for c in batch.columns)):
                 cls, sets = (cls + cls_b, sets + sets_b) if cls_b else (cls, sets)
                 if len(cls) > 1:
-                    region = Region([np.frombuffer(s, np.uint64) for s in sets], t)
+                    region = Region([np.frombuffer(s, np.uint64) for s in sets], t, every)
                     region.join(np.arange(len(cls)))
-                    made += [(cls[x], cls[y]) for x, y in region.links.made]
+                    made += [(min(cls[x], cls[y]), max(cls[x], cls[y])) for x, y in region.links.made if cls[x] != cls[y]]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in made], pa.int64()), pa.array([y for _, y in made], pa.int64())], ["a", "b"])
 
     return pairs.mapInArrow(run, "a long, b long").distinct()
@@ -339,31 +343,45 @@ def components(links: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("a", "cls")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = 80) -> DataFrame:
-    """Per row: id, n_shingles, component_id (the least id that links reach, itself included).
-
-    Two rows link if 100 * |A & B| >= similarity * |A | B| for their sets of distinct 5-word shingles (A-Z in lower
-    case; of fewer words the whole sequence). Rows without words, null texts included, have no set and link with
-    nothing. A row with a null id gets its component's least id that isn't null, or null. Repeated rows link with each
-    other; an empty table gives none; other columns are ignored.
-    """
-    rows = texts(docs, id_col, text_col)
+def _join(rows: DataFrame, similarity: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Profiles (id, n, cls, vec), classes (cls, id, n) and links (a, b) between classes."""
     found = stored(_profiles(rows), "profiles")
     profiles = found.where("n is not null").drop("s", "c")
     often = found.where("s is not null").groupBy("s").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "s").limit(MOST_OFTEN).collect()
     frequent = np.array(sorted((np.int64(r.s).view(np.uint64), len(often) - k) for k, r in enumerate(often)), dtype=[("s", np.uint64), ("rank", np.int64)])
     classes = stored(profiles.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n")), "classes")
-    path = scratch_path(docs.sparkSession, "first_shingles")
+    path = scratch_path(rows.sparkSession, "first_shingles")
     _first_shingles(rows, frequent, similarity).write.parquet(path)
-    first = docs.sparkSession.read.schema("s long, cls long").parquet(path)
+    first = rows.sparkSession.read.schema("s long, cls long").parquet(path)
     shared = first.groupBy("s").agg(F.min("cls").alias("p"), F.max("cls").alias("q")).where("p <> q").drop("q")
     members = stored(first.join(shared, "s").select("p", "cls").distinct(), "members")
     vectors = profiles.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("vec").alias("vec"))
     plausible = stored(_plausible(_blocks(members, "p", vectors, BLOCK), similarity), "plausible")
-    delete_path(docs.sparkSession, path)  # the largest table, of no use from here on
+    delete_path(rows.sparkSession, path)  # the largest table, of no use from here on
     wanted = stored(plausible.select("cls").distinct().join(classes.select("cls", "id"), "cls"), "wanted")
     sets = stored(_sets(rows, wanted), "sets")
-    links = stored(_links(plausible, sets, similarity), "links")
+    return profiles, classes, stored(_links(plausible, sets, similarity, every), "links")
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = 80) -> tuple[DataFrame, DataFrame]:
+    """The whole join: (id, n_shingles, cls) for every row, and every link between classes as (a, b), a < b, once.
+
+    Rows of equal sets are one class and link with each other; two rows of different classes link as their classes do.
+    Rows without words have a null class. Links, ids, null and repeated rows are those of `jaccard_components`.
+    """
+    profiles, _, links = _join(texts(docs, id_col, text_col), similarity, True)
+    return profiles.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("cls")).alias("cls")), links
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = 80) -> DataFrame:
+    """Per row: id, n_shingles, component_id (the least id that links reach, itself included).
+
+    Two rows link if 100 * |A & B| >= similarity * |A | B| for their sets of distinct 5-word shingles (A-Z in lower
+    case; of fewer words the whole sequence). Rows without words, null texts included, have no set and link with
+    nothing. A row with a null id gets its component's least id that isn't null, or null. Repeated rows link with each
+    other; an empty table gives none; other columns are ignored.
+    """
+    profiles, classes, links = _join(texts(docs, id_col, text_col), similarity, False)
     labels = components(links)
     lowest = labels.join(classes.select("cls", "id"), "cls").groupBy("label").agg(F.min("id").alias("lowest"))
     placed = labels.join(lowest, "label").select("cls", "lowest")

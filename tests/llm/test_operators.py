@@ -263,6 +263,36 @@ def test_jaccard_join_equals_brute_force(spark, block, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_groups(rows)
 
 
+@pytest.mark.parametrize("block", [(128, 64), (6, 3)])
+def test_jaccard_links_are_all_links(spark, block, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block[0])
+    monkeypatch.setattr(jaccard_join, "SET_BLOCK", block[1])
+    rows = jaccard_rows(5, 300, 6, 5)
+    members, links = jaccard_join.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    members, links = {r.doc_id: r.cls for r in members.collect()}, [(r.a, r.b) for r in links.collect()]
+    assert len(links) == len(set(links)) and all(a < b for a, b in links)
+    sets = {i: set(jaccard_join.shingles(t or "").tolist()) for i, t in rows}
+    expected = {(a, b) for a in sets for b in sets if a < b and sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    known = set(links)
+    got = {(a, b) for a in sets for b in sets if a < b and members[a] is not None and (members[a] == members[b] or tuple(sorted((members[a], members[b]), key=lambda c: (c is None, c))) in known)}
+    assert got == expected and len(links) > len(set(members.values()))
+
+
+def test_jaccard_region_recursion_gives_every_link():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**62, 200, dtype=np.uint64)
+    sets = []
+    for _ in range(150):
+        s = base.copy()
+        k = rng.integers(0, 40)
+        s[rng.choice(200, k, replace=False)] = rng.integers(0, 2**62, k, dtype=np.uint64)
+        sets.append(np.unique(s))
+    region = jaccard_join.Region(sets, 80, True)
+    region.join(np.arange(len(sets)))
+    both = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a in range(len(sets)) for b in range(a + 1, len(sets))}
+    assert {tuple(sorted(x)) for x in region.links.made} == {(a, b) for (a, b), n in both.items() if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n)}
+
+
 def test_jaccard_region_recursion_is_exact():
     rng = np.random.default_rng(6)
     base = rng.integers(0, 2**62, 200, dtype=np.uint64)
