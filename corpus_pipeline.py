@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from quillon.llm import jaccard_join, language_id, line_dedup, packing, pii
 from quillon.llm._shared import stored
 
-#: Below this calibrated probability of the likeliest language a document is rejected.
-LEAST_SCORE = 0.5
 CAPACITY = 2048
 
 
@@ -26,11 +24,11 @@ def _with_length(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a learned language: those without letters or with an unsure prediction go."""
+    """Keeps documents in a learned language, however unsure which: those without letters (`und`) go."""
     model = language_id.fit_language_model(docs.where(~language_id.held_out("doc_id")))
     keyed = docs.withColumn("_h", F.xxhash64("text"))
     found = language_id.predict_language(docs.select(F.struct("doc_id", F.xxhash64("text").alias("_h")).alias("key"), "text"), model, id_col="key")
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(F.col("key.doc_id").alias("_id"), F.col("key._h").alias("_h2")).distinct()
+    kept = found.where(F.col("lang_pred") != "und").select(F.col("key.doc_id").alias("_id"), F.col("key._h").alias("_h2")).distinct()
     return keyed.join(kept, keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["_h"] == F.col("_h2")), "left_semi").select(*docs.columns)
 
 

@@ -467,6 +467,15 @@ def test_redact(spark):
     assert {r.doc_id: r.text for r in got.collect()} == {1: "mail [EMAIL], ip [IP]!", 2: None, 3: "[PHONE]"}
 
 
+def test_pipeline_keeps_documents_of_unsure_language(spark, monkeypatch):
+    import corpus_pipeline
+
+    flat = language_id.Model(["de", "en", "es", "fr"], np.zeros((language_id.SIZE, 4), np.float32), np.zeros(4), 1.0)
+    monkeypatch.setattr(language_id, "fit_language_model", lambda docs: flat)  # every text with a letter has score 1/4
+    docs = spark.createDataFrame([(1, "Es is of are.", "en"), (2, "12 34", "en"), (3, None, "de"), (4, "Les fleurs und the rest", "fr"), (4, "Les fleurs und the rest", "fr")], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()) == [1, 4, 4]
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
