@@ -20,6 +20,8 @@ BITS = 15
 SIZE = 3 << BITS
 SCALE = 100.0
 _BLOCK = 1 << 20
+#: More languages than this are refused: the fit holds arrays of SIZE x languages on the driver.
+MOST_LANGUAGES = 1000
 
 
 def _letters() -> np.ndarray:
@@ -116,9 +118,14 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 3, alpha
 
 
 def fit_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 800) -> Model | None:
-    """Fits on about `per_language` rows of each language; null languages and texts without letters teach nothing."""
+    """Fits on about `per_language` rows of each language; null languages and texts without letters teach nothing.
+
+    Every language is learned; more than MOST_LANGUAGES of them are a ValueError.
+    """
     rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages in {lang_col}")
     if not counts:
         return None
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))])

@@ -343,6 +343,13 @@ def test_language_id(spark):
     assert {r.lang_pred for r in language_id.predict_language(df, None).collect()} == {"und"}
 
 
+def test_language_id_refuses_what_it_would_not_learn(spark):
+    df = spark.range(1001).selectExpr("id as doc_id", "'' as text", "concat('l', id) as lang")
+    with pytest.raises(ValueError, match="1000 languages"):
+        language_id.fit_language_model(df)
+    assert language_id.fit_language_model(df.where("doc_id < 1000")) is None  # no letters
+
+
 def test_packing(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
