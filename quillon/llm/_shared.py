@@ -14,9 +14,11 @@ _scratch: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode one is set here where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: the driver and the executors need a folder that they share")
         base = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -52,7 +54,42 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def freed(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for df in tables:
+        delete_path(df.sparkSession, df.stored_at)
+
+
+def sorted_groups(batches, keys: list[str]):
+    """Runs of rows with equal integer `keys` of Arrow batches that are sorted by them: (key, {column: list}), one at a time."""
+    import numpy as np
+
+    held: tuple | None = None
+    rows: dict[str, list] = {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = np.stack([batch.column(k).to_numpy() for k in keys], axis=1)
+        ends = np.append(np.flatnonzero((own[1:] != own[:-1]).any(axis=1)) + 1, len(own))
+        rest = [c for c in batch.schema.names if c not in keys]
+        start = 0
+        for end in ends.tolist():
+            key = tuple(own[start].tolist())
+            if key != held:
+                if held is not None:
+                    yield held, rows
+                held, rows = key, {c: [] for c in rest}
+            part = batch.slice(start, end - start)
+            for c in rest:
+                rows[c] += part.column(c).to_pylist()
+            start = end
+    if held is not None:
+        yield held, rows
 
 
 def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

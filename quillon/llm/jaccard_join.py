@@ -2,20 +2,24 @@
 
 Documents of equal sets are one class, so copies never meet as pairs. The join of the classes works down in regions:
 
-1. Regions, by prefix filtering and not by distances to pivots. Under one order of all shingles (rare ones first) two
-   sets with similarity t share a shingle among the first n - ceil(t n) + 1 of each. All classes that have a shingle
-   there make a region, named after the least of them: both ends of every link lie in a common region.
-2. Virtual pivots. Each class has the sizes of its set's parts in fixed parts of the space (64, and more for sets of
-   more than 768); the L1 distance of two such vectors is at most the sets' symmetric difference. Within a region only classes that have a partner inside
-   the window stay, and the classes that windows connect become a region of their own.
-3. Regions are joined exactly on the sets: pivots are taken, distances to them give links and Voronoi cells, classes
-   within twice the link distance of a cell's border are replicated into it, and cells are joined recursively; a cell
-   whose classes are connected already is done.
-
-Regions of more than a block of classes are dealt out in blocks and joined block by block, every pair of blocks, so that
-no task holds a region; 2 and 3 work inside a block or a pair of blocks only. `jaccard_links` gives all links, which
-grow with the square of a group of near copies. For components a region is left as soon as it is connected, and its
-links then give components by a label propagation over written tables.
+1. Regions. Far apart in this space is the rule: two texts that have no shingle in common have distance 1 from each
+   other and from every pivot, where no triangle inequality parts them. So the first regions come from shared shingles:
+   under one order of all shingles (rare ones first) two sets with similarity t share a shingle among the first
+   n - ceil(t n) + 1 of each, and the classes that have a shingle there make a region, named after its pivot, the
+   least of them. Both ends of every link lie in a common region.
+2. Windows. Each class has the sizes of its set's parts in fixed parts of the space (64, and more for sets of more than
+   768); the L1 distance of two such vectors is at most the sets' symmetric difference. Within a region only classes
+   that have a partner inside the window stay, and the classes that windows connect become a region of their own.
+3. Recursion (`_split`). A region of more than `CELL` classes gets pivots, and its blocks find their distances to them:
+   links with pivots are found, a class goes to the Voronoi cell of its nearest pivot and is replicated into those whose
+   border lies within twice the link distance; classes that hardly share a shingle with any pivot make a cell
+   of their own. Cells are regions again. Where borders hold nearly all (a group of near copies) cells are of no use and
+   the region is joined in pairs of blocks; for components, classes that link with one pivot needn't meet each other.
+4. Regions that fit a task are joined exactly on the sets, by the same recursion in memory.
+
+No task holds more than a cell or two blocks. `jaccard_links` gives all links, which grow with the square of a group of
+near copies. For components a region is left as soon as it is connected, and its links then give components by a
+label propagation over written tables. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,13 +33,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ._chunks import byte_batches
-from ._shared import delete_path, scratch_path, stored, texts
+from ._shared import freed, sorted_groups, stored, texts
 
 WORDS, PARTS, MOST_PARTS = 5, 64, 4096
 #: Frequent: so many times in a batch of about 8 MB of text, wherever it is.
 OFTEN, MOST_OFTEN = 4, 500_000
-#: Classes in a block of vectors, of sets; below so many a cell is joined pivot by pivot.
-BLOCK, SET_BLOCK, LEAF = 128, 64, 24
+#: Classes that a task joins by windows, by sets; pivots of a larger region; below so many a cell is joined pivot by pivot.
+BLOCK, CELL, PIVOTS, LEAF = 128, 512, 32, 24
+#: Shingles in a bucket, about.
+BUCKET = 250_000
 #: Ids to look up are broadcast up to this number (8 bytes each), joined by a shuffle beyond.
 BROADCAST_ROWS = 500_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -57,8 +63,13 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(s ^ s >> np.uint64(32))
 
 
-def class_key(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def class_key(s: np.ndarray, seed: int = 0) -> int:
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little", signed=True)
+
+
+def prefix_length(n: int, t: int) -> int:
+    """How many of a set's n shingles come first in the order."""
+    return n - (t * n + 99) // 100 + 1
 
 
 def parts(s: np.ndarray) -> bytes:
@@ -93,63 +104,111 @@ def near_pairs(vectors: list[bytes], sizes: np.ndarray, t: int):
         yield k, np.concatenate(found) if found else np.zeros(0, int)
 
 
-def _profiles(rows: DataFrame) -> DataFrame:
-    """Per row id, n and the class with its vector; and rows of frequent shingles (s, c) with a null n."""
+def _profiles(rows: DataFrame, seed: int) -> DataFrame:
+    """Per row id, n and the class with its vector; and rows of frequent shingles (s, c, a class that has it) with a null n."""
     kind, id_type = rows.schema["id"].dataType.simpleString(), to_arrow_type(rows.schema["id"].dataType)
+    names, none = ["id", "n", "cls", "vec", "s", "c"], pa.int64()
 
     def run(batches):
-        counts: dict[int, int] = {}
-        none = pa.int64()
         for batch in batches:
             for part in byte_batches(batch):
-                n, cls, vec, all_, seen = [], [], [], [], set()
+                n, cls, vec, all_, owner, seen = [], [], [], [], [], set()
                 for text in part.column("text").to_pylist():
                     s = shingles(text)
-                    key = class_key(s)
+                    key = class_key(s, seed)
                     n.append(len(s))
                     cls.append(key)
                     vec.append(parts(s))
                     if key not in seen:
                         seen.add(key)
                         all_.append(s)
-                values, c = np.unique(np.concatenate(all_), return_counts=True) if all_ else (np.zeros(0, np.uint64), np.zeros(0, int))
-                for v, k in zip(values[c >= OFTEN].view(np.int64).tolist(), c[c >= OFTEN].tolist()):
-                    counts[v] = counts.get(v, 0) + k
+                        owner.append(key)
                 empty = [None] * len(n)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, none), pa.array(cls, none), pa.array(vec, pa.binary()), pa.array(empty, none), pa.array(empty, none)], ["id", "n", "cls", "vec", "s", "c"])
-        empty = [None] * len(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(empty, id_type), pa.array(empty, none), pa.array(empty, none), pa.array(empty, pa.binary()), pa.array(list(counts), none), pa.array(list(counts.values()), none)], ["id", "n", "cls", "vec", "s", "c"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, none), pa.array(cls, none), pa.array(vec, pa.binary()), pa.array(empty, none), pa.array(empty, none)], names)
+                values, first, c = np.unique(np.concatenate(all_), return_index=True, return_counts=True)
+                often = np.flatnonzero(c >= OFTEN)
+                if len(often):
+                    holder = np.repeat(np.array(owner, np.int64), [len(s) for s in all_])[first[often]]
+                    empty = [None] * len(often)
+                    yield pa.RecordBatch.from_arrays([pa.array(empty, id_type), pa.array(empty, none), pa.array(holder), pa.array(empty, pa.binary()), pa.array(values[often].view(np.int64)), pa.array(c[often].astype(np.int64))], names)
 
     return rows.mapInArrow(run, f"id {kind}, n long, cls long, vec binary, s long, c long")
 
 
-def _first_shingles(rows: DataFrame, frequent: np.ndarray, t: int) -> DataFrame:
-    """(s, cls): the shingles of each class that come first in the order; a task gives each class once."""
+def _packed(numbers: np.ndarray, cut: np.ndarray, width: int) -> pa.Array:
+    """Binary values: the runs of 64-bit numbers that end at `cut`, `width` bytes each."""
+    data = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8)[:, :width])
+    return pa.Array.from_buffers(pa.large_binary(), len(cut), [None, pa.py_buffer(np.append(0, cut * width).astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def _postings(rows: DataFrame, frequent: np.ndarray, t: int, buckets: int, seed: int) -> DataFrame:
+    """(bucket, s, cls): shingles that come first in the order of each class, packed by bucket, 5 and 8 bytes each.
+
+    For a frequent shingle its region is known already, and `s` holds nothing: `cls` has pairs of region and class.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
-        known, seen = shared.value, set()
+        known = shared.value
         for batch in batches:
             for part in byte_batches(batch):
-                out, owner = [], []
+                rare, rare_owner, pairs, seen = [], [], [], set()
                 for text in part.column("text").to_pylist():
                     s = shingles(text)
-                    if not len(s) or (key := class_key(s)) in seen:
+                    if not len(s) or (key := class_key(s, seed)) in seen:
                         continue
                     seen.add(key)
-                    m = len(s) - (t * len(s) + 99) // 100 + 1
+                    m = prefix_length(len(s), t)
                     at = np.minimum(np.searchsorted(known["s"], s), max(len(known) - 1, 0))
-                    rank = np.where(known["s"][at] == s, known["rank"][at], 0) if len(known) else np.zeros(len(s), np.int64)
-                    first = s[rank == 0][:m]
+                    often = known["s"][at] == s if len(known) else np.zeros(len(s), bool)
+                    first = s[~often][:m]
+                    rare.append(first)
+                    rare_owner.append((key, len(first)))
                     if len(first) < m:
-                        first = np.concatenate((first, s[np.argsort(rank, kind="stable")][len(first) : m]))
-                    out.append(first)
-                    owner.append((key, m))
-                if out:
-                    keys, sizes = zip(*owner)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), sizes))], ["s", "cls"])
+                        held = known[at[often]]
+                        regions = np.unique(held["p"][np.argsort(held["rank"], kind="stable")][: m - len(first)])
+                        pairs.append(np.stack([regions, np.full(len(regions), key, np.int64)], axis=1))
+                if rare and sum(n for _, n in rare_owner):
+                    s, owner = np.concatenate(rare), np.repeat(np.array([k for k, _ in rare_owner], np.int64), [n for _, n in rare_owner])
+                    b = (s >> np.uint64(40)) % np.uint64(buckets)
+                    order = np.argsort(b, kind="stable")
+                    found, counts = np.unique(b, return_counts=True)
+                    cut = np.cumsum(counts)
+                    yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), _packed(s[order], cut, 5), _packed(owner[order], cut, 8)], ["bucket", "s", "cls"])
+                if pairs:
+                    both = np.concatenate(pairs)
+                    b = ((both[:, 0] ^ both[:, 1]).view(np.uint64) >> np.uint64(40)) % np.uint64(buckets)
+                    order = np.argsort(b, kind="stable")
+                    found, counts = np.unique(b, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array([None] * len(found), pa.binary()), _packed(both[order].reshape(-1), 2 * np.cumsum(counts), 8)], ["bucket", "s", "cls"])
+
+    return rows.mapInArrow(run, "bucket int, s binary, cls binary")
+
+
+def _regions(postings: DataFrame) -> DataFrame:
+    """(p, cls): the classes of every shingle that two classes have among their first, with the least of them."""
 
-    return rows.mapInArrow(run, "s long, cls long")
+    def run(batches):
+        for _, rows in sorted_groups(batches, ["bucket"]):
+            pairs = [np.frombuffer(c, np.int64).reshape(-1, 2) for s, c in zip(rows["s"], rows["cls"]) if s is None]
+            own = [(s, c) for s, c in zip(rows["s"], rows["cls"]) if s is not None]
+            if own:
+                short = np.frombuffer(b"".join(s for s, _ in own), np.uint8).reshape(-1, 5)
+                s = np.zeros((len(short), 8), np.uint8)
+                s[:, :5] = short
+                s, cls = s.view(np.uint64).ravel(), np.frombuffer(b"".join(c for _, c in own), np.int64)
+                order = np.argsort(s, kind="stable")
+                s, cls = s[order], cls[order]
+                starts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+                sizes = np.diff(np.append(starts, len(s)))
+                least, most = np.minimum.reduceat(cls, starts), np.maximum.reduceat(cls, starts)
+                some = np.repeat(least != most, sizes)
+                pairs.append(np.stack([np.repeat(least, sizes)[some], cls[some]], axis=1))
+            both = np.unique(np.concatenate(pairs), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["p", "cls"])
+
+    dealt = postings.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "p long, cls long").distinct()
 
 
 class Links:
@@ -193,13 +252,26 @@ class Region:
         self.mark[own] = 0
         return found
 
-    def distances(self, pivot: int, members: np.ndarray) -> np.ndarray:
-        """Jaccard distances; members that link with the pivot are linked."""
+    def measured(self, pivot: int, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Jaccard distances of the members from the pivot, and which of them link with it."""
         both = self.overlaps(pivot, members)
         either = self.n[pivot] + self.n[members] - both
-        for m in members[100 * both >= self.t * either]:
+        return 1 - both / either, 100 * both >= self.t * either
+
+    def distances(self, pivot: int, members: np.ndarray) -> np.ndarray:
+        """Jaccard distances; members that link with the pivot are linked."""
+        found, linked = self.measured(pivot, members)
+        for m in members[linked]:
             self.links.link(pivot, int(m))
-        return 1 - both / either
+        return found
+
+    def unite(self, labels: list) -> None:
+        """Members of equal labels are connected already, by links known elsewhere."""
+        first: dict = {}
+        for k, x in enumerate(labels):
+            if x is not None:
+                a, b = self.links.root(k), self.links.root(first.setdefault(x, k))
+                self.links.up[max(a, b)] = min(a, b)
 
     def connected(self, members: np.ndarray) -> bool:
         """Whether no further link of these members is wanted."""
@@ -239,55 +311,36 @@ class Region:
             members = members[1:]
 
 
-def _blocks(members: DataFrame, region: str, payload: DataFrame, size: int) -> DataFrame:
-    """(region, block, m): the members of each region in blocks of about `size`; m is an array of structs.
+def _plausible(members: DataFrame, vectors: DataFrame, t: int) -> DataFrame:
+    """(region, cls): members with a partner within the window, in the region of those that windows connect.
 
-    `members` is (region, cls), `payload` has a row for each cls. Blocks are dealt before the payload is joined, so
-    that its one further shuffle is by region and block, and a large region never meets in one task.
+    Regions too large for a task stay as they are; their members meet pivots.
     """
-    counts = members.groupBy(region).agg(F.count("*").alias("in_region")).where("in_region > 1")
-    dealt = members.join(counts, region).withColumn("block", F.pmod(F.xxhash64("cls"), F.ceil(F.col("in_region") / size)).cast("int"))
-    rows = dealt.join(payload, "cls")
-    return rows.groupBy(region, "block").agg(F.collect_list(F.struct("cls", *[c for c in payload.columns if c != "cls"])).alias("m"), F.first("in_region").alias("in_region"))
-
-
-def _block_pairs(blocks: DataFrame, region: str, size: int) -> DataFrame:
-    """Each region's pairs of blocks (a block with itself included) as (region, in_region, a, b); b is null if it is a."""
-    whole = blocks.where(F.col("in_region") <= size).select(region, "in_region", F.col("m").alias("a"), F.lit(None).cast(blocks.schema["m"].dataType).alias("b"))
-    many = blocks.where(F.col("in_region") > size)
-    right = many.select(region, F.col("block").alias("block_b"), F.col("m").alias("b"))
-    pairs = many.join(right, region).where("block <= block_b")
-    return whole.unionByName(pairs.select(region, "in_region", F.col("m").alias("a"), F.when(F.col("block") < F.col("block_b"), F.col("b")).alias("b")))
-
-
-def _plausible(blocks: DataFrame, t: int) -> DataFrame:
-    """(region, cls): members with a partner within the window, in the region of those that windows connect."""
-    pairs = _block_pairs(blocks, "p", BLOCK).select("p", (F.col("in_region") <= BLOCK).alias("whole"), "a.cls", "a.n", "a.vec", F.col("b.cls").alias("cls_b"), F.col("b.n").alias("n_b"), F.col("b.vec").alias("vec_b"))
+    counts = members.groupBy("p").agg(F.count("*").alias("size")).where("size > 1")
+    sized = members.join(counts, "p")
+    rows = sized.where(F.col("size") <= BLOCK).select("p", "cls").join(vectors, "cls").select("p", "cls", "n", "vec")
 
     def run(batches):
-        for batch in batches:
-            regions, found = [], []
-            for p, whole, cls, n, vec, cls_b, n_b, vec_b in zip(*(c.to_pylist() for c in batch.columns)):
-                cls, n, vec = (cls + cls_b, n + n_b, vec + vec_b) if cls_b else (cls, n, vec)
-                groups = Links(len(cls))
-                some = np.zeros(len(cls), bool)
-                for k, js in near_pairs(vec, np.array(n), t):
-                    for j in js.tolist():
-                        groups.link(k, j)
-                        some[k] = some[j] = True
-                least: dict[int, int] = {}
-                for k in np.flatnonzero(some).tolist():
-                    r = groups.root(k)
-                    least[r] = min(least.get(r, cls[k]), cls[k])
-                for k in np.flatnonzero(some).tolist():
-                    regions.append(least[groups.root(k)] if whole else p)
-                    found.append(cls[k])
-            yield pa.RecordBatch.from_arrays([pa.array(regions, pa.int64()), pa.array(found, pa.int64())], ["region", "cls"])
-
-    return pairs.mapInArrow(run, "region long, cls long").distinct()
-
-
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+        for _, rows in sorted_groups(batches, ["p"]):
+            cls = rows["cls"]
+            groups, some = Links(len(cls)), np.zeros(len(cls), bool)
+            for k, js in near_pairs(rows["vec"], np.array(rows["n"]), t):
+                for j in js.tolist():
+                    groups.link(k, j)
+                    some[k] = some[j] = True
+            least: dict[int, int] = {}
+            found = np.flatnonzero(some).tolist()
+            for k in found:
+                r = groups.root(k)
+                least[r] = min(least.get(r, cls[k]), cls[k])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([least[groups.root(k)] for k in found], pa.int64()), pa.array([cls[k] for k in found], pa.int64())], ["region", "cls"])
+
+    small = rows.repartition("p").sortWithinPartitions("p").mapInArrow(run, "region long, cls long")
+    return small.union(sized.where(F.col("size") > BLOCK).select("p", "cls")).distinct()
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
     """(cls, set) of the classes whose document ids are in `wanted` (id, cls): read again from the documents."""
     few = wanted.count() <= BROADCAST_ROWS
     rows = docs.join(F.broadcast(wanted) if few else wanted, docs["id"].eqNullSafe(wanted["id"])).select("cls", "text")
@@ -295,30 +348,125 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in byte_batches(batch):
-                found = [(c, s.tobytes()) for c, s in zip(part.column("cls").to_pylist(), map(shingles, part.column("text").to_pylist())) if class_key(s) == c]
+                found = [(c, s.tobytes()) for c, s in zip(part.column("cls").to_pylist(), map(shingles, part.column("text").to_pylist())) if class_key(s, seed) == c]
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], ["cls", "set"])
 
     # rows that repeat an id and a text repeat a set, which only links a class with itself
     return rows.mapInArrow(run, "cls long, set binary")
 
 
-def _links(members: DataFrame, sets: DataFrame, t: int, every: bool) -> DataFrame:
-    """(a, b): links that connect just what the links of each region connect, or every link once, a < b."""
-    blocks = stored(_blocks(members, "region", sets, SET_BLOCK), "set_blocks")
-    pairs = _block_pairs(blocks, "region", SET_BLOCK).select("a.cls", "a.set", F.col("b.cls").alias("cls_b"), F.col("b.set").alias("set_b"))
+def _numbers(rows: dict[str, list]) -> list[np.ndarray]:
+    return [np.frombuffer(s, np.uint64) for s in rows["set"]]
+
+
+def _split(cells: DataFrame, sets: DataFrame, t: int) -> DataFrame:
+    """One level of the recursion for `cells` (cell, cls, size) of more than CELL classes.
+
+    Rows (cell, cls, pivot, linked, into): each class with the cells that it goes to (`into`, by pivot; 0 for the cell
+    of those far from all pivots) and whether it links with the pivot. A cell's pivots are those of its classes whose
+    hash is lowest in a sense that needs no sort; its blocks get a copy of them each and are dealt out by cell and block.
+    """
+    blocks = F.ceil(F.col("size") / CELL).cast("int")
+    drawn = F.pmod(F.xxhash64("cls", "cell"), F.col("size")) < PIVOTS
+    rows = cells.withColumn("is_pivot", drawn.cast("int")).withColumn("block", F.pmod(F.xxhash64("cls"), blocks).cast("int")).withColumn("blocks", blocks)
+    both = rows.select("cell", "cls", F.lit(0).alias("is_pivot"), "block").union(rows.where("is_pivot = 1").select("cell", "cls", "is_pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")))
+    dealt = both.join(sets, "cls").repartition("cell", "block").sortWithinPartitions("cell", "block")
+    eps = 1 - t / 100
 
     def run(batches):
-        for batch in batches:
-            made: list[tuple[int, int]] = []
-            for cls, sets, cls_b, sets_b in zip(*(c.to_pylist() for c in batch.columns)):
-                cls, sets = (cls + cls_b, sets + sets_b) if cls_b else (cls, sets)
-                if len(cls) > 1:
-                    region = Region([np.frombuffer(s, np.uint64) for s in sets], t, every)
-                    region.join(np.arange(len(cls)))
-                    made += [(min(cls[x], cls[y]), max(cls[x], cls[y])) for x, y in region.links.made if cls[x] != cls[y]]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in made], pa.int64()), pa.array([y for _, y in made], pa.int64())], ["a", "b"])
+        for (cell, _), rows in sorted_groups(batches, ["cell", "block"]):
+            region = Region(_numbers(rows), t)
+            pivots = dict.fromkeys(c for c, p in zip(rows["cls"], rows["is_pivot"]) if p)
+            cls, first = np.unique(np.array(rows["cls"], np.int64), return_index=True)
+            members = first[np.isin(cls, np.array([c for c, p in zip(rows["cls"], rows["is_pivot"]) if not p], np.int64))]
+            names = np.array(rows["cls"], np.int64)[members]
+            heads = sorted(pivots)
+            at = {c: int(first[np.searchsorted(cls, c)]) for c in heads}
+            if heads:
+                d, linked = zip(*(region.measured(at[c], members) for c in heads))
+                d, linked = np.stack(d, axis=1), np.stack(linked, axis=1)
+                near = d.min(axis=1, keepdims=True)
+                window = (d <= near + 2 * eps + 1e-9) & (d < 1)
+                far = near[:, 0] >= 1 - eps - 1e-9
+            else:  # drawn by chance: all are far from no pivot
+                window = linked = np.zeros((len(names), 0), bool)
+                far = np.ones(len(names), bool)
+            i, k = np.nonzero(window | linked)
+            pivot = np.append(np.array(heads, np.int64)[k] if heads else np.zeros(0, np.int64), np.zeros(far.sum(), np.int64))
+            who = np.append(names[i], names[far])
+            into = np.append(window[i, k], np.ones(far.sum(), bool))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), cell, np.int64)), pa.array(who), pa.array(pivot), pa.array(np.append(linked[i, k], np.zeros(far.sum(), bool))), pa.array(into)], ["cell", "cls", "pivot", "linked", "into"])
+
+    return dealt.mapInArrow(run, "cell long, cls long, pivot long, linked boolean, into boolean")
+
+
+def _cells(plausible: DataFrame, sets: DataFrame, t: int, every: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """(cell, part, cls, label): what each task joins, part by part; and links (a, b) with pivots.
+
+    Regions are split by pivots until a task can hold them. Where a region's cells would hold more than three times its
+    classes, or a cell nearly all of them, they meet in pairs of blocks (`part`). A label is a pivot that the class
+    links with: for components, classes of the region's commonest label don't meet among themselves.
+    """
+    cells = plausible.select(F.col("region").alias("cell"), "cls")
+    done: list[DataFrame] = []
+    links: list[DataFrame] = []
+    none = F.lit(None).cast("long").alias("label")
+    while True:
+        sizes = cells.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1")
+        sized = cells.join(sizes, "cell")
+        done.append(sized.where(F.col("size") <= CELL).select("cell", F.lit(0).cast("long").alias("part"), "cls", none))
+        large = sized.where(F.col("size") > CELL)
+        if large.isEmpty():
+            return _union(done), links
+        large = stored(large, "large_cells")
+        found = stored(_split(large, sets, t), "split_cells")
+        links.append(found.where("linked and cls <> pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")))
+        size = large.groupBy("cell").agg(F.count("*").alias("size"))
+        pivots = found.groupBy("cell", "pivot").agg(F.sum(F.col("into").cast("int")).alias("held"), F.sum(F.col("linked").cast("int")).alias("linked"))
+        verdict = pivots.groupBy("cell").agg(F.sum("held").alias("sum"), F.max("held").alias("most"), F.max_by("pivot", F.struct("linked", "pivot")).alias("star")).join(size, "cell")
+        verdict = stored(verdict.select("cell", "size", "star", (F.expr("sum > 3 * size or 5 * most > 4 * size")).alias("whole")), "verdicts")
+        # cells of use: regions of the next level
+        cells = found.where("into").join(verdict.where("not whole").select("cell"), "cell").select(F.xxhash64("cell", "pivot").alias("cell"), "cls")
+        cells = stored(cells, "cells")
+        # no use: pairs of blocks; a block of the commonest label meets only blocks of the others
+        labels = found.where("linked").groupBy("cell", "cls").agg(F.min("pivot").alias("least"), F.collect_set("pivot").alias("all"))
+        rest = large.select("cell", "cls").join(verdict.where("whole"), "cell").join(labels, ["cell", "cls"], "left")
+        rest = rest.withColumn("main", F.lit(False) if every else F.coalesce(F.array_contains("all", F.col("star")), F.lit(False)))
+        rest = rest.select("cell", "cls", "main", none if every else F.when(F.col("main"), F.col("star")).otherwise(F.col("least")).alias("label"))
+        count = rest.groupBy("cell").agg(F.sum(F.col("main").cast("int")).alias("n_main"), F.sum((~F.col("main")).cast("int")).alias("n_other"))
+        count = count.select("cell", F.ceil(2 * F.col("n_main") / CELL).cast("int").alias("b_main"), F.ceil(2 * F.col("n_other") / CELL).cast("int").alias("b_other"))
+        rest = rest.join(count, "cell").where("b_other > 0")
+        # blocks are numbered from 0, those of the others first; a pair of blocks i <= j is part i * 2^31 + j
+        block = F.when(F.col("main"), F.col("b_other") + F.pmod(F.xxhash64("cls"), F.greatest(F.col("b_main"), F.lit(1)))).otherwise(F.pmod(F.xxhash64("cls"), F.greatest(F.col("b_other"), F.lit(1)))).cast("long")
+        last = F.col("b_other") - 1 + F.when(F.col("main"), 0).otherwise(F.col("b_main"))
+        paired = rest.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
+        part = F.least("block", "with") * F.lit(1 << 31) + F.greatest("block", "with") + 1
+        done.append(paired.select("cell", part.alias("part"), "cls", "label"))
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for df in tables[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+def _links(cells: DataFrame, sets: DataFrame, t: int, every: bool) -> DataFrame:
+    """(a, b): links that connect just what the links of each cell connect, or every link, a < b."""
+    rows = cells.join(sets, "cls").repartition("cell", "part").sortWithinPartitions("cell", "part")
+
+    def run(batches):
+        for _, rows in sorted_groups(batches, ["cell", "part"]):
+            cls = rows["cls"]
+            if len(cls) > 1:
+                region = Region(_numbers(rows), t, every)
+                region.unite(rows["label"])
+                region.join(np.arange(len(cls)))
+                made = sorted({(min(cls[x], cls[y]), max(cls[x], cls[y])) for x, y in region.links.made if cls[x] != cls[y]})
+                if made:
+                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in made], pa.int64()), pa.array([y for _, y in made], pa.int64())], ["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -343,24 +491,39 @@ def components(links: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("a", "cls")
 
 
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Profiles, classes (cls, id, n, vec) and the seed of class keys under which no two different sets met.
+
+    A key is 64 bits; sets that a key would confuse differ in size or vector, which is looked at for every class.
+    """
+    for seed in range(8):
+        found = stored(_profiles(rows, seed), "profiles")
+        mark = F.xxhash64("vec")
+        own = found.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("vec").alias("vec"), F.min(F.struct("n", mark)).alias("x"), F.max(F.struct("n", mark)).alias("y"))
+        classes = stored(own.withColumn("clash", F.col("x") != F.col("y")).drop("x", "y"), "classes")
+        if classes.where("clash").isEmpty():
+            return found, classes.drop("clash"), seed
+        freed(found, classes)
+    raise RuntimeError("no seed keeps all sets apart")
+
+
 def _join(rows: DataFrame, similarity: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Profiles (id, n, cls, vec), classes (cls, id, n) and links (a, b) between classes."""
-    found = stored(_profiles(rows), "profiles")
-    profiles = found.where("n is not null").drop("s", "c")
-    often = found.where("s is not null").groupBy("s").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "s").limit(MOST_OFTEN).collect()
-    frequent = np.array(sorted((np.int64(r.s).view(np.uint64), len(often) - k) for k, r in enumerate(often)), dtype=[("s", np.uint64), ("rank", np.int64)])
-    classes = stored(profiles.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n")), "classes")
-    path = scratch_path(rows.sparkSession, "first_shingles")
-    _first_shingles(rows, frequent, similarity).write.parquet(path)
-    first = rows.sparkSession.read.schema("s long, cls long").parquet(path)
-    shared = first.groupBy("s").agg(F.min("cls").alias("p"), F.max("cls").alias("q")).where("p <> q").drop("q")
-    members = stored(first.join(shared, "s").select("p", "cls").distinct(), "members")
-    vectors = profiles.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("vec").alias("vec"))
-    plausible = stored(_plausible(_blocks(members, "p", vectors, BLOCK), similarity), "plausible")
-    delete_path(rows.sparkSession, path)  # the largest table, of no use from here on
+    """Profiles (id, n, cls), classes (cls, id) and links (a, b) between classes."""
+    spark = rows.sparkSession
+    found, classes, seed = _classes(rows)
+    often = found.where("s is not null").groupBy("s").agg(F.sum("c").alias("c"), F.min("cls").alias("p")).orderBy(F.desc("c"), "s").limit(MOST_OFTEN).collect()
+    frequent = np.array(sorted((np.int64(r.s).view(np.uint64), len(often) - k, r.p) for k, r in enumerate(often)), dtype=[("s", np.uint64), ("rank", np.int64), ("p", np.int64)])
+    total = classes.agg(F.sum(F.expr(f"n - (({similarity} * n + 99) div 100) + 1"))).first()[0] or 0
+    buckets = min(1 << 24, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET))
+    members = stored(_regions(_postings(rows, frequent, similarity, buckets, seed)), "members")
+    plausible = stored(_plausible(members, classes.select("cls", "n", "vec"), similarity), "plausible")
+    freed(members)
     wanted = stored(plausible.select("cls").distinct().join(classes.select("cls", "id"), "cls"), "wanted")
-    sets = stored(_sets(rows, wanted), "sets")
-    return profiles, classes, stored(_links(plausible, sets, similarity, every), "links")
+    sets = stored(_sets(rows, wanted, seed).dropDuplicates(["cls"]), "sets")
+    cells, more = _cells(plausible, sets, similarity, every)
+    links = stored(_union([_links(cells, sets, similarity, every), *more]).distinct(), "links")
+    freed(plausible, sets, wanted)
+    return found.where("n is not null").select("id", "n", "cls"), classes.select("cls", "id"), links
 
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = 80) -> tuple[DataFrame, DataFrame]:

@@ -254,19 +254,21 @@ def jaccard_rows(seed, n, base_n, edits):
     return rows + [(5000, None), (5001, ""), (5002, " \n"), (5003, "a b"), (5004, "A b"), (5005, "a b c")]
 
 
-@pytest.mark.parametrize("block", [(128, 64), (6, 3)])
+@pytest.mark.parametrize("block", [(128, 512), (6, 12)])
 def test_jaccard_join_equals_brute_force(spark, block, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", block[0])
-    monkeypatch.setattr(jaccard_join, "SET_BLOCK", block[1])
+    monkeypatch.setattr(jaccard_join, "CELL", block[1])
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 4)
     rows = jaccard_rows(5, 300, 20, 7)
     got = jaccard_join.jaccard_components(spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n int").repartition(3))
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_groups(rows)
 
 
-@pytest.mark.parametrize("block", [(128, 64), (6, 3)])
+@pytest.mark.parametrize("block", [(128, 512), (6, 12)])
 def test_jaccard_links_are_all_links(spark, block, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", block[0])
-    monkeypatch.setattr(jaccard_join, "SET_BLOCK", block[1])
+    monkeypatch.setattr(jaccard_join, "CELL", block[1])
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 4)
     rows = jaccard_rows(5, 300, 6, 5)
     members, links = jaccard_join.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     members, links = {r.doc_id: r.cls for r in members.collect()}, [(r.a, r.b) for r in links.collect()]
