@@ -38,8 +38,10 @@ from ._shared import freed, sorted_groups, stored, texts
 WORDS, PARTS, MOST_PARTS = 5, 64, 4096
 #: Frequent: so many times in a batch of about 8 MB of text, wherever it is.
 OFTEN, MOST_OFTEN = 4, 500_000
-#: Classes that a task joins by windows, by sets; pivots of a larger region; below so many a cell is joined pivot by pivot.
-BLOCK, CELL, PIVOTS, LEAF = 128, 512, 32, 24
+#: Classes that a task joins by windows, and the most of a region that is joined so, in pairs of blocks.
+BLOCK, WINDOWED = 256, 8192
+#: Classes that a task joins by sets; pivots of a larger region; below so many a cell is joined pivot by pivot.
+CELL, PIVOTS, LEAF = 512, 32, 24
 #: Shingles in a bucket, about.
 BUCKET = 250_000
 #: Ids to look up are broadcast up to this number (8 bytes each), joined by a shuffle beyond.
@@ -311,17 +313,30 @@ class Region:
             members = members[1:]
 
 
+def _paired(rows: DataFrame, blocks: str, own: str, others: str, tag: str) -> DataFrame:
+    """Rows with `tag`, the pairs of blocks that they meet in: block `own` with each of the first `others`, itself included.
+
+    `blocks` is how many there are. A pair of blocks i <= j has a number of its own.
+    """
+    met = rows.withColumn("_with", F.explode(F.expr(f"sequence(0, {others} - 1)"))).withColumn("_own", F.expr(own))
+    return met.withColumn(tag, F.expr(f"1 + least(_own, _with) * cast({blocks} as long) + greatest(_own, _with)").cast("long")).drop("_with", "_own")
+
+
 def _plausible(members: DataFrame, vectors: DataFrame, t: int) -> DataFrame:
     """(region, cls): members with a partner within the window, in the region of those that windows connect.
 
-    Regions too large for a task stay as they are; their members meet pivots.
+    A region of up to BLOCK members is looked at by one task, a larger one in pairs of blocks. Regions of more than
+    WINDOWED members stay whole; their members meet pivots.
     """
-    counts = members.groupBy("p").agg(F.count("*").alias("size")).where("size > 1")
-    sized = members.join(counts, "p")
-    rows = sized.where(F.col("size") <= BLOCK).select("p", "cls").join(vectors, "cls").select("p", "cls", "n", "vec")
+    sizes = members.groupBy("p").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK)
+    sizes = stored(sizes, "large_regions")  # at most one of BLOCK members: the rest is dealt by region, these are not
+    large = members.join(sizes, "p")
+    blocks = f"cast(ceil(size / {BLOCK}) as int)"
+    paired = _paired(large.where(F.col("size") <= WINDOWED), blocks, f"pmod(xxhash64(cls), {blocks})", blocks, "part")
+    rows = members.join(sizes, "p", "left_anti").select("p", F.lit(0).cast("long").alias("part"), "cls").unionByName(paired.select("p", "part", "cls")).join(vectors, "cls")
 
     def run(batches):
-        for _, rows in sorted_groups(batches, ["p"]):
+        for (p, part), rows in sorted_groups(batches, ["p", "part"]):
             cls = rows["cls"]
             groups, some = Links(len(cls)), np.zeros(len(cls), bool)
             for k, js in near_pairs(rows["vec"], np.array(rows["n"]), t):
@@ -334,10 +349,10 @@ def _plausible(members: DataFrame, vectors: DataFrame, t: int) -> DataFrame:
                 r = groups.root(k)
                 least[r] = min(least.get(r, cls[k]), cls[k])
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([least[groups.root(k)] for k in found], pa.int64()), pa.array([cls[k] for k in found], pa.int64())], ["region", "cls"])
+                yield pa.RecordBatch.from_arrays([pa.array([p if part else least[groups.root(k)] for k in found], pa.int64()), pa.array([cls[k] for k in found], pa.int64())], ["region", "cls"])
 
-    small = rows.repartition("p").sortWithinPartitions("p").mapInArrow(run, "region long, cls long")
-    return small.union(sized.where(F.col("size") > BLOCK).select("p", "cls")).distinct()
+    near = rows.select("p", "part", "cls", "n", "vec").repartition("p", "part").sortWithinPartitions("p", "part").mapInArrow(run, "region long, cls long")
+    return near.union(large.where(F.col("size") > WINDOWED).select("p", "cls")).distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
@@ -420,7 +435,6 @@ def _cells(plausible: DataFrame, sets: DataFrame, t: int, every: bool) -> tuple[
             return _union(done), links
         large = stored(large, "large_cells")
         found = stored(_split(large, sets, t), "split_cells")
-        links.append(found.where("linked and cls <> pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")))
         size = large.groupBy("cell").agg(F.count("*").alias("size"))
         pivots = found.groupBy("cell", "pivot").agg(F.sum(F.col("into").cast("int")).alias("held"), F.sum(F.col("linked").cast("int")).alias("linked"))
         verdict = pivots.groupBy("cell").agg(F.sum("held").alias("sum"), F.max("held").alias("most"), F.max_by("pivot", F.struct("linked", "pivot")).alias("star")).join(size, "cell")
@@ -428,20 +442,22 @@ def _cells(plausible: DataFrame, sets: DataFrame, t: int, every: bool) -> tuple[
         # cells of use: regions of the next level
         cells = found.where("into").join(verdict.where("not whole").select("cell"), "cell").select(F.xxhash64("cell", "pivot").alias("cell"), "cls")
         cells = stored(cells, "cells")
+        labels = found.where("linked").groupBy("cell", "cls").agg(F.min("pivot").alias("least"), F.collect_set("pivot").alias("all"))  # PIVOTS or so
+        if every:
+            made = found.where("linked").select(F.col("cls").alias("x"), F.col("pivot").alias("y"))
+        else:  # what connects the same: a class with one of its pivots, and that with the class's others
+            made = labels.select(F.col("cls").alias("x"), F.col("least").alias("y")).union(labels.select(F.col("least").alias("x"), F.explode("all").alias("y")).distinct())
+        links.append(made.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
         # no use: pairs of blocks; a block of the commonest label meets only blocks of the others
-        labels = found.where("linked").groupBy("cell", "cls").agg(F.min("pivot").alias("least"), F.collect_set("pivot").alias("all"))
         rest = large.select("cell", "cls").join(verdict.where("whole"), "cell").join(labels, ["cell", "cls"], "left")
         rest = rest.withColumn("main", F.lit(False) if every else F.coalesce(F.array_contains("all", F.col("star")), F.lit(False)))
         rest = rest.select("cell", "cls", "main", none if every else F.when(F.col("main"), F.col("star")).otherwise(F.col("least")).alias("label"))
         count = rest.groupBy("cell").agg(F.sum(F.col("main").cast("int")).alias("n_main"), F.sum((~F.col("main")).cast("int")).alias("n_other"))
         count = count.select("cell", F.ceil(2 * F.col("n_main") / CELL).cast("int").alias("b_main"), F.ceil(2 * F.col("n_other") / CELL).cast("int").alias("b_other"))
         rest = rest.join(count, "cell").where("b_other > 0")
-        # blocks are numbered from 0, those of the others first; a pair of blocks i <= j is part i * 2^31 + j
-        block = F.when(F.col("main"), F.col("b_other") + F.pmod(F.xxhash64("cls"), F.greatest(F.col("b_main"), F.lit(1)))).otherwise(F.pmod(F.xxhash64("cls"), F.greatest(F.col("b_other"), F.lit(1)))).cast("long")
-        last = F.col("b_other") - 1 + F.when(F.col("main"), 0).otherwise(F.col("b_main"))
-        paired = rest.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
-        part = F.least("block", "with") * F.lit(1 << 31) + F.greatest("block", "with") + 1
-        done.append(paired.select("cell", part.alias("part"), "cls", "label"))
+        # blocks are numbered from 0, those of the others first
+        own = "if(main, b_other + pmod(xxhash64(cls), greatest(b_main, 1)), pmod(xxhash64(cls), greatest(b_other, 1)))"
+        done.append(_paired(rest, "b_other + b_main", own, "if(main, b_other, b_other + b_main)", "part").select("cell", "part", "cls", "label"))
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -458,7 +474,7 @@ def _links(cells: DataFrame, sets: DataFrame, t: int, every: bool) -> DataFrame:
     def run(batches):
         for _, rows in sorted_groups(batches, ["cell", "part"]):
             cls = rows["cls"]
-            if len(cls) > 1:
+            if len(set(cls)) > 1:
                 region = Region(_numbers(rows), t, every)
                 region.unite(rows["label"])
                 region.join(np.arange(len(cls)))
@@ -519,7 +535,7 @@ def _join(rows: DataFrame, similarity: int, every: bool) -> tuple[DataFrame, Dat
     plausible = stored(_plausible(members, classes.select("cls", "n", "vec"), similarity), "plausible")
     freed(members)
     wanted = stored(plausible.select("cls").distinct().join(classes.select("cls", "id"), "cls"), "wanted")
-    sets = stored(_sets(rows, wanted, seed).dropDuplicates(["cls"]), "sets")
+    sets = stored(_sets(rows, wanted, seed), "sets")
     cells, more = _cells(plausible, sets, similarity, every)
     links = stored(_union([_links(cells, sets, similarity, every), *more]).distinct(), "links")
     freed(plausible, sets, wanted)
