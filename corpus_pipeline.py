@@ -24,35 +24,46 @@ def _with_length(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a learned language, however unsure which: those without letters (`und`) go."""
+    """Keeps documents in a learned language, however unsure which: those without letters (`und`), null and empty texts go.
+
+    Null ids, repeated rows and columns of any name stay; of an empty table nothing is learned and nothing kept.
+    """
     model = language_id.fit_language_model(docs.where(~language_id.held_out("doc_id")))
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
-    found = language_id.predict_language(docs.select(F.struct("doc_id", F.xxhash64("text").alias("_h")).alias("key"), "text"), model, id_col="key")
-    kept = found.where(F.col("lang_pred") != "und").select(F.col("key.doc_id").alias("_id"), F.col("key._h").alias("_h2")).distinct()
-    return keyed.join(kept, keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["_h"] == F.col("_h2")), "left_semi").select(*docs.columns)
+    found = language_id.with_language(docs, model, pred_col="_lang_pred", score_col="_score")
+    return found.where("_lang_pred <> 'und'").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later copies of repeated lines; documents of which no line is left go."""
+    """Deletes later copies of repeated lines; documents of which no line is left go.
+
+    Null and empty texts have no lines and stay; null ids, repeated rows and clashing columns are those of `dedup_lines`.
+    """
     found = line_dedup.dedup_lines(docs)
     return _with_length(found.where((F.col("n_deleted") == 0) | (F.col("text") != "")), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near duplicates, and one of equal rows."""
+    """Keeps the document with the least id of each group of near duplicates, and one of equal rows.
+
+    Texts without words are in no group and stay. Rows with null ids stay if one of them has no copy with an id. Only the
+    ids that go and the ids that repeat are joined with the documents, whose texts are shuffled only if those are many.
+    """
     groups = jaccard_join.jaccard_components(docs)
-    kept = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    one = docs.withColumn("_h", F.xxhash64("text")).join(kept, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    return one.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
+    gone = groups.groupBy("doc_id").agg(F.max(F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("stays")).where("not stays").select(F.col("doc_id").alias("_id"))
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    often = docs.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
+    same = left["doc_id"].eqNullSafe(F.col("_id"))
+    once = left.join(often, same, "left_semi").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"])
+    return left.join(often, same, "left_anti").unionByName(once.drop("_h"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by placeholders."""
+    """Replaces personal data by placeholders; every row stays, null and empty texts as they are."""
     return _with_length(pii.redact(docs), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the training sequences."""
+    """The pieces of the training sequences; a null or empty text is a piece of one end token."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), CAPACITY)

@@ -2,8 +2,9 @@
 
 Trained by follow-the-regularised-leader (per-coordinate steps, elastic net: `l1` makes weights exactly zero, `l2`
 shrinks the rest), then calibrated by one temperature on a part of the sample kept aside. The classifier is fitted on
-a bounded, documented sample, about `per_language` labelled rows of each language chosen by a hash of the id; its grams
-are counted on the executors and only the sparse counts come to the driver. Prediction reads every whole text.
+a bounded, documented sample: about `per_language` labelled rows of each language, chosen by a hash of id and text, equal
+rows once, and never more than twice as many. Their grams are counted on the executors and only the sparse counts come to
+the driver. Prediction reads every whole text, however long, block by block.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 
 BITS = 15
@@ -33,22 +35,29 @@ _table: list[np.ndarray] = []
 
 
 def grams(text: str):
-    """Feature numbers of a text's character grams, block after block of the whole text; gaps between words are one space."""
+    """Feature numbers of a text's character grams, block after block of the whole text; gaps between words are one space.
+
+    A block begins with the last two characters of the one before, and its grams are those that end in new ones.
+    """
     if not _table:
         _table.append(_letters())
+    mask, shift = np.uint32((1 << BITS) - 1), np.uint32(32 - BITS)
+    held = np.full(1, 32, np.uint32)  # a space before the first character
+    fresh = 1  # characters of `held` that no block has given as grams of one character
     for start in range(0, max(len(text), 1), _BLOCK):
-        points = np.frombuffer(f" {text[start:start + _BLOCK]} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-        c = np.where(points < 0x10000, _table[0][np.minimum(points, 0xFFFF)], points)
+        block = text[start : start + _BLOCK] + (" " if start + _BLOCK >= len(text) else "")
+        points = np.frombuffer(block.encode("utf-32-le", "surrogatepass"), np.uint32)
+        c = np.concatenate((held, np.where(points < 0x10000, _table[0][np.minimum(points, 0xFFFF)], points)))
         gap = c == 32
         c = c[~(gap & np.concatenate(([False], gap[:-1])))]
-        if len(c) < 3:
-            continue
-        mask, shift = np.uint32((1 << BITS) - 1), np.uint32(32 - BITS)
+        old = len(held) - fresh
         a = c * np.uint32(2654435761)
         b = a[:-1] * np.uint32(40503) + c[1:] * np.uint32(2246822519)
         d = b[:-1] * np.uint32(31153) + c[2:] * np.uint32(3266489917)
-        for order, h in enumerate((a, b, d)):
-            yield ((h ^ h >> np.uint32(15)) * np.uint32(2869860233) >> shift & mask) + np.uint32(order << BITS)
+        for order, h in enumerate((a[old:], b[max(old - 1, 0) :], d)):
+            if len(h):
+                yield ((h ^ h >> np.uint32(15)) * np.uint32(2869860233) >> shift & mask) + np.uint32(order << BITS)
+        held, fresh = c[-2:], 0
 
 
 def has_letter(text: str | None) -> bool:
@@ -129,7 +138,8 @@ def fit_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: st
     if not counts:
         return None
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))])
-    sample = rows.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 20)) < share[F.col("lang")] * float(1 << 20))
+    keyed = rows.select("lang", F.xxhash64(F.col("id").cast("string"), "text").alias("key"), "text")
+    sample = keyed.where(F.pmod("key", F.lit(1 << 20)) < share[F.col("lang")] * float(1 << 20))
 
     def count(batches):
         for batch in batches:
@@ -142,26 +152,29 @@ def fit_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: st
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], ["lang", "key", "f", "n"])
 
-    keyed = sample.select("lang", F.xxhash64(F.col("id").cast("string")).alias("key"), "text")
-    found = keyed.mapInArrow(count, "lang string, key long, f binary, n binary").collect()
-    rows_ = [(r.lang, np.frombuffer(r.f, np.int32), np.frombuffer(r.n, np.float32)) for r in sorted(found, key=lambda r: (r.key, r.lang, bytes(r.f)))]
+    found = sample.mapInArrow(count, "lang string, key long, f binary, n binary").dropDuplicates(["lang", "key"])
+    # about per_language rows a language are left here; the bound holds whatever the hashes do
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    found = found.withColumn("nth", nth).where(F.col("nth") <= 2 * per_language).drop("nth").collect()
+    rows_ = [(r.lang, np.frombuffer(r.f, np.int32), np.frombuffer(r.n, np.float32)) for r in sorted(found, key=lambda r: (r.key, r.lang))]
     return train(rows_) if rows_ else None
 
 
-def predict_language(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, lang_pred, score for every row: the likeliest learned language and its calibrated probability.
+def with_language(docs: DataFrame, model: Model | None, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """`docs` with the likeliest learned language of every row's text and its calibrated probability, in one pass.
 
-    `und` with score 0 if the text is null or has no letter, or nothing was learned. Null ids and repeated rows are
-    kept; an empty table gives none; other columns are ignored, so a clash of names can't matter.
+    `und` with score 0 if the text is null or has no letter, or nothing was learned; of equally likely languages the
+    first by name. All rows and columns stay as they are, null ids and repeated rows too; columns of the two names are
+    replaced. A very long text is read whole, in blocks. An empty table stays empty.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = [c for c in docs.columns if c not in (pred_col, score_col)]
 
     def run(batches):
         own = shared.value
         for batch in batches:
             langs, scores = [], []
-            for text in batch.column("text").to_pylist():
+            for text in batch.column(text_col).cast(pa.string()).to_pylist():
                 if own is None or not has_letter(text):
                     langs.append("und")
                     scores.append(0.0)
@@ -169,10 +182,16 @@ def predict_language(docs: DataFrame, model: Model | None, id_col: str = "doc_id
                     p = own.probabilities(text)
                     langs.append(own.languages[int(p.argmax())])
                     scores.append(float(p.max()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*kept, pred_col, score_col])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    schema = StructType([*docs.select(*kept).schema.fields, StructField(pred_col, StringType()), StructField(score_col, DoubleType())])
+    return docs.mapInArrow(run, schema)
+
+
+def predict_language(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, lang_pred and score of `with_language` for every row; other columns are ignored, so a clash of names can't matter."""
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    return with_language(rows, model).select(F.col("id").alias(id_col), "lang_pred", "score")
 
 
 def held_out(id_col: str):

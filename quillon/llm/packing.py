@@ -1,11 +1,13 @@
 """Best-fit packing of token sequences by bin completion with branch and bound.
 
 Items are the pieces' lengths with their counts: at most `capacity` different ones, whatever the size of the corpus,
-so the search runs on the driver over a bounded histogram. Each step takes the largest length left, enumerates
-undominated fillings of the space beside it (larger items first, none that a further item would still fit into),
-starts from the best-fit filling as the incumbent, prunes what can't waste less, and uses the filling as often as the
-counts allow. A step uses up at least one length, so there are few fillings. Pieces then find their place by their
-rank among the pieces of their length, which needs no sort: a task numbers its own, and tasks' offsets are summed.
+so the search runs on the driver over a bounded histogram. Incumbents are the best-fit packing and one by the least
+wasteful filling around each largest length. While an incumbent has more sequences than the lower bound (the tokens,
+and the waste beside large items), a depth-first search goes on: it takes the largest length left, enumerates the
+undominated fillings of the space beside it, and leaves a branch when its waste, or the bound of what is left, can't
+beat the incumbent. Many equal sequences are filled at a time; the last `SINGLE` are filled one by one, where all
+alternatives are tried. Pieces then find their place by their rank among the pieces of their length, which needs no
+sort: a task numbers its own, and tasks' offsets are summed.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import re
 import zlib
 from array import array
 from bisect import bisect_right
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,78 +28,179 @@ from . import _chunks
 from ._shared import stored, texts
 from .token_counts import tokenizer
 
-#: Branches looked at for one filling before the incumbent is taken.
-NODES = 4000
+#: Steps in the search for one filling, of the incumbent by least waste; of the whole search beyond the incumbents.
+NODES, SEARCH = 4000, 200_000
+#: Sequences from which on several equal ones are filled at a time.
+SINGLE = 48
 
 
-def best_filling(space: int, lengths: list[int], counts: dict[int, int]) -> list[int]:
-    """Lengths from the ascending list `lengths` that waste the least of `space`, each used at most counts[length] times."""
-    best: list[int] = []
+def lower_bound(histogram: dict[int, int], capacity: int) -> int:
+    """Sequences that every packing needs: for each size, what lies beside larger items than fit with it counts as waste."""
+    if not histogram:
+        return 0
+    n, tokens = np.zeros(capacity + 2, np.int64), np.zeros(capacity + 2, np.int64)
+    for x, c in histogram.items():
+        n[x] += c
+        tokens[x] += c * x
+    n, tokens = np.append(0, np.cumsum(n)), np.append(0, np.cumsum(tokens))  # [x]: items shorter than x
+    half, best = capacity // 2, -(-int(tokens[-1]) // capacity)
+    for least in [0, *(x for x in histogram if x <= half)]:
+        alone = int(n[capacity + 1] - n[capacity - least + 1])
+        beside, held = int(n[capacity - least + 1] - n[half + 1]), int(tokens[capacity - least + 1] - tokens[half + 1])
+        small = int(tokens[half + 1] - tokens[least])
+        best = max(best, alone + beside + max(0, -(-(small - (beside * capacity - held)) // capacity)))
+    return best
+
+
+def completions(space: int, lengths: list[int], counts: dict[int, int], allowed: list[int], steps: list[int]):
+    """Fillings of `space` from the ascending list `lengths`, each used at most counts[length] times, larger items first.
+
+    Yields those to which no shorter item can be added and that waste at most allowed[0], which the caller may lower on
+    the way. steps[0] is counted down; at 0 the enumeration ends.
+    """
     held = [0]  # tokens in the shortest k lengths
     for x in lengths:
         held.append(held[-1] + x * counts[x])
-    left, used = space, dict.fromkeys(lengths, 0)
-    k = bisect_right(lengths, left)
-    while k:  # the incumbent: the largest that fits, again and again
-        x = lengths[k - 1]
-        if used[x] < counts[x]:
-            best.append(x)
+    used, chosen, left = dict.fromkeys(lengths, 0), [], space
+    frames, fresh = [bisect_right(lengths, space)], True
+    while frames and steps[0] > 0:
+        steps[0] -= 1
+        k = frames[-1]
+        while k and used[lengths[k - 1]] >= counts[lengths[k - 1]]:
+            k -= 1
+        if fresh and (not chosen or left <= chosen[-1]) and used.get(left, 1) < counts.get(left, 0):
+            yield [*chosen, left]  # an exact fit before all others
+        elif fresh and not k and left <= allowed[0]:
+            yield list(chosen)
+        if k and left - held[k] <= allowed[0]:
+            x = lengths[k - 1]
+            frames[-1] = k - 1
+            chosen.append(x)
             used[x] += 1
             left -= x
-            k = bisect_right(lengths, left, 0, k)
+            frames.append(bisect_right(lengths, left, 0, k))
+            fresh = True
         else:
-            k -= 1
-    waste, nodes = left, NODES
-    chosen: list[int] = []
-    used = dict.fromkeys(lengths, 0)
-
-    def branch(k: int, left: int) -> None:
-        nonlocal best, waste, nodes
-        nodes -= 1
-        if left in used and used[left] < counts[left] and left <= (chosen[-1] if chosen else left):
-            best, waste = [*chosen, left], 0
-            return
-        k = bisect_right(lengths, left, 0, k)
-        while k and nodes > 0 and waste:
-            x = lengths[k - 1]
-            if used[x] < counts[x]:
-                chosen.append(x)
-                used[x] += 1
-                branch(k, left - x)
+            frames.pop()
+            fresh = False
+            if chosen:
+                x = chosen.pop()
                 used[x] -= 1
-                chosen.pop()
-                if not waste:
-                    return
-                if held[k - 1] <= left - waste:  # all the smaller ones together leave as much waste
-                    break
-            k -= 1
-        if left < waste:
-            best, waste = [*chosen], left
+                left += x
 
-    if waste and lengths:
-        branch(len(lengths), space)
+
+def dominated(filling: list[int], waste: int, lengths: list[int], counts: dict[int, int]) -> bool:
+    """Whether a longer item left over could take the place of one or two of the filling's, or of none."""
+    free = [x for x in lengths if counts[x] > filling.count(x)]
+    parts = {(0, 1)} | {(x, 1) for x in filling} | {(x + y, 0) for k, x in enumerate(filling[:40]) for y in filling[k + 1 : 40]}
+    # a part of one item must be replaced by a longer one, a part of two also by one that is as long
+    return any((j := bisect_right(free, total + waste)) and free[j - 1] >= total + more for total, more in parts)
+
+
+def best_filling(space: int, lengths: list[int], counts: dict[int, int]) -> list[int]:
+    """Lengths from the ascending list `lengths` that waste the least of `space`, each used at most counts[length] times."""
+    best, allowed, steps = [], [space], [NODES]
+    for found in completions(space, lengths, counts, allowed, steps):
+        waste = space - sum(found)
+        if waste <= allowed[0]:
+            best, allowed[0] = found, waste - 1
+        if not waste:
+            break
     return best
 
 
-def fillings(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
-    """(lengths in one sequence, number of such sequences); all items of the histogram are used up."""
+def _used_up(items: list[int], counts: dict[int, int], most: int | None = None) -> int:
+    """Takes the items from the counts as often as they allow, `most` times at most; returns how often."""
+    need = Counter(items)
+    times = min(counts[x] // n for x, n in need.items())
+    times = times if most is None else min(times, most)
+    for x, n in need.items():
+        counts[x] -= n * times
+    return times
+
+
+def least_waste(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """The packing that fills the space beside the largest length left with the least waste, again and again."""
     counts = {x: n for x, n in histogram.items() if n}
-    lengths = sorted(counts)
-    found = []
+    lengths, found = sorted(counts), []
     while lengths:
         top = lengths[-1]
         counts[top] -= 1
         items = [top, *best_filling(capacity - top, lengths, counts)]
         counts[top] += 1
-        need = {x: items.count(x) for x in set(items)}
-        times = min(counts[x] // n for x, n in need.items())
-        for x, n in need.items():
-            counts[x] -= n * times
+        found.append((sorted(items, reverse=True), _used_up(items, counts)))
         lengths = [x for x in lengths if counts[x]]
-        found.append((sorted(items, reverse=True), times))
     return found
 
 
+def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """Best-fit decreasing: each item, the longest first, goes where it leaves the least space."""
+    open_: dict[int, list[tuple[tuple[int, ...], int]]] = {capacity: []}  # by space left
+    for x in sorted((x for x, n in histogram.items() if n), reverse=True):
+        n = histogram[x]
+        while n:
+            space = min((r for r, own in open_.items() if r >= x and own), default=capacity)
+            items, times = open_[space].pop() if open_[space] else ((), -(-n // (capacity // x)))
+            each = min(space // x, n)
+            full = min(times, n // each)
+            if times > full:
+                open_[space].append((items, times - full)) if space < capacity else None
+            open_.setdefault(space - each * x, []).append((items + (x,) * each, full))
+            n -= each * full
+    return [(list(items), times) for own in open_.values() for items, times in own]
+
+
+def fillings(histogram: dict[int, int], capacity: int, search: int = SEARCH) -> list[tuple[list[int], int]]:
+    """(lengths in one sequence, number of such sequences), as few sequences as found; all items are used up.
+
+    The number is least if it equals `lower_bound`, or if the search ends by itself before `search` steps and at most
+    SINGLE sequences were to fill. Otherwise the best found so far is taken.
+    """
+    size = lambda packing: sum(times for _, times in packing)
+    best = min((best_fit(histogram, capacity), least_waste(histogram, capacity)), key=size)
+    bound, total, steps = lower_bound(histogram, capacity), sum(x * n for x, n in histogram.items()), [search]
+    counts = {x: n for x, n in histogram.items() if n}
+    path: list[tuple[list[int], int]] = []  # what the branch has filled
+    waste = 0
+
+    def options():
+        lengths = [x for x in sorted(counts) if counts[x]]
+        top = lengths[-1]
+        counts[top] -= 1
+        own = dict(counts)
+        counts[top] += 1
+        allowed = [(size(best) - 1) * capacity - total - waste]
+        seen = set()
+        for found in completions(capacity - top, lengths, own, allowed, steps):
+            spare = capacity - top - sum(found)
+            if tuple(found) not in seen and not dominated(found, spare, lengths, own):
+                seen.add(tuple(found))
+                yield [top, *found], spare
+            allowed[0] = (size(best) - 1) * capacity - total - waste
+
+    frames = [options()] if counts else []
+    while frames and size(best) > bound and steps[0] > 0:
+        step = next(frames[-1], None)
+        if step is None:
+            frames.pop()
+            if path:
+                items, times = path.pop()
+                for x in items:
+                    counts[x] += times
+                waste -= times * (capacity - sum(items))
+            continue
+        items, spare = step
+        left = lower_bound(counts, capacity)
+        times = _used_up(items, counts, None if left > SINGLE else 1)
+        path.append((sorted(items, reverse=True), times))
+        waste += times * spare
+        rest = lower_bound({x: n for x, n in counts.items() if n}, capacity)
+        if not rest and size(path) < size(best):
+            best = list(path)
+        frames.append(options() if rest and size(path) + rest < size(best) else iter(()))
+    return best
+
+
 def _places(found: list[tuple[list[int], int]]) -> np.ndarray:
     """Rows (length, first rank, first sequence, items of that length in a sequence, offset), by length and rank."""
     rows, ranks, sequence = [], {}, 0
