@@ -2,9 +2,13 @@
 
 Base spans (email, ip, card, phone) are fixed patterns with checks. Further candidates (assignments of secrets, key
 ids, long numbers) get votes of -1, 0 or 1 from labelers: patterns of known secrets, a gazetteer of key words, the
-words before the span, the value's shape and its check digit. Only the counts of the distinct vote vectors
-(at most 3**5) come to the driver, where expectation-maximisation estimates each labeler's reliability without labels
-and its posteriors train a logistic span classifier; its weights go back into the plan as literals.
+words before the span, the value's shape and its check digit. Expectation-maximisation estimates each labeler's
+reliability without labels, and its posteriors train the final span classifier, a logistic regression over features of
+the span itself (its length, variety and classes of characters, the words at it). Only the counts of the distinct
+vectors of votes and features come to the driver, at most 3**5 * 2**9; the weights go back into the plan as literals.
+
+Added spans may overlap base ones, which stay as they are; for redaction spans that overlap are one. Positions and
+redaction take time in proportion to the text, also where a very long text has many thousand spans.
 """
 
 from __future__ import annotations
@@ -59,11 +63,13 @@ def _with_matches(df: DataFrame, kind: str, pattern: str) -> DataFrame:
     literal = F.lit(pattern)
     df = df.withColumn(hits, F.when(F.expr(NEEDS[kind]), F.regexp_extract_all("text", literal, F.lit(0))).otherwise(F.array().cast("array<string>")))
     df = df.withColumn(gaps, F.when(F.size(hits) > 0, F.split("text", pattern, -1)).otherwise(F.array().cast("array<string>")))
-    empty = "cast(array() as array<struct<start:int,end:int,value:string>>)"
-    found = f"""if(size({hits}) = 0, {empty}, aggregate(zip_with(slice({gaps}, 1, size({hits})), {hits}, (g, h) -> struct(length(g) as gap, h as value)),
-        struct(0 as at, {empty} as spans),
-        (s, m) -> struct(s.at + m.gap + length(m.value) as at, concat(s.spans, array(struct(s.at + m.gap as start, s.at + m.gap + length(m.value) as end, m.value as value))) as spans),
-        s -> s.spans))"""
+    # ends of matches are sums over all before: sums of blocks of 64, then of a block's own
+    found = f"""if(size({hits}) = 0, cast(array() as array<struct<start:int,end:int,value:string>>),
+        transform(array(zip_with(slice({gaps}, 1, size({hits})), {hits}, (g, h) -> struct(length(g) + length(h) as step, length(h) as n, h as value))), m ->
+        transform(array(transform(sequence(0, cast((size(m) - 1) div 64 as int)), b -> aggregate(slice(m, 64 * b + 1, 64), 0, (a, x) -> a + x.step))), s ->
+        transform(array(transform(sequence(0, size(s) - 1), b -> aggregate(slice(s, 1, b), 0, (a, x) -> a + x))), o ->
+        transform(transform(m, (x, i) -> struct(o[cast(i div 64 as int)] + aggregate(slice(m, i - i % 64 + 1, i % 64 + 1), 0, (a, y) -> a + y.step) as end, x.n as n, x.value as value)),
+            x -> struct(x.end - x.n as start, x.end as end, x.value as value)))[0])[0])[0])"""
     return df.withColumn(kind, F.expr(found)).drop(hits, gaps)
 
 
@@ -93,12 +99,23 @@ def _votes(x: str) -> str:
         case when {value} rlike '[A-Za-z]' then 0 when {_digits_hold(value, 13, 19, True)} then 1 else -1 end as check)"""
 
 
+FEATURES = ("is_number", "long", "very_long", "varied", "mixed", "upper", "key_word", "other_word", "word_before")
+
+
+def _features(x: str, kind: str) -> str:
+    """The struct of the classifier's features of span `x` of `text`, 0 or 1 each."""
+    value = f"{x}.value"
+    body = f"regexp_replace({value}, '^[A-Za-z_]+ ?[=:] ?', '')"
+    key = f"lower(regexp_extract({value}, '^([A-Za-z_]+) ?[=:]', 1))"
+    before = f"lower(regexp_extract(substr(text, greatest(1, {x}.start - 23), least(24, {x}.start)), '([A-Za-z]+)[^A-Za-z0-9]*$', 1))"
+    tests = ("true" if kind == "number" else "false", f"length({body}) >= 14", f"length({body}) >= 28", f"size(array_distinct(split({body}, ''))) >= 9", f"{body} rlike '[A-Za-z]' and {body} rlike '[0-9]'", f"{body} rlike '[A-Z]'", f"{key} in {_words(KEYS)}", f"{key} <> '' and not {key} in {_words(KEYS)}", f"{before} in {_words(BEFORE + KEYS)}")
+    return "struct(" + ", ".join(f"cast({test} as int) as {name}" for name, test in zip(FEATURES, tests)) + ")"
+
+
 def _candidates(rows: DataFrame) -> DataFrame:
-    """Adds `candidates`: (start, end, kind, votes) of spans beyond the base, secrets first."""
+    """Adds `candidates`: (start, end, kind, features, votes) of spans beyond the base, secrets first."""
     rows = _with_matches(_with_matches(rows, "secret", SECRET), "number", NUMBER)
-    parts = [f"transform({k}, x -> struct(x.start as start, x.end as end, '{k}' as kind, {_votes('x')} as votes))" for k in ("secret", "number")]
-    inside = "exists(secret, s -> s.start < x.end and x.start < s.end)"
-    rows = rows.withColumn("number", F.expr(f"filter(number, x -> not {inside})"))
+    parts = [f"transform({k}, x -> struct(x.start as start, x.end as end, '{k}' as kind, {_features('x', k)} as features, {_votes('x')} as votes))" for k in ("secret", "number")]
     return rows.withColumn("candidates", F.expr(f"concat({', '.join(parts)})")).drop("secret", "number")
 
 
@@ -114,24 +131,33 @@ def estimate(counts: dict[tuple[int, ...], int], rounds: int = 60) -> tuple[list
             for v, n in counts.items():
                 p[1][v[j]] += n * posterior[v]
                 p[0][v[j]] += n * (1 - posterior[v])
-            odds.append({x: math.log(p[1][x] / (mass[1] + 3)) - math.log(p[0][x] / (mass[0] + 3)) for x in (-1, 0, 1)})
+            # a labeler that abstains says nothing
+            odds.append({x: math.log(p[1][x] / (mass[1] + 3)) - math.log(p[0][x] / (mass[0] + 3)) if x else 0.0 for x in (-1, 0, 1)})
         prior = math.log((mass[1] + 1) / (mass[0] + 1))
         posterior = {v: 1 / (1 + math.exp(-max(-50.0, min(50.0, prior + sum(o[x] for o, x in zip(odds, v)))))) for v in counts}
     return odds, posterior
 
 
-def train(counts: dict[tuple[int, ...], int], steps: int = 400) -> list[float]:
-    """Weights (first the bias, then one for each labeler) of a logistic classifier of the posteriors."""
-    _, posterior = estimate(counts)
-    total = sum(counts.values())
-    w = [0.0] * (1 + len(LABELERS))
+def train(counts: dict[tuple[tuple[int, ...], tuple[int, ...]], int], steps: int = 400) -> list[float]:
+    """Weights (first the bias, then one for each feature) of a logistic classifier, from counts of (votes, features)."""
+    by_votes: dict[tuple[int, ...], int] = {}
+    for (v, _), n in counts.items():
+        by_votes[v] = by_votes.get(v, 0) + n
+    _, posterior = estimate(by_votes)
+    # per feature vector: how many spans, and how many of them are expected to be personal
+    mass: dict[tuple[int, ...], list[float]] = {}
+    for (v, f), n in counts.items():
+        own = mass.setdefault((1, *f), [0.0, 0.0])
+        own[0] += n
+        own[1] += n * posterior[v]
+    total = sum(by_votes.values())
+    w = [0.0] * (1 + len(FEATURES))
     for _ in range(steps):
-        g = [0.01 * x for x in w]
-        for v, n in counts.items():
-            f = (1, *v)
-            e = n / total * (1 / (1 + math.exp(-sum(a * b for a, b in zip(w, f)))) - posterior[v])
+        g = [0.002 * x for x in w]
+        for f, (n, expected) in mass.items():
+            e = (n / (1 + math.exp(-max(-50.0, min(50.0, sum(a * b for a, b in zip(w, f)))))) - expected) / total
             g = [a + e * b for a, b in zip(g, f)]
-        w = [a - 2.0 * b for a, b in zip(w, g)]
+        w = [a - 1.5 * b for a, b in zip(w, g)]
     return w
 
 
@@ -140,9 +166,10 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def fit_span_classifier(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[float] | None:
-    """Counts the vote vectors of all candidates of all documents and trains on them; None without candidates."""
-    found = _candidates(_texts(docs, id_col, text_col)).select(F.explode("candidates.votes").alias("v")).groupBy(*[F.col(f"v.{x}").alias(x) for x in LABELERS]).count()
-    counts = {tuple(r[x] for x in LABELERS): r["count"] for r in found.collect()}
+    """Counts the vectors of votes and features of all candidates of all documents and trains on them; None without candidates."""
+    keys = [F.col(f"c.votes.{x}").alias(f"v_{x}") for x in LABELERS] + [F.col(f"c.features.{x}").alias(f"f_{x}") for x in FEATURES]
+    found = _candidates(_texts(docs, id_col, text_col)).select(F.explode("candidates").alias("c")).groupBy(*keys).count()
+    counts = {(tuple(r[f"v_{x}"] for x in LABELERS), tuple(r[f"f_{x}"] for x in FEATURES)): r["count"] for r in found.collect()}
     return train(counts) if counts else None
 
 
@@ -160,8 +187,8 @@ def with_spans(rows: DataFrame, weights: list[float] | None) -> DataFrame:
     if weights is None:
         return rows.withColumn("spans", F.col("base"))
     rows = _candidates(rows)
-    score = " + ".join([f"{weights[0]!r}D", *(f"{w!r}D * x.votes.{name}" for w, name in zip(weights[1:], LABELERS))])
-    added = f"filter(candidates, x -> {score} > 0 and not exists(base, b -> b.start < x.end and x.start < b.end))"
+    score = " + ".join([f"{weights[0]!r}D", *(f"{w!r}D * x.features.{name}" for w, name in zip(weights[1:], FEATURES))])
+    added = f"filter(candidates, x -> {score} > 0)"
     return rows.withColumn("spans", F.expr(f"concat(base, transform({added}, x -> struct(x.start as start, x.end as end, x.kind as kind)))")).drop("candidates")
 
 
@@ -176,17 +203,31 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.select(F.col("id").alias(id_col), *counts, F.sha2(_joined("base").cast("binary"), 256).alias("base_sha256"), _joined("spans").alias("spans"))
 
 
+#: Code points in a block of a text that is cut up.
+_CUT = 4096
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: list[float] | None = None) -> DataFrame:
     """`docs` with every span of `text_col` replaced by its kind in brackets; all other columns and rows stay.
 
-    A null text stays null. Overlapping spans become one placeholder of the first kind.
+    A null text stays null, an empty one empty. Overlapping spans become one placeholder of the first kind (by start,
+    then end, then name).
     """
     if weights is None:
         weights = fit_span_classifier(docs, id_col, text_col)
     own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     found = with_spans(own, weights).select("row", "text", F.expr("array_sort(spans)").alias("spans"))
-    fold = """aggregate(spans, struct(0 as at, '' as done), (s, x) -> if(x.end <= s.at, s, struct(x.end as at,
-        concat(s.done, if(x.start < s.at, '', concat(substr(text, s.at + 1, x.start - s.at), '[', upper(x.kind), ']'))) as done)),
-        s -> concat(s.done, substr(text, s.at + 1)))"""
-    clean = F.when(F.col(f"row.`{text_col}`").isNull(), None).when(F.size("spans") == 0, F.col("text")).otherwise(F.expr(fold))
-    return found.select(*[clean.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    # spans that don't overlap, each with the end of the one before
+    merged = """aggregate(spans, cast(array() as array<struct<start:int,end:int,kind:string>>), (s, x) ->
+        if(size(s) > 0 and x.start < s[size(s) - 1].end, if(x.end <= s[size(s) - 1].end, s, concat(slice(s, 1, size(s) - 1), array(struct(s[size(s) - 1].start as start, x.end as end, s[size(s) - 1].kind as kind)))), concat(s, array(x))))"""
+    blocks = f"transform(sequence(0, cast(char_length(text) div {_CUT} as int)), b -> substr(text, {_CUT} * b + 1, {_CUT}))"
+
+    def cut(a: str, e: str) -> str:
+        """SQL: code points from `a` up to `e`, from the blocks that hold them."""
+        return f"if({e} <= {a}, '', array_join(transform(sequence(cast({a} div {_CUT} as int), cast(({e} - 1) div {_CUT} as int)), b -> substr(bs[b], greatest({a} - {_CUT} * b, 0) + 1, least({e} - {_CUT} * b, {_CUT}) - greatest({a} - {_CUT} * b, 0))), ''))"
+
+    clean = f"""transform(array({blocks}), bs -> transform(array({merged}), m -> concat(
+        array_join(transform(m, (x, i) -> concat({cut("if(i = 0, 0, m[i - 1].end)", "x.start")}, '[', upper(x.kind), ']')), ''),
+        {cut("m[size(m) - 1].end", "char_length(text)")}))[0])[0]"""
+    text = F.when(F.col(f"row.`{text_col}`").isNull(), None).when(F.size("spans") == 0, F.col("text")).otherwise(F.expr(clean))
+    return found.select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
