@@ -489,21 +489,26 @@ def components(links: DataFrame) -> DataFrame:
     """(cls, label): the least class of each component of links (a, b).
 
     Stars are pointed at their least neighbours and labels at their labels' labels, so the rounds grow with the
-    logarithm of a chain's length; each round is a written table. Rows are pre-aggregated by vertex before a shuffle.
+    logarithm of a chain's length. Each step is a written table, whose size is known when the next one is planned, so that
+    a hub's links or a large component's members don't meet in one task where the other side is small; where it is
+    not, such a join can be split. Rows are pre-aggregated by vertex before a shuffle.
     """
     both = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
         # hook: a vertex takes its neighbours' least label, and so does the vertex that its label names
         seen = both.join(labels.withColumnRenamed("a", "v"), both["b"] == F.col("v")).groupBy(both["a"]).agg(F.min("label").alias("near"))
-        low = labels.join(seen, "a").select("a", "label", F.least("label", "near").alias("low"))
+        low = stored(labels.join(seen, "a").select("a", "label", F.least("label", "near").alias("low")), "low")
         hooks = low.groupBy(F.col("label").alias("a")).agg(F.min("low").alias("hook"))
-        low = low.join(hooks, "a", "left").select("a", "label", F.least("low", F.coalesce("hook", "low")).alias("low"))
-        # jump: take the label's label
-        tops = low.select(F.col("a").alias("top"), F.col("low").alias("top_low"))
-        new = stored(low.join(tops, low["low"] == tops["top"], "left").select("a", F.least("low", F.coalesce("top_low", "low")).alias("new"), "label"), "labels")
+        hooked = stored(low.join(hooks, "a", "left").select("a", "label", F.least("low", F.coalesce("hook", "low")).alias("low")), "hooked")
+        # jump: take the label's label, of labels that aren't their own
+        tops = stored(hooked.where("a <> low").select(F.col("a").alias("top"), F.col("low").alias("top_low")), "tops")
+        new = stored(hooked.join(tops, hooked["low"] == tops["top"], "left").select("a", F.least("low", F.coalesce("top_low", "low")).alias("new"), "label"), "labels")
+        freed(labels, low, hooked, tops)
         labels = new.select("a", F.col("new").alias("label"))
+        labels.stored_at = new.stored_at
         if new.where("new <> label").isEmpty():
+            freed(both)
             return labels.withColumnRenamed("a", "cls")
 
 
