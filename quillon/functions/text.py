@@ -1,7 +1,7 @@
 """Scalar helpers over tags and terms, as column expressions that stay in the JVM.
 
-`fold` is lower case; where full case folding or compatibility forms matter (titles), `alnum_key` applies an Arrow
-function once per distinct need instead of hiding it in a conditional.
+`fold` is full case folding from the JVM's case mappings; all keys of terms come from it. Where compatibility forms
+matter (titles), `alnum_key` applies an Arrow function.
 """
 
 from __future__ import annotations
@@ -94,7 +94,15 @@ def title_language(title: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    return F.lower(c)
+    """Full case folding: the lower case of the upper case of the lower case, but for the two letters that this would change.
+
+    A final sigma is folded to a sigma; a dotless i, whose upper case is an I, stays. Cherokee letters, which fold to
+    upper case, come out in lower case. (The translations stand between the case mappings, which the optimizer would
+    take for one otherwise.)
+    """
+    away = "\ufdd0"  # a code point that no text has
+    upper = F.upper(F.translate(F.lower(c), "ı", away))
+    return F.translate(F.lower(F.translate(upper, away, "ı")), "ς", "σ")
 
 
 def squeeze(c: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..session import checkpoint_folder
 
 PRESETS = {"quick": ("identifiers",), "journal": ("title", "year", "authors", "source"), "strict": ("title", "year", "authors", "abstract"), "loose": ("title", "year")}
 
@@ -39,11 +40,7 @@ def connected(pairs: DataFrame, node: str, key: str) -> DataFrame:
     Labels go from nodes to keys and back; each round both are cut short through the label's own label, so the rounds
     grow with the logarithm of a chain. Each round is a checkpoint, not lineage.
     """
-    spark = pairs.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp())
+    checkpoint_folder(pairs.sparkSession)
     links = pairs.select(F.col(node).alias("n"), F.col(key).alias("k")).distinct().checkpoint()
     labels = links.groupBy("n").agg(F.min("n").alias("c")).checkpoint()
     while True:

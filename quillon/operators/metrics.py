@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -67,17 +67,22 @@ def share_of_total(df: DataFrame, value: str, name: str = "share") -> DataFrame:
     return df.crossJoin(F.broadcast(total)).withColumn(name, F.when(F.col("_total") != 0, F.col(value) / F.col("_total"))).drop("_total")
 
 
+def _from_least(df: DataFrame, x: str, *group: str) -> DataFrame:
+    """Adds _least, the least x of each group; without a group that is one row for all, joined to every row."""
+    least = df.groupBy(*group).agg(F.min(x).alias("_least"))
+    return df.join(least, list(group)) if group else df.join(F.broadcast(least))
+
+
 def linear_fit(df: DataFrame, x: str, y: str, *group: str) -> DataFrame:
     """slope, intercept, r2 with x counted from its least value; r2 is 1 without variance."""
-    rows = df.withColumn("_x", F.col(x) - F.min(x).over(Window.partitionBy(*group or [F.lit(0)])))
+    rows = _from_least(df, x, *group).withColumn("_x", F.col(x) - F.col("_least"))
     fit = rows.groupBy(*group).agg(F.regr_slope(y, "_x").alias("slope"), F.regr_intercept(y, "_x").alias("intercept"), F.regr_r2(y, "_x").alias("r2"), F.var_pop(y).alias("_v"))
     return fit.withColumn("r2", F.when(F.col("_v") == 0, 1.0).otherwise(F.col("r2"))).drop("_v")
 
 
 def quadratic_fit(df: DataFrame, x: str, y: str, *group: str) -> DataFrame:
     """a x2 + b x + c by least squares from moment sums, x from its least value; null with fewer than three points."""
-    least = Window.partitionBy(*group or [F.lit(0)])
-    rows = df.select(*group, (F.col(x) - F.min(x).over(least)).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    rows = _from_least(df, x, *group).select(*group, (F.col(x) - F.col("_least")).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     sums = [F.sum(F.pow("x", F.lit(k))).alias(f"s{k}") for k in range(5)] + [F.sum(F.pow("x", F.lit(k)) * F.col("y")).alias(f"t{k}") for k in range(3)]
     m = rows.groupBy(*group).agg(*sums, F.sum(F.col("y") * F.col("y")).alias("yy"))
     det = lambda a: f"({a[0][0]}*({a[1][1]}*{a[2][2]}-{a[1][2]}*{a[2][1]})-{a[0][1]}*({a[1][0]}*{a[2][2]}-{a[1][2]}*{a[2][0]})+{a[0][2]}*({a[1][0]}*{a[2][1]}-{a[1][1]}*{a[2][0]}))"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -25,3 +27,16 @@ def session(name: str = "quillon", master: str | None = None, shuffle_partitions
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints: spark.checkpoint.dir; in local mode one is set here where it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: the driver and the executors need a folder that they share")
+        base = "file://" + tempfile.mkdtemp(prefix="quillon-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(base)
+    return base

@@ -218,10 +218,37 @@ def test_replacement_keeps_untouched_arrays(spark):
     assert {r.k: list(r.v) for r in vocabulary.replace_terms(df, "k", "v", mapping).collect()} == {1: ["a; a", "b"], 2: ["a"]}
 
 
-def test_addresses():
-    m = {"taiwan": "China", "peking univ": "PKU"}
-    assert vocabulary.rewrite_address("[A] X, Taipei, Taiwan. [B] Y, Taiwan [C] Z, USA", "countries", m) == "[A] X, Taipei, China. [B] Y, China [C] Z, USA"
-    assert vocabulary.rewrite_address("[A]  Peking Univ, Beijing", "organizations", m) == "[A]  PKU, Beijing"
+def replaced(spark, value, kind, mapping):
+    from quillon.operators import addresses
+
+    df = spark.createDataFrame([(1, [value])], "k int, v array<string>")
+    table = spark.createDataFrame([(kind, *pair) for pair in mapping.items()], "kind string, key string, target string")
+    found = addresses.replace_names(df, "k", [("v", kind, True)], table, F.col).collect()
+    return found[0].changes["v"][0] if found else value
+
+
+def test_addresses(spark):
+    m = {"taiwan": "China", "peking univ": "PKU", "strasse": "Street"}
+    assert replaced(spark, "[A] X, Taipei, Taiwan. [B] Y, Taiwan [C] Z, USA", "countries", m) == "[A] X, Taipei, China. [B] Y, China [C] Z, USA"
+    assert replaced(spark, "[A]  Peking Univ, Beijing", "organizations", m) == "[A]  PKU, Beijing"
+    assert replaced(spark, " A, Taiwan , B, C", "countries", m) == " A, China , B, C" and replaced(spark, "Taiwan, A, B, C", "countries", m) == "Taiwan, A, B, C"
+    assert replaced(spark, "Straße", "organizations", m) == "Street"
+
+
+def test_rules_and_terms_share_their_keys(spark):
+    df = records(spark, [{"TI": "x", "DE": ["Straße; other"], "SO": ["ﬁne J."]}])
+    merged, report = vocabulary.merge(df, {"keywords": [{"target": "Street", "variants": ["STRASSE"]}], "journals": [{"target": "Fine", "variants": ["Fine J"]}]})
+    r = merged.select("fields").first().fields
+    assert r["DE"] == ["Street", "other"] and r["SO"] == ["Fine."] and {x.tag for x in report.collect()} == {"DE", "SO"}
+
+
+def test_rules_from_a_table(spark):
+    from quillon.operators import rules
+
+    pairs = spark.createDataFrame([("authors", "A  b", "C"), ("authors", "a B", "C"), ("keywords", "x", None)], "kind string, term string, target string")
+    assert {tuple(r) for r in rules.checked_rules(pairs).collect()} == {("authors", "a b", "C"), ("keywords", "x", None)}
+    with pytest.raises(Exception, match="more than one decision"):
+        rules.checked_rules(pairs.union(spark.createDataFrame([("keywords", "X", "y")], pairs.schema))).collect()
 
 
 def test_inventory_and_suggestions(spark):
