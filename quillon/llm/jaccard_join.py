@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ._chunks import byte_batches
-from ._shared import freed, sorted_groups, stored, texts
+from ._shared import freed, released, sorted_groups, stored, texts
 
 WORDS, PARTS, MOST_PARTS = 5, 64, 4096
 #: Frequent: so many times in a batch of about 8 MB of text, wherever it is.
@@ -134,7 +134,7 @@ def _profiles(rows: DataFrame, seed: int) -> DataFrame:
                     empty = [None] * len(often)
                     yield pa.RecordBatch.from_arrays([pa.array(empty, id_type), pa.array(empty, none), pa.array(holder), pa.array(empty, pa.binary()), pa.array(values[often].view(np.int64)), pa.array(c[often].astype(np.int64))], names)
 
-    return rows.mapInArrow(run, f"id {kind}, n long, cls long, vec binary, s long, c long")
+    return rows.mapInArrow(released(run), f"id {kind}, n long, cls long, vec binary, s long, c long")
 
 
 def _packed(numbers: np.ndarray, cut: np.ndarray, width: int) -> pa.Array:
@@ -184,7 +184,7 @@ def _postings(rows: DataFrame, frequent: np.ndarray, t: int, buckets: int, seed:
                     found, counts = np.unique(b, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array([None] * len(found), pa.binary()), _packed(both[order].reshape(-1), 2 * np.cumsum(counts), 8)], ["bucket", "s", "cls"])
 
-    return rows.mapInArrow(run, "bucket int, s binary, cls binary")
+    return rows.mapInArrow(released(run), "bucket int, s binary, cls binary")
 
 
 def _regions(postings: DataFrame) -> DataFrame:
@@ -210,7 +210,7 @@ def _regions(postings: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["p", "cls"])
 
     dealt = postings.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "p long, cls long").distinct()
+    return dealt.mapInArrow(released(run), "p long, cls long").distinct()
 
 
 class Links:
@@ -351,7 +351,7 @@ def _plausible(members: DataFrame, vectors: DataFrame, t: int) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([p if part else least[groups.root(k)] for k in found], pa.int64()), pa.array([cls[k] for k in found], pa.int64())], ["region", "cls"])
 
-    near = rows.select("p", "part", "cls", "n", "vec").repartition("p", "part").sortWithinPartitions("p", "part").mapInArrow(run, "region long, cls long")
+    near = rows.select("p", "part", "cls", "n", "vec").repartition("p", "part").sortWithinPartitions("p", "part").mapInArrow(released(run), "region long, cls long")
     return near.union(large.where(F.col("size") > WINDOWED).select("p", "cls")).distinct()
 
 
@@ -367,7 +367,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], ["cls", "set"])
 
     # rows that repeat an id and a text repeat a set, which only links a class with itself
-    return rows.mapInArrow(run, "cls long, set binary")
+    return rows.mapInArrow(released(run), "cls long, set binary")
 
 
 def _numbers(rows: dict[str, list]) -> list[np.ndarray]:
@@ -412,7 +412,7 @@ def _split(cells: DataFrame, sets: DataFrame, t: int) -> DataFrame:
             into = np.append(window[i, k], np.ones(far.sum(), bool))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), cell, np.int64)), pa.array(who), pa.array(pivot), pa.array(np.append(linked[i, k], np.zeros(far.sum(), bool))), pa.array(into)], ["cell", "cls", "pivot", "linked", "into"])
 
-    return dealt.mapInArrow(run, "cell long, cls long, pivot long, linked boolean, into boolean")
+    return dealt.mapInArrow(released(run), "cell long, cls long, pivot long, linked boolean, into boolean")
 
 
 def _cells(plausible: DataFrame, sets: DataFrame, t: int, every: bool) -> tuple[DataFrame, list[DataFrame]]:
@@ -482,7 +482,7 @@ def _links(cells: DataFrame, sets: DataFrame, t: int, every: bool) -> DataFrame:
                 if made:
                     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in made], pa.int64()), pa.array([y for _, y in made], pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(released(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

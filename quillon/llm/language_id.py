@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from ._shared import released
+
 
 BITS = 15
 SIZE = 3 << BITS
@@ -152,7 +154,7 @@ def fit_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: st
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], ["lang", "key", "f", "n"])
 
-    found = sample.mapInArrow(count, "lang string, key long, f binary, n binary").dropDuplicates(["lang", "key"])
+    found = sample.mapInArrow(released(count), "lang string, key long, f binary, n binary").dropDuplicates(["lang", "key"])
     # about per_language rows a language are left here; the bound holds whatever the hashes do
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
     found = found.withColumn("nth", nth).where(F.col("nth") <= 2 * per_language).drop("nth").collect()
@@ -185,7 +187,7 @@ def with_language(docs: DataFrame, model: Model | None, text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*kept, pred_col, score_col])
 
     schema = StructType([*docs.select(*kept).schema.fields, StructField(pred_col, StringType()), StructField(score_col, DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def predict_language(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

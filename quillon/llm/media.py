@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ._shared import scratch_path, texts
+from ._shared import released, scratch_path, texts
 
 BLOCK, UNIT, LEVEL = 512, 576, 6
 _PNG = b"\x89PNG\r\n\x1a\n"
@@ -110,7 +110,7 @@ def write_archives(docs: DataFrame, directory: str, id_col: str = "doc_id", text
             store.delete_file(temp)
         yield pa.RecordBatch.from_arrays([pa.array([len(index)], pa.int64())], ["n"])
 
-    return rows.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    return rows.mapInArrow(released(run), "n long").agg(F.sum("n")).first()[0] or 0
 
 
 class ByteRange(InputPartition):
@@ -241,7 +241,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["id", *_COLUMNS])
 
-    found = read_archives(spark, directory).select("member", "payload").mapInArrow(run, "id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    found = read_archives(spark, directory).select("member", "payload").mapInArrow(released(run), "id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return found.select(F.col("id").cast(kind).alias(id_col), *_COLUMNS)
 
 

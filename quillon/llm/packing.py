@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _chunks
-from ._shared import stored, texts
+from ._shared import released, stored, texts
 from .token_counts import tokenizer
 
 #: Steps in the search for one filling, of the incumbent by least waste; of the whole search beyond the incumbents.
@@ -265,7 +265,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: st
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["id", "piece", "start", "length", "ids_crc32", "ids", "task", "seq"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, ids array<int>, task int, seq long")
+    found = rows.mapInArrow(released(run), f"id {kind}, piece int, start long, length long, ids_crc32 long, ids array<int>, task int, seq long")
     return found if keep_ids else found.drop("ids")
 
 
@@ -298,4 +298,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, i
     columns = ["id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
     placed = placed.select(*columns, "rank")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.drop("rank").schema)
-    return placed.mapInArrow(place, f"{schema}, sequence_id long, offset long").withColumnRenamed("id", id_col)
+    return placed.mapInArrow(released(place), f"{schema}, sequence_id long, offset long").withColumnRenamed("id", id_col)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _chunks
-from ._shared import texts
+from ._shared import released, texts
 
 SPACE = "▁"
 _workers: dict = {}
@@ -188,7 +188,7 @@ def sp_encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col
                 )
 
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string")
+    found = rows.mapInArrow(released(run), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string")
     found = found.withColumnRenamed("id", id_col)
     return found.drop("ids", "decoded") if digests_only else found
 
@@ -203,4 +203,4 @@ def sp_decode(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([table.decode(x).decode() for x in batch.column("ids").to_pylist()], pa.string())], ["id", "decoded"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, decoded string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(released(run), f"id {kind}, decoded string").withColumnRenamed("id", id_col)

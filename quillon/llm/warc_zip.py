@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import scratch_path, stored
+from ._shared import released, scratch_path, stored
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -146,7 +146,7 @@ def write_packages(pages: DataFrame, directory: str, id_col: str = "page_id", ur
         store.move(temp, final)
         yield pa.RecordBatch.from_arrays([pa.array([len(index)], pa.int64())], ["n"])
 
-    return joined.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    return joined.mapInArrow(released(run), "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def read_packages(spark: SparkSession, directory: str, run_bytes: int = 2 << 20, payloads: bool = True) -> DataFrame:
@@ -189,9 +189,9 @@ def read_packages(spark: SparkSession, directory: str, run_bytes: int = 2 << 20,
                 kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["page", "record_type", "refers_to", "url", "payload_bytes", "payload_digest", "payload"])
 
-    found = packages.mapInArrow(plan, "path string, at long, length long")
+    found = packages.mapInArrow(released(plan), "path string, at long, length long")
     found = found.repartition(max(spark.sparkContext.defaultParallelism, len(paths)))
-    return found.mapInArrow(read, "page string, record_type string, refers_to string, url string, payload_bytes long, payload_digest string, payload binary")
+    return found.mapInArrow(released(read), "page string, record_type string, refers_to string, url string, payload_bytes long, payload_digest string, payload binary")
 
 
 def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", directory: str | None = None) -> DataFrame:
