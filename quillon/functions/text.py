@@ -209,6 +209,13 @@ def _alnum(s):
     return s.map(lambda x: None if x is None else "".join(filter(str.isalnum, unicodedata.normalize("NFKC", x).casefold())))
 
 
+@F.pandas_udf(StringType())
+def _compatible(s):
+    import unicodedata
+
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
+
+
 def alnum_key(c: Column, exact: bool = True) -> Column:
     """Letters and digits of a text in compatibility form, case folded: exact by an Arrow function, else natively."""
     return _alnum(c) if exact else F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
@@ -220,7 +227,8 @@ def surname(exact: bool = True) -> Column:
 
 
 def title_sort_key(c: Column) -> Column:
-    return F.regexp_replace(fold(c), r"^[^\p{L}\p{N}]+", "")
+    """A title for sorting: compatibility form and full case folding, without signs at the beginning."""
+    return F.regexp_replace(_compatible(c), r"^[^\p{L}\p{N}]+", "")
 
 
 def reference_key(c: Column) -> Column:
@@ -268,6 +276,19 @@ def trailing_countries(c: Column) -> Column:
     return F.filter(names, lambda n: (n != "") & ~n.contains("@") & (F.length(n) <= 60))
 
 
+def integer_or_text(c: Column) -> Column:
+    """A value as (number, text): the number if it is a whole one that a long holds, else the text. One of both is null."""
+    number = F.when(c.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(c).try_cast("long"))
+    return F.struct(number.alias("number"), F.when(number.isNull(), c).alias("text"))
+
+
+def string_list(c: Column) -> Column:
+    """What an answer gives as a list: a JSON array's texts, a plain text as the only one; stripped, without blank ones."""
+    listed = F.from_json(c, "array<string>")
+    own = F.when(F.ltrim(c).startswith("[") & listed.isNotNull(), listed).when(c.isNotNull(), F.array(c)).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.transform(own, strip), lambda x: x != "")
+
+
 def spreadsheet_safe(c: Column) -> Column:
     """Without control characters, at most 32,700 characters, and no formula."""
     c = F.regexp_replace(c, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]", "")

@@ -79,8 +79,13 @@ def run_statistics(groups: DataFrame) -> DataFrame:
     return groups.agg(F.count("*").alias("groups"), F.coalesce(F.sum(F.col("size") - 1), F.lit(0)).cast("long").alias("duplicates"), F.count_if("doi_conflict").alias("conflicts"))
 
 
-def auto_review(groups: DataFrame) -> DataFrame:
-    """Accepts groups without conflicting DOIs, ignores the others."""
+def auto_review(groups: DataFrame, records: DataFrame | None = None) -> DataFrame:
+    """Accepts groups without conflicting DOIs, ignores the others; a member that isn't among `records` is an error."""
+    if records is not None:
+        members = groups.select("group_id", F.explode("record_keys").alias("record_key"))
+        missing = members.join(records.select("record_key"), "record_key", "left_anti").first()
+        if missing is not None:
+            raise ValueError(f"{missing.record_key} of group {missing.group_id} isn't among the records")
     return groups.withColumn("status", F.when(F.col("status") != "pending", F.col("status")).when(F.col("doi_conflict"), "ignored").otherwise("deduped"))
 
 
@@ -121,8 +126,17 @@ def doi_conflicts(profiles: DataFrame) -> DataFrame:
     return found.where(F.size("dois") > 1).select("title", "year", "record_ids", "dois")
 
 
-def needs_new_review(before: DataFrame, after: DataFrame) -> bool:
-    """Whether candidate sets appear that no ignored group of the earlier review covers."""
+#: What a change of terms of a kind changes in a profile; keywords are in no key.
+KIND_PARTS = {"authors": "authors", "journals": "source"}
+
+
+def needs_new_review(before: DataFrame, after: DataFrame, kind: str | None = None, preset: str | None = None) -> bool:
+    """Whether candidate sets appear that no ignored group of the earlier review covers.
+
+    A change of a `kind` of terms that the `preset` doesn't look at can't make any, so nothing is compared then.
+    """
+    if kind is not None and preset is not None and KIND_PARTS.get(kind) not in PRESETS[preset]:
+        return False
     sets = lambda g: g.select(F.array_sort("record_keys").alias("s"))
     return not sets(after).join(sets(before.where("status = 'ignored'")), "s", "left_anti").isEmpty()
 

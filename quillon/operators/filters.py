@@ -83,3 +83,11 @@ def search(df: DataFrame, query: str, *columns: str) -> DataFrame:
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def restorable(kept: dict, now: dict, results: DataFrame, records: DataFrame, key: str = "record_id") -> bool:
+    """Whether stored results still fit: of the same generation and years, and for just the records in question."""
+    if any(kept.get(x) != now.get(x) for x in ("generation", "start_year", "end_year")):
+        return False
+    a, b = results.select(key).distinct(), records.select(key).distinct()
+    return a.join(b, key, "left_anti").isEmpty() and b.join(a, key, "left_anti").isEmpty()

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as t
+
 KINDS = ("keywords", "authors", "countries", "institutions", "journals", "cited_authors", "cited_journals", "cited_articles")
 
 
@@ -86,6 +88,20 @@ def subgraph(network: Network, ids: list[int]) -> Network:
     return Network(with_strength(nodes, edges), edges)
 
 
+def info(network: Network, terms: DataFrame) -> DataFrame:
+    """One row: papers with a term, terms, nodes and links of the network, and its total strength."""
+    own = network.edges.agg(F.count("*").alias("links"), F.coalesce(F.sum("strength"), F.lit(0)).cast("long").alias("total_strength"))
+    kept = network.nodes.agg(F.count("*").alias("nodes"))
+    whole = terms.agg(F.countDistinct("record_key").alias("papers"), F.countDistinct("key").alias("terms"))
+    return whole.join(F.broadcast(kept)).join(F.broadcast(own))  # a row each
+
+
+def sorted_nodes(nodes: DataFrame, by: str, descending: bool = True) -> DataFrame:
+    """Nodes as a table shows them: numbers by value, names folded, nulls last; ids decide ties."""
+    key = t.fold(F.col(by)) if nodes.schema[by].dataType.simpleString() == "string" else F.col(by)
+    return nodes.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), "id")
+
+
 def citation_coverage(terms: DataFrame, nodes: DataFrame) -> DataFrame:
     """Papers of each node that state a citation count."""
     own = terms.where("tc is not null").select("record_key", "key").distinct()

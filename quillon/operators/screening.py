@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as t
+
 # The policy and its thresholds, both inclusive.
 LEAST_CONFIDENCE, LEAST_IRRELEVANT = 0.60, 0.75
 CONSERVATIVE_NOTE = "below the thresholds for exclusion: kept as relevant"
@@ -60,10 +63,33 @@ def request_plan(attempt: int) -> dict:
     return ({"tokens": 1200, "abstract": True}, {"tokens": 4000, "abstract": True}, {"tokens": 4000, "abstract": False})[attempt]
 
 
-def classify(df: DataFrame, client: Callable[[dict, dict], dict], tasks: int | None = None, attempts: int = 3) -> DataFrame:
+#: Answers of a server after which asking again makes sense.
+RETRIED = frozenset({408, 409, 425, 429, 500, 502, 503, 504})
+
+
+class AnswerError(Exception):
+    """A client's failure: an HTTP status, if there is one, and whether the answer was cut off."""
+
+    def __init__(self, message: str, status: int | None = None, truncated: bool = False):
+        super().__init__(message)
+        self.status, self.truncated = status, truncated
+
+    def retried(self) -> bool:
+        return self.truncated or self.status is None or self.status in RETRIED
+
+
+def back_off(attempt: int, first: float = 1.0, most: float = 30.0) -> float:
+    """Seconds to wait before attempt number `attempt` (from 1): doubled each time, up to a bound."""
+    return min(most, first * 2 ** (attempt - 1))
+
+
+def classify(df: DataFrame, client: Callable[[dict, dict], dict], tasks: int | None = None, attempts: int = 3, wait: float = 1.0) -> DataFrame:
     """Asks `client(payload, plan)` for every row of (record_id, payload ...), with at most `tasks` at a time.
 
-    A client that fails on all attempts gives uncertain, confidence 0 and the error.
+    `tasks` partitions ask one request after the other, so there are never more than that under way. A failure that is
+    worth another attempt waits longer each time; a cut-off answer (`AnswerError`) asks by the next plan, other
+    failures by the same; a status outside RETRIED ends it. A row that fails for good is uncertain, confidence 0, with
+    the error.
     """
     if tasks is not None:
         df = df.repartition(tasks)
@@ -72,14 +98,21 @@ def classify(df: DataFrame, client: Callable[[dict, dict], dict], tasks: int | N
         for batch in batches:
             rows = []
             for row in batch.to_dict("records"):
-                error = ""
+                error, plan = "", 0
                 for k in range(attempts):
+                    if k:
+                        time.sleep(back_off(k, wait))
                     try:
-                        a = client(row, request_plan(min(k, 2)))
+                        a = client(row, request_plan(min(plan, 2)))
                         rows.append((row["record_id"], a["decision"], float(a["confidence"]), a.get("reason", ""), list(a.get("missing", [])), ""))
                         break
+                    except AnswerError as e:
+                        error, plan = str(e) or type(e).__name__, plan + e.truncated
+                        if not e.retried():
+                            rows.append((row["record_id"], "uncertain", 0.0, "", [], error))
+                            break
                     except Exception as e:
-                        error = str(e) or type(e).__name__
+                        error, plan = str(e) or type(e).__name__, plan + 1
                 else:
                     rows.append((row["record_id"], "uncertain", 0.0, "", [], error))
             yield pd.DataFrame(rows, columns=["record_id", "decision", "confidence", "reason", "missing", "error"])
@@ -130,6 +163,25 @@ def review(results: DataFrame, ticked: DataFrame) -> DataFrame:
     return rows.withColumn("final_decision", F.when(unsure & F.col("_t").isNotNull(), "irrelevant").when(unsure, "relevant").otherwise(F.col("decision"))).withColumn("human_modified", unsure).drop("_t")
 
 
+def restored_draft(known: DataFrame, ticked: DataFrame, results: DataFrame) -> DataFrame:
+    """The ticked record_ids of a draft that was made for the rows `known`, as far as they are still uncertain.
+
+    A draft of other rows than those that are uncertain now is void: then none is ticked.
+    """
+    unsure = results.where("decision = 'uncertain'").select("record_id").distinct()
+    asked = known.select("record_id").distinct()
+    differ = asked.join(unsure, "record_id", "left_anti").unionByName(unsure.join(asked, "record_id", "left_anti"))
+    void = differ.agg((F.count("*") > 0).alias("_void"))  # one row
+    return ticked.select("record_id").distinct().join(unsure, "record_id", "left_semi").join(F.broadcast(void)).where("not _void").drop("_void")
+
+
+def sorted_review(results: DataFrame, by: str = "confidence", descending: bool = True) -> DataFrame:
+    """Rows as a table shows them: numbers by value, others folded, nulls last; ids decide ties."""
+    kind = results.schema[by].dataType.simpleString()
+    key = t.fold(F.col(by)) if kind == "string" else F.col(by)
+    return results.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), "record_id")
+
+
 def decision_counts(results: DataFrame, final: str = "final_decision") -> DataFrame:
     counts = [F.count_if(F.col(final) == d).alias(d) for d in DECISIONS]
     return results.agg(F.count("*").alias("total"), *counts, F.count_if(F.col("decision") == "uncertain").alias("initially_uncertain"), F.count_if(F.coalesce("error", F.lit("")) != "").alias("failures"))

@@ -42,8 +42,8 @@ TERMS = {
     "cited": f"select distinct p.k, p.py, p.tc, p.source, l_partkey::varchar term from ({P}) p join lineitem on l_orderkey = k",
 }
 PLAIN = r"regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g')"
-DOCS = rf"""select doc_id, text, lang, source, case when doc_id % 2 = 0 then 'wos' else 'scopus' end kind, left(text, 40) ti, (2000 + doc_id % 5)::varchar py,
-    case when doc_id % 3 = 0 then 'https://doi.org/10.1/' || left({PLAIN}, 12) || (doc_id % 2)::varchar else '' end di, case when doc_id % 3 <> 1 then 'U:' || right({PLAIN}, 12) else '' end ut,
+DOCS = rf"""select doc_id, text, lang, source, case when doc_id % 2 = 0 then 'wos' else 'scopus' end kind, split_part(text, chr(10), 1) ti, (2000 + doc_id % 5)::varchar py,
+    case when doc_id % 3 = 0 then 'https://doi.org/10.1/' || md5(text) || (doc_id % 2)::varchar else '' end di, case when doc_id % 3 <> 1 then 'U:' || md5(split_part(text, chr(10), 1)) else '' end ut,
     case when doc_id % 4 <> 0 then n_chars end tc, left(sha256(source || chr(0) || doc_id::int::varchar), 24) record_key from documents"""
 #: Fields of the documents lens that are filled, and its completeness; stripped as the library strips.
 _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -175,7 +175,7 @@ def search_text(spark, d):
 
 
 def _profiles(spark, d):
-    return dedupe.profile(lenses.documents(spark, d), exact=False)
+    return dedupe.profile(lenses.documents(spark, d))
 
 
 def _groups(spark, d, preset="loose"):
@@ -385,10 +385,13 @@ def singular_forms(spark, d):
     return c.select("compact", t.singular(F.col("compact")).alias("root"))
 
 
-@query("select p_name, upper(left(x, 1)) || lower(substr(x, 2)) as styled from (select distinct p_name, regexp_replace(trim(regexp_replace(p_name, '-', ' ', 'g')), '\\s+', ' ', 'g') x from part where not regexp_matches(p_name, '[0-9]'))")
+@query(r"""with n as (select distinct p_name, p_name || ' ' || p_type || '-' || p_brand as name from part),
+    x as (select *, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(name, '([A-Za-z])-+([A-Za-z])', '\1 \2', 'g'), '([A-Za-z])-+([A-Za-z])', '\1 \2', 'g'), '^-+|-+$', '', 'g'), '\s+', ' ', 'g')) x from n)
+    select name, upper(left(x, 1)) || lower(substr(x, 2)) as styled from x""")
 def sentence_style(spark, d):
-    parts = lenses.table(spark, d, "part").where(~F.col("p_name").rlike("[0-9]")).select("p_name").distinct()
-    return parts.select("p_name", t.sentence_case(F.col("p_name")).alias("styled"))
+    """Names with hyphens between letters and beside digits."""
+    parts = lenses.table(spark, d, "part").select(F.concat("p_name", F.lit(" "), "p_type", F.lit("-"), "p_brand").alias("name")).distinct()
+    return parts.select("name", t.sentence_case(F.col("name")).alias("styled"))
 
 
 _CATALOG = "select 'authors' kind, s_name variant, 'S' || (s_suppkey % 5) target from supplier union all select 'countries', n_name, 'N' || (n_nationkey % 3) from nation union all select 'keywords', p_brand, 'K' from (select distinct p_brand from part)"
@@ -435,28 +438,31 @@ def plan_batches(spark, d):
     return vocabulary.plan_batches(entries).select("term", "batch")
 
 
-@query(f"""with c as ({_CATALOG}) select case when count(distinct target) > 1 then 'conflict' else 'free' end as state, lower(left(variant, 8)) as key from c where kind = 'authors' group by lower(left(variant, 8))""")
+@query("select lower(variant) as key, case when count(distinct target) > 1 then 'conflict' else 'free' end as state from (select p_type target, p_brand variant from part union select n_name, s_name from supplier join nation on n_nationkey = s_nationkey) group by 1")
 def suggestion_conflicts(spark, d):
-    c = _catalog(spark, d).where("kind = 'authors'").select("target", F.substring("variant", 1, 8).alias("variant"))
-    empty = spark.createDataFrame([], "key string, target string")
-    staged = vocabulary.stage_suggestions(c.distinct(), empty)
-    return staged.groupBy(F.lower("variant").alias("key")).agg(F.max(F.when(F.col("verdict") == "conflict", "conflict")).alias("s")).select(F.coalesce("s", F.lit("free")).alias("state"), "key")
+    """Variants that several targets claim: brands by their types, suppliers by their nation."""
+    parts, suppliers, nations = (lenses.table(spark, d, x) for x in ("part", "supplier", "nation"))
+    own = suppliers.join(nations, suppliers["s_nationkey"] == nations["n_nationkey"]).select("n_name", "s_name")
+    rows = parts.select(F.col("p_type").alias("target"), F.col("p_brand").alias("variant")).union(own)
+    staged = vocabulary.stage_suggestions(rows.distinct(), spark.createDataFrame([], "key string, target string"))
+    return staged.groupBy(t.term_key(F.col("variant")).alias("key")).agg(F.max(F.when(F.col("verdict") == "conflict", "conflict")).alias("s")).select(F.coalesce("s", F.lit("free")).alias("state"), "key")
 
 
-@query("""with a as (select doc_id k, lang m, source s from documents where doc_id % 10 <> 0), b as (select doc_id k, case when doc_id % 7 = 0 then 'x' else lang end m, source s from documents where doc_id % 11 <> 0)
-    select bool_or(a.k is null or b.k is null or a.m is distinct from b.m) as dedupe_changed, bool_or(l.doc_id is not null) as screening_changed from a full join b using (k) left join labels l on l.doc_id = k""")
+@query("""with a as (select doc_id k, lang m, source s from documents), b as (select doc_id k, case when doc_id % 7 = 0 then 'x' else lang end m, coalesce(source, '') || (doc_id % 2)::varchar s from documents)
+    select bool_or(a.m is distinct from b.m) as dedupe_changed, bool_or(l.doc_id is not null and a.s is distinct from b.s) as screening_changed from a full join b using (k) left join labels l on l.doc_id = k""")
 def impact_full_outer(spark, d):
     docs = lenses.table(spark, d, "documents")
-    key, sig = F.col("doc_id").alias("record_key"), F.col("source").alias("signature")
-    a = docs.where("doc_id % 10 <> 0").select(key, F.col("lang").alias("match_key"), sig)
-    b = docs.where("doc_id % 11 <> 0").select(key, F.when(F.col("doc_id") % 7 == 0, "x").otherwise(F.col("lang")).alias("match_key"), sig)
+    key = F.col("doc_id").alias("record_key")
+    a = docs.select(key, F.col("lang").alias("match_key"), F.col("source").alias("signature"))
+    b = docs.select(key, F.when(F.col("doc_id") % 7 == 0, "x").otherwise(F.col("lang")).alias("match_key"), F.concat(F.coalesce("source", F.lit("")), (F.col("doc_id") % 2).cast("string")).alias("signature"))
     return vocabulary.impact(a, b, lenses.table(spark, d, "labels").select(F.col("doc_id").alias("record_key")))
 
 
 @query(f"with c as ({_CATALOG}) select kind, variant from (select kind, variant from c except select kind, variant from c where target in ('S1', 'N1')) where kind <> 'keywords'")
 def set_ops_catalog_diff(spark, d):
     c = _catalog(spark, d)
-    return c.select("kind", "variant").exceptAll(c.where("target in ('S1', 'N1')").select("kind", "variant")).where("kind <> 'keywords'")
+    left = vocabulary.remember(c, c.limit(0).select("kind", "target", "variant"), c.where("target in ('S1', 'N1')").select("kind", "variant"))
+    return left.select("kind", "variant")
 
 
 # --- screening -----------------------------------------------------------------------------------------------------------
@@ -491,10 +497,10 @@ def hybrid_resolution(spark, d):
 
 
 @query(f"""with r as (select doc_id, case when asked and good then (case when doc_id % 2 = 0 then 'irrelevant' else 'uncertain' end) else decision end decision from ({_TWO}))
-    select decision, case when decision = 'uncertain' then (case when doc_id % 3 = 0 then 'irrelevant' else 'relevant' end) else decision end as final_decision, decision = 'uncertain' as human_modified, count(*) as n from r group by all""")
+    select decision, case when decision = 'uncertain' then (case when doc_id in (select doc_id from documents where lang = 'en') then 'irrelevant' else 'relevant' end) else decision end as final_decision, decision = 'uncertain' as human_modified, count(*) as n from r group by all""")
 def review_merge(spark, d):
     r = _resolved(spark, d)
-    return screening.review(r, r.where("record_id % 3 = 0")).groupBy("decision", "final_decision", "human_modified").agg(F.count("*").alias("n"))
+    return screening.review(r, lenses.table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("record_id")).distinct()).groupBy("decision", "final_decision", "human_modified").agg(F.count("*").alias("n"))
 
 
 @query(f"select count(*) as total, count(*) filter (decision = 'relevant') as relevant, count(*) filter (decision = 'irrelevant') as irrelevant, count(*) filter (decision = 'uncertain') as uncertain, count(*) filter (decision = 'uncertain') as initially_uncertain, 0::bigint as failures from ({_ONE})")
@@ -502,14 +508,22 @@ def decision_counts(spark, d):
     return screening.decision_counts(_answers(spark, d), "decision")
 
 
-@query("select source, count(*) filter (not hit) as misses, count(*) filter (hit) as hits from (select source, sha256(text) in (select sha256(text) from documents where doc_id % 3 = 0) hit from documents) group by source")
+@query("select source, count(*) filter (not hit) as misses, count(*) filter (hit) as hits from (select source, sha256(text) in (select sha256(text) from documents semi join labels using (doc_id)) hit from documents) group by source")
 def cache_miss(spark, d):
     docs = lenses.table(spark, d, "documents").select(F.col("doc_id").alias("record_id"), "source", screening.cache_key("1", "m", "p", "q", F.col("text")).alias("cache_key"))
-    hits, misses = screening.split_by_cache(docs, docs.where("record_id % 3 = 0").select("cache_key").distinct().withColumn("record_id", F.lit(0)))
+    hits, misses = screening.split_by_cache(docs, docs.join(lenses.table(spark, d, "labels").select(F.col("doc_id").alias("record_id")), "record_id", "left_semi").select("cache_key").distinct().withColumn("record_id", F.lit(0)))
     found = misses.select("source", F.lit(1).alias("m")).union(hits.join(docs.select("record_id", "source"), "record_id").select("source", F.lit(0)))
     return found.groupBy("source").agg(F.sum("m").alias("misses"), F.sum(1 - F.col("m")).alias("hits"))
 
 
+@query("select count(*) filter (l.toxic = 1) as kept, count(*) as uncertain from labels l where l.quality = 0")
+def review_draft(spark, d):
+    """A draft of ticked rows that still fits the uncertain ones, and how many it ticks."""
+    labels = lenses.table(spark, d, "labels").where("quality = 0").select(F.col("doc_id").alias("record_id"), "toxic", F.lit("uncertain").alias("decision"))
+    ticked = screening.restored_draft(labels.select("record_id"), labels.where("toxic = 1").select("record_id"), labels)
+    return ticked.agg(F.count("*").alias("kept")).crossJoin(F.broadcast(labels.agg(F.count("*").alias("uncertain"))))
+
+
 @query(f"select py, count(*) as n from ({P}) where py < 1996 or py > 1999 group by py")
 def year_rule(spark, d):
     rows = screening.year_rule(lenses.papers(spark, d).withColumnRenamed("record_key", "record_id"), 1996, 1999)
@@ -519,7 +533,7 @@ def year_rule(spark, d):
 # --- records, fields and formats -----------------------------------------------------------------------------------------
 
 
-@query("select o_orderkey as record_key, coalesce(a, b) as tc from (select o_orderkey, case when o_orderkey % 3 = 0 then null else floor(o_totalprice)::bigint end a, case when o_orderkey % 2 = 0 then floor(o_totalprice)::bigint end b from orders)")
+@query("select o_orderkey as record_key, coalesce(a, b) as tc from (select o_orderkey, case when o_orderkey % 3 = 0 then null else floor(o_totalprice)::bigint end a, case when o_orderstatus = 'F' then floor(o_totalprice)::bigint end b from orders)")
 def backfill_citations(spark, d):
     from ..sources.bibliography import backfill_citations as fill
 
@@ -528,7 +542,7 @@ def backfill_citations(spark, d):
     base = [F.lit("f").alias("source_file"), F.col("o_orderkey").cast("int").alias("source_index"), F.lit("wos").alias("source_kind"), F.lit("ris").alias("source_format")]
     title = F.create_map(F.lit("TI"), F.array(F.col("o_orderkey").cast("string")))
     old = o.select(*base, "o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, title).otherwise(F.map_concat(title, F.create_map(F.lit("TC"), count))).alias("fields"))
-    new = o.where("o_orderkey % 2 = 0").select(*base[:2], F.map_concat(title, F.create_map(F.lit("TC"), count)).alias("fields"))
+    new = o.where("o_orderstatus = 'F'").select(*base[:2], F.map_concat(title, F.create_map(F.lit("TC"), count)).alias("fields"))
     return fill(old, new).select(F.col("o_orderkey").alias("record_key"), t.counted().alias("tc"))
 
 
@@ -537,16 +551,42 @@ def record_identities(spark, d):
     return lenses.documents(spark, d).select("record_key", t.record_id().alias("record_id"))
 
 
-@query(r"select page_id, regexp_replace(regexp_replace(lower(url), '^https?://(www\.)?', ''), '[/.]+$', '') as address from pages")
-def url_normalise(spark, d):
-    url = F.regexp_replace(t.fold(F.col("url")), r"^https?://(www\.)?", "")
-    return lenses.table(spark, d, "pages").select("page_id", F.regexp_replace(url, "[/.]+$", "").alias("address"))
+@query(r"select page_id, regexp_replace(trim(regexp_replace(lower(trim('https://doi.org/' || url || '..')), '^https://doi\.org/', '')), '\.+$', '') as doi from pages")
+def doi_prefixes(spark, d):
+    """Addresses with a resolver before them and full stops after them, as identifiers."""
+    return lenses.table(spark, d, "pages").select("page_id", t.normal_doi(F.concat(F.lit("https://doi.org/"), "url", F.lit(".."))).alias("doi"))
 
 
-@query("select conv_id, count(*) as turns, md5(string_agg(trim(text), ' ' order by turn, role, text)) as joined from conversations group by conv_id")
+@query(r"select conv_id, count(*) as turns, md5(trim(string_agg(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ' order by turn, role, text))) as joined from conversations group by conv_id")
 def continuation_join(spark, d):
-    rows = lenses.table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("s"))
-    return rows.select("conv_id", "turns", F.md5(F.array_join(F.transform("s", lambda x: F.trim(x["text"])), " ").cast("binary")).alias("joined"))
+    """Turns of a conversation as the lines that a tagged value goes on over, joined by the parser."""
+    line = F.trim(F.regexp_replace("text", r"\s+", " "))
+    rows = lenses.table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_sort(F.collect_list(F.struct("turn", "role", "text", line.alias("line")))).alias("s"))
+    rows = rows.select("conv_id", "turns", F.array_join(F.transform("s", lambda x: x["line"]), "\n   ").alias("value"))
+
+    def run(batches):
+        import hashlib
+
+        import pandas as pd
+
+        for b in batches:
+            joined = [formats.wos_block(f"AB {x}".split("\n"))["AB"][0] for x in b["value"]]
+            yield pd.DataFrame({"conv_id": b["conv_id"], "turns": b["turns"], "joined": [hashlib.md5(x.encode()).hexdigest() for x in joined]})
+
+    return rows.mapInPandas(run, f"conv_id {rows.schema['conv_id'].dataType.simpleString()}, turns long, joined string")
+
+
+@query("select n_nationkey, n_name, case when regexp_full_match(n_name, '[0-9]+') then n_name::bigint end as number, n_name as text from nation union all select event_id, event_id::varchar, event_id, null from events")
+def integer_or_text(spark, d):
+    nations = lenses.table(spark, d, "nation").select("n_nationkey", "n_name")
+    rows = nations.union(lenses.table(spark, d, "events").select("event_id", F.col("event_id").cast("string")))
+    return rows.select("n_nationkey", "n_name", t.integer_or_text(F.col("n_name")).alias("x")).select("n_nationkey", "n_name", "x.number", "x.text")
+
+
+@query("select event_id, case when trim(event_type) = '' then 0 else 1 end as n, trim(event_type) as first from events")
+def string_lists(spark, d):
+    rows = lenses.table(spark, d, "events").select("event_id", t.string_list(F.to_json(F.array(F.concat(F.lit(" "), "event_type"), F.lit("  ")))).alias("x"))
+    return rows.select("event_id", F.size("x").alias("n"), F.get("x", 0).alias("first"))
 
 
 @query(f"select record_key, case when di = '' then '' else lower(regexp_replace(di, '^https://doi\\.org/', '')) end as doi, py::int as py from ({DOCS})")
@@ -567,7 +607,10 @@ def spreadsheet_safe(spark, d):
 @query("select time_bucket(interval '1 day', ts) as day, event_type, count(*) as events from events group by all")
 def event_days(spark, d):
     """The tumbling windows of the streaming extension, over the whole table."""
-    return lenses.table(spark, d, "events").groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "event_type").agg(F.count("*").alias("events"))
+    from ..streaming.ingest import windowed_counts
+
+    events = lenses.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return windowed_counts(events, "ts", "1 day", "2 days", "event_type").select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "events")
 
 
 @query()
@@ -585,3 +628,45 @@ def parsed_exports(spark, d):
             yield pd.DataFrame({"record_key": b["record_key"], "title": [" ".join(f.get("TI", [])) for f in found], "tags": [len(f) for f in found]})
 
     return rows.mapInPandas(run, "record_key string, title string, tags int")
+
+
+#: How a record is written in each format: {key}, {title}, {year}, {doi}, {text} are columns.
+EXPORTS = {
+    "ris": "TY  - JOUR\nTI  - {title}\nAU  - A, {key}\nAU  - B, C\nPY  - {year}/05\nDO  - {doi}.\nAB  - {text}\nER  - \n",
+    "pubmed_nbib": "PMID- {key}\nTI  - {title}\nAU  - A, {key}\nAU  - B, C\nDP  - {year} Jan\nAID - {doi} [doi]\nAB  - {text}\n",
+    "refworks": "RT Journal Article\nT1 {title}\nA1 A, {key};B, C\nYR {year}\nDO {doi}\nAB {text}\n",
+    "bibtex": "@article{{k{key},\n title = {{{title}}},\n author = \"A, {key} and B, C\",\n year = {year},\n doi = {{{doi}}},\n abstract = {{{text}}}\n}}\n",
+    "scopus_plain": "Scopus\nEXPORT DATE: 1 May 2024\n\nA, {key}; B, C\n{title}\n({year}) Journal, 5 (2)\nDOI: {doi}\nABSTRACT: {text}\nEID: {key}\n",
+    "wos_tsv": "PT\tAU\tTI\tPY\tDI\tAB\tUT\nJ\tA, {key}; B, C\t{title}\t{year}\t{doi}\t{text}\tWOS:{key}\n",
+    "scopus_csv": "Authors,Title,Year,DOI,Abstract,EID\n\"A, {key}; B, C\",{title},{year},{doi},\"{text}\",{key}\n",
+    "pubmed_csv": "PMID,Title,Authors,Publication Year,DOI\n{key},{title},\"A, {key}; B, C\",{year},{doi}\n",
+}
+#: A text on one line, without what a format gives a meaning to.
+_ONE_LINE = r"trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g'))"
+
+
+@query(f"""with x as (select doc_id, {_ONE_LINE} txt from documents), f as (select unnest([{", ".join(f"'{n}'" for n in EXPORTS)}]) format)
+    select format, doc_id as record_key, 'Title of ' || doc_id as title, case when format = 'scopus_plain' then 'A, ' || doc_id || '; B, C' else 'A, ' || doc_id || '|B, C' end as authors, (2000 + doc_id % 20)::varchar as year, '10.1234/d.' || doc_id as doi,
+    case when format = 'pubmed_csv' then '' else md5(txt) end as text_md5 from x, f""")
+def parsed_formats(spark, d):
+    """Every document written in each export format and parsed again, its whole text as the abstract."""
+    key = F.col("doc_id").cast("string")
+    columns = {"key": key, "title": F.concat(F.lit("Title of "), key), "year": (2000 + F.col("doc_id") % 20).cast("string"), "doi": F.concat(F.lit("10.1234/d."), key), "text": F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9]+", " "))}
+    docs = lenses.table(spark, d, "documents").select("doc_id", *[c.alias(n) for n, c in columns.items()])
+    rows = docs.withColumn("format", F.explode(F.array(*[F.lit(n) for n in EXPORTS])))
+
+    def run(batches):
+        import hashlib
+
+        import pandas as pd
+
+        for b in batches:
+            out = []
+            for r in b.itertuples():
+                found = formats.parse(EXPORTS[r.format].format(key=r.key, title=r.title, year=r.year, doi=r.doi, text=r.text).encode())
+                (fields, _), = found.records
+                value = "".join(fields.get("AB", []))
+                out.append((found.format, r.doc_id, "".join(fields["TI"]), "|".join(fields["AU"]), "".join(fields["PY"]), "".join(fields["DI"]), "" if r.format == "pubmed_csv" else hashlib.md5(value.encode()).hexdigest()))
+            yield pd.DataFrame(out, columns=["format", "record_key", "title", "authors", "year", "doi", "text_md5"])
+
+    return rows.mapInPandas(run, "format string, record_key long, title string, authors string, year string, doi string, text_md5 string")

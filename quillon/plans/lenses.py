@@ -43,12 +43,11 @@ def terms(spark: SparkSession, d: str, dimension: str, distinct: bool = True) ->
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as records with fields, one file a source."""
+    """Documents as records with fields, one file a source: the first line is the title, identifiers are digests."""
     text = F.col("text")
-    plain = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "")
     fields = {
-        "TI": F.substring(text, 1, 40), "PY": (F.lit(2000) + F.col("doc_id") % 5).cast("string"), "AU": F.concat("lang", F.lit(", X")), "SO": F.col("source"), "AB": text, "LA": F.col("lang"),
-        "DI": F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("https://doi.org/10.1/"), F.substring(plain, 1, 12), (F.col("doc_id") % 2).cast("string"))), "UT": F.when(F.col("doc_id") % 3 != 1, F.concat(F.lit("U:"), F.right(plain, F.lit(12)))),
+        "TI": F.substring_index(text, "\n", 1), "PY": (F.lit(2000) + F.col("doc_id") % 5).cast("string"), "AU": F.concat("lang", F.lit(", X")), "SO": F.col("source"), "AB": text, "LA": F.col("lang"),
+        "DI": F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("https://doi.org/10.1/"), F.md5(text.cast("binary")), (F.col("doc_id") % 2).cast("string"))), "UT": F.when(F.col("doc_id") % 3 != 1, F.concat(F.lit("U:"), F.md5(F.substring_index(text, "\n", 1).cast("binary")))),
         "TC": F.when(F.col("doc_id") % 4 != 0, F.col("n_chars").cast("string")),
     }
     pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.array(v).alias("v")) for k, v in fields.items()])

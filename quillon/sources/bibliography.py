@@ -83,6 +83,10 @@ def read_bibliography(spark: SparkSession, paths: list[str], strict: bool = Fals
     )
     if strict and (bad := summary.where("error is not null").first()) is not None:
         raise formats.FormatError(f"{bad.path}: {bad.error}")
+    if summary.where("error is null").isEmpty():
+        bad = summary.orderBy("path").first()
+        parsed.unpersist()
+        raise formats.FormatError(f"none of the files can be used{f'; {bad.path}: {bad.error}' if bad else ''}")
     position = spark.createDataFrame([(p.split(":", 1)[-1].lstrip("/"), k) for k, p in enumerate(paths)], "_p string, _k long")
     tail = F.regexp_replace(F.regexp_replace("source_file", "^[a-z]+:", ""), "^/+", "")
     rows = parsed.where("source_index > 0").join(F.broadcast(position), tail == F.col("_p"), "left")

@@ -144,6 +144,12 @@ def write_csv(df: DataFrame, path: str) -> str:
     return write_file(df.sparkSession, path, "﻿" + out.getvalue())
 
 
+def plot_rows(series: DataFrame, x: str, *values: str, names: dict[str, str] | None = None) -> DataFrame:
+    """What a chart draws as a table: x, then its values under their shown names, in the order of x."""
+    shown = names or {}
+    return series.orderBy(x).select(F.col(x).alias(shown.get(x, x)), *[F.col(v).alias(shown.get(v, v)) for v in values])
+
+
 def write_pairs(pairs: DataFrame, path: str) -> str:
     lines = [f"{r.target}\t{r.variant}\n" for r in pairs.select("target", "variant").orderBy("target", "variant").toLocalIterator()]
     return write_file(pairs.sparkSession, path, "".join(lines))

@@ -462,3 +462,71 @@ def test_import_stats(spark):
     files = spark.createDataFrame([("wos", None), ("wos", "broken")], "source string, error string")
     r = spark.createDataFrame([("wos",), ("wos",)], "source_kind string")
     assert json.loads(metrics.import_stats(files, r, r.limit(1)).toJSON().first()) == {"source": "wos", "uploaded": 2, "success": 1, "failed": 1, "records": 2, "retained": 1, "deduped": 1}
+
+
+def test_small_operators(spark):
+    from quillon.operators import filters, screening
+    from quillon.sources import sinks
+
+    df = spark.createDataFrame([(" 12 ", '[" a", "", "b"]'), ("x1", "plain"), (None, None), ("99999999999999999999", "[broken")], "c string, l string")
+    got = df.select(t.integer_or_text(F.col("c")).alias("x"), t.string_list(F.col("l")).alias("l")).collect()
+    assert [(r.x.number, r.x.text, list(r.l)) for r in got] == [(12, None, ["a", "b"]), (None, "x1", ["plain"]), (None, None, []), (None, "99999999999999999999", ["[broken"])]
+    titles = spark.createDataFrame([("“ﬁne”",), ("Straße",)], "c string").select(t.title_sort_key(F.col("c")).alias("k")).collect()
+    assert [r.k for r in titles] == ["fine”", "strasse"]
+    results = spark.createDataFrame([(1, "uncertain", 0.2), (2, "uncertain", None), (3, "relevant", 0.9)], "record_id int, decision string, confidence double")
+    ids = lambda *n: spark.createDataFrame([(k,) for k in n], "record_id int")
+    assert [r.record_id for r in screening.restored_draft(ids(1, 2), ids(2, 3), results).collect()] == [2]
+    assert screening.restored_draft(ids(1), ids(1), results).count() == 0
+    assert [r.record_id for r in screening.sorted_review(results).collect()] == [3, 1, 2]
+    meta = {"generation": 1, "start_year": 2000, "end_year": None}
+    assert filters.restorable(meta, meta, results, ids(1, 2, 3)) and not filters.restorable(meta, meta, results, ids(1, 2)) and not filters.restorable(meta, {**meta, "generation": 2}, results, ids(1, 2, 3))
+    assert sinks.plot_rows(spark.createDataFrame([(2, 5), (1, 4)], "x int, y int"), "x", "y", names={"y": "papers"}).collect()[0].asDict() == {"x": 1, "papers": 4}
+
+
+def test_reviews_by_kind_and_members(spark):
+    groups = lambda *sets: spark.createDataFrame([(f"g{k}", list(s), "pending", False) for k, s in enumerate(sets)], "group_id string, record_keys array<string>, status string, doi_conflict boolean")
+    before = groups(["a", "b"]).withColumn("status", F.lit("ignored"))
+    after = groups(["b", "a"], ["c", "d"])
+    assert dedupe.needs_new_review(before, after) and not dedupe.needs_new_review(before, groups(["b", "a"]))
+    assert dedupe.needs_new_review(before, after, "journals", "journal") and not dedupe.needs_new_review(before, after, "journals", "loose") and not dedupe.needs_new_review(before, after, "keywords", "journal")
+    keys = spark.createDataFrame([(k,) for k in "abc"], "record_key string")
+    assert dedupe.auto_review(groups(["a", "b"]), keys).first().status == "deduped"
+    with pytest.raises(ValueError, match="isn't among"):
+        dedupe.auto_review(after, keys)
+
+
+def test_provenance_and_halving(spark):
+    pairs = spark.createDataFrame([("b", "x"), ("A", "y")], "target string, variant string")
+    got = vocabulary.with_provenance(pairs, spark.createDataFrame([("a", "Y", "same")], "target string, variant string, reason string")).collect()
+    assert [(r.target, r.ai, r.ai_reason) for r in got] == [("A", True, "same"), ("b", False, None)]
+    s = spark.createDataFrame([("one", "ones"), ("two", "twos"), ("cancer", "lung cancer")], "target string, variant string")
+    good, bad = vocabulary.stage_and_accept(s, spark.createDataFrame([], "key string, target string"), lambda own: ("two", "twos") not in own)
+    assert [r.variant for r in good.collect()] == ["ones"] and {(r.variant, r.verdict) for r in bad.collect()} == {("twos", "invalid"), ("lung cancer", "scope")}
+
+
+def test_clients_are_asked_again(spark):
+    from quillon.operators import screening
+
+    def client(row, plan):
+        if row["n"] == 400:
+            raise screening.AnswerError("bad request", 400)
+        if row["n"] == 503:
+            raise screening.AnswerError("busy", 503)
+        if row["n"] == 1 and plan["tokens"] < 4000:
+            raise screening.AnswerError("cut off", truncated=True)
+        return {"decision": "relevant", "confidence": 1}
+
+    df = spark.createDataFrame([("a", 0), ("b", 1), ("c", 400), ("d", 503)], "record_id string, n int")
+    got = {r.record_id: (r.decision, r.error) for r in screening.classify(df, client, tasks=2, wait=0.01).collect()}
+    assert got == {"a": ("relevant", ""), "b": ("relevant", ""), "c": ("uncertain", "bad request"), "d": ("uncertain", "busy")}
+    assert [screening.back_off(k) for k in (1, 2, 3, 9)] == [1, 2, 4, 30]
+
+
+def test_import_of_nothing_usable(spark, tmp_path):
+    from quillon.sources.bibliography import read_bibliography
+    from quillon.sources.formats import FormatError
+
+    for n in (1, 2):
+        (tmp_path / f"{n}.txt").write_text("no format")
+    with pytest.raises(FormatError, match="none of the files"):
+        read_bibliography(spark, [f"file://{tmp_path}/1.txt", f"file://{tmp_path}/2.txt"])
