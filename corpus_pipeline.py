@@ -29,8 +29,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null ids, repeated rows and columns of any name stay; of an empty table nothing is learned and nothing kept.
     """
     model = language_id.fit_language_model(docs.where(~language_id.held_out("doc_id")))
-    found = language_id.with_language(docs, model, pred_col="_lang_pred", score_col="_score")
-    return found.where("_lang_pred <> 'und'").select(*docs.columns)
+    found = language_id.with_language(docs, model, pred_col="_quillon_lang", score_col="_quillon_score")
+    return found.where("_quillon_lang <> 'und'").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,12 +49,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ids that go and the ids that repeat are joined with the documents, whose texts are shuffled only if those are many.
     """
     groups = jaccard_join.jaccard_components(docs)
-    gone = groups.groupBy("doc_id").agg(F.max(F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("stays")).where("not stays").select(F.col("doc_id").alias("_id"))
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
-    often = docs.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
-    same = left["doc_id"].eqNullSafe(F.col("_id"))
-    once = left.join(often, same, "left_semi").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"])
-    return left.join(often, same, "left_anti").unionByName(once.drop("_h"))
+    gone = groups.groupBy("doc_id").agg(F.max(F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("stays")).where("not stays").select(F.col("doc_id").alias("_quillon_id"))
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_quillon_id")), "left_anti")
+    often = docs.groupBy(F.col("doc_id").alias("_quillon_id")).count().where("count > 1").select("_quillon_id")
+    same = left["doc_id"].eqNullSafe(F.col("_quillon_id"))
+    once = left.join(often, same, "left_semi").withColumn("_quillon_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_quillon_h"])
+    return left.join(often, same, "left_anti").unionByName(once.drop("_quillon_h"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

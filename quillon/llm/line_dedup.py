@@ -110,16 +110,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     which comes first. Null texts stay null, with no lines; null ids come first. Existing columns of the names
     that are added are replaced; all others and all rows stay.
     """
-    gone = later_copies(docs, id_col, text_col, min_words).select(F.col("doc.id").alias("_id"), F.col("doc.h").alias("_h"), F.col("lines").alias("_gone"))
+    gone = later_copies(docs, id_col, text_col, min_words).select(F.col("doc.id").alias("_quillon_id"), F.col("doc.h").alias("_quillon_h"), F.col("lines").alias("_quillon_gone"))
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    rows = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_deleted", "deleted")]).withColumn("_h", F.xxhash64(text))
-    rows = rows.join(gone.withColumnRenamed("_h", "_h2"), (rows[id_col].eqNullSafe(F.col("_id"))) & (rows["_h"] == F.col("_h2")), "left").drop("_id", "_h", "_h2")
+    rows = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_deleted", "deleted")]).withColumn("_quillon_h", F.xxhash64(text))
+    rows = rows.join(gone.withColumnRenamed("_quillon_h", "_quillon_h2"), (rows[id_col].eqNullSafe(F.col("_quillon_id"))) & (rows["_quillon_h"] == F.col("_quillon_h2")), "left").drop("_quillon_id", "_quillon_h", "_quillon_h2")
     lines = F.split(F.col(text_col).cast("string"), "\n", -1)
-    clean = F.expr(f"transform(array(split(cast(`{text_col}` as string), '\\n', -1)), ls -> array_join(transform(array_except(sequence(0, size(ls) - 1), _gone), i -> ls[i]), '\\n'))[0]")
+    clean = F.expr(f"transform(array(split(cast(`{text_col}` as string), '\\n', -1)), ls -> array_join(transform(array_except(sequence(0, size(ls) - 1), _quillon_gone), i -> ls[i]), '\\n'))[0]")
     clean = F.when(clean.rlike(r"[^ \t\r\f\n]"), clean).otherwise("")
     rows = rows.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"))
-    rows = rows.withColumn("n_deleted", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    return rows.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(clean)).withColumnRenamed("_gone", "deleted")
+    rows = rows.withColumn("n_deleted", F.coalesce(F.size("_quillon_gone"), F.lit(0)).cast("long"))
+    return rows.withColumn(text_col, F.when(F.col("_quillon_gone").isNull(), F.col(text_col)).otherwise(clean)).withColumnRenamed("_quillon_gone", "deleted")
 
 
 def ranges(lines: str) -> str:

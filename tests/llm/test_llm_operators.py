@@ -657,3 +657,45 @@ def test_pipeline_stages(spark):
     assert ids["near_duplicates"] == ids["lines"] - {30} == ids["personal_data"] == ids["pack"]
     assert "[EMAIL]" in {r.doc_id: r.text for r in seen["personal_data"]}[35]
     assert all(r.n_chars == len(r.text) for r in seen["personal_data"])
+
+
+def test_pipeline_on_odd_tables(spark):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars int, _h string, _id long, n_lines int, cls string, spans string, lang_pred string, score string, id string, n string"
+    more = ("h", 7, 1, "c", "s", "p", "q", "i", "n")
+    prose = "the thing and the word under the bridge near the river with a long story about nothing much at all today"
+    rows = [(1, prose, "en", "s", 5, *more), (1, prose, "en", "s", 5, *more), (2, None, None, None, None, *more), (3, "", "en", None, 0, *more), (None, prose + " indeed", "en", "s", 9, *more), (5, "x " * 3000, "en", "s", 6000, *more), (6, "der Fluss und die Brücke " * 9, "de", "s", 1, *more)]
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        kept = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = corpus_pipeline.stored(stage(spark, docs, ""), name)
+            if name != "pack":
+                assert out.columns == docs.columns, name
+                assert {r._h for r in out.collect()} <= {"h"} and {r._id for r in out.collect()} <= {7}
+            docs = out
+        assert (docs.count() > 0) == (kept > 0)
+        if kept:
+            assert {1, 5, 6} == {r.doc_id for r in docs.collect()} - {None}
+
+
+def test_png_is_read_by_other_means():
+    import struct
+
+    for data in (b"", b"abc", "é日".encode() * 700):
+        payload = media.padded(data)
+        image = media.png(payload)
+        assert image[:8] == b"\x89PNG\r\n\x1a\n"
+        at, idat, header = 8, b"", None
+        while at < len(image):
+            n, kind = struct.unpack(">I4s", image[at : at + 8])
+            body = image[at + 8 : at + 8 + n]
+            assert struct.unpack(">I", image[at + 8 + n : at + 12 + n])[0] == zlib.crc32(kind + body)
+            header = body if kind == b"IHDR" else header
+            idat += body if kind == b"IDAT" else b""
+            at += 12 + n
+        width, height, depth, colour = struct.unpack(">IIBB", header[:10])
+        channels = {0: 1, 2: 3}[colour]
+        raw, stride = zlib.decompress(idat), 1 + width * channels
+        assert depth == 8 and len(raw) == height * stride and all(raw[k * stride] == 0 for k in range(height))
+        assert b"".join(raw[k * stride + 1 : (k + 1) * stride] for k in range(height)) == payload
