@@ -3,13 +3,16 @@
 Blank lines aside, a document is a sequence of line ids. Lines that occur once end every repeat, so only stretches of
 repeated lines enter the suffix array. It is built by distributed prefix doubling: from the ranks of suffixes by their
 first m lines come those by their first 2m, by ranking the distinct pairs (rank here, rank m lines on) that occur more
-than once with a distributed sort. Suffixes of equal rank at a depth are the intervals of the array in which the
-longest common prefix has at least that depth.
+than once with a distributed sort, until all ranks are unique or the documents have ended. Suffixes of equal rank at a
+depth are the intervals of the array in which the longest common prefix has at least that depth.
 
 A run repeats if it has at least `min_words` words and stands elsewhere too, in the same document or another. Every
-line of each later copy (by id, then line) of every maximal repeat is deleted. Each such line lies in a shortest run
-of `min_words` words that begins or one that ends in the copy, so only these shortest runs, whose intervals come from
-two overlapping ranks of the array, have to be looked up: doubling ends at their length.
+line of each later copy (by id, then line) of every maximal repeat is deleted. A later copy of n lines is the union of its
+first and its last m lines, m the largest power of two up to n, and both are later members of intervals of depth m. So
+of each interval of at least `min_words` lines all members but the first reach m lines on, and what such members reach
+together are the maximal repeats of that length. Shorter ones have a few lines of few words each: there the shortest
+runs of `min_words` words from and up to each line are looked up by two overlapping ranks, those that lie inside a longer
+repeat left out. Time and rows grow with the repeated lines, also in very long texts.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import stored
+from ._shared import freed, stored
 
 
 def dense_ranks(groups: DataFrame, columns: list[str], name: str) -> DataFrame:
@@ -49,57 +52,89 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.join(dense_ranks(often, ["key"], "line_ids"), "key").drop("key").distinct()
 
 
-def suffix_ranks(suffixes: DataFrame, depth: int) -> list[tuple[int, DataFrame]]:
-    """[(m, rows (doc, k, rank))] for m = 1, 2, 4 ... up to `depth`: the suffixes' order by their first m lines.
+def suffix_ranks(suffixes: DataFrame) -> list[tuple[int, DataFrame]]:
+    """[(m, rows (doc, k, rank))] for m = 1, 2, 4 ...: the suffix array's order by the first m lines, to its end.
 
-    Suffixes that no other equals in m lines, or with fewer lines before one that is not repeated, aren't in it.
+    Suffixes that no other equals in m lines, or with fewer lines before one that is not repeated, aren't in it; doubling
+    ends when that holds for all: ranks are unique then, or the documents have ended.
     """
     levels, m = [(1, suffixes.select("doc", "k", "rank"))], 1
-    while 2 * m <= depth:
+    while True:
         w = Window.partitionBy("doc").orderBy("k")
         at = levels[-1][1]
         # the suffix m lines on, if it is in the array, is at most m rows on
         pairs = at.select("doc", "k", F.col("rank").alias("a"), F.max(F.struct("k", "rank")).over(w.rangeBetween(m, m)).alias("on")).where("on is not null").select("doc", "k", "a", F.col("on.rank").alias("b"))
         pairs = stored(pairs, f"pairs_{2 * m}")
         often = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        ranks = dense_ranks(often, ["a", "b"], f"ranks_{2 * m}")
         m *= 2
-        levels.append((m, stored(pairs.join(dense_ranks(often, ["a", "b"], f"ranks_{m}"), ["a", "b"]).select("doc", "k", "rank"), f"suffixes_{m}")))
-    return levels
+        level = stored(pairs.join(ranks, ["a", "b"]).select("doc", "k", "rank"), f"suffixes_{m}")
+        freed(pairs)
+        if level.isEmpty():
+            return levels
+        levels.append((m, level))
+
+
+def _later(intervals: DataFrame, by: list[str], reach: str) -> DataFrame:
+    """(doc, k, reach): of each interval (rows equal in `by`) all members but the first by document and line."""
+    first = intervals.groupBy(*by).agg(F.min(F.struct("doc", "k")).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    first = stored(first, "firsts")  # so that the join has a shuffle of its own, whose large partitions can be split
+    return intervals.join(first, by).where(F.struct("doc", "k") > F.col("first")).select("doc", "k", F.expr(reach).cast("long").alias("reach"))
+
+
+def _covered(suffixes: DataFrame, later: DataFrame) -> DataFrame:
+    """Adds `cover` to suffixes: up to which line (exclusive) runs that begin here or before reach."""
+    reach = later.groupBy("doc", "k").agg(F.max("reach").alias("reach"))
+    w = Window.partitionBy("doc").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    return suffixes.join(reach, ["doc", "k"], "left").withColumn("cover", F.coalesce(F.max("reach").over(w), F.lit(0).cast("long"))).drop("reach")
 
 
 def _shortest_runs(suffixes: DataFrame, min_words: int) -> DataFrame:
-    """doc, k, n: the shortest runs of `min_words` words of repeated lines from every line on and up to every line."""
+    """doc, k, n: the shortest runs of `min_words` words of repeated lines from every line on and up to every line.
+
+    Runs inside a longer one that is a later copy (`cover`) are left out: they are no first copies, and decided on.
+    """
     w = Window.partitionBy("doc").orderBy("k")
     stretch = suffixes.withColumn("first", F.col("k") - F.row_number().over(w))
-    stretch = stretch.groupBy("doc", "first").agg(F.sort_array(F.collect_list(F.struct("k", "words"))).alias("s"))
+    stretch = stretch.groupBy("doc", "first").agg(F.sort_array(F.collect_list(F.struct("k", "words", "cover"))).alias("s"))
     # a line has a word at least, so a run has at most min_words lines
-    sums = f"""transform(s, (x, i) -> struct(x.k as k, size(s) - i as left, i as i,
+    sums = f"""transform(s, (x, i) -> struct(x.k as k, x.cover as cover, i as i,
         aggregate(slice(s, i + 1, {min_words}), struct(0 as n, 0 as words), (a, y) -> if(a.words >= {min_words}, a, struct(a.n + 1 as n, a.words + y.words as words))) as on,
         aggregate(reverse(slice(s, greatest(1, i - {min_words} + 2), least(i + 1, {min_words}))), struct(0 as n, 0 as words), (a, y) -> if(a.words >= {min_words}, a, struct(a.n + 1 as n, a.words + y.words as words))) as back))"""
-    runs = f"flatten(transform({sums}, x -> filter(array(struct(x.k as k, x.on.n as n, x.on.words as words), struct(x.k - x.back.n + 1 as k, x.back.n as n, x.back.words as words)), r -> r.words >= {min_words})))"
+    both = "array(struct(x.k as k, x.on.n as n, x.on.words as words, x.cover as cover), struct(x.k - x.back.n + 1 as k, x.back.n as n, x.back.words as words, s[x.i - x.back.n + 1].cover as cover))"
+    runs = f"flatten(transform({sums}, x -> filter({both}, r -> r.words >= {min_words} and r.cover < r.k + r.n)))"
     return stretch.select("doc", F.explode(F.array_distinct(F.expr(f"transform({runs}, r -> struct(r.k as k, r.n as n))"))).alias("r")).select("doc", "r.k", "r.n")
 
 
 def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
     """doc and lines (array of line numbers from 0): what line dedup deletes; documents that keep all lines are left out."""
     suffixes = stored(repeated_lines(docs, id_col, text_col), "suffixes")
-    runs = stored(_shortest_runs(suffixes, min_words), "runs")
-    depth = runs.agg(F.max("n")).first()[0]
-    if depth is None:
-        return runs.select("doc", F.array(F.lit(0)).alias("lines")).limit(0)
-    named = None
-    for m, level in suffix_ranks(suffixes, depth):
-        # runs of m to 2m - 1 lines: the ranks of their first m and their last m lines
-        own = runs.where(F.col("n").between(m, 2 * m - 1))
-        last = level.select("doc", F.col("k").alias("tail"), F.col("rank").alias("b"))
-        own = own.join(level.withColumnRenamed("rank", "a"), ["doc", "k"]).withColumn("tail", F.col("k") + F.col("n") - m).join(last, ["doc", "tail"]).select("doc", "k", "n", "a", "b")
-        named = own if named is None else named.unionByName(own)
-    named = stored(named, "intervals")
-    first = named.groupBy("n", "a", "b").agg(F.min(F.struct("doc", "k")).alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    first = stored(first, "firsts")  # so that the join has a shuffle of its own, whose large partitions can be split
-    later = named.join(first, ["n", "a", "b"]).where(F.struct("doc", "k") > F.col("first"))
-    gone = later.select("doc", F.explode(F.expr("sequence(k, k + n - 1)")).alias("k")).distinct()
-    return gone.join(suffixes.select("doc", "k", "line"), ["doc", "k"]).groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    levels = suffix_ranks(suffixes)
+    # intervals of at least min_words lines, so of as many words: later copies reach as far as their deepest one
+    deep = [_later(level, ["rank"], f"k + {m}") for m, level in levels if m >= min_words]
+    none = suffixes.select("doc", "k", F.lit(0).cast("long").alias("reach")).limit(0)
+    long_runs = stored(_union([none, *deep]), "long_runs")
+    covered = stored(_covered(suffixes, long_runs), "covered")
+    runs = stored(_shortest_runs(covered, min_words), "runs")
+    named = [runs.limit(0).select("doc", "k", "n", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))]
+    for m, level in levels:
+        if m <= min_words:
+            # runs of m to 2m - 1 lines: the ranks of their first m and their last m lines
+            level = level.withColumn("rank", F.col("rank").cast("long"))
+            own = runs.where(F.col("n").between(m, 2 * m - 1))
+            last = level.select("doc", F.col("k").alias("tail"), F.col("rank").alias("b"))
+            own = own.join(level.withColumnRenamed("rank", "a"), ["doc", "k"]).withColumn("tail", F.col("k") + F.col("n") - m).join(last, ["doc", "tail"]).select("doc", "k", "n", "a", "b")
+            named.append(own)
+    short_runs = _later(stored(_union(named), "intervals"), ["n", "a", "b"], "k + n")
+    found = _covered(suffixes, long_runs.unionByName(short_runs)).where("cover > k")
+    return found.groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for df in tables[1:]:
+        out = out.unionByName(df)
+    return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
