@@ -151,7 +151,7 @@ def _postings(rows: DataFrame, frequent: np.ndarray, t: int, buckets: int, seed:
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
-        known = shared.value
+        known, ranks, homes = (np.ascontiguousarray(shared.value[x]) for x in ("s", "rank", "p"))
         for batch in batches:
             for part in byte_batches(batch):
                 rare, rare_owner, pairs, seen = [], [], [], set()
@@ -161,14 +161,14 @@ def _postings(rows: DataFrame, frequent: np.ndarray, t: int, buckets: int, seed:
                         continue
                     seen.add(key)
                     m = prefix_length(len(s), t)
-                    at = np.minimum(np.searchsorted(known["s"], s), max(len(known) - 1, 0))
-                    often = known["s"][at] == s if len(known) else np.zeros(len(s), bool)
+                    at = np.minimum(np.searchsorted(known, s), max(len(known) - 1, 0))
+                    often = known[at] == s if len(known) else np.zeros(len(s), bool)
                     first = s[~often][:m]
                     rare.append(first)
                     rare_owner.append((key, len(first)))
                     if len(first) < m:
-                        held = known[at[often]]
-                        regions = np.unique(held["p"][np.argsort(held["rank"], kind="stable")][: m - len(first)])
+                        held = at[often]
+                        regions = np.unique(homes[held[np.argsort(ranks[held], kind="stable")][: m - len(first)]])
                         pairs.append(np.stack([regions, np.full(len(regions), key, np.int64)], axis=1))
                 if rare and sum(n for _, n in rare_owner):
                     s, owner = np.concatenate(rare), np.repeat(np.array([k for k, _ in rare_owner], np.int64), [n for _, n in rare_owner])
