@@ -92,6 +92,20 @@ def sorted_groups(batches, keys: list[str]):
         yield held, rows
 
 
+def release_memory() -> None:
+    """Gives what this process's allocators hold and don't use back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
 def released(run):
     """`run` of a mapInArrow that gives its memory back to the system when the task ends.
 
@@ -100,16 +114,7 @@ def released(run):
 
     def wrapped(batches):
         yield from run(batches)
-        import ctypes
-        import gc
-
-        import pyarrow as pa
-
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
-        if trim is not None:
-            trim(0)
+        release_memory()
 
     return wrapped
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from ._shared import released
+from ._shared import release_memory, released
 
 
 BITS = 15
@@ -159,7 +159,10 @@ def fit_language_model(labelled: DataFrame, id_col: str = "doc_id", text_col: st
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
     found = found.withColumn("nth", nth).where(F.col("nth") <= 2 * per_language).drop("nth").collect()
     rows_ = [(r.lang, np.frombuffer(r.f, np.int32), np.frombuffer(r.n, np.float32)) for r in sorted(found, key=lambda r: (r.key, r.lang))]
-    return train(rows_) if rows_ else None
+    model = train(rows_) if rows_ else None
+    del found, rows_
+    release_memory()  # the driver's
+    return model
 
 
 def with_language(docs: DataFrame, model: Model | None, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
