@@ -5,8 +5,7 @@ so the search runs on the driver over a bounded histogram. Incumbents are the be
 wasteful filling around each largest length. While an incumbent has more sequences than the lower bound (the tokens,
 and the waste beside large items), a depth-first search goes on: it takes the largest length left, enumerates the
 undominated fillings of the space beside it, and leaves a branch when its waste, or the bound of what is left, can't
-beat the incumbent. Many equal sequences are filled at a time; the last `SINGLE` are filled one by one, where all
-alternatives are tried. Pieces then find their place by their rank among the pieces of their length, which needs no
+beat the incumbent. It searches the incumbent's `SINGLE` most wasteful sequences anew. Pieces then find their place by their rank among the pieces of their length, which needs no
 sort: a task numbers its own, and tasks' offsets are summed.
 """
 
@@ -30,7 +29,7 @@ from .token_counts import tokenizer
 
 #: Steps in the search for one filling, of the incumbent by least waste; of the whole search beyond the incumbents.
 NODES, SEARCH = 4000, 200_000
-#: Sequences from which on several equal ones are filled at a time.
+#: Sequences that the search fills anew.
 SINGLE = 48
 
 
@@ -153,11 +152,30 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[list[int],
 def fillings(histogram: dict[int, int], capacity: int, search: int = SEARCH) -> list[tuple[list[int], int]]:
     """(lengths in one sequence, number of such sequences), as few sequences as found; all items are used up.
 
-    The number is least if it equals `lower_bound`, or if the search ends by itself before `search` steps and at most
-    SINGLE sequences were to fill. Otherwise the best found so far is taken.
+    The better of two incumbents; where it doesn't meet `lower_bound`, its SINGLE most wasteful sequences are searched anew,
+    `search` steps at most, so the search's memory is bounded too. With no more sequences than that and a search
+    that ends by itself, the number is the least.
     """
     size = lambda packing: sum(times for _, times in packing)
     best = min((best_fit(histogram, capacity), least_waste(histogram, capacity)), key=size)
+    if size(best) <= lower_bound(histogram, capacity):
+        return best
+    kept, tail, left = [], [], SINGLE
+    for items, times in sorted(best, key=lambda f: sum(f[0])):
+        n = min(times, left)
+        left -= n
+        tail += [(items, n)] * (n > 0)
+        kept += [(items, times - n)] * (times > n)
+    rest: Counter = Counter()
+    for items, n in tail:
+        for x in items:
+            rest[x] += n
+    return kept + _search(dict(rest), capacity, tail, search)
+
+
+def _search(histogram: dict[int, int], capacity: int, best: list[tuple[list[int], int]], search: int) -> list[tuple[list[int], int]]:
+    """Depth-first bin completion from the incumbent `best`."""
+    size = lambda packing: sum(times for _, times in packing)
     bound, total, steps = lower_bound(histogram, capacity), sum(x * n for x, n in histogram.items()), [search]
     counts = {x: n for x, n in histogram.items() if n}
     path: list[tuple[list[int], int]] = []  # what the branch has filled
@@ -190,8 +208,7 @@ def fillings(histogram: dict[int, int], capacity: int, search: int = SEARCH) ->
                 waste -= times * (capacity - sum(items))
             continue
         items, spare = step
-        left = lower_bound(counts, capacity)
-        times = _used_up(items, counts, None if left > SINGLE else 1)
+        times = _used_up(items, counts, 1)
         path.append((sorted(items, reverse=True), times))
         waste += times * spare
         rest = lower_bound({x: n for x, n in counts.items() if n}, capacity)
