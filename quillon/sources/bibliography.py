@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import RECORD_SCHEMA, with_key
-from . import formats
+from ..session import checkpoint_folder
+from . import formats, tagged_scan
+from .tagged_scan import PARSED
 
 DEFAULT_HEADER = "FN Clarivate Web of Science\nVR 1.0"
-_PARSED = "source_file string, source_index int, source_kind string, source_format string, raw_block string, fields map<string, array<string>>, header string, warning string, error string"
 
 
 @dataclass
@@ -62,22 +65,35 @@ def _parse_file(path: str, content: bytes) -> list[tuple]:
     return rows + [(path, k, parsed.source, parsed.format, raw, f, *blank) for k, (f, raw) in enumerate(parsed.records, 1)]
 
 
-def read_bibliography(spark: SparkSession, paths: list[str], strict: bool = False) -> Import:
-    """Reads export files of any known format. A file is parsed by one task; broken files become rows of `files`.
-
-    With `strict` an unreadable file raises. `ord` follows the order of `paths`, then the place in the file.
-    """
-    if not paths:
-        raise formats.FormatError("no file to read")
-    raw = spark.read.format("binaryFile").load(paths).select("path", "content")
-
+def _whole_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     def run(batches):
         names = ["source_file", "source_index", "source_kind", "source_format", "raw_block", "fields", "header", "warning", "error"]
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
                 yield pd.DataFrame(_parse_file(path, bytes(content)), columns=names)
 
-    parsed = raw.mapInPandas(run, _PARSED).persist()
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, PARSED)
+
+
+#: Files of tagged text that are longer are read by many tasks.
+SPLIT_OVER = 64 << 20
+
+
+def read_bibliography(spark: SparkSession, paths: list[str], strict: bool = False, split_over: int = SPLIT_OVER) -> Import:
+    """Reads export files of any known format; broken files become rows of `files`.
+
+    A file is parsed by one task, but tagged text (Web of Science, RIS, NBIB, RefWorks) of more than `split_over` bytes by
+    as many as Spark cuts it into, with the same records, numbers and warnings. With `strict` an unreadable file raises.
+    `ord` follows the order of `paths`, then the place in the file. What was parsed is a checkpoint.
+    """
+    if not paths:
+        raise formats.FormatError("no file to read")
+    checkpoint_folder(spark)
+    listed = spark.read.format("binaryFile").load(paths).select("path", "length").collect()  # contents aren't read
+    large = tagged_scan.tagged_files(spark, [r.path for r in listed if r.length > split_over])
+    parts = [_whole_files(spark, whole) for whole in [[_glob_free(r.path) for r in listed if r.path not in large]] if whole]
+    parts += [tagged_scan.scan(spark, large) for _ in [large] if large]
+    parsed = reduce(DataFrame.unionByName, parts).checkpoint()
     summary = parsed.groupBy(F.col("source_file").alias("path")).agg(
         F.max("source_kind").alias("source"), F.max("source_format").alias("format"), F.count_if(F.col("source_index") > 0).alias("count"), F.max("error").alias("error")
     )
@@ -85,17 +101,21 @@ def read_bibliography(spark: SparkSession, paths: list[str], strict: bool = Fals
         raise formats.FormatError(f"{bad.path}: {bad.error}")
     if summary.where("error is null").isEmpty():
         bad = summary.orderBy("path").first()
-        parsed.unpersist()
         raise formats.FormatError(f"none of the files can be used{f'; {bad.path}: {bad.error}' if bad else ''}")
     position = spark.createDataFrame([(p.split(":", 1)[-1].lstrip("/"), k) for k, p in enumerate(paths)], "_p string, _k long")
     tail = F.regexp_replace(F.regexp_replace("source_file", "^[a-z]+:", ""), "^/+", "")
-    rows = parsed.where("source_index > 0").join(F.broadcast(position), tail == F.col("_p"), "left")
+    rows = parsed.where("source_index > 0").join(position, tail == F.col("_p"), "left")
     rows = rows.withColumn("ord", F.coalesce("_k", F.lit(0)) * (1 << 32) + F.col("source_index"))
     records = with_key(rows.select(*[c.split()[0] for c in RECORD_SCHEMA.replace("map<string, array<string>>", "m").split(", ")]))
     header = parsed.where("source_format = 'wos_tagged' and header <> ''").select("source_file", "header").first()
     return Import(records, summary, parsed.where("warning is not null").select(F.col("source_file").alias("path"), "warning"), header.header if header else DEFAULT_HEADER)
 
 
+def _glob_free(path: str) -> str:
+    """A listed path as one to load: characters that would be a pattern are escaped."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """target and variant, one pair a line between them a tab; a line of another form refuses the whole file."""
     content = spark.read.format("binaryFile").load(path).select("content").first().content
