@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.numbering import numbered
 from ..session import checkpoint_folder
 
 PRESETS = {"quick": ("identifiers",), "journal": ("title", "year", "authors", "source"), "strict": ("title", "year", "authors", "abstract"), "loose": ("title", "year")}
@@ -60,30 +60,49 @@ def preference():
     return F.struct((F.lower("source_kind") != "wos").alias("other"), (-F.col("completeness")).alias("less"), t.fold(F.col("title")).alias("title"), F.col("record_key").alias("record_key"))
 
 
-def candidates(profiles: DataFrame, preset: str) -> DataFrame:
-    """Groups of two or more: group_id, record_keys (preferred first), primary, doi_conflict, size, status."""
+def members(profiles: DataFrame, preset: str) -> DataFrame:
+    """Groups of two or more as rows, one a member: group_id, record_key, primary (the preferred member), doi_conflict, size, status, sort_title.
+
+    What a group needs is a minimum, a count and two extremes, so groups of any size are aggregated before the shuffle; its
+    members come back by a join that adaptive execution splits where a key is hot. No group is ever an array.
+    """
     if preset == "quick":
         pairs = profiles.select("record_key", F.explode("identifiers").alias("identifier"))
-        grouped = profiles.join(connected(pairs, "record_key", "identifier"), "record_key").withColumn("group_key", F.col("component"))
+        keyed = profiles.join(connected(pairs, "record_key", "identifier"), "record_key").withColumn("group_key", F.col("component"))
     else:
-        grouped = profiles.withColumn("group_key", match_key(preset)).where("group_key is not null")
-    groups = grouped.groupBy("group_key").agg(
-        F.transform(F.array_sort(F.collect_list(preference())), lambda x: x["record_key"]).alias("record_keys"),
-        (F.countDistinct(F.when(F.col("di") != "", F.col("doi"))) > 1).alias("doi_conflict"), F.min(preference())["title"].alias("sort_title"), F.count("*").alias("size"),
-    ).where("size > 1")
-    first = F.col("record_keys")[0]
-    return groups.select(F.sha1(first).alias("group_id"), "record_keys", first.alias("primary"), "doi_conflict", "size", F.lit("pending").alias("status"), "sort_title")
+        keyed = profiles.withColumn("group_key", match_key(preset)).where("group_key is not null")
+    known = F.when(F.col("di") != "", F.col("doi"))
+    groups = keyed.groupBy("group_key").agg(F.min(preference()).alias("first"), (F.min(known) != F.max(known)).alias("doi_conflict"), F.count("*").alias("size")).where("size > 1")
+    first = F.col("first.record_key")
+    groups = groups.select("group_key", F.sha1(first).alias("group_id"), first.alias("primary"), F.coalesce("doi_conflict", F.lit(False)).alias("doi_conflict"), "size", F.lit("pending").alias("status"), F.col("first.title").alias("sort_title"))
+    return keyed.select("group_key", "record_key").join(groups, "group_key").drop("group_key")
+
+
+def candidates(profiles: DataFrame, preset: str) -> DataFrame:
+    """The groups of `members`, one a row with its members (preferred first) as an array: for showing, not for hot keys."""
+    rows = members(profiles, preset).join(profiles.select("record_key", preference().alias("_order")), "record_key")
+    own = F.transform(F.array_sort(F.collect_list("_order")), lambda x: x["record_key"])
+    return rows.groupBy("group_id", "primary", "doi_conflict", "size", "status", "sort_title").agg(own.alias("record_keys")).select("group_id", "record_keys", "primary", "doi_conflict", "size", "status", "sort_title")
+
+
+def as_members(groups: DataFrame) -> DataFrame:
+    """Rows of members, whether groups come as such or with arrays."""
+    return groups.withColumn("record_key", F.explode("record_keys")).drop("record_keys") if "record_keys" in groups.columns else groups
+
+
+def _one_each(groups: DataFrame) -> DataFrame:
+    """One row a group."""
+    return groups if "record_keys" in groups.columns else groups.where("record_key = primary")
 
 
 def run_statistics(groups: DataFrame) -> DataFrame:
-    return groups.agg(F.count("*").alias("groups"), F.coalesce(F.sum(F.col("size") - 1), F.lit(0)).cast("long").alias("duplicates"), F.count_if("doi_conflict").alias("conflicts"))
+    return _one_each(groups).agg(F.count("*").alias("groups"), F.coalesce(F.sum(F.col("size") - 1), F.lit(0)).cast("long").alias("duplicates"), F.count_if("doi_conflict").alias("conflicts"))
 
 
 def auto_review(groups: DataFrame, records: DataFrame | None = None) -> DataFrame:
     """Accepts groups without conflicting DOIs, ignores the others; a member that isn't among `records` is an error."""
     if records is not None:
-        members = groups.select("group_id", F.explode("record_keys").alias("record_key"))
-        missing = members.join(records.select("record_key"), "record_key", "left_anti").first()
+        missing = as_members(groups).select("group_id", "record_key").join(records.select("record_key"), "record_key", "left_anti").first()
         if missing is not None:
             raise ValueError(f"{missing.record_key} of group {missing.group_id} isn't among the records")
     return groups.withColumn("status", F.when(F.col("status") != "pending", F.col("status")).when(F.col("doi_conflict"), "ignored").otherwise("deduped"))
@@ -95,7 +114,7 @@ def decide(groups: DataFrame, group_id: str, status: str, primary: str | None =
         raise ValueError(f"unknown status: {status}")
     own = F.col("group_id") == group_id
     if primary is not None:
-        if groups.where(own & F.array_contains("record_keys", primary)).isEmpty():
+        if as_members(groups.where(own)).where(F.col("record_key") == primary).isEmpty():
             raise ValueError("the primary isn't in the group")
         groups = groups.withColumn("primary", F.when(own, primary).otherwise(F.col("primary")))
     return groups.withColumn("status", F.when(own, status).otherwise(F.col("status")))
@@ -105,25 +124,32 @@ def apply_review(groups: DataFrame, excluded: DataFrame | None = None) -> DataFr
     """record_key of all that accepted groups exclude, with those excluded before; refuses pending groups."""
     if not groups.where("status = 'pending'").isEmpty():
         raise ValueError("groups are still pending")
-    if not groups.where(~F.array_contains("record_keys", F.col("primary"))).isEmpty():
+    rows = as_members(groups)
+    if not rows.groupBy("group_id", "primary").agg(F.max(F.col("record_key") == F.col("primary")).alias("has")).where("not has").isEmpty():
         raise ValueError("a primary isn't in its group")
-    own = groups.where("status = 'deduped'").select(F.explode("record_keys").alias("record_key"), "primary").where("record_key <> primary").select("record_key")
+    own = rows.where("status = 'deduped' and record_key <> primary").select("record_key")
     return (own if excluded is None else own.union(excluded.select("record_key"))).distinct()
 
 
 def duplicate_log(groups: DataFrame, profiles: DataFrame, reason: str) -> DataFrame:
     """Every excluded record with the one kept for it."""
-    members = groups.where("status = 'deduped'").select(F.explode("record_keys").alias("record_key"), "primary").where("record_key <> primary")
+    merged = as_members(groups).where("status = 'deduped' and record_key <> primary").select("record_key", "primary")
     gone = profiles.select("record_key", F.col("record_id").alias("duplicate_record_id"), F.col("source_file").alias("duplicate_source"))
     kept = profiles.select(F.col("record_key").alias("primary"), F.col("record_id").alias("kept_record_id"), F.col("source_file").alias("kept_source"))
-    return members.join(gone, "record_key").join(kept, "primary").select("duplicate_record_id", "kept_record_id", F.lit(reason).alias("reason"), "duplicate_source", "kept_source")
+    return merged.join(gone, "record_key").join(kept, "primary").select("duplicate_record_id", "kept_record_id", F.lit(reason).alias("reason"), "duplicate_source", "kept_source")
 
 
-def doi_conflicts(profiles: DataFrame) -> DataFrame:
-    """Titles of a year with more than one DOI; only reported."""
+def doi_conflict_rows(profiles: DataFrame) -> DataFrame:
+    """Records of titles of a year with more than one DOI: title (the first by ord), year, ord, record_id, doi."""
     own = profiles.where("n_title <> '' and year <> '' and doi <> ''")
-    found = own.groupBy("n_title", "year").agg(F.min_by("title", "ord").alias("title"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "record_id"))), lambda x: x["record_id"]).alias("record_ids"), F.array_sort(F.collect_set("doi")).alias("dois"))
-    return found.where(F.size("dois") > 1).select("title", "year", "record_ids", "dois")
+    mixed = own.groupBy("n_title", "year").agg(F.min_by("title", "ord").alias("title"), F.min("doi").alias("_least"), F.max("doi").alias("_most")).where("_least <> _most")
+    return own.select("n_title", "year", "ord", "record_id", "doi").join(mixed.select("n_title", "year", "title"), ["n_title", "year"])
+
+
+def doi_conflicts(profiles: DataFrame) -> DataFrame:
+    """Those rows by title and year with their record ids and DOIs as arrays: for a report, not for hot titles."""
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("ord", "record_id"))), lambda x: x["record_id"])
+    return doi_conflict_rows(profiles).groupBy("n_title", "year", "title").agg(ids.alias("record_ids"), F.array_sort(F.collect_set("doi")).alias("dois")).select("title", "year", "record_ids", "dois")
 
 
 #: What a change of terms of a kind changes in a profile; keywords are in no key.
@@ -137,51 +163,82 @@ def needs_new_review(before: DataFrame, after: DataFrame, kind: str | None = Non
     """
     if kind is not None and preset is not None and KIND_PARTS.get(kind) not in PRESETS[preset]:
         return False
-    sets = lambda g: g.select(F.array_sort("record_keys").alias("s"))
-    return not sets(after).join(sets(before.where("status = 'ignored'")), "s", "left_anti").isEmpty()
-
-
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Records of one component in input order: each joins the slot of its first acceptable key or opens a slot."""
-    slots: list[dict] = []
-    known: dict[tuple[str, str], int] = {}
-    log = []
-    for r in pdf.sort_values("ord").to_dict("records"):
-        keys = [(k, r[c]) for k, c in (("UT", "ut_key"), ("DOI", "doi"), ("TI+PY", "title_year")) if r[c]]
-
-        def differ(a: dict, column: str, r=r) -> bool:
-            return bool(a[column] and r[column] and a[column] != r[column])
-
-        hit = next(((k, known[k]) for k in keys if k in known and not (k[0] == "TI+PY" and any(differ(slots[known[k]], c) for c in ("doi", "first_author")))), None)
-        at = len(slots) if hit is None else hit[1]
-        if hit is None:
-            slots.append(r | {"slot": r["ord"]})
-        else:
-            old = slots[at]
-            if r["completeness"] > old["completeness"]:
-                slots[at] = r | {"slot": old["slot"]}
-                gone, kept = old, r
-            else:
-                gone, kept = r, old
-            log.append((gone["record_key"], kept["record_key"], hit[0][0]))
-        for k in keys:
-            known.setdefault(k, at)
-    rows = [(s["record_key"], None, None, s["slot"]) for s in slots] + [(g, k, why, None) for g, k, why in log]
-    return pd.DataFrame(rows, columns=["record_key", "kept", "reason", "slot"])
+    sized = lambda g, name: as_members(g).select("record_key", F.col("group_id").alias(name), F.count("*").over(Window.partitionBy("group_id")).alias(f"{name}_size"))
+    new, old = sized(after, "new"), sized(before.where("status = 'ignored'"), "old")
+    both = new.join(old, "record_key").groupBy("new", "new_size", "old", "old_size").count()
+    same = both.where("count = new_size and count = old_size").select("new")
+    return not new.select("new").distinct().join(same, "new", "left_anti").isEmpty()
+
+
+#: Records (by number) in one block of the running best of a slot.
+BLOCK = 1 << 16
+
+
+def _best_before(events: DataFrame) -> DataFrame:
+    """Adds `best` to events (slot, pos, asks, own): the greatest `own` of the slot's records with a lesser pos.
+
+    Blocks of records are scanned by themselves, then the blocks' maxima, so that a slot is never scanned by one task.
+    """
+    events = events.withColumn("block", F.floor(F.col("pos") / BLOCK))
+    inside = Window.partitionBy("slot", "block").orderBy("pos", F.desc("asks")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = events.groupBy("slot", "block").agg(F.max("own").alias("most"))
+    before = F.max("most").over(Window.partitionBy("slot").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    joined = events.join(blocks.select("slot", "block", before.alias("earlier")), ["slot", "block"])
+    return joined.withColumn("best", F.greatest(F.max("own").over(inside), "earlier")).drop("block", "earlier")
+
+
+def _roots(parents: DataFrame) -> DataFrame:
+    """(pos, slot): the record at which a chain of parents ends; each step doubles what a record looks ahead."""
+    links = parents.select("pos", F.col("parent").alias("slot")).checkpoint()
+    while True:
+        ahead = links.select(F.col("pos").alias("_pos"), F.col("slot").alias("_slot"))
+        step = links.join(ahead, links["slot"] == ahead["_pos"]).select("pos", "slot", "_slot").checkpoint()
+        links = step.select("pos", F.col("_slot").alias("slot"))
+        if step.where("slot <> _slot").isEmpty():
+            return links
 
 
 def legacy_dedupe(profiles: DataFrame) -> DataFrame:
     """The order-dependent dedupe: record_key, kept (null for survivors), reason, slot (a survivor's output position).
 
-    State passes between records only through shared keys, so each component of the key graph is folded by itself.
+    In input order, a record joins the slot of its first known key (UT, DOI, title and year; the last only if DOI and first
+    author don't differ from the slot's record) or opens one; a more complete record takes the slot over.
+
+    A key belongs to the slot of the first record that has it, whatever happens later. So joins by UT and DOI are known at
+    once, and those by title depend only on which record the slot has by then: the most complete of the members before.
+    All decisions are made at once from the present guess of the others, until none changes. Each depends on earlier
+    records alone, so this ends at the one outcome of the fold, after as many rounds as decisions hang on one another.
     """
     year = F.when((F.col("n_title") != "") & (F.col("year") != ""), F.concat("n_title", F.lit("|"), "year")).otherwise("")
-    rows = profiles.select("record_key", "ord", "completeness", "doi", "first_author", F.upper(t.strip(F.col("ut"))).alias("ut_key"), year.alias("title_year"))
-    keys = F.array_compact(F.array(F.when(F.col("ut_key") != "", F.concat(F.lit("u:"), "ut_key")), F.when(F.col("doi") != "", F.concat(F.lit("d:"), "doi")), F.when(F.col("title_year") != "", F.concat(F.lit("t:"), "title_year"))))
-    linked = rows.withColumn("keys", keys)
-    parts = connected(linked.select("record_key", F.explode("keys").alias("k")), "record_key", "k")
-    grouped = rows.join(parts, "record_key", "left").withColumn("component", F.coalesce("component", "record_key"))
-    return grouped.groupBy("component").applyInPandas(lambda pdf: _fold(pdf), "record_key string, kept string, reason string, slot long")
+    plain = profiles.select("record_key", "ord", F.col("completeness").cast("long").alias("completeness"), "doi", "first_author", F.upper(t.strip(F.col("ut"))).alias("ut_key"), year.alias("title_year"))
+    rows = numbered(plain, [F.col("ord"), F.col("record_key")], "pos")
+    for name, key in (("by_ut", "ut_key"), ("by_doi", "doi"), ("by_title", "title_year")):
+        first = rows.where(F.col(key) != "").groupBy(F.col(key).alias("_key")).agg(F.min("pos").alias(name))
+        rows = rows.join(first, F.col(key) == F.col("_key"), "left").drop("_key")
+    known = lambda c: F.when(F.col(c) < F.col("pos"), F.col(c))
+    sure = F.coalesce(known("by_ut"), known("by_doi"))
+    reason = F.when(F.col("by_ut") < F.col("pos"), "UT").when(F.col("by_doi") < F.col("pos"), "DOI").otherwise("TI+PY")
+    own = F.struct("completeness", (-F.col("pos")).alias("_first"), F.coalesce("doi", F.lit("")).alias("doi"), F.coalesce("first_author", F.lit("")).alias("first_author"), "record_key")
+    rows = rows.select("pos", "ord", sure.alias("sure"), F.when(sure.isNull(), known("by_title")).alias("maybe"), reason.alias("reason"), own.alias("own")).checkpoint()
+    guess = rows.where("maybe is not null").select("pos", F.lit(True).alias("joins")).checkpoint()
+    while True:
+        parent = F.coalesce("sure", F.when(F.col("joins"), F.col("maybe")), "pos")
+        roots = _roots(rows.join(guess, "pos", "left").withColumn("parent", parent))
+        placed = rows.join(roots, "pos")
+        asked = rows.where("maybe is not null").join(roots.select(F.col("pos").alias("maybe"), "slot"), "maybe")
+        asks = asked.select("slot", "pos", F.lit(True).alias("asks"), F.lit(None).cast(rows.schema["own"].dataType).alias("own"), F.col("own").alias("mine"))
+        events = placed.select("slot", "pos", F.lit(False).alias("asks"), "own", F.col("own").alias("mine")).unionByName(asks)
+        differ = lambda c: (F.col(f"best.{c}") != "") & (F.col(f"mine.{c}") != "") & (F.col(f"best.{c}") != F.col(f"mine.{c}"))
+        seen = _best_before(events).withColumn("fits", ~(differ("doi") | differ("first_author")))
+        new = seen.where("asks").select("pos", F.col("fits").alias("new")).join(guess, "pos").checkpoint()
+        if new.where("new <> joins").isEmpty():
+            break
+        guess = new.select("pos", F.col("new").alias("joins"))
+    merged = seen.where("not asks and pos <> slot").join(rows.select("pos", "reason"), "pos")
+    better = F.col("mine.completeness") > F.col("best.completeness")
+    log = merged.select(F.when(better, F.col("best.record_key")).otherwise(F.col("mine.record_key")).alias("record_key"), F.when(better, F.col("mine.record_key")).otherwise(F.col("best.record_key")).alias("kept"), "reason", F.lit(None).cast("long").alias("slot"))
+    left = placed.groupBy("slot").agg(F.max("own")["record_key"].alias("record_key")).join(rows.select(F.col("pos").alias("slot"), "ord"), "slot")
+    return left.select("record_key", F.lit(None).cast("string").alias("kept"), F.lit(None).cast("string").alias("reason"), F.col("ord").cast("long").alias("slot")).unionByName(log)
 
 
 def last_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -179,7 +179,7 @@ def _profiles(spark, d):
 
 
 def _groups(spark, d, preset="loose"):
-    return dedupe.candidates(_profiles(spark, d), preset)
+    return dedupe.members(_profiles(spark, d), preset)
 
 
 def _groups_sql(key: str, where: str) -> str:
@@ -192,12 +192,20 @@ _LOOSE = _groups_sql("n_title || '|' || py", "n_title <> ''")
 
 @query(_LOOSE + " select record_key as \"primary\", size, doi_conflict from r where rn = 1")
 def dedupe_loose(spark, d):
-    return _groups(spark, d).select("primary", "size", "doi_conflict")
+    return _groups(spark, d).where("record_key = primary").select("primary", "size", "doi_conflict")
 
 
 @query(_groups_sql("n_title || '|' || py || '|' || n_authors || '|' || n_abstract", "n_title <> '' and n_abstract <> ''") + " select record_key as \"primary\", size, doi_conflict from r where rn = 1")
 def dedupe_strict(spark, d):
-    return _groups(spark, d, "strict").select("primary", "size", "doi_conflict")
+    return _groups(spark, d, "strict").where("record_key = primary").select("primary", "size", "doi_conflict")
+
+
+_SOURCE = PLAIN.replace("text", "source")
+
+
+@query(_groups_sql(f"n_title || '|' || py || '|' || n_authors || '|' || {_SOURCE}", f"n_title <> '' and n_authors <> '' and {_SOURCE} <> ''") + " select record_key, rn = 1 as preferred, size, doi_conflict from r")
+def dedupe_journal(spark, d):
+    return _groups(spark, d, "journal").select("record_key", (F.col("record_key") == F.col("primary")).alias("preferred"), "size", "doi_conflict")
 
 
 @query(_LOOSE + " select count(*) filter (rn = 1) as \"groups\", coalesce(sum(size - 1) filter (rn = 1), 0)::bigint as duplicates, count(*) filter (rn = 1 and doi_conflict) as conflicts from r")
@@ -216,13 +224,12 @@ def dedupe_quick_components(spark, d):
 @query(_LOOSE + " select record_key, rn = 1 as preferred, completeness::bigint as completeness from r")
 def preferred_record(spark, d):
     p = _profiles(spark, d)
-    members = _groups(spark, d).select(F.explode("record_keys").alias("record_key"), "primary")
-    return members.join(p.select("record_key", "completeness"), "record_key").select("record_key", (F.col("record_key") == F.col("primary")).alias("preferred"), F.col("completeness").cast("long").alias("completeness"))
+    return _groups(spark, d).join(p.select("record_key", "completeness"), "record_key").select("record_key", (F.col("record_key") == F.col("primary")).alias("preferred"), F.col("completeness").cast("long").alias("completeness"))
 
 
 @query(_LOOSE + " select case when doi_conflict then 'ignored' else 'deduped' end as status, count(*) as n from r where rn = 1 group by 1")
 def auto_review(spark, d):
-    return dedupe.auto_review(_groups(spark, d)).groupBy("status").agg(F.count("*").alias("n"))
+    return dedupe.auto_review(_groups(spark, d)).where("record_key = primary").groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query(_LOOSE + " select record_key from r where rn > 1 and not doi_conflict")
@@ -239,7 +246,7 @@ def duplicate_log(spark, d):
 
 @query(f"""with p as ({PROFILE}) select arg_min(title, doc_id) as title, py as year, count(distinct doi)::bigint as dois from p where n_title <> '' and doi <> '' group by n_title, py having count(distinct doi) > 1""")
 def doi_conflicts(spark, d):
-    return dedupe.doi_conflicts(_profiles(spark, d)).select("title", "year", F.size("dois").cast("long").alias("dois"))
+    return dedupe.doi_conflict_rows(_profiles(spark, d)).groupBy("title", "year", "n_title").agg(F.countDistinct("doi").alias("dois")).drop("n_title")
 
 
 @query()

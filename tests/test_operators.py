@@ -195,6 +195,35 @@ def test_legacy_dedupe_equals_a_fold(spark):
     assert (kept, log) == brute_legacy(brute)
 
 
+def test_legacy_dedupe_of_hot_keys_and_chains(spark, monkeypatch):
+    monkeypatch.setattr(dedupe, "BLOCK", 7)
+    for seed, keys, texts in ((1, 2, 2), (2, 40, 3), (3, 400, 2)):
+        rng = random.Random(seed)
+        rows_, brute = [], []
+        for k in range(250):
+            ut, doi = (rng.choice(["", *(f"{p}{i}" for i in range(keys))]) for p in "ud")
+            ty, first = rng.choice(["", "hot", "hot", "hot", "t2"]), rng.choice(["", *(f"a{i}" for i in range(texts))])
+            rows_.append((f"k{k:03d}", k, n := rng.choice([k, rng.randint(1, 400)]), doi, first, ut, ty, "2020" if ty else ""))
+            brute.append({"id": f"k{k:03d}", "ut": ut.upper(), "doi": doi, "ty": ty, "first": first, "n": n})
+        df = spark.createDataFrame(rows_, "record_key string, ord long, completeness int, doi string, first_author string, ut string, n_title string, year string")
+        got = dedupe.legacy_dedupe(df.repartition(3)).collect()
+        kept = [r.record_key for r in sorted((r for r in got if r.kept is None), key=lambda r: r.slot)]
+        assert (kept, sorted((r.record_key, r.kept) for r in got if r.kept is not None)) == brute_legacy(brute)
+    assert dedupe.legacy_dedupe(df.limit(0)).collect() == []
+
+
+def test_members_of_a_hot_group_are_rows(spark):
+    rows = spark.range(3000).selectExpr("format_string('k%06d', id) record_key", "id ord", "'wos' source_kind", "'T' title", "if(id < 2, '10.1/a', '') di", "if(id < 2, '10.1/a', '') doi", "array('x') identifiers", "cast(id % 50 as int) completeness", "if(id < 2900, 't', '') n_title", "if(id < 2900, '2020', '') n_year")
+    own = dedupe.members(rows, "loose")
+    assert "collect_list" not in own._jdf.queryExecution().toString()
+    got = own.collect()
+    assert len(got) == 2900 and {(r.primary, r.size, r.doi_conflict) for r in got} == {("k000049", 2900, False)}
+    done = dedupe.auto_review(own, rows.select("record_key"))
+    assert dedupe.apply_review(done).count() == 2899 and tuple(dedupe.run_statistics(done).first()) == (1, 2899, 0)
+    assert dedupe.apply_review(dedupe.decide(done, got[0].group_id, "deduped", "k000000")).where("record_key = 'k000000'").isEmpty()
+    assert not dedupe.needs_new_review(own.withColumn("status", F.lit("ignored")), own) and dedupe.needs_new_review(own.withColumn("status", F.lit("ignored")), dedupe.members(rows.where("ord < 2800"), "loose"))
+
+
 def test_vocabulary_merge(spark):
     df = records(spark, [{"TI": "x", "DE": ["waterwaste; water waste", "water-waste", "papers; paper"], "C1": ["[Li, A] Peking Univ, Beijing, Peoples R China [Wang, B] MIT, Boston, USA"], "CO": ["PR China"]}, {"TI": "y", "DE": "unrelated"}])
     merged, report = vocabulary.merge(df, {"organizations": [{"target": "北京大学", "variants": ["Peking Univ"]}], "countries": [{"target": "中国", "variants": ["Peoples R China"]}]})
