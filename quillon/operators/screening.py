@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,15 +45,29 @@ def with_stage_one(df: DataFrame, choice: str = "choice", confidence: str = "con
 
 
 # What stage two may call its decisions.
-STAGE_TWO_NAMES = {"relevant": "relevant", "include": "relevant", "yes": "relevant", "irrelevant": "irrelevant", "exclude": "irrelevant", "no": "irrelevant", "uncertain": "uncertain", "maybe": "uncertain", "unsure": "uncertain"}
+STAGE_TWO_NAMES = {"relevant": "relevant", "irrelevant": "irrelevant", "uncertain": "uncertain", "相关": "relevant", "存疑": "uncertain", "不相关": "irrelevant", "include": "relevant", "exclude": "irrelevant"}
+#: Lists of texts in an answer: whatever isn't a list is a list of one.
+STAGE_TWO_LISTS = {"matched_criteria": "matched", "evidence": "evidence", "missing_information": "missing"}
 
 
 def parse_stage_two(df: DataFrame, answer: str) -> DataFrame:
-    """decision, confidence (kept in 0 to 1), reason and error from JSON text; unreadable text is an error."""
+    """decision, confidence (kept in 0 to 1), reason, exclusion_reason, matched, evidence, missing and error from JSON text.
+
+    Text that is no JSON object, a decision of another name and a confidence that is no number are errors.
+    """
     names = F.create_map(*[F.lit(x) for pair in STAGE_TWO_NAMES.items() for x in pair])
-    j = F.from_json(answer, "decision string, confidence double, reason string")
+    j = F.from_json(answer, "map<string, string>")
     decision = names[F.lower(F.trim(j["decision"]))]
-    return df.withColumn("decision", F.coalesce(decision, F.lit("uncertain"))).withColumn("confidence", F.when(decision.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(j["confidence"], F.lit(0.0)))))).withColumn("reason", F.coalesce(j["reason"], F.lit(""))).withColumn("error", F.when(decision.isNull(), "unreadable answer").otherwise(""))
+    given = F.coalesce(j["confidence"], F.lit("0"))
+    listed = {name: t.string_list(j[key]) for key, name in STAGE_TWO_LISTS.items()}
+    found = df.withColumn("_given", given).withColumn("_confidence", F.expr("try_cast(_given as double)"))
+    good = decision.isNotNull() & F.col("_confidence").isNotNull()
+    none = F.array().cast("array<string>")
+    found = found.withColumn("decision", F.when(good, decision).otherwise("uncertain")).withColumn("confidence", F.when(good, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_confidence")))).otherwise(0.0))
+    found = found.withColumn("reason", F.coalesce(j["reason"], F.lit(""))).withColumn("exclusion_reason", F.coalesce(j["exclusion_reason"], F.lit("")))
+    for name, own in listed.items():
+        found = found.withColumn(name, F.when(good, own).otherwise(none))
+    return found.withColumn("error", F.when(good, "").otherwise("unreadable answer")).drop("_given", "_confidence")
 
 
 def needs_stage_two() -> Column:
@@ -83,43 +99,56 @@ def back_off(attempt: int, first: float = 1.0, most: float = 30.0) -> float:
     return min(most, first * 2 ** (attempt - 1))
 
 
-def classify(df: DataFrame, client: Callable[[dict, dict], dict], tasks: int | None = None, attempts: int = 3, wait: float = 1.0) -> DataFrame:
-    """Asks `client(payload, plan)` for every row of (record_id, payload ...), with at most `tasks` at a time.
+def classify(df: DataFrame, client: Callable[[dict, dict], dict], tasks: int | None = None, attempts: int = 3, wait: float = 1.0, at_once: int | None = None) -> DataFrame:
+    """Asks `client(payload, plan)` for every row of (record_id, payload ...), `at_once` rows at a time over all tasks.
+
+    Each of `tasks` partitions has a pool of threads for its share of `at_once`; the shares add up to it, so that many
+    requests are under way and never more, if all tasks run. With `at_once` alone, one task serves up to eight of them;
+    without it each task asks one request after the other.
 
-    `tasks` partitions ask one request after the other, so there are never more than that under way. A failure that is
-    worth another attempt waits longer each time; a cut-off answer (`AnswerError`) asks by the next plan, other
-    failures by the same; a status outside RETRIED ends it. A row that fails for good is uncertain, confidence 0, with
-    the error.
+    A failure that is worth another attempt waits longer each time; a cut-off answer (`AnswerError`) asks by the next plan,
+    other failures by the same; a status outside RETRIED ends it. A row that fails for good is uncertain, confidence 0,
+    with the error.
     """
+    if at_once is not None:
+        if at_once < 1:
+            raise ValueError("at least one request at a time is needed")
+        tasks = min(at_once, tasks or -(-at_once // STAGE_TWO_TASKS))
     if tasks is not None:
         df = df.repartition(tasks)
 
+    def ask(row: dict) -> tuple:
+        error, plan = "", 0
+        for k in range(attempts):
+            if k:
+                time.sleep(back_off(k, wait))
+            try:
+                a = client(row, request_plan(min(plan, 2)))
+                return row["record_id"], a["decision"], float(a["confidence"]), a.get("reason", ""), list(a.get("missing", [])), ""
+            except AnswerError as e:
+                error, plan = str(e) or type(e).__name__, plan + e.truncated
+                if not e.retried():
+                    break
+            except Exception as e:
+                error, plan = str(e) or type(e).__name__, plan + 1
+        return row["record_id"], "uncertain", 0.0, "", [], error
+
     def run(batches):
-        for batch in batches:
-            rows = []
-            for row in batch.to_dict("records"):
-                error, plan = "", 0
-                for k in range(attempts):
-                    if k:
-                        time.sleep(back_off(k, wait))
-                    try:
-                        a = client(row, request_plan(min(plan, 2)))
-                        rows.append((row["record_id"], a["decision"], float(a["confidence"]), a.get("reason", ""), list(a.get("missing", [])), ""))
-                        break
-                    except AnswerError as e:
-                        error, plan = str(e) or type(e).__name__, plan + e.truncated
-                        if not e.retried():
-                            rows.append((row["record_id"], "uncertain", 0.0, "", [], error))
-                            break
-                    except Exception as e:
-                        error, plan = str(e) or type(e).__name__, plan + 1
-                else:
-                    rows.append((row["record_id"], "uncertain", 0.0, "", [], error))
-            yield pd.DataFrame(rows, columns=["record_id", "decision", "confidence", "reason", "missing", "error"])
+        share = 1
+        if at_once is not None:
+            share = at_once // tasks + (TaskContext.get().partitionId() < at_once % tasks)
+        with ThreadPoolExecutor(share) as pool:
+            for batch in batches:
+                yield pd.DataFrame(list(pool.map(ask, batch.to_dict("records"))), columns=["record_id", "decision", "confidence", "reason", "missing", "error"])
 
     return df.mapInPandas(run, RESULT)
 
 
+def classify_stage_two(df: DataFrame, client: Callable[[dict, dict], dict], **options) -> DataFrame:
+    """`classify` with the cap of stage two, eight requests at a time unless another is given."""
+    return classify(df, client, **{"at_once": STAGE_TWO_TASKS, **options})
+
+
 def split_by_cache(df: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hits, misses) of rows (record_id, cache_key ...): hits carry the current record's id."""
     hits = df.select("record_id", "cache_key").join(cache.drop("record_id"), "cache_key").withColumn("cached", F.lit(True))

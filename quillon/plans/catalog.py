@@ -6,6 +6,7 @@ local regressions; the tests hold those against fixtures and brute force.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import dedupe, filters, metrics, network, screening, vocabulary
-from ..sources import formats
+from ..session import checkpoint_folder
+from ..sources import formats, kv
 from . import lenses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -523,6 +525,31 @@ def cache_miss(spark, d):
     return found.groupBy("source").agg(F.sum("m").alias("misses"), F.sum(1 - F.col("m")).alias("hits"))
 
 
+@query("""with k as (select doc_id, source, sha256(coalesce(text, '')) h, doc_id % 3 = 0 as old, doc_id % 5 = 0 as fresh from documents), s as (select h, bool_or(fresh) fresh from k where old or fresh group by h)
+    select source, count(s.h) as hits, count(*) filter (s.h is null) as misses, count(*) filter (s.fresh) as from_the_second_write from k left join s using (h) group by source""")
+def cache_store(spark, d):
+    """Results kept by content in a bucketed store in two writes, and looked up for all documents."""
+    docs = lenses.table(spark, d, "documents").select("doc_id", "source", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("cache_key"))
+    store = kv.KeyedStore(spark, f"{checkpoint_folder(spark)}/cache-{uuid.uuid4().hex}", buckets=16)
+    for batch, every in ((1, 3), (2, 5)):
+        store.put(docs.where(F.col("doc_id") % every == 0).select("cache_key", F.lit(batch).alias("batch")))
+    found = store.lookup(docs.select("cache_key").distinct())
+    joined = docs.join(found, "cache_key", "left")
+    return joined.groupBy("source").agg(F.count("batch").alias("hits"), F.count_if(F.col("batch").isNull()).alias("misses"), F.count_if(F.col("batch") == 2).alias("from_the_second_write"))
+
+
+@query("""with a as (select distinct n_name target, s_name variant from supplier join nation on n_nationkey = s_nationkey where s_suppkey % 3 > 0), b as (select n_name, s_name from supplier join nation on (s_nationkey + 1) % 25 = n_nationkey where s_suppkey % 4 = 1),
+    u as (select * from a union select * from b), n as (select variant, count(distinct target) n from u group by 1) select case when n > 1 then 'conflict' else 'accepted' end as state, count(*) as pairs from u join n using (variant) group by 1""")
+def suggestion_review(spark, d):
+    """Suppliers named for nations, checked as a whole by groups: what several nations claim is told apart, the rest passes."""
+    suppliers, nations = (lenses.table(spark, d, x) for x in ("supplier", "nation"))
+    rows = suppliers.where("s_suppkey % 3 > 0").join(nations, suppliers["s_nationkey"] == nations["n_nationkey"])
+    more = suppliers.where("s_suppkey % 4 = 1").join(nations, (suppliers["s_nationkey"] + 1) % 25 == nations["n_nationkey"])
+    pairs = rows.union(more).select(F.col("n_name").alias("target"), F.col("s_name").alias("variant")).distinct()
+    good, bad = vocabulary.stage_and_accept(pairs, spark.createDataFrame([], "key string, target string"))
+    return good.unionByName(bad).groupBy(F.col("verdict").alias("state")).agg(F.count("*").alias("pairs"))
+
+
 @query("select count(*) filter (l.toxic = 1) as kept, count(*) as uncertain from labels l where l.quality = 0")
 def review_draft(spark, d):
     """A draft of ticked rows that still fits the uncertain ones, and how many it ticks."""

@@ -29,14 +29,17 @@ def session(name: str = "quillon", master: str | None = None, shuffle_partitions
     return spark
 
 
+_own_folder: dict[str, str] = {}
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints: spark.checkpoint.dir; in local mode one is set here where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder for checkpoints: spark.checkpoint.dir; in local mode, where it is unset, one of this session's own."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder.get(context.applicationId)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is unset: the driver and the executors need a folder that they share")
-        base = "file://" + tempfile.mkdtemp(prefix="quillon-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(base)
+        base = _own_folder[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="quillon-")
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(base)
     return base

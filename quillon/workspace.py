@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from .sources.sinks import write_file
 
 TABLES = ("records", "excluded", "groups", "results", "rules", "exclusions")
+# What a view may overlay, and settings of earlier versions that are dropped.
+VIEW_FIELDS = ("query", "year_start", "year_end", "auto_keyword", "chart_settings", "vos_settings", "last_vos_path", "chart_export_dir")
+LEGACY_FIELDS = ("skip_dedupe",)
+_MANIFEST = "project string, name string, generation long, saved double, stale array<string>, tables map<string, string>, settings map<string, string>, view_applied boolean"
 
 
 class Workspace:
@@ -40,8 +44,60 @@ class Workspace:
             df.write.parquet(path)
             new["tables"][name] = path
         write_file(self.spark, self._manifest_path(project), json.dumps(new))
+        self._delete_view(project)
         return new
 
+    def _view_path(self, project: str) -> str:
+        return f"{self.root}/{project}/view.json"
+
+    def _delete_view(self, project: str) -> None:
+        p, fs = self._fs(self._view_path(project))
+        fs.delete(p, False)
+
+    def save_view(self, project: str, **settings) -> None:
+        """Settings of a project's view alone, without a new generation; what no view has is left out."""
+        view = {k: v for k, v in settings.items() if k in VIEW_FIELDS}
+        write_file(self.spark, self._view_path(project), json.dumps({"saved": time.time(), "view": view}))
+
+    def catalog(self) -> DataFrame:
+        """All projects, one a row, from their manifests and views alone: no table of a project is opened.
+
+        `settings` has the project's own settings as JSON texts, overlaid by those of its view if that isn't older; settings
+        of earlier versions are dropped. The small files are read by tasks, so their number isn't the driver's.
+        """
+        p, fs = self._fs(self.root)
+        empty = self.spark.createDataFrame([], _MANIFEST)
+        if not fs.exists(p) or not fs.globStatus(self._fs(f"{self.root}/*/manifest.json")[0]):
+            return empty
+        own = F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1)
+        raw = lambda name: self.spark.read.text(f"{self.root}/*/{name}", wholetext=True).select(own.alias("project"), "value")
+        m = raw("manifest.json").withColumn("m", F.from_json("value", "name string, generation long, saved double, stale array<string>, tables map<string, string>")).withColumn("all", F.from_json("value", "map<string, string>"))
+        known = ("name", "generation", "saved", "stale", "tables", *LEGACY_FIELDS)
+        m = m.select("project", "m.*", F.map_filter("all", lambda k, v: ~k.isin(*known)).alias("settings"))
+        if fs.globStatus(self._fs(f"{self.root}/*/view.json")[0]):
+            v = raw("view.json").select(F.col("project").alias("_p"), F.from_json("value", "saved double, view map<string, string>").alias("v"))
+        else:
+            v = self.spark.createDataFrame([], "_p string, v struct<saved: double, view: map<string, string>>")
+        newer = F.coalesce(F.col("v.saved") >= F.col("saved"), F.lit(False))
+        view = F.map_filter(F.col("v.view"), lambda k, x: k.isin(*VIEW_FIELDS))
+        kept = F.map_filter("settings", lambda k, x: ~F.coalesce(F.map_contains_key(view, k), F.lit(False)))
+        found = m.join(v, m["project"] == v["_p"], "left").withColumn("view_applied", newer).withColumn("settings", F.when(newer, F.map_concat(kept, view)).otherwise(F.col("settings")))
+        return found.select(*[c.split()[0] for c in _MANIFEST.replace("map<string, string>", "m").split(", ")])
+
+    def scan(self, table: str, where=None) -> DataFrame:
+        """A table of all projects (of which `where`, a condition on the catalog, holds) with the column `project`, as of now.
+
+        The scan is planned from the catalog: the files of chosen projects' present generations and no others.
+        """
+        if table not in TABLES:
+            raise ValueError(f"unknown table: {table}")
+        projects = self.catalog() if where is None else self.catalog().where(where)
+        paths = [r.path for r in projects.select(F.col("tables")[table].alias("path")).where("path is not null").collect()]
+        if not paths:
+            raise ValueError(f"no project has {table}")
+        rows = self.spark.read.option("mergeSchema", True).parquet(*paths)
+        return rows.withColumn("project", F.regexp_extract("_metadata.file_path", rf"([^/]+)/{table}/g\d+/[^/]+$", 1))
+
     def load(self, project: str, table: str) -> DataFrame:
         return self.spark.read.parquet(self.manifest(project)["tables"][table])
 
