@@ -24,13 +24,13 @@ LONGEST = 5
 SHARD = 12 << 20
 #: Of all languages' open shards in a task.
 OPEN = 48 << 20
-#: Frequent pairs that are sent to all tasks as one array of 8 bytes each; more are joined with the shards' own pairs.
-PAIRS_SENT = 1 << 20
+#: Frequent words and pairs (8 bytes each) that are sent to all tasks at most; of more, shards get their own by joins.
+WORDS_SENT, PAIRS_SENT = 1 << 20, 1 << 20
 #: Cuts of bitmaps that are held at once.
 LOT = 1 << 21
 _BITS = 31
 
-_SHARD_SCHEMA = "shard long, lang string, words array<string>, counts array<long>, lengths array<int>, blocks binary, masks binary"
+_SHARD_SCHEMA = "shard long, lang string, words array<string>, lengths array<int>, blocks binary, masks binary"
 
 
 # --- shards: texts to words' bitmaps -------------------------------------------------------------------------------
@@ -69,22 +69,19 @@ def shard_bitmaps(texts: list[bytes]):
     return coded.dictionary, np.bincount(words, minlength=n), np.bincount(word[first], minlength=n).astype(np.int32), block[first].astype(np.uint32), np.bitwise_or.reduceat(bit, first)
 
 
-def _shard_batches(batches):
-    import pyarrow as pa
+def _by_shard(batches, run):
+    """What `run(language, number of the shard, texts)` yields for the shards that a task's texts make."""
     from pyspark import TaskContext
 
     held: dict[str, list[bytes]] = {}
     sizes: dict[str, int] = {}
-    task, made = TaskContext.get().partitionId(), 0
+    number = TaskContext.get().partitionId() << 32
 
     def closed(lang: str):
-        nonlocal made
-        words, counts, lengths, blocks, masks = shard_bitmaps(held.pop(lang))
+        nonlocal number
         del sizes[lang]
-        shard, made = (task << 32) + made, made + 1
-        lists = [pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(x) if isinstance(x, np.ndarray) else x.cast(pa.string())) for x in (words, counts.astype(np.int64), lengths)]
-        arrays = [pa.array([shard]), pa.array([lang]), *lists, pa.array([blocks.tobytes()], pa.binary()), pa.array([masks.tobytes()], pa.binary())]
-        return pa.RecordBatch.from_arrays(arrays, ["shard", "lang", "words", "counts", "lengths", "blocks", "masks"])
+        number += 1
+        return run(lang, number, held.pop(lang))
 
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -92,11 +89,34 @@ def _shard_batches(batches):
             held.setdefault(lang, []).append(raw)
             sizes[lang] = sizes.get(lang, 0) + len(raw) + 1
             if sizes[lang] >= SHARD:
-                yield closed(lang)
+                yield from closed(lang)
             elif sum(sizes.values()) >= OPEN:
-                yield closed(max(sizes, key=sizes.get))
+                yield from closed(max(sizes, key=sizes.get))
     for lang in list(held):
-        yield closed(lang)
+        yield from closed(lang)
+
+
+def _word_batches(batches):
+    """lang, word, n of each shard."""
+    import pyarrow as pa
+
+    def run(lang, number, texts):
+        words, counts, *_ = shard_bitmaps(texts)
+        yield pa.RecordBatch.from_pydict({"lang": pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(words), np.int32)), [lang]).cast(pa.string()), "word": words.cast(pa.string()), "n": counts.astype(np.int64)})
+
+    yield from _by_shard(batches, run)
+
+
+def _shard_batches(batches):
+    import pyarrow as pa
+
+    def run(lang, number, texts):
+        words, counts, lengths, blocks, masks = shard_bitmaps(texts)
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(x) if isinstance(x, np.ndarray) else x.cast(pa.string())) for x in (words, lengths)]
+        arrays = [pa.array([number]), pa.array([lang]), *lists, pa.array([blocks.tobytes()], pa.binary()), pa.array([masks.tobytes()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, ["shard", "lang", "words", "lengths", "blocks", "masks"])
+
+    yield from _by_shard(batches, run)
 
 
 # --- extension: shift, AND, popcount -------------------------------------------------------------------------------
@@ -170,43 +190,63 @@ class Bitmaps:
                     yield self.ids[own], counts
 
 
-def _frequent(batch, k: int) -> Bitmaps:
-    """The bitmaps of a shard's frequent words, of row `k` of a batch with `places` and `ids`."""
-    lengths = batch.column("lengths")[k].values.to_numpy()
-    places, ids = batch.column("places")[k].values.to_numpy(), batch.column("ids")[k].values.to_numpy()
-    order = np.argsort(places)
-    places, ids = places[order], ids[order]
-    ends = np.cumsum(lengths, dtype=np.int64)
-    own = lengths[places]
+def _chosen(lengths: np.ndarray, places: np.ndarray, ids: np.ndarray, blocks: np.ndarray, masks: np.ndarray) -> Bitmaps:
+    """The bitmaps of the words at `places` (ascending) of all of a shard's."""
+    ends, own = np.cumsum(lengths, dtype=np.int64), lengths[places]
     at = np.arange(own.sum()) + np.repeat(ends[places] - own - (np.cumsum(own) - own), own)
-    blocks, masks = (np.frombuffer(batch.column(c)[k].as_buffer(), kind) for c, kind in (("blocks", np.uint32), ("masks", np.uint8)))
     return Bitmaps(ids.astype(np.int64), own, blocks[at], masks[at])
 
 
-def _pair_batches(with_shard: bool):
-    def run(batches):
-        import pyarrow as pa
+def _of_row(batch, k: int) -> Bitmaps:
+    """The bitmaps of a stored shard's frequent words, of row `k` of a batch with `places` and `ids`."""
+    lists = {c: batch.column(c)[k].values.to_numpy() for c in ("lengths", "places", "ids")}
+    order = np.argsort(lists["places"])
+    blocks, masks = (np.frombuffer(batch.column(c)[k].as_buffer(), kind) for c, kind in (("blocks", np.uint32), ("masks", np.uint8)))
+    return _chosen(lists["lengths"], lists["places"][order], lists["ids"][order], blocks, masks)
+
+
+def _of_texts(sent, lang: str, texts: list[bytes]) -> Bitmaps:
+    """The bitmaps of a shard's frequent words by what was sent: language to (first id, words in the order of ids)."""
+    import pyarrow.compute as pc
+
+    words, _, lengths, blocks, masks = shard_bitmaps(texts)
+    first, known = sent.value.get(lang, (0, words[:0]))
+    found = pc.index_in(words.cast(known.type), value_set=known)
+    places = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False))
+    return _chosen(lengths, places, found.drop_null().to_numpy() + first, blocks, masks)
+
+
+def _pairs_out(own: Bitmaps, shard: int | None = None):
+    import pyarrow as pa
+
+    for pair, counts in own.pairs():
+        yield pa.RecordBatch.from_pydict(({} if shard is None else {"shard": np.full(len(pair), shard)}) | {"pair": pair, "n": counts})
+
+
+def _phrases_out(own: Bitmaps, allowed: np.ndarray):
+    import pyarrow as pa
+
+    for ids, counts in own.phrases(allowed):
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * ids.shape[1], pa.int32()), pa.array(ids.ravel()))
+        yield pa.RecordBatch.from_arrays([lists, pa.array(counts)], ["ids", "n"])
 
+
+def _rows_run(out):
+    """`out(bitmaps, batch, row)` for the rows of stored shards."""
+
+    def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                shard = batch.column("shard")[k].as_py()
-                for pair, counts in _frequent(batch, k).pairs():
-                    own = {"shard": np.full(len(pair), shard)} if with_shard else {}
-                    yield pa.RecordBatch.from_pydict(own | {"pair": pair, "n": counts})
+                yield from out(_of_row(batch, k), batch, k)
 
     return released(run)
 
 
-def _phrase_batches(sent):
-    def run(batches):
-        import pyarrow as pa
+def _texts_run(sent, out):
+    """`out(bitmaps)` for the shards of texts."""
 
-        for batch in batches:
-            for k in range(batch.num_rows):
-                allowed = sent.value if sent is not None else np.sort(batch.column("allowed")[k].values.to_numpy())
-                for ids, counts in _frequent(batch, k).phrases(allowed):
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * ids.shape[1], pa.int32()), pa.array(ids.ravel()))
-                    yield pa.RecordBatch.from_arrays([lists, pa.array(counts)], ["ids", "n"])
+    def run(batches):
+        yield from _by_shard(batches, lambda lang, number, texts: out(_of_texts(sent, lang, texts)))
 
     return released(run)
 
@@ -214,37 +254,66 @@ def _phrase_batches(sent):
 # --- counts --------------------------------------------------------------------------------------------------------
 
 
-def count_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = 100, pairs_sent: int = PAIRS_SENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _sent_words(words: DataFrame):
+    """Language to (first id, words in the order of ids), as a broadcast."""
+    table = words.select("lang", "word", "id").toArrow().sort_by("id")
+    langs = table.column("lang").dictionary_encode().combine_chunks()
+    own, column = {}, table.column("word").combine_chunks()
+    for k, lang in enumerate(langs.dictionary.to_pylist()):
+        at = np.flatnonzero(langs.indices.to_numpy() == k)  # ids are in the order of languages
+        own[lang] = int(at[0]), column.slice(int(at[0]), len(at))
+    return words.sparkSession.sparkContext.broadcast(own)
+
+
+def _with_lists(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """The shards of the texts, stored, with the places and ids of their frequent words: the way for any number of those."""
+    shards = stored(texts.mapInArrow(released(_shard_batches), _SHARD_SCHEMA), "shards")
+    own = shards.select("shard", "lang", F.posexplode("words").alias("place", "word")).join(words.select("lang", "word", "id"), ["lang", "word"])
+    lists = own.groupBy("shard").agg(F.collect_list(F.struct("place", "id")).alias("_known")).select("shard", F.col("_known.place").alias("places"), F.col("_known.id").alias("ids"))
+    bitmaps = stored(shards.select("shard", "lengths", "blocks", "masks").join(lists, "shard"), "bitmaps")
+    freed(shards)
+    return bitmaps
+
+
+def count_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = 100, words_sent: int = WORDS_SENT, pairs_sent: int = PAIRS_SENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(words: lang, word, a, id; phrases: ids, a; totals: lang, n), all of at least `least` occurrences but the totals.
 
-    The tables are written to the shared folder. `pairs_sent` only chooses how frequent pairs get to the shards.
+    Up to `words_sent` frequent words go to all tasks, which make the shards anew for each pass; of more, the stored shards
+    are joined with them. Up to `pairs_sent` frequent pairs likewise. Both only choose how they get to the shards. The
+    tables are written to the shared folder.
     """
     texts = docs.select(F.coalesce(docs[lang_col].cast("string"), F.lit("und")).alias("lang"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    shards = stored(texts.mapInArrow(released(_shard_batches), _SHARD_SCHEMA), "shards")
-    own = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "x"))
-    totals = stored(shards.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    counts = own.groupBy("lang", F.col("x.words").alias("word")).agg(F.sum("x.counts").alias("a")).where(F.col("a") >= least)
-    words = stored(numbered(counts, [F.col("lang"), F.col("word")], "id"), "words")
-    if words.count() >= 1 << _BITS:
+    counts = stored(texts.mapInArrow(released(_word_batches), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("a")), "counts")
+    totals = stored(counts.groupBy("lang").agg(F.sum("a").alias("n")), "totals")
+    words = stored(numbered(counts.where(F.col("a") >= least), [F.col("lang"), F.col("word")], "id"), "words")
+    freed(counts)
+    n = words.count()
+    if n >= 1 << _BITS:
         raise ValueError(f"more than 2^{_BITS} frequent words")
-    known = own.select("shard", "lang", "place", F.col("x.words").alias("word")).join(words.select("lang", "word", "id"), ["lang", "word"])
-    lists = known.groupBy("shard").agg(F.collect_list(F.struct("place", "id")).alias("_known")).select("shard", F.col("_known.place").alias("places"), F.col("_known.id").alias("ids"))
-    bitmaps = stored(shards.select("shard", "lengths", "blocks", "masks").join(lists, "shard"), "bitmaps")
-    pairs = bitmaps.mapInArrow(_pair_batches(False), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    pairs = stored(pairs, "pairs")
-    sent = None
+    sent = _sent_words(words) if n <= words_sent else None
+    bitmaps = _with_lists(texts, words) if sent is None else None
+    pairs = texts.mapInArrow(_texts_run(sent, _pairs_out), "pair long, n long") if sent else bitmaps.mapInArrow(_rows_run(lambda own, batch, k: _pairs_out(own)), "pair long, n long")
+    pairs = stored(pairs.groupBy("pair").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "pairs")
+    allowed = None
     if pairs.count() <= pairs_sent:
-        keys = np.sort(pairs.select("pair").toPandas()["pair"].to_numpy(np.int64))
-        sent, tasks = docs.sparkSession.sparkContext.broadcast(keys), bitmaps
+        allowed = docs.sparkSession.sparkContext.broadcast(np.sort(pairs.select("pair").toPandas()["pair"].to_numpy(np.int64)))
+    kind = "ids array<long>, n long"
+    if allowed and sent:
+        longer = texts.mapInArrow(_texts_run(sent, lambda own: _phrases_out(own, allowed.value)), kind)
+    elif allowed:
+        longer = bitmaps.mapInArrow(_rows_run(lambda own, batch, k: _phrases_out(own, allowed.value)), kind)
     else:
-        local = bitmaps.mapInArrow(_pair_batches(True), "shard long, pair long, n long").join(pairs.select("pair"), "pair", "left_semi")
-        tasks = bitmaps.join(local.groupBy("shard").agg(F.collect_list("pair").alias("allowed")), "shard")
-    longer = tasks.mapInArrow(_phrase_batches(sent), "ids array<long>, n long").groupBy("ids").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+        bitmaps = bitmaps or _with_lists(texts, words)
+        local = bitmaps.mapInArrow(_rows_run(lambda own, batch, k: _pairs_out(own, batch.column("shard")[k].as_py())), "shard long, pair long, n long").join(pairs.select("pair"), "pair", "left_semi")
+        known = bitmaps.join(local.groupBy("shard").agg(F.collect_list("pair").alias("allowed")), "shard")
+        longer = known.mapInArrow(_rows_run(lambda own, batch, k: _phrases_out(own, np.sort(batch.column("allowed")[k].values.to_numpy()))), kind)
+    longer = longer.groupBy("ids").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
     both = pairs.select(F.array(F.shiftright("pair", _BITS), F.col("pair").bitwiseAND(F.lit((1 << _BITS) - 1))).alias("ids"), "a")
     phrases = stored(both.unionByName(longer), "phrases")
-    if sent is not None:
-        sent.destroy()
-    freed(shards, bitmaps, pairs)
+    for x in (sent, allowed):
+        if x is not None:
+            x.destroy()
+    freed(pairs, *[x for x in [bitmaps] if x is not None])
     return words, phrases, totals
 
 

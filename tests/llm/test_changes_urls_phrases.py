@@ -230,10 +230,10 @@ def test_collocations_equal_brute_force(spark, texts, monkeypatch, share, top, s
     assert sorted(got) == sorted(phrases(texts, 20, share, top))
 
 
-def test_frequent_pairs_by_a_join(spark, texts):
+def test_frequent_words_and_pairs_by_joins(spark, texts):
     docs = spark.createDataFrame(texts, "lang string, text string").repartition(3)
-    counted = lambda n: sorted(tuple(r) for r in collocations.count_phrases(docs, least=20, pairs_sent=n)[1].selectExpr("cast(ids as string) ids", "a").collect())
-    assert counted(0) == counted(1 << 20)
+    counted = lambda *n: sorted(tuple(r) for r in collocations.count_phrases(docs, least=20, words_sent=n[0], pairs_sent=n[1])[1].selectExpr("cast(ids as string) ids", "a").collect())
+    assert counted(0, 0) == counted(0, 1 << 20) == counted(1 << 20, 0) == counted(1 << 20, 1 << 20)
 
 
 def test_bitmaps_of_small_lots_equal_counts(monkeypatch):
