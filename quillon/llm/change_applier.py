@@ -29,6 +29,8 @@ from ._shared import delete_path, scratch_path, stored
 
 #: Numbers of a client in one summary and in one block of the scan; in one stretch of the join with ranges.
 STRETCH, STEP = 4096, 64
+#: Clients in a bucket, and the least number of buckets.
+CLIENTS, LEAST_BUCKETS = 2000, 16
 #: Days that a held row waits for the numbers before it.
 WAIT = 8
 #: The latest day of the tick after the last batch: everything held is due.
@@ -144,24 +146,24 @@ class Wheel:
 def _tick(wait: int):
     def run(key, pdfs, state) -> Iterator[pd.DataFrame]:
         wheel = pickle.loads(state.get[0]) if state.exists else Wheel()
-        rows = pd.concat(list(pdfs))
-        ticks = rows["client"].isna()
-        batch, found = int(rows["batch"].iloc[0]), []
-        latest = rows.loc[ticks, "latest"].max()
-        touched = set()
-        if pd.notna(latest):
-            for client in wheel.due(int(latest), wait):
+        found = []
+        for batch, rows in pd.concat(list(pdfs)).groupby("batch"):  # one, and the flush with the last
+            touched = set()
+            ticks = rows["client"].isna()
+            latest = rows.loc[ticks, "latest"].max()
+            if pd.notna(latest):
+                for client in wheel.due(int(latest), wait):
+                    touched.add(client)
+                    found += [(client, int(batch), *r) for r in wheel.jump(client, int(latest), wait)]
+            new: dict[str, list[tuple[bytes, bytes]]] = {}
+            for client, numbers, days in rows.loc[~ticks, ["client", "numbers", "days"]].itertuples(index=False):
+                new.setdefault(client, []).append((numbers, days))
+            for client, parts in new.items():
                 touched.add(client)
-                found += [(client, batch, *r) for r in wheel.jump(client, int(latest), wait)]
-        new: dict[str, list[tuple[bytes, bytes]]] = {}
-        for client, numbers, days in rows.loc[~ticks, ["client", "numbers", "days"]].itertuples(index=False):
-            new.setdefault(client, []).append((numbers, days))
-        for client, parts in new.items():
-            touched.add(client)
-            numbers = np.frombuffer(b"".join(x for x, _ in parts), np.int64)
-            found += [(client, batch, *r) for r in wheel.arrive(client, numbers, np.frombuffer(b"".join(x for _, x in parts), np.int32))]
-        for client in touched:
-            wheel.file(client)
+                numbers = np.frombuffer(b"".join(x for x, _ in parts), np.int64)
+                found += [(client, int(batch), *r) for r in wheel.arrive(client, numbers, np.frombuffer(b"".join(x for _, x in parts), np.int32))]
+            for client in touched:
+                wheel.file(client)
         state.update((pickle.dumps(wheel, protocol=5),))
         yield pd.DataFrame(found, columns=["client", "batch", "lo", "hi", "missed"])
 
@@ -172,35 +174,50 @@ def applied_ranges(rows: DataFrame, batches: int, wait: int = WAIT, buckets: int
     """(ranges: client, batch, lo, hi, missed; the rows as they were fed) for rows of client (text), n, day and batch (1 to `batches`).
 
     Each batch's files are put in the stream's folder and the query is started anew on the same checkpoint, until it has
-    taken them; at last comes a tick for which all is due, as batch `batches` + 1. `buckets` is twice the number of shuffle
-    partitions unless given; both hold for the life of a checkpoint, which is new for each call.
+    taken them. With the last batch comes a tick for which all is due, as batch `batches` + 1. Unless given, `buckets` follows from
+    the (estimated) number of clients, CLIENTS to a bucket; it holds for the life of a checkpoint, which is new for each call.
     """
     spark = rows.sparkSession
-    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = scratch_path(spark, "stream")
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("client"), F.lit(buckets))).withColumn("latest", F.lit(None).cast("long"))
-    dealt.withColumn("part", F.col("batch")).repartition("client", F.floor(F.col("n") / STRETCH)).write.partitionBy("part").parquet(f"{folder}/parts")
+    dealt = rows.withColumn("bucket", F.lit(None).cast("long")).withColumn("latest", F.lit(None).cast("long"))
+    # a batch has its share of the shuffle's partitions as files; a hot client is dealt over them by short stretches
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = F.pmod(F.xxhash64("client", F.floor(F.col("n") / STEP)), F.lit(max(1, n // batches)))
+    dealt.withColumn("part", F.col("batch")).repartition(n, "batch", share).write.partitionBy("part").parquet(f"{folder}/parts")
     schema = dealt.schema
     read = lambda reader, p: reader.schema(schema).option("recursiveFileLookup", True).parquet(f"{folder}/{p}")
     parts = read(spark.read, "parts")
     # a row for each batch
     days = {r.batch: r.day for r in parts.groupBy("batch").agg(F.max("day").alias("day")).collect()}
+    if buckets is None:
+        buckets = max(LEAST_BUCKETS, parts.agg(F.approx_count_distinct("client").alias("n")).first().n // CLIENTS)
     jvm = spark._jvm
     path = lambda p: jvm.org.apache.hadoop.fs.Path(f"{folder}/{p}")
     fs = path("").getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     fs.mkdirs(path("feed"))
     stream = read(spark.readStream, "feed")
-    summed = stream.select("bucket", "client", "batch", "latest", "n", "day").mapInPandas(_summaries, _SUMMARY)
+    bucket = F.coalesce("bucket", F.pmod(F.xxhash64("client"), F.lit(buckets))).alias("bucket")
+    summed = stream.select(bucket, "client", "batch", "latest", "n", "day").mapInPandas(_summaries, _SUMMARY)
     ranges = summed.groupBy("bucket").applyInPandasWithState(_tick(wait), _RANGES, "wheel binary", "append", "NoTimeout")
-    for batch in range(1, batches + 2):
-        latest = max((d for b, d in days.items() if b < batch), default=None) if batch <= batches else END
-        own = {"bucket": F.col("id"), "latest": F.lit(latest), "batch": F.lit(batch)}
-        ticks = spark.range(0, buckets, 1, 1).select(*[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
-        ticks.write.mode("append").parquet(f"{folder}/parts/part={batch}")
-        if not fs.rename(path(f"parts/part={batch}"), path(f"feed/part={batch}")):
-            raise OSError(f"can't move batch {batch} to the stream's folder")
-        query = ranges.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/ranges").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-        query.awaitTermination()
+    checksums = "spark.sql.streaming.checkpoint.fileChecksum.enabled"
+    before = spark.conf.get(checksums, None)
+    spark.conf.set(checksums, False)  # the checkpoint ends with this call
+    try:
+        for batch in range(1, batches + 1):
+            latest = max((d for b, d in days.items() if b < batch), default=None)
+            ticks = [(batch, latest)] + [(batches + 1, END)] * (batch == batches)
+            told = F.explode(F.array(*[F.struct(F.lit(b).alias("batch"), F.lit(d).cast("long").alias("latest")) for b, d in ticks]))
+            own = spark.range(0, buckets, 1, 1).select(F.col("id").alias("bucket"), told.alias("t")).select("bucket", "t.*")
+            own.select(*[(F.col(f.name) if f.name in own.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]).write.mode("append").parquet(f"{folder}/parts/part={batch}")
+            if not fs.rename(path(f"parts/part={batch}"), path(f"feed/part={batch}")):
+                raise OSError(f"can't move batch {batch} to the stream's folder")
+            query = ranges.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/ranges").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+            query.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(checksums)
+        else:
+            spark.conf.set(checksums, before)
     fed = read(spark.read, "feed").where("client is not null").drop("bucket", "latest")
     found = stored(spark.read.schema(_RANGES).parquet(f"{folder}/ranges"), "ranges")
     delete_path(spark, f"{folder}/checkpoint")
@@ -243,10 +260,10 @@ def apply_changes(changes: DataFrame, day: Column, batch: Column, keep: Column,
     narrow = rows.select(key.alias("client"), F.col("_n").alias("n"), F.col("_day").alias("day"), row.alias("row"), F.greatest(F.lit(1), F.least(F.lit(batches), F.col("_batch"))).alias("batch"))
     ranges, fed = applied_ranges(narrow, batches, wait, buckets)
     firsts = fed.groupBy("client", "n").agg(F.min(F.struct("batch", "row")).alias("first")).withColumn("_step", F.floor(F.col("n") / STEP))
-    steps = ranges.select(F.col("client").alias("_client"), F.explode(F.sequence(F.floor(F.col("lo") / STEP), F.floor(F.col("hi") / STEP))).alias("_own_step"), "lo", "hi", F.col("batch").alias("applied_batch"), F.col("missed").alias("_missed"))
-    ends = ranges.groupBy(F.col("client").alias("_end_client")).agg(F.max("hi").alias("_end"))
+    ends = ranges.groupBy("client").agg(F.max("hi").alias("_end"))
+    steps = ranges.join(ends, "client").select(F.col("client").alias("_client"), "_end", F.explode(F.sequence(F.floor(F.col("lo") / STEP), F.floor(F.col("hi") / STEP))).alias("_own_step"), "lo", "hi", F.col("batch").alias("applied_batch"), F.col("missed").alias("_missed"))
     on = (F.col("client") == F.col("_client")) & (F.col("_step") == F.col("_own_step")) & F.col("n").between(F.col("lo"), F.col("hi"))
-    hit = firsts.join(steps, on).join(ends, F.col("client") == F.col("_end_client"))
+    hit = firsts.join(steps, on)
     what = lambda c: F.col(f"first.row.{place[c]}")
     deleted, own = F.coalesce(what(op) == "D", F.lit(False)), [f"v{k}" for k in range(len(values))]
     changed = [F.when(what(op).isin("I", "D") | ((what(op) == "U") & what(v).isNotNull()), F.struct(F.when(~deleted, what(v)).alias("v"))).alias(k) for v, k in zip(values, own)]
