@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numbering import numbered
-from ._shared import freed, released, stored
+from ._shared import freed, released, sorted_groups, stored
 
 LONGEST = 5
 #: Bytes of text in a shard, unless one text is longer.
@@ -28,7 +28,10 @@ OPEN = 48 << 20
 WORDS_SENT, PAIRS_SENT = 1 << 20, 1 << 20
 #: Cuts of bitmaps that are held at once.
 LOT = 1 << 21
+#: Occurrences of frequent words to a bucket in which counts of phrases are summed.
+BUCKET = 1 << 20
 _BITS = 31
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 _SHARD_SCHEMA = "shard long, lang string, words array<string>, lengths array<int>, blocks binary, masks binary"
 
@@ -216,19 +219,54 @@ def _of_texts(sent, lang: str, texts: list[bytes]) -> Bitmaps:
     return _chosen(lengths, places, found.drop_null().to_numpy() + first, blocks, masks)
 
 
-def _pairs_out(own: Bitmaps, shard: int | None = None):
+def _pair_rows(own: Bitmaps, shard: int):
+    """shard, pair of each pair of a shard."""
     import pyarrow as pa
 
-    for pair, counts in own.pairs():
-        yield pa.RecordBatch.from_pydict(({} if shard is None else {"shard": np.full(len(pair), shard)}) | {"pair": pair, "n": counts})
+    for pair, _ in own.pairs():
+        yield pa.RecordBatch.from_pydict({"shard": np.full(len(pair), shard), "pair": pair})
 
 
-def _phrases_out(own: Bitmaps, allowed: np.ndarray):
+def _packed(found, buckets: int):
+    """Phrases (ids of a row each) and counts, packed by buckets of a hash of the ids: bucket, width, ids and n."""
     import pyarrow as pa
 
-    for ids, counts in own.phrases(allowed):
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * ids.shape[1], pa.int32()), pa.array(ids.ravel()))
-        yield pa.RecordBatch.from_arrays([lists, pa.array(counts)], ["ids", "n"])
+    for ids, counts in found:
+        ids = ids.reshape(len(counts), -1)
+        mixed = (ids.astype(np.uint64) * _MIX[: ids.shape[1]]).sum(axis=1)
+        bucket = ((mixed ^ mixed >> np.uint64(29)) * _MIX[0] >> np.uint64(32)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        own, n = np.unique(bucket, return_counts=True)
+        cut = np.append(0, np.cumsum(n))
+
+        def binary(x: np.ndarray, width: int, cut=cut) -> pa.Array:
+            return pa.Array.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer((cut * width).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
+
+        if len(own):
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(np.full(len(own), ids.shape[1], np.int32)), binary(ids[order], 8 * ids.shape[1]), binary(counts[order].astype(np.int64), 8)], ["bucket", "width", "ids", "n"])
+
+
+_PACKED = "bucket int, width int, ids binary, n binary"
+
+
+def _summed(packed: DataFrame, least: int) -> DataFrame:
+    """ids, a: the sums of packed counts that are at least `least`; a bucket and width is summed by one task."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for (_, width), rows in sorted_groups(batches, ["bucket", "width"]):
+            ids = np.frombuffer(b"".join(rows["ids"]), np.int64).reshape(-1, width)
+            n = np.frombuffer(b"".join(rows["n"]), np.int64)
+            order = np.lexsort(ids.T)
+            ids = ids[order]
+            first = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]).any(axis=1)))
+            sums = np.add.reduceat(n[order], first)
+            ids, sums = ids[first[sums >= least]], sums[sums >= least]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * width, pa.int32()), pa.array(ids.ravel()))
+            yield pa.RecordBatch.from_arrays([lists, pa.array(sums)], ["ids", "a"])
+
+    return packed.repartition("bucket", "width").sortWithinPartitions("bucket", "width").mapInArrow(released(run), "ids array<long>, a long")
 
 
 def _rows_run(out):
@@ -292,22 +330,22 @@ def count_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
         raise ValueError(f"more than 2^{_BITS} frequent words")
     sent = _sent_words(words) if n <= words_sent else None
     bitmaps = _with_lists(texts, words) if sent is None else None
-    pairs = texts.mapInArrow(_texts_run(sent, _pairs_out), "pair long, n long") if sent else bitmaps.mapInArrow(_rows_run(lambda own, batch, k: _pairs_out(own)), "pair long, n long")
-    pairs = stored(pairs.groupBy("pair").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "pairs")
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (words.agg(F.sum("a")).first()[0] or 0) // BUCKET)
+    pairs = texts.mapInArrow(_texts_run(sent, lambda own: _packed(own.pairs(), buckets)), _PACKED) if sent else bitmaps.mapInArrow(_rows_run(lambda own, batch, k: _packed(own.pairs(), buckets)), _PACKED)
+    pairs = stored(_summed(pairs, least).select(F.col("ids")[0].alias("pair"), "a"), "pairs")
     allowed = None
     if pairs.count() <= pairs_sent:
         allowed = docs.sparkSession.sparkContext.broadcast(np.sort(pairs.select("pair").toPandas()["pair"].to_numpy(np.int64)))
-    kind = "ids array<long>, n long"
     if allowed and sent:
-        longer = texts.mapInArrow(_texts_run(sent, lambda own: _phrases_out(own, allowed.value)), kind)
+        longer = texts.mapInArrow(_texts_run(sent, lambda own: _packed(own.phrases(allowed.value), buckets)), _PACKED)
     elif allowed:
-        longer = bitmaps.mapInArrow(_rows_run(lambda own, batch, k: _phrases_out(own, allowed.value)), kind)
+        longer = bitmaps.mapInArrow(_rows_run(lambda own, batch, k: _packed(own.phrases(allowed.value), buckets)), _PACKED)
     else:
         bitmaps = bitmaps or _with_lists(texts, words)
-        local = bitmaps.mapInArrow(_rows_run(lambda own, batch, k: _pairs_out(own, batch.column("shard")[k].as_py())), "shard long, pair long, n long").join(pairs.select("pair"), "pair", "left_semi")
+        local = bitmaps.mapInArrow(_rows_run(lambda own, batch, k: _pair_rows(own, batch.column("shard")[k].as_py())), "shard long, pair long").join(pairs.select("pair"), "pair", "left_semi")
         known = bitmaps.join(local.groupBy("shard").agg(F.collect_list("pair").alias("allowed")), "shard")
-        longer = known.mapInArrow(_rows_run(lambda own, batch, k: _phrases_out(own, np.sort(batch.column("allowed")[k].values.to_numpy()))), kind)
-    longer = longer.groupBy("ids").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+        longer = known.mapInArrow(_rows_run(lambda own, batch, k: _packed(own.phrases(np.sort(batch.column("allowed")[k].values.to_numpy())), buckets)), _PACKED)
+    longer = _summed(longer, least)
     both = pairs.select(F.array(F.shiftright("pair", _BITS), F.col("pair").bitwiseAND(F.lit((1 << _BITS) - 1))).alias("ids"), "a")
     phrases = stored(both.unionByName(longer), "phrases")
     for x in (sent, allowed):
