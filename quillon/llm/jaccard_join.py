@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ._chunks import byte_batches
-from ._shared import freed, released, sorted_groups, stored, texts
+from ._shared import freed, release_memory, released, sorted_groups, stored, texts
 
 WORDS, PARTS, MOST_PARTS = 5, 64, 4096
 #: Frequent: so many times in a batch of about 8 MB of text, wherever it is.
@@ -65,8 +65,22 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(s ^ s >> np.uint64(32))
 
 
-def class_key(s: np.ndarray, seed: int = 0) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little", signed=True)
+class Keys:
+    """Keys of sets: a hash of 64 bits (or `bits`), with the next salt while it is one of `taken`.
+
+    `taken` are the few keys under which different sets have met; those sets get other ones.
+    """
+
+    def __init__(self, taken: frozenset[int] = frozenset(), bits: int = 64):
+        self.taken, self.bits = taken, bits
+
+    def __call__(self, s: np.ndarray) -> int:
+        salt, data = 0, s.tobytes()
+        while True:
+            key = int.from_bytes(hashlib.blake2b(data, digest_size=8, salt=salt.to_bytes(8, "little")).digest(), "little", signed=True) >> (64 - self.bits)
+            if key not in self.taken:
+                return key
+            salt += 1
 
 
 def prefix_length(n: int, t: int) -> int:
@@ -106,10 +120,10 @@ def near_pairs(vectors: list[bytes], sizes: np.ndarray, t: int):
         yield k, np.concatenate(found) if found else np.zeros(0, int)
 
 
-def _profiles(rows: DataFrame, seed: int) -> DataFrame:
-    """Per row id, n and the class with its vector; and rows of frequent shingles (s, c, a class that has it) with a null n."""
+def _profiles(rows: DataFrame, keys: Keys) -> DataFrame:
+    """Per row id, n and the class with its vector, and the hash of its text; and rows of frequent shingles (s, c, a class that has it) with a null n."""
     kind, id_type = rows.schema["id"].dataType.simpleString(), to_arrow_type(rows.schema["id"].dataType)
-    names, none = ["id", "n", "cls", "vec", "s", "c"], pa.int64()
+    names, none = ["id", "h", "n", "cls", "vec", "s", "c"], pa.int64()
 
     def run(batches):
         for batch in batches:
@@ -117,7 +131,7 @@ def _profiles(rows: DataFrame, seed: int) -> DataFrame:
                 n, cls, vec, all_, owner, seen = [], [], [], [], [], set()
                 for text in part.column("text").to_pylist():
                     s = shingles(text)
-                    key = class_key(s, seed)
+                    key = keys(s)
                     n.append(len(s))
                     cls.append(key)
                     vec.append(parts(s))
@@ -126,15 +140,15 @@ def _profiles(rows: DataFrame, seed: int) -> DataFrame:
                         all_.append(s)
                         owner.append(key)
                 empty = [None] * len(n)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, none), pa.array(cls, none), pa.array(vec, pa.binary()), pa.array(empty, none), pa.array(empty, none)], names)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), pa.array(n, none), pa.array(cls, none), pa.array(vec, pa.binary()), pa.array(empty, none), pa.array(empty, none)], names)
                 values, first, c = np.unique(np.concatenate(all_), return_index=True, return_counts=True)
                 often = np.flatnonzero(c >= OFTEN)
                 if len(often):
                     holder = np.repeat(np.array(owner, np.int64), [len(s) for s in all_])[first[often]]
                     empty = [None] * len(often)
-                    yield pa.RecordBatch.from_arrays([pa.array(empty, id_type), pa.array(empty, none), pa.array(holder), pa.array(empty, pa.binary()), pa.array(values[often].view(np.int64)), pa.array(c[often].astype(np.int64))], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(empty, id_type), pa.array(empty, none), pa.array(empty, none), pa.array(holder), pa.array(empty, pa.binary()), pa.array(values[often].view(np.int64)), pa.array(c[often].astype(np.int64))], names)
 
-    return rows.mapInArrow(released(run), f"id {kind}, n long, cls long, vec binary, s long, c long")
+    return rows.withColumn("h", F.xxhash64("text")).mapInArrow(released(run), f"id {kind}, h long, n long, cls long, vec binary, s long, c long")
 
 
 def _packed(numbers: np.ndarray, cut: np.ndarray, width: int) -> pa.Array:
@@ -143,12 +157,19 @@ def _packed(numbers: np.ndarray, cut: np.ndarray, width: int) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(cut), [None, pa.py_buffer(np.append(0, cut * width).astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
 
 
-def _postings(rows: DataFrame, frequent: np.ndarray, t: int, buckets: int, seed: int) -> DataFrame:
+def leading(s: np.ndarray, m: int, known: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first m shingles of a set in the order of all: those that aren't frequent, and places in `known` of the frequent ones."""
+    at = np.minimum(np.searchsorted(known, s), max(len(known) - 1, 0))
+    often = known[at] == s if len(known) else np.zeros(len(s), bool)
+    first, held = s[~often][:m], at[often]
+    return first, held[np.argsort(ranks[held], kind="stable")][: m - len(first)]
+
+
+def _postings(rows: DataFrame, shared, t: int, buckets: int, keys: Keys) -> DataFrame:
     """(bucket, s, cls): shingles that come first in the order of each class, packed by bucket, 5 and 8 bytes each.
 
     For a frequent shingle its region is known already, and `s` holds nothing: `cls` has pairs of region and class.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
         known, ranks, homes = (np.ascontiguousarray(shared.value[x]) for x in ("s", "rank", "p"))
@@ -157,18 +178,15 @@ def _postings(rows: DataFrame, frequent: np.ndarray, t: int, buckets: int, seed:
                 rare, rare_owner, pairs, seen = [], [], [], set()
                 for text in part.column("text").to_pylist():
                     s = shingles(text)
-                    if not len(s) or (key := class_key(s, seed)) in seen:
+                    if not len(s) or (key := keys(s)) in seen:
                         continue
                     seen.add(key)
                     m = prefix_length(len(s), t)
-                    at = np.minimum(np.searchsorted(known, s), max(len(known) - 1, 0))
-                    often = known[at] == s if len(known) else np.zeros(len(s), bool)
-                    first = s[~often][:m]
+                    first, held = leading(s, m, known, ranks)
                     rare.append(first)
                     rare_owner.append((key, len(first)))
-                    if len(first) < m:
-                        held = at[often]
-                        regions = np.unique(homes[held[np.argsort(ranks[held], kind="stable")][: m - len(first)]])
+                    if len(held):
+                        regions = np.unique(homes[held])
                         pairs.append(np.stack([regions, np.full(len(regions), key, np.int64)], axis=1))
                 if rare and sum(n for _, n in rare_owner):
                     s, owner = np.concatenate(rare), np.repeat(np.array([k for k, _ in rare_owner], np.int64), [n for _, n in rare_owner])
@@ -355,18 +373,26 @@ def _plausible(members: DataFrame, vectors: DataFrame, t: int) -> DataFrame:
     return near.union(large.where(F.col("size") > WINDOWED).select("p", "cls")).distinct()
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
-    """(cls, set) of the classes whose document ids are in `wanted` (id, cls): read again from the documents."""
+def _sets(docs: DataFrame, wanted: DataFrame, keys: Keys) -> DataFrame:
+    """(cls, set) of the classes of which a document's id and hash of its text are in `wanted` (id, h, cls): read again.
+
+    By both, so that null or repeated ids meet only their own text.
+    """
     few = wanted.count() <= BROADCAST_ROWS
-    rows = docs.join(F.broadcast(wanted) if few else wanted, docs["id"].eqNullSafe(wanted["id"])).select("cls", "text")
+    hashed = docs.withColumn("_h", F.xxhash64("text"))
+    rows = hashed.join(F.broadcast(wanted) if few else wanted, (F.col("_h") == wanted["h"]) & hashed["id"].eqNullSafe(wanted["id"])).select("cls", "text")
 
     def run(batches):
+        seen: set[int] = set()  # rows that repeat an id and a text repeat a set
         for batch in batches:
             for part in byte_batches(batch):
-                found = [(c, s.tobytes()) for c, s in zip(part.column("cls").to_pylist(), map(shingles, part.column("text").to_pylist())) if class_key(s, seed) == c]
+                found = []
+                for c, text in zip(part.column("cls").to_pylist(), part.column("text").to_pylist()):
+                    if c not in seen and keys(own := shingles(text)) == c:
+                        seen.add(c)
+                        found.append((c, own.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], ["cls", "set"])
 
-    # rows that repeat an id and a text repeat a set, which only links a class with itself
     return rows.mapInArrow(released(run), "cls long, set binary")
 
 
@@ -415,14 +441,39 @@ def _split(cells: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     return dealt.mapInArrow(released(run), "cell long, cls long, pivot long, linked boolean, into boolean")
 
 
-def _cells(plausible: DataFrame, sets: DataFrame, t: int, every: bool) -> tuple[DataFrame, list[DataFrame]]:
+def _by_second(cells: DataFrame, sets: DataFrame, shared, t: int) -> DataFrame:
+    """(cell, cls): the classes of each cell in cells by a second shingle that they have in common.
+
+    Sets of similarity t have two shingles in common among the first n - ceil(t n) + 2 of each. So a class goes to a cell
+    for each of those, and as every linked pair meets in two of them, the largest cell is left out: that of a shingle
+    which texts without anything else in common share.
+    """
+
+    def run(batches):
+        known, ranks = (np.ascontiguousarray(shared.value[x]) for x in ("s", "rank"))
+        for batch in batches:
+            for cell, cls, own in zip(*(batch.column(c).to_pylist() for c in ("cell", "cls", "set"))):
+                own = np.frombuffer(own, np.uint64)
+                first, held = leading(own, prefix_length(len(own), t) + 1, known, ranks)
+                second = np.append(first, known[held]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(second), cell)), pa.array(second), pa.array(np.full(len(second), cls))], ["cell", "s", "cls"])
+
+    rows = stored(cells.select("cell", "cls").join(sets, "cls").mapInArrow(released(run), "cell long, s long, cls long").distinct(), "by_second")
+    sizes = rows.groupBy("cell", "s").agg(F.count("*").alias("n")).where("n > 1")
+    largest = sizes.groupBy("cell").agg(F.max_by("s", F.struct("n", "s")).alias("s"))
+    kept = sizes.join(largest, ["cell", "s"], "left_anti").select("cell", "s")
+    return rows.join(kept, ["cell", "s"]).select(F.xxhash64("cell", "s").alias("cell"), "cls")
+
+
+def _cells(plausible: DataFrame, sets: DataFrame, shared, t: int, every: bool) -> tuple[DataFrame, list[DataFrame]]:
     """(cell, part, cls, label): what each task joins, part by part; and links (a, b) with pivots.
 
     Regions are split by pivots until a task can hold them. Where a region's cells would hold more than three times its
-    classes, or a cell nearly all of them, they meet in pairs of blocks (`part`). A label is a pivot that the class
+    classes, or a cell nearly all of them, they meet in pairs of blocks (`part`); where nearly all are far from all
+    pivots, they go by a second shingle first (once, or it might not end). A label is a pivot that the class
     links with: for components, classes of the region's commonest label don't meet among themselves.
     """
-    cells = plausible.select(F.col("region").alias("cell"), "cls")
+    cells = plausible.select(F.col("region").alias("cell"), "cls", F.lit(False).alias("second"))
     done: list[DataFrame] = []
     links: list[DataFrame] = []
     none = F.lit(None).cast("long").alias("label")
@@ -435,12 +486,16 @@ def _cells(plausible: DataFrame, sets: DataFrame, t: int, every: bool) -> tuple[
             return _union(done), links
         large = stored(large, "large_cells")
         found = stored(_split(large, sets, t), "split_cells")
-        size = large.groupBy("cell").agg(F.count("*").alias("size"))
+        size = large.groupBy("cell").agg(F.count("*").alias("size"), F.max("second").alias("second"))
         pivots = found.groupBy("cell", "pivot").agg(F.sum(F.col("into").cast("int")).alias("held"), F.sum(F.col("linked").cast("int")).alias("linked"))
-        verdict = pivots.groupBy("cell").agg(F.sum("held").alias("sum"), F.max("held").alias("most"), F.max_by("pivot", F.struct("linked", "pivot")).alias("star")).join(size, "cell")
-        verdict = stored(verdict.select("cell", "size", "star", (F.expr("sum > 3 * size or 5 * most > 4 * size")).alias("whole")), "verdicts")
+        verdict = pivots.groupBy("cell").agg(F.sum("held").alias("sum"), F.max("held").alias("most"), F.max_by("pivot", F.struct("linked", "pivot")).alias("star"), F.max(F.when(F.col("pivot") == 0, F.col("held"))).alias("far")).join(size, "cell")
+        lonely = F.expr("not second and coalesce(5 * far > 4 * size, false)")
+        verdict = stored(verdict.select("cell", "size", "star", lonely.alias("lonely"), (~lonely & F.expr("sum > 3 * size or 5 * most > 4 * size")).alias("whole"), "second"), "verdicts")
         # cells of use: regions of the next level
-        cells = found.where("into").join(verdict.where("not whole").select("cell"), "cell").select(F.xxhash64("cell", "pivot").alias("cell"), "cls")
+        cells = found.where("into").join(verdict.where("not whole and not lonely").select("cell", "second"), "cell").select(F.xxhash64("cell", "pivot").alias("cell"), "cls", "second")
+        if not verdict.where("lonely").isEmpty():
+            alone = large.join(verdict.where("lonely").select("cell"), "cell")
+            cells = cells.unionByName(_by_second(alone, sets, shared, t).withColumn("second", F.lit(True)))
         cells = stored(cells, "cells")
         labels = found.where("linked").groupBy("cell", "cls").agg(F.min("pivot").alias("least"), F.collect_set("pivot").alias("all"))  # PIVOTS or so
         if every:
@@ -512,38 +567,54 @@ def components(links: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("a", "cls")
 
 
-def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Profiles, classes (cls, id, n, vec) and the seed of class keys under which no two different sets met.
+#: Rounds in which sets that a key confuses get others; keys that may be taken so.
+ROUNDS, TAKEN = 16, 1_000_000
+
+
+def _classes(rows: DataFrame, bits: int = 64) -> tuple[DataFrame, DataFrame, Keys]:
+    """Profiles, classes (cls, id, n, vec, and id and h of a row) and the keys, under which no two different sets meet.
 
-    A key is 64 bits; sets that a key would confuse differ in size or vector, which is looked at for every class.
+    Sets that a key would confuse differ in size or vector, which is looked at for every class. Only they get other keys:
+    of n sets some n * n / 2^65 pairs, whose keys all tasks know then, so that a second round is nearly always the last.
     """
-    for seed in range(8):
-        found = stored(_profiles(rows, seed), "profiles")
-        mark = F.xxhash64("vec")
-        own = found.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("vec").alias("vec"), F.min(F.struct("n", mark)).alias("x"), F.max(F.struct("n", mark)).alias("y"))
+    taken: set[int] = set()
+    for _ in range(ROUNDS):
+        keys = Keys(frozenset(taken), bits)
+        found = stored(_profiles(rows, keys), "profiles")
+        mark, of = F.xxhash64("vec"), F.min(F.struct("h", "id"))
+        own = found.where("n > 0").groupBy("cls").agg(F.min("id").alias("id"), of.alias("of"), F.first("n").alias("n"), F.first("vec").alias("vec"), F.min(F.struct("n", mark)).alias("x"), F.max(F.struct("n", mark)).alias("y"))
         classes = stored(own.withColumn("clash", F.col("x") != F.col("y")).drop("x", "y"), "classes")
-        if classes.where("clash").isEmpty():
-            return found, classes.drop("clash"), seed
+        clashes = classes.where("clash").select("cls").limit(TAKEN + 1).toArrow().column("cls").to_pylist()
+        if not clashes:
+            return found, classes.drop("clash"), keys
+        taken.update(clashes)
+        if len(taken) > TAKEN:
+            break
         freed(found, classes)
-    raise RuntimeError("no seed keeps all sets apart")
+    raise RuntimeError("no keys keep all sets apart")
 
 
-def _join(rows: DataFrame, similarity: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _join(rows: DataFrame, similarity: int, every: bool, bits: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Profiles (id, n, cls), classes (cls, id) and links (a, b) between classes."""
     spark = rows.sparkSession
-    found, classes, seed = _classes(rows)
-    often = found.where("s is not null").groupBy("s").agg(F.sum("c").alias("c"), F.min("cls").alias("p")).orderBy(F.desc("c"), "s").limit(MOST_OFTEN).collect()
-    frequent = np.array(sorted((np.int64(r.s).view(np.uint64), len(often) - k, r.p) for k, r in enumerate(often)), dtype=[("s", np.uint64), ("rank", np.int64), ("p", np.int64)])
+    found, classes, keys = _classes(rows, bits)
+    often = found.where("s is not null").groupBy("s").agg(F.sum("c").alias("c"), F.min("cls").alias("p")).orderBy(F.desc("c"), "s").limit(MOST_OFTEN).select("s", "p").toArrow()
+    frequent = np.empty(often.num_rows, dtype=[("s", np.uint64), ("rank", np.int64), ("p", np.int64)])
+    frequent["s"], frequent["rank"], frequent["p"] = often.column("s").to_numpy().view(np.uint64), np.arange(often.num_rows, 0, -1), often.column("p").to_numpy()
+    shared = spark.sparkContext.broadcast(np.sort(frequent, order="s"))
+    del often, frequent
     total = classes.agg(F.sum(F.expr(f"n - (({similarity} * n + 99) div 100) + 1"))).first()[0] or 0
     buckets = min(1 << 24, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET))
-    members = stored(_regions(_postings(rows, frequent, similarity, buckets, seed)), "members")
+    members = stored(_regions(_postings(rows, shared, similarity, buckets, keys)), "members")
     plausible = stored(_plausible(members, classes.select("cls", "n", "vec"), similarity), "plausible")
     freed(members)
-    wanted = stored(plausible.select("cls").distinct().join(classes.select("cls", "id"), "cls"), "wanted")
-    sets = stored(_sets(rows, wanted, seed), "sets")
-    cells, more = _cells(plausible, sets, similarity, every)
+    wanted = stored(plausible.select("cls").distinct().join(classes.select("cls", "of.id", "of.h"), "cls"), "wanted")
+    sets = stored(_sets(rows, wanted, keys), "sets")
+    cells, more = _cells(plausible, sets, shared, similarity, every)
     links = stored(_union([_links(cells, sets, similarity, every), *more]).distinct(), "links")
     freed(plausible, sets, wanted)
+    shared.destroy()
+    release_memory()
     return found.where("n is not null").select("id", "n", "cls"), classes.select("cls", "id"), links
 
 

@@ -5,7 +5,9 @@ so the search runs on the driver over a bounded histogram. Incumbents are the be
 wasteful filling around each largest length. While an incumbent has more sequences than the lower bound (the tokens,
 and the waste beside large items), a depth-first search goes on: it takes the largest length left, enumerates the
 undominated fillings of the space beside it, and leaves a branch when its waste, or the bound of what is left, can't
-beat the incumbent. It searches the incumbent's `SINGLE` most wasteful sequences anew. Pieces then find their place by their rank among the pieces of their length, which needs no
+beat the incumbent. Rounds of it fill `SINGLE` sequences of the incumbent anew, the most wasteful first and all of them if
+the steps last, beginning again whenever one is saved. All three bounds are parameters; without them (None) the search is
+whole and its packing the least. Pieces then find their place by their rank among the pieces of their length, which needs no
 sort: a task numbers its own, and tasks' offsets are summed.
 """
 
@@ -16,6 +18,7 @@ import zlib
 from array import array
 from bisect import bisect_right
 from collections import Counter
+from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +30,9 @@ from . import _chunks
 from ._shared import released, stored, texts
 from .token_counts import tokenizer
 
-#: Steps in the search for one filling, of the incumbent by least waste; of the whole search beyond the incumbents.
-NODES, SEARCH = 4000, 200_000
-#: Sequences that the search fills anew.
+#: Steps in the search for one filling, of the incumbent by least waste; of the search beyond the incumbents, and of a round of it.
+NODES, SEARCH, ROUND = 4000, 200_000, 50_000
+#: Sequences that a round fills anew.
 SINGLE = 48
 
 
@@ -96,9 +99,9 @@ def dominated(filling: list[int], waste: int, lengths: list[int], counts: dict[i
     return any((j := bisect_right(free, total + waste)) and free[j - 1] >= total + more for total, more in parts)
 
 
-def best_filling(space: int, lengths: list[int], counts: dict[int, int]) -> list[int]:
+def best_filling(space: int, lengths: list[int], counts: dict[int, int], nodes: int | None = NODES) -> list[int]:
     """Lengths from the ascending list `lengths` that waste the least of `space`, each used at most counts[length] times."""
-    best, allowed, steps = [], [space], [NODES]
+    best, allowed, steps = [], [space], [inf if nodes is None else nodes]
     for found in completions(space, lengths, counts, allowed, steps):
         waste = space - sum(found)
         if waste <= allowed[0]:
@@ -118,14 +121,14 @@ def _used_up(items: list[int], counts: dict[int, int], most: int | None = None)
     return times
 
 
-def least_waste(histogram: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+def least_waste(histogram: dict[int, int], capacity: int, nodes: int | None = NODES) -> list[tuple[list[int], int]]:
     """The packing that fills the space beside the largest length left with the least waste, again and again."""
     counts = {x: n for x, n in histogram.items() if n}
     lengths, found = sorted(counts), []
     while lengths:
         top = lengths[-1]
         counts[top] -= 1
-        items = [top, *best_filling(capacity - top, lengths, counts)]
+        items = [top, *best_filling(capacity - top, lengths, counts, nodes)]
         counts[top] += 1
         found.append((sorted(items, reverse=True), _used_up(items, counts)))
         lengths = [x for x in lengths if counts[x]]
@@ -149,34 +152,55 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[list[int],
     return [(list(items), times) for own in open_.values() for items, times in own]
 
 
-def fillings(histogram: dict[int, int], capacity: int, search: int = SEARCH) -> list[tuple[list[int], int]]:
+def fillings(histogram: dict[int, int], capacity: int, search: int | None = SEARCH, nodes: int | None = NODES, single: int | None = SINGLE) -> list[tuple[list[int], int]]:
     """(lengths in one sequence, number of such sequences), as few sequences as found; all items are used up.
 
-    The better of two incumbents; where it doesn't meet `lower_bound`, its SINGLE most wasteful sequences are searched anew,
-    `search` steps at most, so the search's memory is bounded too. With no more sequences than that and a search
-    that ends by itself, the number is the least.
+    The better of two incumbents; where it doesn't meet `lower_bound`, rounds fill `single` of its sequences anew, those that
+    waste most and haven't been looked at since the last one was saved, until none is left or `search` steps are taken.
+    With None for all three the number is the least. Memory is bounded by a round's sequences.
     """
     size = lambda packing: sum(times for _, times in packing)
-    best = min((best_fit(histogram, capacity), least_waste(histogram, capacity)), key=size)
-    if size(best) <= lower_bound(histogram, capacity):
-        return best
-    kept, tail, left = [], [], SINGLE
-    for items, times in sorted(best, key=lambda f: sum(f[0])):
-        n = min(times, left)
-        left -= n
-        tail += [(items, n)] * (n > 0)
-        kept += [(items, times - n)] * (times > n)
-    rest: Counter = Counter()
-    for items, n in tail:
-        for x in items:
-            rest[x] += n
-    return kept + _search(dict(rest), capacity, tail, search)
-
-
-def _search(histogram: dict[int, int], capacity: int, best: list[tuple[list[int], int]], search: int) -> list[tuple[list[int], int]]:
-    """Depth-first bin completion from the incumbent `best`."""
+    best = min((best_fit(histogram, capacity), least_waste(histogram, capacity, nodes)), key=size)
+    bound, left = lower_bound(histogram, capacity), [inf if search is None else search]
+    seen: Counter = Counter()  # how many sequences of a filling have been looked at
+    while size(best) > bound and left[0] > 0:
+        kept, tail, room = [], [], inf if single is None else single
+        for items, times in sorted(best, key=lambda f: sum(f[0])):
+            n = min(times - seen[tuple(items)], room) if sum(items) < capacity else 0
+            room -= n
+            tail += [(items, n)] * (n > 0)
+            kept += [(items, times - n)] * (times > n)
+        if not tail:
+            break
+        rest: Counter = Counter()
+        for items, n in tail:
+            for x in items:
+                rest[x] += n
+        steps = [left[0] if single is None else min(left[0], ROUND)]
+        before = steps[0]
+        found = _search(dict(rest), capacity, tail, steps)
+        left[0] -= before - steps[0] if before < inf else 0
+        if size(found) < size(tail):
+            seen.clear()
+        merged: Counter = Counter()
+        for items, n in kept + found:
+            merged[tuple(items)] += n
+        if size(found) == size(tail):
+            for items, n in found:
+                seen[tuple(items)] += n
+        best = [(list(items), n) for items, n in merged.items()]
+    return best
+
+
+def report(histogram: dict[int, int], capacity: int, **bounds) -> dict[str, int]:
+    """How many sequences `fillings` needs, and how many every packing does."""
+    return {"sequences": sum(n for _, n in fillings(histogram, capacity, **bounds)), "lower_bound": lower_bound(histogram, capacity)}
+
+
+def _search(histogram: dict[int, int], capacity: int, best: list[tuple[list[int], int]], steps: list) -> list[tuple[list[int], int]]:
+    """Depth-first bin completion from the incumbent `best`; steps[0] is counted down."""
     size = lambda packing: sum(times for _, times in packing)
-    bound, total, steps = lower_bound(histogram, capacity), sum(x * n for x, n in histogram.items()), [search]
+    bound, total = lower_bound(histogram, capacity), sum(x * n for x, n in histogram.items())
     counts = {x: n for x, n in histogram.items() if n}
     path: list[tuple[list[int], int]] = []  # what the branch has filled
     waste = 0
@@ -286,12 +310,13 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: st
     return found if keep_ids else found.drop("ids")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, keep_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, keep_ids: bool = False, search: int | None = SEARCH, nodes: int | None = NODES, single: int | None = SINGLE) -> DataFrame:
     """Packs all documents' tokens, each document closed by `end_id`, into as few sequences of `capacity` as found.
 
     Returns per piece: id, piece, start, length, ids_crc32, [ids,] sequence_id, offset. Only documents of more than
     `capacity` tokens are cut; their first piece may be shorter. A null or empty text is the end token alone;
-    null ids and repeated rows are packed like others; an empty table gives none; other columns are ignored.
+    null ids and repeated rows are packed like others; an empty table gives none; other columns are ignored. A very long
+    text is cut into pieces by one task. `search`, `nodes` and `single` are the bounds of `fillings`.
     """
     pieces = stored(token_pieces(docs, tokenizer_path, capacity, id_col, text_col, end_id, keep_ids), "pieces")
     spark = docs.sparkSession
@@ -299,7 +324,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, i
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("task", "length", before.alias("before"))
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    places = spark.sparkContext.broadcast(_places(fillings(histogram, capacity)))
+    places = spark.sparkContext.broadcast(_places(fillings(histogram, capacity, search, nodes, single)))
     placed = pieces.join(offsets, ["task", "length"]).withColumn("rank", F.col("seq") + F.col("before")).drop("task", "seq", "before")
 
     def place(batches):

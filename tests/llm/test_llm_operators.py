@@ -6,6 +6,7 @@ import random
 import re
 import zipfile
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -329,6 +330,61 @@ def test_jaccard_links_are_all_links(spark, block, monkeypatch):
     assert got == expected and len(links) > len(set(members.values()))
 
 
+def test_jaccard_join_of_unrelated_texts_with_one_template(spark, monkeypatch):
+    for name, value in (("BLOCK", 6), ("CELL", 12), ("WINDOWED", 24), ("PIVOTS", 4), ("OFTEN", 1)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = random.Random(9)
+    made = []
+    monkeypatch.setattr(jaccard_join, "_by_second", lambda *a, f=jaccard_join._by_second: made.append(1) or f(*a))
+    line = lambda k: " ".join(f"l{k}w{j}" for j in range(24))
+    pool = [line(k) for k in range(40)]
+    rows = [(i, "\n".join(rng.sample(pool, 6))) for i in range(420)]  # makes the lines of the pool more frequent than line 99
+    rows += [(1000 + i, line(99) + "\n" + "\n".join(rng.sample(pool, 5))) for i in range(40)]  # of it and nothing else in common
+    rows += [(2000 + i, f"{t}\none word more") for i, t in rows[-10:]]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_groups(rows) and made
+
+
+def test_jaccard_cells_by_a_second_shingle_keep_every_link(spark):
+    rng = np.random.default_rng(4)
+    common = np.array([5], np.uint64)
+    sets = {}
+    for c in range(1, 90):
+        s = rng.integers(10, 2**62, 20, dtype=np.uint64) if c % 3 else sets[c - 1][rng.random(len(sets[c - 1])) < 0.93]
+        sets[c] = np.unique(np.append(s, common))
+    shared = spark.sparkContext.broadcast(np.array([(5, 1, 0)], dtype=[("s", np.uint64), ("rank", np.int64), ("p", np.int64)]))
+    cells = spark.createDataFrame([(7, c) for c in sets], "cell long, cls long")
+    table = spark.createDataFrame([(c, s.tobytes()) for c, s in sets.items()], "cls long, set binary")
+    groups = {}
+    for r in jaccard_join._by_second(cells, table, shared, 80).collect():
+        groups.setdefault(r.cell, set()).add(r.cls)
+    met = {(a, b) for own in groups.values() for a in own for b in own if a < b}
+    linked = {(a, b) for a in sets for b in sets if a < b and 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    assert linked and linked <= met and max(map(len, groups.values())) < 10
+
+
+def test_jaccard_keys_that_meet_are_made_anew(spark):
+    rows = [(i, t) for i, t in jaccard_rows(3, 120, 12, 5)]
+    docs = spark.createDataFrame([(i, t or "") for i, t in rows], "id long, text string")
+    found, classes, keys = jaccard_join._classes(docs, bits=10)
+    assert keys.taken
+    sets = {i: jaccard_join.shingles(t or "").tobytes() for i, t in rows}
+    own = {r.id: r.cls for r in found.where("n is not null").collect()}
+    assert all((own[a] == own[b]) == (sets[a] == sets[b]) for a in sets for b in sets)
+
+
+def test_jaccard_null_ids_meet_only_their_own_text(spark):
+    rows = [(None if i % 2 else i, t) for i, t in jaccard_rows(7, 200, 10, 4)]
+    docs = spark.createDataFrame([(r[0], r[1], k) for k, r in enumerate(rows)], "doc_id long, text string, k long")
+    groups = brute_groups([(k, t) for k, (_, t) in enumerate(rows)])
+    least = {}
+    for k, (_, root) in groups.items():
+        least.setdefault(root, []).append(rows[k][0])
+    expected = sorted(((rows[k][0], n, min((x for x in least[root] if x is not None), default=None)) for k, (n, root) in groups.items()), key=repr)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs).collect()), key=repr)
+    assert [(a, n, c) for a, n, c in got if n] == [(a, n, c) for a, n, c in expected if n]
+
+
 def test_jaccard_region_recursion_gives_every_link():
     rng = np.random.default_rng(6)
     base = rng.integers(0, 2**62, 200, dtype=np.uint64)
@@ -508,6 +564,38 @@ def test_fillings_are_as_few_as_brute_force_finds():
         assert sum(n for _, n in found) == least, (capacity, items)
 
 
+@pytest.mark.parametrize("kind", ["rounds", "whole"])
+def test_fillings_at_full_capacity(kind, monkeypatch):
+    rng = random.Random(11)
+    bounds = {"search": None, "nodes": None, "single": None} if kind == "whole" else {"single": 3}
+    fewer = 0
+    for _ in range(60):
+        items = sorted((rng.choice([rng.randint(300, 1100), rng.randint(520, 759), rng.randint(1, 2048)]) for _ in range(rng.randint(2, 11))), reverse=True)
+        histogram = {n: items.count(n) for n in items}
+        found, least = packing.fillings(histogram, 2048, **bounds), optimum(items, 2048)
+        assert used_up(found, 2048) == histogram
+        size = sum(n for _, n in found)
+        first = min(sum(n for _, n in f(histogram, 2048)) for f in (packing.best_fit, packing.least_waste))
+        assert packing.report(histogram, 2048, **bounds) == {"sequences": size, "lower_bound": packing.lower_bound(histogram, 2048)}
+        assert size == least if kind == "whole" else least <= size <= first
+        fewer += size < first
+    assert packing.fillings({700: 1}, 2048, 0, 0, 1) == [([700], 1)]
+
+
+def test_rounds_look_at_all_wasteful_sequences(monkeypatch):
+    rng = random.Random(5)
+    looked = []
+    search = packing._search
+    monkeypatch.setattr(packing, "ROUND", 500)
+    monkeypatch.setattr(packing, "_search", lambda h, c, best, steps: looked.append(sum(n for _, n in best)) or search(h, c, best, steps))
+    histogram = dict(Counter(rng.randint(520, 759) for _ in range(400)))
+    found = packing.fillings(histogram, 2048, search=3000, single=20)
+    assert used_up(found, 2048) == histogram and len(looked) > 1 and all(n <= 20 for n in looked)
+    looked.clear()
+    few = {520: 9, 759: 9, 1300: 5}
+    assert used_up(packing.fillings(few, 2048, search=None, single=2), 2048) == few
+
+
 def test_the_search_beats_its_incumbents():
     histogram, capacity = {n: 1 for n in (49, 41, 34, 33, 29, 26, 26 + 75, 22, 20, 19)}, 101
     assert sum(n for _, n in packing.fillings(histogram, capacity)) == optimum(sorted(histogram, reverse=True), capacity)
