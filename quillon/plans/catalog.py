@@ -675,19 +675,42 @@ EXPORTS = {
     "scopus_csv": "Authors,Title,Year,DOI,Abstract,EID\n\"A, {key}; B, C\",{title},{year},{doi},\"{text}\",{key}\n",
     "pubmed_csv": "PMID,Title,Authors,Publication Year,DOI\n{key},{title},\"A, {key}; B, C\",{year},{doi}\n",
 }
-#: A text on one line, without what a format gives a meaning to.
-_ONE_LINE = r"trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g'))"
+# Characters that end a line or are space for some reader, and what a format gives a meaning to within a value.
+_SPACE = r"[\x{0}-\x{20}\x{7F}-\x{A0}\x{1680}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+_MEANT = {"bibtex": r"[{}\\]", "wos_tsv": '"'}
+#: Formats of which a value may go on in further lines, and words on a line.
+FOLDED, FOLD = ("ris", "pubmed_nbib", "refworks"), 12
 
 
-@query(f"""with x as (select doc_id, {_ONE_LINE} txt from documents), f as (select unnest([{", ".join(f"'{n}'" for n in EXPORTS)}]) format)
+def exported(format: str, key: str, title: str, year: str, doi: str, text: str) -> str:
+    """A record as an export of a format: tags without blanks at their ends, long values in several lines, quotes doubled."""
+    if format in FOLDED:
+        words = text.split(" ")
+        text = "\n      ".join(" ".join(words[k : k + FOLD]) for k in range(0, len(words), FOLD))
+    if format.endswith("_csv"):
+        text = text.replace('"', '""')
+    lines = EXPORTS[format].format(key=key, title=title, year=year, doi=doi, text=text).split("\n")
+    return "\n".join(line.rstrip(" ") for line in lines)
+
+
+_TEXT = rf"trim(regexp_replace(coalesce(text, ''), '{_SPACE}', ' ', 'g'), ' ')"
+
+
+@query(f"""with x as (select doc_id, {_TEXT} one from documents), f as (select unnest([{", ".join(f"'{n}'" for n in EXPORTS)}]) format),
+    y as (select doc_id, format, trim(regexp_replace(case format when 'bibtex' then regexp_replace(one, '{_MEANT["bibtex"]}', '', 'g') when 'wos_tsv' then replace(one, '{_MEANT["wos_tsv"]}', '') else one end, ' +', ' ', 'g'), ' ') txt from x, f)
     select format, doc_id as record_key, 'Title of ' || doc_id as title, case when format = 'scopus_plain' then 'A, ' || doc_id || '; B, C' else 'A, ' || doc_id || '|B, C' end as authors, (2000 + doc_id % 20)::varchar as year, '10.1234/d.' || doc_id as doi,
-    case when format = 'pubmed_csv' then '' else md5(txt) end as text_md5 from x, f""")
+    case when format = 'pubmed_csv' then '' else md5(txt) end as text_md5 from y""")
 def parsed_formats(spark, d):
     """Every document written in each export format and parsed again, its whole text as the abstract."""
     key = F.col("doc_id").cast("string")
-    columns = {"key": key, "title": F.concat(F.lit("Title of "), key), "year": (2000 + F.col("doc_id") % 20).cast("string"), "doi": F.concat(F.lit("10.1234/d."), key), "text": F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9]+", " "))}
+    one = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), _SPACE, " "))
+    columns = {"key": key, "title": F.concat(F.lit("Title of "), key), "year": (2000 + F.col("doc_id") % 20).cast("string"), "doi": F.concat(F.lit("10.1234/d."), key), "text": one}
     docs = lenses.table(spark, d, "documents").select("doc_id", *[c.alias(n) for n, c in columns.items()])
     rows = docs.withColumn("format", F.explode(F.array(*[F.lit(n) for n in EXPORTS])))
+    plain = F.col("text")
+    for name, pattern in _MEANT.items():
+        plain = F.when(F.col("format") == name, F.regexp_replace("text", pattern, "")).otherwise(plain)
+    rows = rows.withColumn("text", F.trim(F.regexp_replace(plain, " +", " ")))
 
     def run(batches):
         import hashlib
@@ -697,7 +720,7 @@ def parsed_formats(spark, d):
         for b in batches:
             out = []
             for r in b.itertuples():
-                found = formats.parse(EXPORTS[r.format].format(key=r.key, title=r.title, year=r.year, doi=r.doi, text=r.text).encode())
+                found = formats.parse(exported(r.format, r.key, r.title, r.year, r.doi, r.text).encode())
                 (fields, _), = found.records
                 value = "".join(fields.get("AB", []))
                 out.append((found.format, r.doc_id, "".join(fields["TI"]), "|".join(fields["AU"]), "".join(fields["PY"]), "".join(fields["DI"]), "" if r.format == "pubmed_csv" else hashlib.md5(value.encode()).hexdigest()))
