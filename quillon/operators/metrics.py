@@ -35,8 +35,8 @@ def dense_trend(papers: DataFrame, group: str | None = None, start: int | None =
     counts = _tally(rows, "py", "source")
     span = counts.agg(F.coalesce(F.lit(start), F.min("py")).alias("lo"), F.coalesce(F.lit(end), F.max("py")).alias("hi")).where("lo <= hi")
     years = span.select(F.explode(F.sequence("lo", "hi")).alias("py"))
-    # years and groups are small: both are bounded by calendar and by the databases' number
-    frame = years.crossJoin(F.broadcast(counts.select("source").distinct()))
+    # the calendar bounds the years; groups may be any number, and are not sent
+    frame = counts.select("source").distinct().crossJoin(F.broadcast(years))
     return frame.join(counts, ["py", "source"], "left").select(F.col("py").alias("year"), "source", F.coalesce("papers", F.lit(0)).cast("long").alias("papers"), F.coalesce("citations", F.lit(0)).cast("long").alias("citations"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..session import checkpoint_folder
 
 KINDS = ("keywords", "authors", "countries", "institutions", "journals", "cited_authors", "cited_journals", "cited_articles")
 
@@ -62,7 +63,8 @@ def build(terms: DataFrame, kind: str, min_occurrences: int = 2, max_items: int
     if kind not in KINDS:
         raise ValueError(f"unknown network: {kind}")
     cited = kind.startswith("cited_")
-    nodes = select_nodes(terms, min_occurrences, max_items, cited).persist()
+    checkpoint_folder(terms.sparkSession)
+    nodes = select_nodes(terms, min_occurrences, max_items, cited).checkpoint()  # at most max_items
     n = nodes.count()
     if n < 2 and terms.isEmpty():
         if cited:
@@ -73,7 +75,7 @@ def build(terms: DataFrame, kind: str, min_occurrences: int = 2, max_items: int
     if n < 2:
         raise ValueError("fewer than two nodes reach the threshold")
     edges = coupling(terms.select("record_key", "key").join(references, "record_key"), nodes) if kind == "journals" else cooccurrence(terms, nodes)
-    edges = edges.persist()
+    edges = edges.checkpoint()
     if edges.isEmpty():
         raise ValueError("no links between the nodes")
     return Network(with_strength(nodes, edges), edges)

@@ -1,7 +1,7 @@
-"""Writers: tagged text, flat rows, audit, pairs, networks. Large tables are written by tasks, small files by the driver.
+"""Writers: tagged text, flat rows, audit, pairs, networks. Rows are written by tasks; the driver only renames.
 
-Single files go out as one ordered partition under a temporary folder and are renamed, so that a reader never sees
-half a file.
+A single file is written by one task into a folder of its own, committed by Spark, and then renamed, so that a reader never
+sees half a file and a failed attempt leaves none. What isn't a table (networks, states) is written by the driver.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+import posixpath
 import uuid
 from datetime import datetime
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..schema import CONTINUED_TAGS, EXPORT_ORDER, SEMICOLON_TAGS
+from ..session import checkpoint_folder
 
 HEADER, FOOTER = "FN Clarivate Analytics Web of Science\nVR 1.0\n", "EF\n"
 
@@ -67,23 +69,27 @@ def export_tagged(records: DataFrame, path: str, single_file: bool = True) -> st
     if not single_file:
         ordered.write.text(path)
         return path
-    folder = f"{path}.{uuid.uuid4().hex}.parts"
-    ordered.write.text(folder)
+    return write_lines(rows.orderBy("ord").select("value"), path, HEADER.rstrip("\n"), FOOTER.rstrip("\n"))
+
+
+def write_lines(lines: DataFrame, path: str, head: str | None = None, tail: str | None = None) -> str:
+    """One text file of the rows of `lines` (one column) in their order, between two lines that may be given."""
+    spark = lines.sparkSession
+    # the number that a row gets follows the order of partitions and of rows in them
+    rows = lines.toDF("value").withColumn("_place", F.monotonically_increasing_id())
+    ends = [(text, k) for text, k in ((head, -1), (tail, 1 << 62)) if text is not None]
+    rows = rows.union(spark.createDataFrame(ends, "value string, _place long")).repartition(1).sortWithinPartitions("_place").select("value")
+    jvm, folder = spark._jvm, f"{path}.{uuid.uuid4().hex}.parts"
     p, fs = _filesystem(spark, path)
-    jvm = spark._jvm
-    parts = sorted(s.getPath().toString() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(folder)) if s.getPath().getName().startswith("part-"))
-    temp = jvm.org.apache.hadoop.fs.Path(f"{path}.tmp")
-    out = fs.create(temp, True)
-    out.write(bytearray(HEADER.encode()))
-    for part in parts:
-        source = fs.open(jvm.org.apache.hadoop.fs.Path(part))
-        jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
-        source.close()
-    out.write(bytearray(FOOTER.encode()))
-    out.close()
-    fs.delete(p, False)
-    fs.rename(temp, p)
-    fs.delete(jvm.org.apache.hadoop.fs.Path(folder), True)
+    temp = jvm.org.apache.hadoop.fs.Path(folder)
+    try:
+        rows.write.text(folder)
+        part = next(x.getPath() for x in fs.listStatus(temp) if x.getPath().getName().startswith("part-"))
+        fs.delete(p, False)
+        if not fs.rename(part, p):
+            raise OSError(f"can't write {path}")
+    finally:
+        fs.delete(temp, True)
     return path
 
 
@@ -91,13 +97,24 @@ def export_name(kind: str, extension: str, now: datetime | None = None) -> str:
     return f"{kind}_{(now or datetime.now()).strftime('%y%m%d%H%M')}.{extension}"
 
 
+def default_output_dir(base: str, now: datetime | None = None) -> str:
+    return f"{base.rstrip('/')}/output/{(now or datetime.now()).strftime('%y%m%d%H%M')}"
+
+
+def preferred_export_dir(base: str, saved: str | None = None, now: datetime | None = None) -> str:
+    """The folder that was saved, unless it is the output folder of `base` or lies in it: then a new one there."""
+    whole = lambda path: posixpath.normpath(path.partition("://")[2] or path)
+    own = whole(f"{base}/output")
+    return saved if saved and whole(saved) != own and not whole(saved).startswith(f"{own}/") else default_output_dir(base, now)
+
+
 def merge_unchanged(found, path: str) -> DataFrame:
     """Appends the titled records of an import without any normalisation; returns the files' accounts."""
     export_tagged(found.records.where(t.text("TI") != ""), path)
     return found.files
 
 
-# The columns of the flat table and what decisions are called in it.
+# What decisions are called in the flat table, and the columns of that (below, in `flat_rows`).
 DISPLAY = {"relevant": "相关", "uncertain": "存疑", "irrelevant": "不相关"}
 
 
@@ -116,18 +133,51 @@ def flat_rows(rows: DataFrame) -> DataFrame:
     return rows.select(*[(c if n == "AI置信度" else t.spreadsheet_safe(c)).alias(n) for n, c in columns.items()])
 
 
-def export_screening(rows: DataFrame, duplicates: DataFrame, folder: str) -> dict[str, str]:
-    """Relevant records as tagged text, all rows by decision as CSV, the audit as JSON lines, duplicates and failures."""
-    flat = flat_rows(rows)
-    paths = {"relevant": f"{folder}/relevant.txt", "audit": f"{folder}/audit", "duplicates": f"{folder}/duplicates", "failures": f"{folder}/failures"}
+# The views of a screening and the marks of broken formulas.
+VIEWS = {"all": None, "relevant": "最终分类", "irrelevant": "最终分类", "review": "AI初始分类"}
+VIEW_DECISIONS = {"relevant": "relevant", "irrelevant": "irrelevant", "review": "uncertain"}
+BROKEN = r"#REF!|#DIV/0!|#VALUE!|#NAME\?|#N/A|#NUM!|#NULL!|#SPILL!|#CALC!"
+
+
+def with_views(flat: DataFrame) -> DataFrame:
+    """Flat rows once for each view (`view`) that they are in: all, and by final or first decision."""
+    own = [F.lit(v) if column is None else F.when(F.col(column) == DISPLAY[VIEW_DECISIONS[v]], v) for v, column in VIEWS.items()]
+    return flat.withColumn("view", F.explode(F.array_compact(F.array(*own))))
+
+
+def run_info(rows: DataFrame, duplicates: DataFrame | None = None, **settings) -> dict:
+    """What a run took and decided, counted in one pass over its results by grouping sets; `settings` first, as given."""
+    failed = F.coalesce("error", F.lit("")) != ""
+    counts = rows.select("final_decision", "decision", failed.alias("failed")).groupingSets([["final_decision"], ["decision"], ["failed"], []], "final_decision", "decision", "failed").agg(F.grouping_id().alias("g"), F.count("*").alias("n"))
+    found: dict[tuple, int] = {(r.g, r.final_decision, r.decision, r.failed): r.n for r in counts.collect()}
+    info = {"records": found.get((7, None, None, None), 0), "relevant": found.get((3, "relevant", None, None), 0), "irrelevant": found.get((3, "irrelevant", None, None), 0), "uncertain_at_first": found.get((5, None, "uncertain", None), 0)}
+    return settings | info | {"duplicates": 0 if duplicates is None else duplicates.count(), "failures": found.get((6, None, None, True), 0)}
+
+
+def error_scan(flat: DataFrame) -> dict[str, int]:
+    """Columns of which cells hold the mark of a broken formula, and how many do."""
+    counts = flat.agg(*[F.count_if(F.col(f"`{c}`").cast("string").rlike(BROKEN)).alias(c) for c in flat.columns]).first().asDict()
+    return {c: n for c, n in counts.items() if n}
+
+
+def export_screening(rows: DataFrame, duplicates: DataFrame, folder: str, **settings) -> dict[str, str]:
+    """Relevant records as tagged text, the views as CSV, the audit as JSON lines, duplicates, failures and the run's counts.
+
+    The rows are computed once (a checkpoint); all views are written by one scan of them, a folder each (`view=...`).
+    """
+    checkpoint_folder(rows.sparkSession)
+    rows = rows.checkpoint()
+    paths = {name: f"{folder}/{name}" for name in ("audit", "duplicates", "failures", "views")} | {"relevant": f"{folder}/relevant.txt", "run_info": f"{folder}/run_info.json"}
     relevant = rows.where("final_decision = 'relevant'")
     if not relevant.isEmpty():
         export_tagged(relevant, paths["relevant"])
-    for name in DISPLAY:
-        flat.where(F.col("最终分类") == DISPLAY[name]).write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{folder}/rows_{name}")
+    flat = flat_rows(rows)
+    with_views(flat).write.mode("overwrite").partitionBy("view").option("header", True).option("escape", '"').csv(paths["views"])
     append_audit(rows.select("record_id", "decision", "confidence", "final_decision", "error"), paths["audit"])
     duplicates.write.mode("overwrite").option("header", True).csv(paths["duplicates"])
     rows.where("error <> ''").select("record_id", t.text("TI").alias("title"), "error").write.mode("overwrite").option("header", True).csv(paths["failures"])
+    info = run_info(rows, duplicates, **settings) | {"broken_cells": error_scan(flat)}
+    write_file(rows.sparkSession, paths["run_info"], json.dumps(info, ensure_ascii=False, indent=2))
     return paths
 
 
@@ -135,13 +185,19 @@ def append_audit(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 
 
+def csv_lines(df: DataFrame) -> tuple[str, DataFrame]:
+    """The header and the lines of a table as CSV: quotes where a cell needs them, doubled inside; nulls are empty."""
+    quoted = lambda c: F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    cells = [F.coalesce(quoted(F.col(f"`{c}`").cast("string")), F.lit("")) for c in df.columns]
+    head = io.StringIO()
+    csv.writer(head, lineterminator="").writerow(df.columns)
+    return head.getvalue(), df.select(F.concat_ws(",", *cells).alias("value"))
+
+
 def write_csv(df: DataFrame, path: str) -> str:
-    """A small table as one CSV file with a UTF-8 mark."""
-    out = io.StringIO()
-    writer = csv.writer(out, lineterminator="\n")
-    writer.writerow(df.columns)
-    writer.writerows(df.toLocalIterator())
-    return write_file(df.sparkSession, path, "﻿" + out.getvalue())
+    """A table as one CSV file with a UTF-8 mark, rows in their order."""
+    head, lines = csv_lines(df)
+    return write_lines(lines, path, "\ufeff" + head)
 
 
 def plot_rows(series: DataFrame, x: str, *values: str, names: dict[str, str] | None = None) -> DataFrame:
@@ -151,8 +207,8 @@ def plot_rows(series: DataFrame, x: str, *values: str, names: dict[str, str] | N
 
 
 def write_pairs(pairs: DataFrame, path: str) -> str:
-    lines = [f"{r.target}\t{r.variant}\n" for r in pairs.select("target", "variant").orderBy("target", "variant").toLocalIterator()]
-    return write_file(pairs.sparkSession, path, "".join(lines))
+    """One pair a line, between them a tab, in the order of both."""
+    return write_lines(pairs.orderBy("target", "variant").select(F.concat("target", F.lit("\t"), "variant")), path)
 
 
 def network_json(network, title: str = "", parameters: dict | None = None) -> dict:

@@ -1,8 +1,11 @@
 """Operators on small record tables, with expected values from the survey's fixtures and brute force."""
 
+import csv
+import io
 import itertools
 import json
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -468,6 +471,26 @@ def test_screening_export(spark, tmp_path):
     log = spark.createDataFrame([("a", "b")], "x string, y string")
     paths = sinks.export_screening(rows_, log, f"file://{tmp_path}/e")
     assert (tmp_path / "e" / "relevant.txt").exists() and spark.read.json(paths["audit"]).count() == 2
+    views = spark.read.option("header", True).csv(paths["views"])
+    assert {r.view: r["count"] for r in views.groupBy("view").count().collect()} == {"all": 2, "relevant": 1, "irrelevant": 1, "review": 2}
+    assert sinks.run_info(rows_, log, model="m") == {"model": "m", "records": 2, "relevant": 1, "irrelevant": 1, "uncertain_at_first": 2, "duplicates": 1, "failures": 0}
+    assert sinks.run_info(rows_.withColumn("error", F.when(F.col("ord") == 0, "down")))["failures"] == 1 and sinks.run_info(rows_.limit(0))["records"] == 0
+    assert sinks.error_scan(flat) == {} and sinks.error_scan(flat.withColumn("题名", F.lit("x #N/A"))) == {"题名": 2}
+    assert json.loads((tmp_path / "e" / "run_info.json").read_text())["broken_cells"] == {}
+
+
+def test_single_files_are_whole_or_absent(spark, tmp_path):
+    rows_ = spark.range(5000).selectExpr("id", "concat('a,\"', id, '\n') text", "if(id % 2 = 0, null, 'x') other").repartition(7).orderBy(F.desc("id"))
+    path = sinks.write_csv(rows_, f"file://{tmp_path}/t.csv").removeprefix("file://")
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n").writerows([["id", "text", "other"], *([k, f'a,"{k}\n', "x" if k % 2 else None] for k in range(4999, -1, -1))])
+    assert open(path, encoding="utf-8-sig", newline="").read() == out.getvalue()
+    with pytest.raises(Exception, match="bad"):
+        sinks.write_lines(spark.range(3).select(F.raise_error(F.lit("bad")).cast("string")), f"file://{tmp_path}/t.csv")
+    assert open(path, encoding="utf-8-sig", newline="").read() == out.getvalue() and sorted(x.name for x in tmp_path.iterdir() if not x.name.startswith(".")) == ["t.csv"]
+    now = datetime(2024, 5, 6, 7, 8)
+    assert sinks.preferred_export_dir("/app", None, now) == "/app/output/2405060708" == sinks.preferred_export_dir("/app/", "/app/x/../output/old", now)
+    assert sinks.preferred_export_dir("/app", "/elsewhere", now) == "/elsewhere" and sinks.preferred_export_dir("/app", "/app/output2", now) == "/app/output2"
 
 
 def test_streaming_import(spark, tmp_path):
