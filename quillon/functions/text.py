@@ -202,23 +202,36 @@ def normal_doi(c: Column) -> Column:
     return F.regexp_replace(strip(c), r"\.+$", "")
 
 
+def _mapped(s, change):
+    """`change` of every text of a series, of a text that repeats once."""
+    known: dict[str, str] = {}
+    return s.map(lambda x: None if x is None else known[x] if x in known else known.setdefault(x, change(x)))
+
+
 @F.pandas_udf(StringType())
 def _alnum(s):
     import unicodedata
 
-    return s.map(lambda x: None if x is None else "".join(filter(str.isalnum, unicodedata.normalize("NFKC", x).casefold())))
+    return _mapped(s, lambda x: "".join(filter(str.isalnum, unicodedata.normalize("NFKC", x).casefold())))
 
 
 @F.pandas_udf(StringType())
 def _compatible(s):
     import unicodedata
 
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
+    return _mapped(s, lambda x: unicodedata.normalize("NFKC", x).casefold())
+
+
+def _plain_or(c: Column, plain, other) -> Column:
+    """`plain(c)` in the JVM for texts of ASCII alone, for which `other` (an Arrow function) gets a null instead."""
+    ascii_ = lambda x: x.rlike(r"^[\x00-\x7F]*$")
+    return F.coalesce(bind(c, lambda x: F.when(ascii_(x), plain(x))), other(bind(c, lambda x: F.when(~ascii_(x), x))))
 
 
 def alnum_key(c: Column, exact: bool = True) -> Column:
-    """Letters and digits of a text in compatibility form, case folded: exact by an Arrow function, else natively."""
-    return _alnum(c) if exact else F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
+    """Letters and digits of a text in compatibility form, case folded: exact, by an Arrow function for texts beyond ASCII, else natively."""
+    native = F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
+    return _plain_or(c, lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]", ""), _alnum) if exact else native
 
 
 def surname(exact: bool = True) -> Column:
@@ -228,7 +241,7 @@ def surname(exact: bool = True) -> Column:
 
 def title_sort_key(c: Column) -> Column:
     """A title for sorting: compatibility form and full case folding, without signs at the beginning."""
-    return F.regexp_replace(_compatible(c), r"^[^\p{L}\p{N}]+", "")
+    return F.regexp_replace(_plain_or(c, F.lower, _compatible), r"^[^\p{L}\p{N}]+", "")
 
 
 def reference_key(c: Column) -> Column:
@@ -236,6 +249,7 @@ def reference_key(c: Column) -> Column:
     return F.when(doi != "", F.concat(F.lit("doi:"), fold(F.regexp_replace(doi, "[.,; ]+$", "")))).otherwise(F.concat(F.lit("ref:"), fold(squeeze(c))))
 
 
+# Fixed values (in the function below): names of countries in rankings.
 def country_name(c: Column) -> Column:
     """The country's name in rankings."""
     key = F.trim(F.regexp_replace(fold(c), "[^a-z]+", " "))

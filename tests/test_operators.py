@@ -227,6 +227,16 @@ def test_members_of_a_hot_group_are_rows(spark):
     assert not dedupe.needs_new_review(own.withColumn("status", F.lit("ignored")), own) and dedupe.needs_new_review(own.withColumn("status", F.lit("ignored")), dedupe.members(rows.where("ord < 2800"), "loose"))
 
 
+def test_keys_equal_compatibility_forms_of_all_characters(spark):
+    import unicodedata
+
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    own = ["".join(chars[k : k + 97]) for k in range(0, len(chars), 97)] + [*chars[:700], "", None, "ASCII Only 1\n", "ﬁne Straße"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(own)], "k int, c string").repartition(4)
+    got = {r.k: r.a for r in df.select("k", t.alnum_key(F.col("c")).alias("a")).collect()}
+    assert all(got[k] == (None if x is None else "".join(filter(str.isalnum, unicodedata.normalize("NFKC", x).casefold()))) for k, x in enumerate(own))
+
+
 def test_vocabulary_merge(spark):
     df = records(spark, [{"TI": "x", "DE": ["waterwaste; water waste", "water-waste", "papers; paper"], "C1": ["[Li, A] Peking Univ, Beijing, Peoples R China [Wang, B] MIT, Boston, USA"], "CO": ["PR China"]}, {"TI": "y", "DE": "unrelated"}])
     merged, report = vocabulary.merge(df, {"organizations": [{"target": "北京大学", "variants": ["Peking Univ"]}], "countries": [{"target": "中国", "variants": ["Peoples R China"]}]})
