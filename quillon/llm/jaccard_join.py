@@ -634,7 +634,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Two rows link if 100 * |A & B| >= similarity * |A | B| for their sets of distinct 5-word shingles (A-Z in lower
     case; of fewer words the whole sequence). Rows without words, null texts included, have no set and link with
     nothing. A row with a null id gets its component's least id that isn't null, or null. Repeated rows link with each
-    other; an empty table gives none; other columns are ignored.
+    other; an empty table gives none; other columns are ignored. A very long text is one set, which one task holds.
     """
     profiles, classes, links = _join(texts(docs, id_col, text_col), similarity, False)
     labels = components(links)

@@ -107,7 +107,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Blank lines are not compared; they stay, unless all other lines go: then the text is empty. Rows that equal each
     other in id and text are one document and are edited alike; of rows that share an id only, the text's hash decides
-    which comes first. Null texts stay null, with no lines; null ids come first. Existing columns of the names
+    which comes first. Null texts stay null, with no lines; null ids come first; an empty table gives none. A very long text
+    is split by one task, its lines are rows from then on. Existing columns of the names
     that are added are replaced; all others and all rows stay.
     """
     gone = later_copies(docs, id_col, text_col, min_words).select(F.col("doc.id").alias("_quillon_id"), F.col("doc.h").alias("_quillon_h"), F.col("lines").alias("_quillon_gone"))

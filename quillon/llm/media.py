@@ -222,7 +222,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Returns id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature. A null or
     empty text is stored as padding alone; null ids and repeated rows are kept; an empty table gives none; other
-    columns are ignored. Equal texts give equal values.
+    columns are ignored. Equal texts give equal values. A very long text is one image, which one task holds.
     """
     spark = docs.sparkSession
     directory = directory or scratch_path(spark, "media")

@@ -167,7 +167,7 @@ def sp_encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col
 
     With `digests_only` the arrays and decoded texts, as large as the input, stay in the worker. A null or empty text
     has no ids and decodes to the empty text; null ids and repeated rows are kept; an empty table gives none;
-    other columns are ignored, whatever their names.
+    other columns are ignored, whatever their names. A very long text is encoded whole, by one task.
     """
     rows = texts(docs, id_col, text_col)
 

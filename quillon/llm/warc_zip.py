@@ -199,6 +199,7 @@ def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
 
     A revisit's size and digest are those of the response that it refers to. A null html is an empty payload; a null
     id is always a response; repeated rows give repeated records; an empty table gives none; other columns are ignored.
+    A very long html is one record, which one task holds.
     """
     spark = pages.sparkSession
     directory = directory or scratch_path(spark, "warc")

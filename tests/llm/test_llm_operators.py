@@ -486,6 +486,29 @@ def test_language_id_refuses_what_it_would_not_learn(spark):
     assert language_id.fit_language_model(df.where("doc_id < 1000")) is None  # no letters
 
 
+def test_frequent_pre_tokens_of_a_sample(spark):
+    rows = spark.createDataFrame([(f"common words {'rare' if k == 3 else 'often'} {k}",) for k in range(400)], "text string")
+    whole, some = token_counts.frequent_pre_tokens(rows, 10), token_counts.frequent_pre_tokens(rows, 10, sample=40)
+    assert set(whole) == {"common", "words", "often"} and set(some) <= set(whole) and "common" in some
+
+
+def long_text(n):
+    return " ".join(f"word{k % 977}" for k in range(n)) + "\n" + "no spaces" * n
+
+
+def test_very_long_texts(spark, tmp_path):
+    docs = spark.createDataFrame([(1, long_text(60_000)), (2, "short"), (3, long_text(60_000)), (4, long_text(60_000) + " more")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs).collect()} == {1: 1, 2: 2, 3: 1, 4: 1}
+    assert {r.doc_id: r.n_deleted for r in line_dedup.dedup_lines(docs).collect()} == {1: 0, 2: 0, 3: 2, 4: 1}
+    pieces = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048, search=0).collect()
+    assert len({r.doc_id for r in pieces}) == 4 and all(r.length == 2048 for r in pieces if r.piece)
+    pages = docs.selectExpr("doc_id page_id", "'u' url", "text html")
+    got = {r.page_id: r for r in warc_zip.warc_round_trip(pages).collect()}
+    assert got[1].payload_bytes == len(long_text(60_000)) and (got[1].record_type, got[1].refers_to) == ("revisit", 3)
+    stored = {r.doc_id: r for r in media.media_columns(docs, directory=f"file://{tmp_path}/long").collect()}
+    assert stored[1].media_sha256 == stored[3].media_sha256 != stored[4].media_sha256 and stored[1].n_bytes == len(long_text(60_000))
+
+
 def test_packing(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
