@@ -36,7 +36,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later copies of repeated lines; documents of which no line is left go.
 
-    Null and empty texts have no lines and stay; null ids, repeated rows and clashing columns are those of `dedup_lines`.
+    Null and empty texts have no lines and stay; null ids, repeated rows, ties, very long texts and clashing columns are
+    those of `dedup_lines`; of an empty table nothing is kept.
     """
     found = line_dedup.dedup_lines(docs)
     return _with_length(found.where((F.col("n_deleted") == 0) | (F.col("text") != "")), docs.columns)
@@ -47,6 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Texts without words are in no group and stay. Rows with null ids stay if one of them has no copy with an id. Only the
     ids that go and the ids that repeat are joined with the documents, whose texts are shuffled only if those are many.
+    Very long texts are compared whole; of an empty table nothing is kept; other columns stay as they are.
     """
     groups = jaccard_join.jaccard_components(docs)
     gone = groups.groupBy("doc_id").agg(F.max(F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("stays")).where("not stays").select(F.col("doc_id").alias("_quillon_id"))
@@ -58,12 +60,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by placeholders; every row stays, null and empty texts as they are."""
+    """Replaces personal data by placeholders; every row stays, null and empty texts as they are.
+
+    Null ids, repeated rows and other columns stay; very long texts are looked at whole; an empty table stays empty.
+    """
     return _with_length(pii.redact(docs), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the training sequences; a null or empty text is a piece of one end token."""
+    """The pieces of the training sequences; a null or empty text is a piece of one end token.
+
+    Null ids and repeated rows are packed like others, ties of length in the order of tasks and rows; very long texts are cut
+    into pieces; other columns are ignored; an empty table gives none.
+    """
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), CAPACITY)
