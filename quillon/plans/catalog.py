@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import dedupe, filters, metrics, network, screening, vocabulary
+from ..operators import dedupe, filters, metrics, network, screening, terms, vocabulary
 from ..session import checkpoint_folder
 from ..sources import formats, kv
 from . import lenses
@@ -294,6 +295,49 @@ def node_strength(spark, d):
     return network.with_strength(nodes, edges).select("id", "label", "documents", "citations", "total_link_strength")
 
 
+#: Lines of orders with what they are in the records of `lenses.bibliography`.
+_LINES = """select l_orderkey k, p_brand brand, s_name name, c_mktsegment segment, p_type kind, s_name || ', ' || (1990 + l_partkey % 30) || ', ' || p_type || ', V' || l_partkey ref from lineitem join part on p_partkey = l_partkey
+    join supplier on s_suppkey = l_suppkey join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey"""
+_DIMENSIONS = {"keywords": "distinct k, brand", "authors": "distinct k, name", "journals": "distinct k, segment", "cited_refs": "k, ref", "cited_journals": "k, kind", "cited_reference_authors": "k, name"}
+
+
+@query(f"with l as ({_LINES}) " + " union all ".join(f"select '{n}' as dimension, count(*) as occurrences, count(distinct t) as terms, count(distinct k) as records from (select {c} t from l)" for n, c in _DIMENSIONS.items()))
+def terms_by_dimension(spark, d):
+    """Terms of whole records in six dimensions; of cited works every occurrence counts."""
+    records = lenses.bibliography(spark, d)
+    found = [terms.explode_terms(records, n).select(F.lit(n).alias("dimension"), "key", "record_key") for n in _DIMENSIONS]
+    return reduce(DataFrame.unionByName, found).groupBy("dimension").agg(F.count("*").alias("occurrences"), F.countDistinct("key").alias("terms"), F.countDistinct("record_key").alias("records"))
+
+
+@query(_network_sql("keywords", 2, 25) + ", n2 as (" + _NODES + ") select n2.id, label, documents, total_link_strength, (select count(*) from e where n2.id in (source_id, target_id)) as links from n2")
+def whole_network(spark, d):
+    """The keyword network of whole records, nodes with their links."""
+    found = network.build(terms.explode_terms(lenses.bibliography(spark, d), "keywords"), "keywords", 2, 25)
+    links = found.edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+    return found.nodes.join(links, "id", "left").select("id", "label", "documents", "total_link_strength", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+@query(f"""with c as ({_LINES}), n as (select k, split_part(ref, ', ', 1) key, ref from c), a as (select key, count(distinct k) n from n group by 1), top as (select key, n from a order by n desc, lower(key) limit 30)
+    select key as label, n as documents from top""")
+def cited_author_nodes(spark, d):
+    """Most cited authors of whole records as nodes."""
+    records = lenses.bibliography(spark, d)
+    own = records.select("record_key", "ord", t.publication_year().alias("py"), t.counted().alias("tc"), F.posexplode(terms.cited_terms("cited_authors")).alias("pos", "x"))
+    return network.select_nodes(own.select("record_key", "ord", "py", "tc", "pos", F.col("x.key").alias("key"), F.col("x.label").alias("term")), 1, 30, cited=True).select("label", "documents")
+
+
+#: Rules of the merge below: two segments are one journal, and two brands one keyword.
+MERGES = {"journals": [{"target": "VEHICLES", "variants": ["AUTOMOBILE", "MACHINERY"]}], "keywords": [{"target": "Brand#11", "variants": ["Brand#12", "Brand#13"]}], "autoKeywordVariants": False}
+
+
+@query(f"""with l as ({_LINES}), r as (select distinct k, segment from l), s as (select k, bool_or(brand in ('Brand#12', 'Brand#13')) or (bool_or(brand = 'Brand#11') and count(*) > count(distinct brand)) hit from l group by k)
+    select 'SO' as tag, count(*) as records from r where segment in ('AUTOMOBILE', 'MACHINERY') union all select 'DE', count(*) from s where hit""")
+def merge_report(spark, d):
+    """How many whole records a vocabulary's rules change, by tag; of a list with a ruled term repeated ones go as well."""
+    _, report = vocabulary.merge(lenses.bibliography(spark, d), MERGES)
+    return vocabulary.report_by_tag(report).select("tag", "records")
+
+
 @query(_network_sql("authors", 2, 80) + " select * from e")
 def author_collaboration(spark, d):
     return _edges(spark, d, "authors", 2, 80)[2]

@@ -61,3 +61,19 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
 def words(spark: SparkSession, d: str) -> DataFrame:
     """The words of documents as keyword spellings, with the part they come from; record_key is the id."""
     return table(spark, d, "documents").select(F.col("doc_id").alias("record_key"), F.posexplode(F.regexp_extract_all(F.col("text"), F.lit(r"([A-Za-z]+-?[A-Za-z]*)"), F.lit(1))).alias("pos", "term"))
+
+
+def bibliography(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as whole records: brands as keywords, suppliers as authors, segments as journals, parts as cited references."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type")
+    supplier = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(part, "l_partkey").join(supplier, "l_suppkey")
+    ref = F.concat_ws(", ", "s_name", (F.lit(1990) + F.col("l_partkey") % 30).cast("string"), "p_type", F.concat(F.lit("V"), "l_partkey"))
+    sorted_ = F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("p_brand").alias("brand"), F.col("s_name").alias("name"), ref.alias("ref"))))
+    cited = lines.groupBy("l_orderkey").agg(sorted_.alias("own"))  # an order has seven lines at most
+    segment = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
+    rows = table(spark, d, "orders").join(segment, "o_custkey").join(cited, F.col("o_orderkey") == F.col("l_orderkey"))
+    values = lambda name: F.transform("own", lambda x: x[name])
+    fields = {"TI": F.array(F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"))), "PY": F.array(F.year("o_orderdate").cast("string")), "SO": F.array("c_mktsegment"), "DE": values("brand"), "AU": values("name"), "CR": values("ref")}
+    pairs = F.map_from_entries(F.array(*[F.struct(F.lit(k), v) for k, v in fields.items()]))
+    return with_key(rows.select(F.lit("orders").alias("source_file"), F.col("o_orderkey").cast("int").alias("source_index"), F.lit("wos").alias("source_kind"), F.lit("ris").alias("source_format"), F.lit("").alias("raw_block"), F.col("o_orderkey").alias("ord"), pairs.alias("fields")))
