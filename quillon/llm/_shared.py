@@ -4,26 +4,19 @@ from __future__ import annotations
 
 import atexit
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_folder
+
 _scratch: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; in local mode one is set here where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is unset: the driver and the executors need a folder that they share")
-        base = "file://" + tempfile.mkdtemp(prefix="quillon-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode, where it is unset, one of the session's own."""
+    return checkpoint_folder(spark).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
