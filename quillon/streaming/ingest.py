@@ -26,7 +26,7 @@ def stream_records(files: DataFrame) -> DataFrame:
             for path, content in zip(batch["path"], batch["content"]):
                 yield pd.DataFrame(bibliography._parse_file(path, bytes(content)), columns=names)
 
-    parsed = files.select("path", "content").mapInPandas(run, bibliography._PARSED).where("source_index > 0")
+    parsed = files.select("path", "content").mapInPandas(run, bibliography.PARSED).where("source_index > 0")
     return with_key(parsed.withColumn("ord", F.col("source_index").cast("long")).select(*[c.split()[0] for c in RECORD_SCHEMA.replace("map<string, array<string>>", "m").split(", ")]))
 
 
