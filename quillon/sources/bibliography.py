@@ -91,8 +91,10 @@ def read_bibliography(spark: SparkSession, paths: list[str], strict: bool = Fals
     checkpoint_folder(spark)
     listed = spark.read.format("binaryFile").load(paths).select("path", "length").collect()  # contents aren't read
     large = tagged_scan.tagged_files(spark, [r.path for r in listed if r.length > split_over])
-    parts = [_whole_files(spark, whole) for whole in [[_glob_free(r.path) for r in listed if r.path not in large]] if whole]
-    parts += [tagged_scan.scan(spark, large) for _ in [large] if large]
+    whole = [_glob_free(r.path) for r in listed if r.path not in large]
+    parts = [_whole_files(spark, whole)] if whole else []
+    if large:
+        parts.append(tagged_scan.scan(spark, large))
     parsed = reduce(DataFrame.unionByName, parts).checkpoint()
     summary = parsed.groupBy(F.col("source_file").alias("path")).agg(
         F.max("source_kind").alias("source"), F.max("source_format").alias("format"), F.count_if(F.col("source_index") > 0).alias("count"), F.max("error").alias("error")

@@ -353,7 +353,7 @@ def test_network(spark, tmp_path):
             bad()
     data = sinks.network_json(n, "t")
     assert data["network"]["items"][0]["weights"]["Total link strength"] == 3 and data["network"]["items"][0]["scores"]["Avg. pub. year"] == 2021
-    a, b = (sinks.save_network(spark, data, f"file://{tmp_path}", "keywords", __import__("datetime").datetime(2024, 1, 2)) for _ in range(2))
+    a, b = (sinks.save_network(spark, data, f"file://{tmp_path}", "keywords", datetime(2024, 1, 2)) for _ in range(2))
     assert a != b and bibliography.read_network(spark, a)[1].count() == 3
     text, links = sinks.map_and_network(data)
     assert text.split("\n")[0] == "id\tlabel\tweight<Citations>\tweight<Documents>\tweight<Total link strength>\tscore<Avg. pub. year>" and links.split("\n")[0] == "1\t2\t2"
