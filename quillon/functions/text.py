@@ -14,6 +14,8 @@ from ..schema import MULTI_VALUE_TAGS
 
 HAN = "[\\u3400-\\u9fff\\uf900-\\ufaff]"
 DASHES = "\\-\\u2010-\\u2015\\u2212"
+#: Unicode's white space, which is what `(?U)\\s` matches.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def bind(c: Column, f) -> Column:
@@ -23,7 +25,7 @@ def bind(c: Column, f) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.trim(c, F.lit(BLANKS))
 
 
 def values(tag: str, fields: str = "fields") -> Column:
@@ -42,7 +44,7 @@ def either(*columns: Column) -> Column:
 
 
 def either_values(*columns: Column) -> Column:
-    return F.coalesce(*[F.when(F.size(c) > 0, c) for c in columns], F.array().cast("array<string>"))
+    return F.coalesce(*[bind(c, lambda x: F.when(F.size(x) > 0, x)) for c in columns], F.array().cast("array<string>"))
 
 
 def record_id() -> Column:
@@ -68,7 +70,7 @@ def payload() -> Column:
 def publication_year(py: Column | None = None) -> Column:
     """Four ASCII digits from 1000 on, else null."""
     py = text("PY") if py is None else py
-    return F.when(py.rlike("^[1-9][0-9]{3}$"), py.try_cast("int"))
+    return bind(py, lambda x: F.when(x.rlike("^[1-9][0-9]{3}$"), x.try_cast("int")))
 
 
 def first_year(c: Column) -> Column:
@@ -98,8 +100,12 @@ def fold(c: Column) -> Column:
 
     A final sigma is folded to a sigma; a dotless i, whose upper case is an I, stays. Cherokee letters, which fold to
     upper case, come out in lower case. (The translations stand between the case mappings, which the optimizer would
-    take for one otherwise.)
+    take for one otherwise.) Of ASCII alone it is the lower case, which most texts get at once.
     """
+    return bind(c, lambda x: F.when(F.octet_length(x) == F.char_length(x), F.lower(x)).otherwise(_fold(x)))
+
+
+def _fold(c: Column) -> Column:
     away = "\ufdd0"  # a code point that no text has
     upper = F.upper(F.translate(F.lower(c), "ı", away))
     return F.translate(F.lower(F.translate(upper, away, "ı")), "ς", "σ")
@@ -107,7 +113,7 @@ def fold(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """White space runs as one space, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(c, r"(?U)[^\S ]\s*| \s+", " "))
 
 
 def term_key(c: Column) -> Column:
@@ -179,20 +185,23 @@ def split_terms(c: Column) -> Column:
 
 
 def clean_term(c: Column) -> Column:
-    return F.regexp_replace(squeeze(c), "^[ ,，.。]+|[ ,，.。]+$", "")
+    return F.trim(squeeze(c), F.lit(" ,，.。"))
 
 
 def distinct_terms(raw: Column, normal=lambda c: c) -> Column:
     """Terms of all values, split at semicolons and cleaned; of equal folded ones the first."""
-    parts = F.filter(F.transform(F.flatten(F.transform(raw, lambda v: F.split(v, "[;；]"))), clean_term), lambda x: x != "")
+    parts = F.filter(F.transform(F.flatten(F.transform(raw, lambda v: F.split(F.replace(v, F.lit("；"), F.lit(";")), ";"))), clean_term), lambda x: x != "")
     return F.transform(first_of_each(F.transform(parts, lambda x: normal(x))), lambda x: x["v"])
 
 
 def first_of_each(terms: Column) -> Column:
     """Structs (k: folded, v: term) of the first term of each folded form, in order."""
-    pairs = F.transform(terms, lambda x: F.struct(fold(x).alias("k"), x.alias("v")))
-    keys = F.transform(pairs, lambda p: p["k"])
-    return F.filter(pairs, lambda p, i: F.array_position(keys, p["k"]) == i + 1)
+    return first_of_each_key(F.transform(terms, lambda x: F.struct(fold(x).alias("k"), x.alias("v"))), "k")
+
+
+def first_of_each_key(items: Column, key: str) -> Column:
+    """The first struct of each value of a field, in order; items and keys are computed once, not once for each item."""
+    return bind(items, lambda own: bind(F.transform(own, lambda p: p[key]), lambda keys: F.filter(own, lambda p, i: F.array_position(keys, p[key]) == i + 1)))
 
 
 def normal_doi(c: Column) -> Column:

@@ -52,6 +52,18 @@ def test_cited_dimensions(spark):
     assert [x.key for x in one(terms.cited_terms("cited_articles"))] == ["doi:10.1234/abc", "ref:[anonymous], 1999, science, v3", "doi:10.1234/abc"]
 
 
+def test_dimensions_are_counted_in_one_pass(spark, capsys):
+    df = records(spark, [{"TI": "a", "DE": ["x; Y；y", " \u00a0z ."], "SO": "J", "CR": ["A, 2001, N, V1", "A, 2001, N, V1", "B"]}, {"TI": "b", "DE": "X", "CR": "a, 2001, n, v1"}, {"TI": "c"}])
+    names = ["keywords", "journals", "authors", "cited_refs", "cited_journals", "cited_reference_authors"]
+    by_hand = [(n, len(x), len({r.key for r in x}), len({r.record_key for r in x})) for n in names for x in [terms.explode_terms(df, n).collect()] if x]
+    found = terms.dimension_counts(df, names)
+    assert sorted(rows(found)) == sorted(by_hand) and ("keywords", 4, 3, 2) in by_hand and ("cited_refs", 4, 2, 2) in by_hand
+    capsys.readouterr()
+    terms.explode_terms(df, "keywords").explain(True)
+    optimized = capsys.readouterr().out.split("Optimized Logical Plan")[1].split("Physical Plan")[0]
+    assert optimized.count("array_position") == 1  # no copy of the terms in an inferred filter or for each term
+
+
 def test_scalar_helpers(spark):
     df = records(spark, [{"TI": ["A", "B"], "DE": ["x; y", " "], "ID": "z", "PY": " 2020 ", "TC": "no", "Z9": "1,234", "DI": "HTTPS://doi.org/doi:10.1/X..", "source_file": "/a/b.ris", "AU": ["Ｌi Xin, A"]}, {"TI": "", "PY": "20200"}])
     r = df.orderBy("ord").select(t.text("TI").alias("ti"), t.text("DE").alias("de"), t.keywords_text().alias("kw"), t.publication_year().alias("py"), t.counted().alias("tc"), t.citations().alias("c"), t.normal_doi(t.text("DI")).alias("doi"), t.record_id().alias("id"), t.surname().alias("s"), t.completeness().alias("n"), t.alnum_key(t.text("TI")).alias("k")).collect()
