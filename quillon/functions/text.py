@@ -239,8 +239,8 @@ def _plain_or(c: Column, plain, other) -> Column:
 
 def alnum_key(c: Column, exact: bool = True) -> Column:
     """Letters and digits of a text in compatibility form, case folded: exact, by an Arrow function for texts beyond ASCII, else natively."""
-    native = F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
-    return _plain_or(c, lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]", ""), _alnum) if exact else native
+    native = F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
+    return _plain_or(c, lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]+", ""), _alnum) if exact else native
 
 
 def surname(exact: bool = True) -> Column:
