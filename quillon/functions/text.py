@@ -113,17 +113,19 @@ def _fold(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """White space runs as one space, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"(?U)[^\S ]\s*| \s+", " "))
+    return F.trim(F.regexp_replace(c, f"[{BLANKS.replace(' ', '')}][{BLANKS}]*| [{BLANKS}]+", " "))
 
 
 def term_key(c: Column) -> Column:
-    return fold(squeeze(c))
+    """Squeezed and folded; of ASCII without white space that is the lower case."""
+    plain = lambda x: (F.octet_length(x) == F.char_length(x)) & ~x.rlike("[\t-\r ]")
+    return bind(c, lambda x: F.when(plain(x), F.lower(x)).otherwise(fold(squeeze(x))))
 
 
 def compact(c: Column) -> Column:
     """Letters of a term without spaces and hyphens; null if others than a-z are in it or it is shorter than 3."""
     c = F.regexp_replace(fold(c), f"(?U)[\\s{DASHES}]+", "")
-    return F.when(c.rlike("^[a-z]{3,}$"), c)
+    return bind(c, lambda x: F.when(x.rlike("^[a-z]{3,}$"), x))
 
 
 # Words that are no plurals, and plurals of their own.
@@ -181,7 +183,9 @@ def _scope_changes(a: Column, b: Column, x: Column, y: Column) -> Column:
 
 
 def split_terms(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, "[;；\r\n]+"), strip), lambda x: x != "")
+    for mark in "；\r\n":
+        c = F.replace(c, F.lit(mark), F.lit(";"))
+    return F.filter(F.transform(F.split(c, ";"), strip), lambda x: x != "")
 
 
 def clean_term(c: Column) -> Column:

@@ -266,6 +266,20 @@ def test_vocabulary_rules(spark):
             vocabulary.compile_rules(bad)
 
 
+def test_replacement_joins_distinct_spellings(spark):
+    df = spark.createDataFrame([(1, ["b;a", "B", "x\u2003y", "c；A"] + ["a"] * 500), (2, ["d", "d"]), (3, ["gone"])], "k int, v array<string>")
+    mapping = spark.createDataFrame([("a", "B"), ("x y", "Z"), ("gone", None)], "key string, target string")
+    assert {r.k: r.v for r in vocabulary.replace_terms(df, "k", "v", mapping).collect()} == {1: ["b", "Z", "c"], 2: ["d", "d"], 3: []}
+    rows_in = vocabulary.changed_terms(df, "k", "v", mapping)
+    assert "Window" not in rows_in._jdf.queryExecution().optimizedPlan().toString() and rows_in.count() == 2
+
+
+def test_spellings_are_checked_once_each(spark):
+    counts = spark.createDataFrame([("Word",), ("word",), ("x1",)] * 50, "term string").groupBy("term").agg(F.count("*").alias("count"))
+    plan = vocabulary.keyword_groups(counts, sentence=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "[a-z]{3,}" not in plan[plan.index("Aggregate [term#") :]  # the check stays above the counting of occurrences
+
+
 def test_replacement_keeps_untouched_arrays(spark):
     df = spark.createDataFrame([(1, ["a; a", "b"]), (2, ["x", "A", "gone"])], "k int, v array<string>")
     mapping = spark.createDataFrame([("x", "a"), ("gone", None)], "key string, target string")
