@@ -411,6 +411,54 @@ def test_cooccurrence_equals_brute_force(spark):
     assert {tuple(sorted((label[r.source_id], label[r.target_id]))): r.strength for r in network.cooccurrence(df, nodes).collect()} == expected
 
 
+def lowest_aggregate(df) -> str:
+    """The aggregation that is nearest to the rows."""
+    return [x for x in df._jdf.queryExecution().sparkPlan().toString().split("\n") if "Aggregate(" in x][-1]
+
+
+def test_rank_hashes_rows_and_keeps_the_first_spelling(spark):
+    rows = [(k, o, 2020, 1, p, x, x.lower()) for k, o, p, x in [(1, 5, 0, "Ab"), (2, -3, 1, "AB"), (2, -3, 0, "aB"), (3, 1 << 60, 0, "ab"), (4, 7, 2, "c")]]
+    df = spark.createDataFrame(rows, "record_key int, ord long, py int, tc long, pos int, term string, key string")
+    found = metrics.rank_terms(df)
+    assert [tuple(r) for r in found.collect()] == [("aB", 4, 4), ("c", 1, 1)] and "HashAggregate(" in lowest_aggregate(found)
+
+
+def test_nodes_of_keys_once_a_record_are_hashed(spark):
+    df = bridge(spark, [(["Climate", "water"], 12), (["climate", "energy", "Water"], 3), (["climate"], None)]).withColumn("py", F.when(F.col("ord") < 2, F.col("py")))
+    once = network.select_nodes(df, 1, 80, once=True)
+    assert "HashAggregate(" in lowest_aggregate(once) and sorted(map(tuple, once.collect())) == sorted(map(tuple, network.select_nodes(df, 1, 80).collect()))
+    assert {r.id: r.covered for r in network.citation_coverage(df, once, once=True).collect()} == {r.id: r.covered for r in network.citation_coverage(df, once).collect()} == {1: 2, 2: 2, 3: 1}
+    assert network.select_nodes(df.withColumn("py", F.lit(None).cast("int")), 1, 80, once=True).first().avg_year is None
+
+
+def test_cooccurrence_of_300_nodes_without_lists_of_rows(spark):
+    rng = random.Random(8)
+    docs = [([f"k{x:03}" for x in rng.sample(range(300), 9)] * 2, 1) for _ in range(200)] + [([f"k{x:03}" for x in range(300)], 1)]
+    df = bridge(spark, docs)
+    nodes = network.select_nodes(df, 1, 300).checkpoint()
+    ids, expected = {r.label: r.id for r in nodes.collect()}, {}
+    for xs, _ in docs:
+        for pair in itertools.combinations(sorted({ids[x] for x in xs}), 2):
+            expected[pair] = expected.get(pair, 0) + 1
+    edges = network.cooccurrence(df, nodes)
+    assert {(r.source_id, r.target_id): r.strength for r in edges.collect()} == expected and len(expected) == 44850
+    assert "collect_" not in edges._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_subgraph_makes_nothing_anew(spark):
+    df = bridge(spark, [(["a", "b", "c"], 1), (["a", "b"], 1)])
+    nodes = network.select_nodes(df, 1, 80)
+    sub = network.subgraph(network.Network(nodes, network.cooccurrence(df, nodes)), [1, 2])
+    assert sorted(map(tuple, sub.edges.collect())) == [(1, 2, 2)]
+    assert not any("Aggregate(" in x._jdf.queryExecution().sparkPlan().toString() for x in (sub.edges, sub.nodes.select("id")))
+
+
+def test_shuffles_of_read_tables_grow_with_them(spark):
+    from quillon.plans import lenses
+
+    assert lenses.fine(spark.range(0, 90, 1, 9)) == 54 and lenses.fine(spark.range(0, 9, 1, 1)) == 6
+
+
 @pytest.mark.parametrize("choice, confidence, p, decision", [("irrelevant", 0.42, 0.65, "relevant"), ("irrelevant", 0.80, 0.74, "relevant"), ("irrelevant", 0.60, 0.75, "irrelevant"), ("uncertain", 0.9, 0.9, "uncertain"), ("relevant", 0.1, 0.1, "relevant")])
 def test_stage_one(spark, choice, confidence, p, decision):
     r = screening.with_stage_one(spark.createDataFrame([(choice, confidence, p)], "choice string, confidence double, p_irrelevant double")).first()
