@@ -102,7 +102,12 @@ def fold(c: Column) -> Column:
     upper case, come out in lower case. (The translations stand between the case mappings, which the optimizer would
     take for one otherwise.) Of ASCII alone it is the lower case, which most texts get at once.
     """
-    return bind(c, lambda x: F.when(F.octet_length(x) == F.char_length(x), F.lower(x)).otherwise(_fold(x)))
+    return bind(c, folded)
+
+
+def folded(x: Column) -> Column:
+    """`fold` of what is at hand already (a column, an element), which need not be kept to be named several times."""
+    return F.when(F.octet_length(x) == F.char_length(x), F.lower(x)).otherwise(_fold(x))
 
 
 def _fold(c: Column) -> Column:
@@ -112,8 +117,13 @@ def _fold(c: Column) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    """White space runs as one space, none at the ends."""
-    return F.trim(F.regexp_replace(c, f"[{BLANKS.replace(' ', '')}][{BLANKS}]*| [{BLANKS}]+", " "))
+    """White space runs as one space, none at the ends. Words of printable ASCII with one space between, as most texts are, stay as they are."""
+    return bind(c, squeezed)
+
+
+def squeezed(x: Column) -> Column:
+    """`squeeze` of what is at hand already."""
+    return F.when(x.rlike(r"\A[!-~]++(?: [!-~]++)*+\z"), x).otherwise(F.trim(F.regexp_replace(x, f"[{BLANKS.replace(' ', '')}][{BLANKS}]*| [{BLANKS}]+", " ")))
 
 
 def term_key(c: Column) -> Column:
@@ -189,23 +199,29 @@ def split_terms(c: Column) -> Column:
 
 
 def clean_term(c: Column) -> Column:
-    return F.trim(squeeze(c), F.lit(" ,，.。"))
+    return bind(c, cleaned)
+
+
+def cleaned(x: Column) -> Column:
+    """`clean_term` of what is at hand already."""
+    return F.trim(squeezed(x), F.lit(" ,，.。"))
 
 
-def distinct_terms(raw: Column, normal=lambda c: c) -> Column:
+def distinct_terms(raw: Column, normal=None) -> Column:
     """Terms of all values, split at semicolons and cleaned; of equal folded ones the first."""
-    parts = F.filter(F.transform(F.flatten(F.transform(raw, lambda v: F.split(F.replace(v, F.lit("；"), F.lit(";")), ";"))), clean_term), lambda x: x != "")
-    return F.transform(first_of_each(F.transform(parts, lambda x: normal(x))), lambda x: x["v"])
+    parts = F.filter(F.transform(F.flatten(F.transform(raw, lambda v: F.split(F.replace(v, F.lit("；"), F.lit(";")), ";"))), cleaned), lambda x: x != "")
+    return first_of_each(F.transform(parts, normal) if normal else parts)["v"]
 
 
 def first_of_each(terms: Column) -> Column:
     """Structs (k: folded, v: term) of the first term of each folded form, in order."""
-    return first_of_each_key(F.transform(terms, lambda x: F.struct(fold(x).alias("k"), x.alias("v"))), "k")
+    return first_of_each_key(F.transform(terms, lambda x: F.struct(folded(x).alias("k"), x.alias("v"))), "k")
 
 
 def first_of_each_key(items: Column, key: str) -> Column:
     """The first struct of each value of a field, in order; items and keys are computed once, not once for each item."""
-    return bind(items, lambda own: bind(F.transform(own, lambda p: p[key]), lambda keys: F.filter(own, lambda p, i: F.array_position(keys, p[key]) == i + 1)))
+    first = lambda own, keys: F.filter(own, lambda p, i: F.array_position(keys, p[key]) == i + 1)
+    return bind(items, lambda own: bind(own[key], lambda keys: F.when(F.size(F.array_distinct(keys)) == F.size(keys), own).otherwise(first(own, keys))))
 
 
 def normal_doi(c: Column) -> Column:

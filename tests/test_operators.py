@@ -4,7 +4,9 @@ import csv
 import io
 import itertools
 import json
+import os
 import random
+import re
 from datetime import datetime
 
 import pytest
@@ -459,6 +461,40 @@ def test_shuffles_of_read_tables_grow_with_them(spark):
     assert lenses.fine(spark.range(0, 90, 1, 9)) == 54 and lenses.fine(spark.range(0, 9, 1, 1)) == 6
 
 
+def test_records_of_orders_have_only_the_fields_asked_for(spark):
+    from quillon.plans import catalog, lenses
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables here")
+    own = lenses.bibliography(spark, d, ("PY", "DE"))
+    whole = {r.record_key: r.fields for r in lenses.bibliography(spark, d).select("record_key", "fields").collect()}
+    assert {r.record_key: r.fields for r in own.select("record_key", "fields").collect()} == {k: {"PY": f["PY"], "DE": f["DE"]} for k, f in whole.items()}
+    assert "s_name" not in own._jdf.queryExecution().optimizedPlan().toString()
+    plan = catalog.QUERIES["cited_author_nodes"](spark, d)._jdf.queryExecution().sparkPlan().toString()
+    assert not [x for x in plan.split("\n") if "Aggregate(" in x and "record_key" in x]  # authors are counted without being gathered by record
+
+
+def test_squeezing_plain_words_changes_nothing(spark):
+    texts = ["", " ", "a", "a b", " a", "a ", "a  b", "a\tb", "a\u00a0b", "ä b", "ä  b", "a\n", "a\x1fb", "a\x7fb", "x" * 5000 + " y"]
+    got = [r.s for r in spark.createDataFrame(list(enumerate(texts)), "n int, t string").orderBy("n").select(t.squeeze(F.col("t")).alias("s")).collect()]
+    assert got == [re.sub(f"[{t.BLANKS}]+", " ", x).strip(" ") for x in texts]
+
+
+def test_a_network_makes_its_bridge_once(spark):
+    seen, before = spark.sparkContext.accumulator(0), spark.sparkContext._jsc.getPersistentRDDs().size()
+
+    def passed(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    df = bridge(spark, [(["a", "b", "c"], 1), (["a", "b"], 1)])
+    found = network.build(df.mapInPandas(passed, df.schema), "keywords", 2, 25)
+    assert sorted(map(tuple, found.edges.collect())) == [(1, 2, 2)] and seen.value == 5
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
 @pytest.mark.parametrize("choice, confidence, p, decision", [("irrelevant", 0.42, 0.65, "relevant"), ("irrelevant", 0.80, 0.74, "relevant"), ("irrelevant", 0.60, 0.75, "irrelevant"), ("uncertain", 0.9, 0.9, "uncertain"), ("relevant", 0.1, 0.1, "relevant")])
 def test_stage_one(spark, choice, confidence, p, decision):
     r = screening.with_stage_one(spark.createDataFrame([(choice, confidence, p)], "choice string, confidence double, p_irrelevant double")).first()
