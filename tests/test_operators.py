@@ -260,6 +260,17 @@ def test_vocabulary_merge(spark):
     assert df.where(t.text("TI") == "x").select(t.values("DE").alias("d")).first().d[0] == "waterwaste; water waste"
 
 
+def test_a_merge_reads_records_a_few_times(spark):
+    rows_ = [{"TI": "x", "DE": ["b; c", "d"], "AU": ["Li, A"], "SO": "Fine J", "C3": ["Peking Univ"], "C1": ["[Li, A] Peking Univ, Beijing, Peoples R China"]}, {"TI": "y", "DE": "unrelated", "C1": ["MIT, Boston, USA"]}]
+    df = records(spark, rows_)
+    df = df.mapInPandas(lambda batches: batches, df.schema)
+    spec = {"keywords": [{"target": "A", "variants": ["b"]}], "journals": [{"target": "Fine", "variants": ["Fine J"]}], "organizations": [{"target": "PKU", "variants": ["Peking Univ"]}], "countries": [{"target": "CN", "variants": ["Peoples R China"]}]}
+    merged, report = vocabulary.merge(df, spec)
+    found = {(r.tag, tuple(r.after)) for r in report.collect() if r.before != r.after}
+    assert {("DE", ("A", "c", "d")), ("SO", ("Fine",)), ("C3", ("PKU",)), ("C1", ("[Li, A] PKU, Beijing, CN",))} <= found
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") <= 13  # each change once, none on a table that others have changed
+
+
 def test_vocabulary_rules(spark):
     assert vocabulary.compile_rules({"keywords": [{"target": "A", "variants": ["b", "C  d"]}]}) == [("keywords", "a", "A"), ("keywords", "b", "A"), ("keywords", "c d", "A")]
     assert ("keywords", "x", None) in vocabulary.compile_rules({"objectType": "keywords", "rules": [{"primaryOutputText": "A", "primaryKey": "a", "secondaryKeys": ["b"]}], "exclusionKeys": ["x"]})
