@@ -213,7 +213,9 @@ def legacy_dedupe(profiles: DataFrame) -> DataFrame:
     """
     year = F.when((F.col("n_title") != "") & (F.col("year") != ""), F.concat("n_title", F.lit("|"), "year")).otherwise("")
     plain = profiles.select("record_key", "ord", F.col("completeness").cast("long").alias("completeness"), "doi", "first_author", F.upper(t.strip(F.col("ut"))).alias("ut_key"), year.alias("title_year"))
-    rows = numbered(plain, [F.col("ord"), F.col("record_key")], "pos")
+    checkpoint_folder(profiles.sparkSession)
+    # written first, as a sort by ranges looks at its rows twice, and keys come from whole records
+    rows = numbered(plain.checkpoint(), [F.col("ord"), F.col("record_key")], "pos")
     for name, key in (("by_ut", "ut_key"), ("by_doi", "doi"), ("by_title", "title_year")):
         first = rows.where(F.col(key) != "").groupBy(F.col(key).alias("_key")).agg(F.min("pos").alias(name))
         rows = rows.join(first, F.col(key) == F.col("_key"), "left").drop("_key")

@@ -229,6 +229,19 @@ def test_legacy_dedupe_of_hot_keys_and_chains(spark, monkeypatch):
     assert dedupe.legacy_dedupe(df.limit(0)).collect() == []
 
 
+def test_legacy_dedupe_makes_keys_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    profiles = dedupe.profile(records(spark, [{"TI": "a", "PY": "2020"}, {"TI": "A", "PY": "2020"}, {"TI": "b", "PY": "2020"}]))
+    found = dedupe.legacy_dedupe(profiles.mapInPandas(passed, profiles.schema))
+    assert found.where("kept is null").count() == 2 and seen.value == 3
+
+
 def test_members_of_a_hot_group_are_rows(spark):
     rows = spark.range(3000).selectExpr("format_string('k%06d', id) record_key", "id ord", "'wos' source_kind", "'T' title", "if(id < 2, '10.1/a', '') di", "if(id < 2, '10.1/a', '') doi", "array('x') identifiers", "cast(id % 50 as int) completeness", "if(id < 2900, 't', '') n_title", "if(id < 2900, '2020', '') n_year")
     own = dedupe.members(rows, "loose")
