@@ -49,8 +49,8 @@ BROADCAST_ROWS = 500_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-def shingles(text: str) -> np.ndarray:
-    """The distinct 5-word shingles of a text as sorted 64-bit hashes; of 1 to 4 words, all of them as one shingle."""
+def _hashed(text: str) -> tuple[np.ndarray, list[bytes]]:
+    """The 5-word shingles of a text as 64-bit hashes, one for each place; of 1 to 4 words, all of them as one shingle. And the words."""
     from xxhash import xxh64_intdigest
 
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, and ASCII white space only
@@ -60,9 +60,24 @@ def shingles(text: str) -> np.ndarray:
     elif len(h):
         s = (h * _MULTIPLIERS[: len(h)]).sum(keepdims=True) + np.uint64(len(h))
     else:
-        return h
+        return h, words
     s = (s ^ s >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(s ^ s >> np.uint64(32))
+    return s ^ s >> np.uint64(32), words
+
+
+def shingles(text: str) -> np.ndarray:
+    """The distinct shingles of a text, sorted by their hashes."""
+    return np.unique(_hashed(text)[0])
+
+
+def measured_shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The same, and how many bytes the words of each have together (65,535 at most)."""
+    s, words = _hashed(text)
+    found, first = np.unique(s, return_index=True)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    ends = np.append(0, ends)
+    span = min(WORDS, len(words))
+    return found, np.minimum(ends[first + span] - ends[first], 0xFFFF).astype(np.uint16)
 
 
 class Keys:
@@ -157,11 +172,18 @@ def _packed(numbers: np.ndarray, cut: np.ndarray, width: int) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(cut), [None, pa.py_buffer(np.append(0, cut * width).astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
 
 
-def leading(s: np.ndarray, m: int, known: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first m shingles of a set in the order of all: those that aren't frequent, and places in `known` of the frequent ones."""
+def leading(s: np.ndarray, m: int, known: np.ndarray, ranks: np.ndarray, lengths: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The first m shingles of a set in the order of all: those that aren't frequent, and places in `known` of the frequent ones.
+
+    Of those that aren't frequent the longest come first where `lengths` are given: unrelated texts share short words in
+    a row by chance, in numbers that grow with the square of the table, but hardly ever long ones.
+    """
     at = np.minimum(np.searchsorted(known, s), max(len(known) - 1, 0))
     often = known[at] == s if len(known) else np.zeros(len(s), bool)
-    first, held = s[~often][:m], at[often]
+    first, held = s[~often], at[often]
+    if lengths is not None and len(first) > m:
+        first = first[np.argsort(0xFFFF - lengths[~often], kind="stable")]  # of equal ones by hash, so that the order is total
+    first = first[:m]
     return first, held[np.argsort(ranks[held], kind="stable")][: m - len(first)]
 
 
@@ -177,12 +199,12 @@ def _postings(rows: DataFrame, shared, t: int, buckets: int, keys: Keys) -> Data
             for part in byte_batches(batch):
                 rare, rare_owner, pairs, seen = [], [], [], set()
                 for text in part.column("text").to_pylist():
-                    s = shingles(text)
+                    s, lengths = measured_shingles(text)
                     if not len(s) or (key := keys(s)) in seen:
                         continue
                     seen.add(key)
                     m = prefix_length(len(s), t)
-                    first, held = leading(s, m, known, ranks)
+                    first, held = leading(s, m, known, ranks, lengths)
                     rare.append(first)
                     rare_owner.append((key, len(first)))
                     if len(held):
@@ -373,14 +395,18 @@ def _plausible(members: DataFrame, vectors: DataFrame, t: int) -> DataFrame:
     return near.union(large.where(F.col("size") > WINDOWED).select("p", "cls")).distinct()
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, keys: Keys) -> DataFrame:
-    """(cls, set) of the classes of which a document's id and hash of its text are in `wanted` (id, h, cls): read again.
+def _matched(docs: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """`columns` of the documents of which the id and the hash of the text (`h`) are in `wanted`.
 
     By both, so that null or repeated ids meet only their own text.
     """
     few = wanted.count() <= BROADCAST_ROWS
-    hashed = docs.withColumn("_h", F.xxhash64("text"))
-    rows = hashed.join(F.broadcast(wanted) if few else wanted, (F.col("_h") == wanted["h"]) & hashed["id"].eqNullSafe(wanted["id"])).select("cls", "text")
+    return docs.join(F.broadcast(wanted) if few else wanted, (docs["h"] == wanted["h"]) & docs["id"].eqNullSafe(wanted["id"])).select(*columns)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, keys: Keys) -> DataFrame:
+    """(cls, set) of the classes of which a document's id and hash of its text are in `wanted` (id, h, cls): read again."""
+    rows = _matched(docs.withColumn("h", F.xxhash64("text")), wanted, ["cls", "text"])
 
     def run(batches):
         seen: set[int] = set()  # rows that repeat an id and a text repeat a set
@@ -396,6 +422,57 @@ def _sets(docs: DataFrame, wanted: DataFrame, keys: Keys) -> DataFrame:
     return rows.mapInArrow(released(run), "cls long, set binary")
 
 
+def _zipped(rows: DataFrame) -> DataFrame:
+    """The rows with `zip` (compressed) and `size` in place of `text`; of equal rows that a task has, one."""
+    rest = [c for c in rows.columns if c != "text"]
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in rest)
+
+    def run(batches):
+        codec, seen = pa.Codec("zstd", 1), set()
+        for batch in batches:
+            for part in byte_batches(batch):
+                own = part.column("text").cast(pa.binary()).to_pylist()
+                marks = list(zip(*(part.column(c).to_pylist() for c in rest), map(hash, own)))
+                new = [k for k, mark in enumerate(marks) if mark not in seen and not seen.add(mark)]
+                kept = part.take(pa.array(new, pa.int64()))
+                packed = pa.array([codec.compress(own[k], asbytes=True) for k in new], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in rest), packed, pa.array([len(own[k]) for k in new], pa.int32())], [*rest, "zip", "size"])
+
+    return rows.mapInArrow(released(run), f"{schema}, zip binary, size int")
+
+
+def _text_links(docs: DataFrame, wanted: DataFrame, keys: Keys, t: int, every: bool) -> DataFrame:
+    """(a, b), a < b: the links of the cells of `wanted` (cell, cls, id, h), which tasks can hold, from the texts read again.
+
+    A set's hashes take up more than twice its compressed text, so the texts go to the cells, by one shuffle and no table.
+    """
+    docs, columns = docs.withColumn("h", F.xxhash64("text")), ["cell", "cls"]
+    if wanted.count() <= BROADCAST_ROWS:
+        rows = _zipped(_matched(docs, wanted, [*columns, "text"]))
+    else:  # the documents are shuffled by the join, compressed already
+        rows = _matched(_zipped(docs.select("id", "h", "text")), wanted, [*columns, "zip", "size"])
+
+    def run(batches):
+        codec = pa.Codec("zstd")
+        for _, rows in sorted_groups(batches, ["cell"]):
+            own: dict[int, np.ndarray] = {}
+            for c, packed, size in zip(rows["cls"], rows["zip"], rows["size"]):
+                if c not in own and keys(s := shingles(codec.decompress(packed, size, asbytes=True).decode())) == c:
+                    own[c] = s
+            if len(own) > 1:
+                yield from _made(list(own), Region(list(own.values()), t, every))
+
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(released(run), "a long, b long")
+
+
+def _made(cls: list[int], region: Region):
+    """The links of a region of these classes, as a batch if there are any."""
+    region.join(np.arange(len(cls)))
+    made = sorted({(min(cls[x], cls[y]), max(cls[x], cls[y])) for x, y in region.links.made if cls[x] != cls[y]})
+    if made:
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in made], pa.int64()), pa.array([y for _, y in made], pa.int64())], ["a", "b"])
+
+
 def _numbers(rows: dict[str, list]) -> list[np.ndarray]:
     return [np.frombuffer(s, np.uint64) for s in rows["set"]]
 
@@ -465,17 +542,18 @@ def _by_second(cells: DataFrame, sets: DataFrame, shared, t: int) -> DataFrame:
     return rows.join(kept, ["cell", "s"]).select(F.xxhash64("cell", "s").alias("cell"), "cls")
 
 
-def _cells(plausible: DataFrame, sets: DataFrame, shared, t: int, every: bool) -> tuple[DataFrame, list[DataFrame]]:
-    """(cell, part, cls, label): what each task joins, part by part; and links (a, b) with pivots.
+def _cells(cells: DataFrame, sets: DataFrame, shared, t: int, every: bool) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+    """(cell, part, cls, label): what each task joins, part by part; links (a, b) with pivots; tables that both are read from.
 
-    Regions are split by pivots until a task can hold them. Where a region's cells would hold more than three times its
+    Regions (cell, cls) are split by pivots until a task can hold them. Where a region's cells would hold more than three times its
     classes, or a cell nearly all of them, they meet in pairs of blocks (`part`); where nearly all are far from all
     pivots, they go by a second shingle first (once, or it might not end). A label is a pivot that the class
     links with: for components, classes of the region's commonest label don't meet among themselves.
     """
-    cells = plausible.select(F.col("region").alias("cell"), "cls", F.lit(False).alias("second"))
+    cells = cells.select("cell", "cls", F.lit(False).alias("second"))
     done: list[DataFrame] = []
     links: list[DataFrame] = []
+    tables: list[DataFrame] = []
     none = F.lit(None).cast("long").alias("label")
     while True:
         sizes = cells.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1")
@@ -483,7 +561,7 @@ def _cells(plausible: DataFrame, sets: DataFrame, shared, t: int, every: bool) -
         done.append(sized.where(F.col("size") <= CELL).select("cell", F.lit(0).cast("long").alias("part"), "cls", none))
         large = sized.where(F.col("size") > CELL)
         if large.isEmpty():
-            return _union(done), links
+            return _union(done), links, tables
         large = stored(large, "large_cells")
         found = stored(_split(large, sets, t), "split_cells")
         size = large.groupBy("cell").agg(F.count("*").alias("size"), F.max("second").alias("second"))
@@ -491,12 +569,14 @@ def _cells(plausible: DataFrame, sets: DataFrame, shared, t: int, every: bool) -
         verdict = pivots.groupBy("cell").agg(F.sum("held").alias("sum"), F.max("held").alias("most"), F.max_by("pivot", F.struct("linked", "pivot")).alias("star"), F.max(F.when(F.col("pivot") == 0, F.col("held"))).alias("far")).join(size, "cell")
         lonely = F.expr("not second and coalesce(5 * far > 4 * size, false)")
         verdict = stored(verdict.select("cell", "size", "star", lonely.alias("lonely"), (~lonely & F.expr("sum > 3 * size or 5 * most > 4 * size")).alias("whole"), "second"), "verdicts")
+        tables += [large, found, verdict]
         # cells of use: regions of the next level
         cells = found.where("into").join(verdict.where("not whole and not lonely").select("cell", "second"), "cell").select(F.xxhash64("cell", "pivot").alias("cell"), "cls", "second")
         if not verdict.where("lonely").isEmpty():
             alone = large.join(verdict.where("lonely").select("cell"), "cell")
             cells = cells.unionByName(_by_second(alone, sets, shared, t).withColumn("second", F.lit(True)))
         cells = stored(cells, "cells")
+        tables.append(cells)
         labels = found.where("linked").groupBy("cell", "cls").agg(F.min("pivot").alias("least"), F.collect_set("pivot").alias("all"))  # PIVOTS or so
         if every:
             made = found.where("linked").select(F.col("cls").alias("x"), F.col("pivot").alias("y"))
@@ -532,10 +612,7 @@ def _links(cells: DataFrame, sets: DataFrame, t: int, every: bool) -> DataFrame:
             if len(set(cls)) > 1:
                 region = Region(_numbers(rows), t, every)
                 region.unite(rows["label"])
-                region.join(np.arange(len(cls)))
-                made = sorted({(min(cls[x], cls[y]), max(cls[x], cls[y])) for x, y in region.links.made if cls[x] != cls[y]})
-                if made:
-                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in made], pa.int64()), pa.array([y for _, y in made], pa.int64())], ["a", "b"])
+                yield from _made(cls, region)
 
     return rows.mapInArrow(released(run), "a long, b long")
 
@@ -586,7 +663,9 @@ def _classes(rows: DataFrame, bits: int = 64) -> tuple[DataFrame, DataFrame, Key
         classes = stored(own.withColumn("clash", F.col("x") != F.col("y")).drop("x", "y"), "classes")
         clashes = classes.where("clash").select("cls").limit(TAKEN + 1).toArrow().column("cls").to_pylist()
         if not clashes:
-            return found, classes.drop("clash"), keys
+            own = classes.drop("clash")
+            own.stored_at = classes.stored_at
+            return found, own, keys
         taken.update(clashes)
         if len(taken) > TAKEN:
             break
@@ -599,6 +678,8 @@ def _join(rows: DataFrame, similarity: int, every: bool, bits: int = 64) -> tupl
     spark = rows.sparkSession
     found, classes, keys = _classes(rows, bits)
     often = found.where("s is not null").groupBy("s").agg(F.sum("c").alias("c"), F.min("cls").alias("p")).orderBy(F.desc("c"), "s").limit(MOST_OFTEN).select("s", "p").toArrow()
+    profiles = stored(found.where("n is not null").select("id", "n", "cls"), "ids")
+    freed(found)
     frequent = np.empty(often.num_rows, dtype=[("s", np.uint64), ("rank", np.int64), ("p", np.int64)])
     frequent["s"], frequent["rank"], frequent["p"] = often.column("s").to_numpy().view(np.uint64), np.arange(often.num_rows, 0, -1), often.column("p").to_numpy()
     shared = spark.sparkContext.broadcast(np.sort(frequent, order="s"))
@@ -608,14 +689,27 @@ def _join(rows: DataFrame, similarity: int, every: bool, bits: int = 64) -> tupl
     members = stored(_regions(_postings(rows, shared, similarity, buckets, keys)), "members")
     plausible = stored(_plausible(members, classes.select("cls", "n", "vec"), similarity), "plausible")
     freed(members)
-    wanted = stored(plausible.select("cls").distinct().join(classes.select("cls", "of.id", "of.h"), "cls"), "wanted")
-    sets = stored(_sets(rows, wanted, keys), "sets")
-    cells, more = _cells(plausible, sets, shared, similarity, every)
-    links = stored(_union([_links(cells, sets, similarity, every), *more]).distinct(), "links")
-    freed(plausible, sets, wanted)
+    of = stored(classes.select("cls", "id", "of"), "classes")
+    freed(classes)
+    sized = plausible.groupBy("region").agg(F.count("*").alias("size")).where("size > 1")
+    cells = stored(plausible.join(sized, "region").select(F.col("region").alias("cell"), "cls", "size"), "cells")
+    freed(plausible)
+    # what a task can hold is joined on the texts, the rest goes down in regions of sets
+    wanted = stored(cells.where(F.col("size") <= CELL).join(of, "cls").select("cell", "cls", "of.id", "of.h"), "wanted")
+    near = stored(_text_links(rows, wanted, keys, similarity, every), "near")
+    tables, parts = [cells, wanted, near], [near]
+    large = cells.where(F.col("size") > CELL)
+    if not large.isEmpty():
+        wanted = stored(large.select("cls").distinct().join(of, "cls").select("cls", "of.id", "of.h"), "wanted")
+        sets = stored(_sets(rows, wanted, keys), "sets")
+        split, more, own = _cells(large, sets, shared, similarity, every)
+        parts += [_links(split, sets, similarity, every), *more]
+        tables += [wanted, sets, *own]
+    links = stored(_union(parts).distinct(), "links")
+    freed(*tables)
     shared.destroy()
     release_memory()
-    return found.where("n is not null").select("id", "n", "cls"), classes.select("cls", "id"), links
+    return profiles, of.select("cls", "id"), links
 
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = 80) -> tuple[DataFrame, DataFrame]:

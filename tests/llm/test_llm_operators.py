@@ -2,8 +2,10 @@
 
 import hashlib
 import io
+import os
 import random
 import re
+import time
 import zipfile
 import zlib
 from collections import Counter
@@ -16,7 +18,7 @@ import public_tokenizers  # noqa: E402
 import sentencepiece  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-from quillon.llm import _chunks, jaccard_join, language_id, line_dedup, media, merkle, packing, pii, sp_codec, token_counts, warc_zip  # noqa: E402
+from quillon.llm import _chunks, _shared, jaccard_join, language_id, line_dedup, media, merkle, packing, pii, sp_codec, token_counts, warc_zip  # noqa: E402
 
 TEXTS = [None, "", " ", "it's they're 'd", "a <|endoftext|> b<|startoftext|>", "x" * 5000, "naïve café É\n\n  two", "日本語 text 😀", "tab\tand\x0bstrange\x1cspaces ", "Same text here. " * 40, "Same text here. " * 40, "a   b \n \n c"]
 SCHEMA = "doc_id long, text string, n_tokens string, id string, spans int"
@@ -330,6 +332,70 @@ def test_jaccard_links_are_all_links(spark, block, monkeypatch):
     assert got == expected and len(links) > len(set(members.values()))
 
 
+@pytest.mark.parametrize("every", [False, True])
+def test_jaccard_join_is_the_same_where_ids_are_not_broadcast(spark, every, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+    rows = [(None if i % 7 == 3 else i, t) for i, t in jaccard_rows(5, 300, 20, 7)]
+    docs = spark.createDataFrame([*rows, *rows[:40]], "doc_id long, text string").repartition(3)
+    if every:
+        links = sorted((r.a, r.b) for r in jaccard_join.jaccard_links(docs)[1].collect())
+        monkeypatch.undo()
+        assert links == sorted((r.a, r.b) for r in jaccard_join.jaccard_links(docs)[1].collect()) and links
+    else:
+        got = sorted(map(repr, jaccard_join.jaccard_components(docs).collect()))
+        monkeypatch.undo()
+        assert got == sorted(map(repr, jaccard_join.jaccard_components(docs).collect()))
+
+
+def near_copies(n, copies, seed=11):
+    """Texts of long and short words, each with near copies."""
+    rng = random.Random(seed)
+    vocabulary = [hashlib.md5(b"%d" % k).hexdigest()[: 1 + k % 9] for k in range(4000)]
+    base = [" ".join(rng.choice(vocabulary) for _ in range(300)) for _ in range(n)]
+    return [(k * n + i, f"copy{k} {text}" if k else text) for i, text in enumerate(base) for k in range(copies)]
+
+
+def test_jaccard_join_of_near_copies_writes_less_than_the_texts(spark, monkeypatch):
+    rows, sizes = near_copies(40, 5), {}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+    def stored(df, name, f=jaccard_join.stored):
+        out = f(df, name)
+        folder = out.stored_at.removeprefix("file://")
+        sizes[name] = sum(os.path.getsize(os.path.join(folder, x)) for x in os.listdir(folder) if x.endswith(".parquet"))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "stored", stored)
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs).collect()} == {i: i % 40 for i, _ in rows}
+    assert 4 * max(sizes.values()) < sum(len(t) for _, t in rows)  # the sets have 8 bytes a shingle, more than the texts
+
+
+def test_long_shingles_come_first():
+    text = "a b c d e f g h longest11 of12 these13 words14 here15 i j k"
+    s, lengths = jaccard_join.measured_shingles(text)
+    assert (s == jaccard_join.shingles(text)).all() and lengths.max() == len("longest11of12these13words14here15") and lengths.min() == 5
+    none = np.zeros(0, np.uint64)
+    first, _ = jaccard_join.leading(s, 1, none, np.zeros(0, np.int64), lengths)
+    assert first.tolist() == jaccard_join.shingles("longest11 of12 these13 words14 here15").tolist()
+    for short in ("", "a", "a b c", "a b c d e", "a a a a a a a"):
+        s, lengths = jaccard_join.measured_shingles(short)
+        assert len(s) == len(lengths) and (s == jaccard_join.shingles(short)).all()
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+        return {x for x in found if "/shuffle_" in x}
+
+    before, kept = files(), spark.conf.get(_shared.CLEANUP, None)
+    out = _shared.stored(spark.range(10_000).selectExpr("id % 97 as k").repartition(5, "k").groupBy("k").count(), "counted")
+    for _ in range(50):  # deleted by another thread
+        if not (left := files() - before):
+            break
+        time.sleep(0.2)
+    assert not left and out.count() == 97 and spark.conf.get(_shared.CLEANUP, None) == kept
+
+
 def test_jaccard_join_of_unrelated_texts_with_one_template(spark, monkeypatch):
     for name, value in (("BLOCK", 6), ("CELL", 12), ("WINDOWED", 24), ("PIVOTS", 4), ("OFTEN", 1)):
         monkeypatch.setattr(jaccard_join, name, value)
@@ -385,6 +451,27 @@ def test_jaccard_null_ids_meet_only_their_own_text(spark):
     assert [(a, n, c) for a, n, c in got if n] == [(a, n, c) for a, n, c in expected if n]
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_near_duplicate_stage_shuffles_the_documents_once_at_most(spark, few, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 500_000 if few else 0)
+    rows = near_copies(20, 3)
+    docs = spark.createDataFrame([*rows, rows[0], (rows[0][0], "other text of an id"), (None, rows[1][1]), (None, "a null id"), (None, "a null id")], "doc_id long, text string").repartition(3)
+    docs = corpus_pipeline.stored(docs, "docs")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.near_duplicates(spark, docs, "")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    firsts = [(i, t) for i, t in rows if i < 20]
+    assert got == sorted([*firsts, (rows[0][0], "other text of an id"), (None, rows[1][1]), (None, "a null id")], key=repr)  # null ids stay as one of them has no copy
+    assert ("BroadcastHashJoin" in plan) == few and ("SortMergeJoin" in plan) != few
+
+
 def test_jaccard_region_recursion_gives_every_link():
     rng = np.random.default_rng(6)
     base = rng.integers(0, 2**62, 200, dtype=np.uint64)
