@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import jaccard_join, language_id, line_dedup, packing, pii
-from quillon.llm._shared import stored
+from quillon.llm._shared import freed, stored
 
 CAPACITY = 2048
 
@@ -47,16 +47,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps the document with the least id of each group of near duplicates, and one of equal rows.
 
     Texts without words are in no group and stay. Rows with null ids stay if one of them has no copy with an id. Only the
-    ids that go and the ids that repeat are joined with the documents, whose texts are shuffled only if those are many.
+    ids that go and the ids that repeat are joined with the documents, whose texts are shuffled, once, only if those are many.
     Very long texts are compared whole; of an empty table nothing is kept; other columns stay as they are.
     """
-    groups = jaccard_join.jaccard_components(docs)
-    gone = groups.groupBy("doc_id").agg(F.max(F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("stays")).where("not stays").select(F.col("doc_id").alias("_quillon_id"))
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_quillon_id")), "left_anti")
-    often = docs.groupBy(F.col("doc_id").alias("_quillon_id")).count().where("count > 1").select("_quillon_id")
-    same = left["doc_id"].eqNullSafe(F.col("_quillon_id"))
-    once = left.join(often, same, "left_semi").withColumn("_quillon_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_quillon_h"])
-    return left.join(often, same, "left_anti").unionByName(once.drop("_quillon_h"))
+    named = jaccard_join.jaccard_components(docs).groupBy(F.col("doc_id").alias("_quillon_id"))
+    marks = named.agg(F.max(F.col("component_id").eqNullSafe(F.col("doc_id"))).alias("_quillon_stays"), F.count("*").alias("_quillon_rows"))
+    marks = stored(marks.where("not _quillon_stays or _quillon_rows > 1"), "marks")
+    few = marks.count() <= jaccard_join.BROADCAST_ROWS
+    left = docs.join(F.broadcast(marks) if few else marks, docs["doc_id"].eqNullSafe(F.col("_quillon_id")), "left").where("coalesce(_quillon_stays, true)")
+    once = left.where("_quillon_rows > 1").withColumn("_quillon_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_quillon_h"]).drop("_quillon_h")
+    return left.where("_quillon_rows is null").unionByName(once).drop(*marks.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -85,6 +85,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage_{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"stage_{name}")
+        if k:  # what the stage before has kept is read by no other
+            freed(before)
     return STAGES[-1][1](spark, docs, sf_dir)
