@@ -4,7 +4,7 @@ Documents of equal sets are one class, so copies never meet as pairs. The join o
 
 1. Regions. Far apart in this space is the rule: two texts that have no shingle in common have distance 1 from each
    other and from every pivot, where no triangle inequality parts them. So the first regions come from shared shingles:
-   under one order of all shingles (rare ones first) two sets with similarity t share a shingle among the first
+   under one order of all shingles (frequent ones last, of the others the longest first) two sets with similarity t share a shingle among the first
    n - ceil(t n) + 1 of each, and the classes that have a shingle there make a region, named after its pivot, the
    least of them. Both ends of every link lie in a common region.
 2. Windows. Each class has the sizes of its set's parts in fixed parts of the space (64, and more for sets of more than
@@ -15,7 +15,8 @@ Documents of equal sets are one class, so copies never meet as pairs. The join o
    border lies within twice the link distance; classes that hardly share a shingle with any pivot make a cell
    of their own. Cells are regions again. Where borders hold nearly all (a group of near copies) cells are of no use and
    the region is joined in pairs of blocks; for components, classes that link with one pivot needn't meet each other.
-4. Regions that fit a task are joined exactly on the sets, by the same recursion in memory.
+4. Regions that fit a task are joined exactly on the sets, by the same recursion in memory. Those that fit at once get the
+   texts, which take up less than half of what the sets do; sets are stored only for larger ones.
 
 No task holds more than a cell or two blocks. `jaccard_links` gives all links, which grow with the square of a group of
 near copies. For components a region is left as soon as it is connected, and its links then give components by a
